@@ -54,8 +54,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op8_pii, op9_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op8_pii, op9_toxicity, pipeline)}
 
 
 #: Inner products over whole tables, as the query defines them.
