@@ -12,6 +12,7 @@ from .decontam import benchmark_leaks
 from .mixing import mix_sources
 from .pii import replace_pii
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 from .topk import top_products
 from .toxicity import score_toxicity
@@ -54,6 +55,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op8_pii, op9_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op8_pii, op9_toxicity, op10_suffix_dedup, pipeline)}
 
 
 #: Inner products over whole tables, as the query defines them.
