@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, table
 from .decontam import benchmark_leaks
+from .lang_id import identify_language
+from .lm_score import cross_entropy_difference
 from .mixing import mix_sources
 from .pii import replace_pii
 from .simhash import near_duplicates
@@ -42,6 +44,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = identify_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 #: Surrogates depend on it; a deployment passes its own secret.
 PII_KEY = "docspindle-example-key"
 
@@ -66,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op8_pii, op9_toxicity, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op6_lm_score, op7_language, op8_pii, op9_toxicity, op10_suffix_dedup, pipeline)}
 
 
 #: Inner products over whole tables, as the query defines them.
