@@ -229,8 +229,16 @@ def score_toxicity(
     vectors = materialise(texts.mapInArrow(vectoriser(vocabulary), f"id {kind}, terms array<int>, counts array<int>"))
     n = vectors.count()
     df = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
+    size = len(vocabulary)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, "i8")
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(), minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["t", "n"])
+
+    for r in vectors.select("terms").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r["t"]] = r["n"]
     idf = np.where(df > 0, np.log((n + 1) / (df + 0.5)), 0.0)
     index = Index([r["id"] for r in rows], [r["label"] for r in rows], [weight[r["label"]] for r in rows], [(r["terms"], r["counts"]) for r in rows], idf)
     index.calibrate()
