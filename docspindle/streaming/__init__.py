@@ -1,0 +1 @@
+"""The upload stream, job states, conversation memory and event windows."""
