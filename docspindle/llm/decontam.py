@@ -25,10 +25,14 @@ def _shingles(words: str, width: str) -> Column:
     return F.expr(f"if(size({words}) < {width}, cast(array() as array<bigint>), transform(sequence(0, size({words}) - {width}), i -> xxhash64(slice({words}, i + 1, {width}))))")
 
 
-def _numbered(words: str, width: str) -> Column:
-    """Shingles as text, each with its number among its equals: sets of these count repeats."""
-    made = f"transform(sequence(0, greatest(size({words}) - {width}, 0)), i -> concat_ws(' ', slice({words}, i + 1, {width})))"
-    return F.expr(f"transform({made}, (s, i) -> concat(s, ' ', cast(size(filter(slice({made}, 1, i + 1), x -> x = s)) as string)))")
+def _texts(words: str, width: str) -> Column:
+    """Shingles as text; fewer words than `width` are one."""
+    return F.expr(f"transform(sequence(0, greatest(size({words}) - {width}, 0)), i -> concat_ws(' ', slice({words}, i + 1, {width})))")
+
+
+def _numbered(texts: str) -> Column:
+    """Repeats with their number among their equals: sets of these count repeats."""
+    return F.expr(f"if(size(array_distinct({texts})) = size({texts}), {texts}, transform({texts}, (s, i) -> concat(s, if(array_contains(slice({texts}, 1, i), s), concat(' ', cast(size(filter(slice({texts}, 1, i), x -> x = s)) as string)), ''))))")
 
 
 def _simhash(hashes: str) -> Column:
@@ -110,7 +114,9 @@ def benchmark_leaks(
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = w.join(small(index, n_items * BLOCKS * 9), ["j", "v"]).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
     near = near.select("id", "start", "window", "item_id", "item", "k", "distance").distinct()
-    both = near.withColumn("x", _numbered("window", "k")).withColumn("y", _numbered("item", "k"))
+    # Written, so that Spark doesn't repeat these arrays' expressions in each place that reads them.
+    both = materialise(near.withColumn("x", _texts("window", "k")).withColumn("y", _texts("item", "k")))
+    both = materialise(both.withColumn("x", _numbered("x")).withColumn("y", _numbered("y")))
     sim = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     both = both.withColumn("similarity", sim).filter(F.col("similarity") >= similarity - 1e-12)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "distance", "start", F.size("window").alias("n"))).alias("b")
