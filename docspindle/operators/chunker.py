@@ -119,5 +119,5 @@ def paragraph_gaps(rows: DataFrame) -> DataFrame:
     gaps = rows.withColumn("gap", F.col("position") - before)
     g = F.array_sort(F.collect_list("gap"))
     one = gaps.groupBy("document_id").agg(g.alias("g"))
-    median = F.when(F.size("g") == 0, F.lit(12)).otherwise(F.try_element_at("g", F.expr("size(g) div 2 + 1"))).cast("double")
+    median = F.when(F.size("g") == 0, F.lit(12)).otherwise(F.try_element_at("g", F.expr("cast(size(g) div 2 + 1 as int)"))).cast("double")
     return one.select("document_id", median.alias("median_gap"), F.greatest(F.lit(18.0), median * 1.8).alias("paragraph_gap"))
