@@ -107,7 +107,7 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(lines, clean_line), "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def _ascii_boundary(pattern: str) -> str:
+def ascii_boundary(pattern: str) -> str:
     """Java's \\b knows all letters; these are the boundaries of ASCII words."""
     edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
     return pattern.replace(r"\b", edge).replace("(?im)", "(?imd)")
@@ -117,7 +117,7 @@ def redact(text: Column) -> tuple[Column, Column]:
     """The text without secrets, and how many were replaced; each pattern sees what the ones before left."""
     count = F.lit(0)
     out = text
-    for p in map(_ascii_boundary, lx.SECRET_PATTERNS):
+    for p in map(ascii_boundary, lx.SECRET_PATTERNS):
         count = count + F.regexp_count(out, F.lit(p))
         out = F.regexp_replace(out, p, lx.REDACTED)
     blank = F.trim(text) == ""
@@ -125,7 +125,7 @@ def redact(text: Column) -> tuple[Column, Column]:
 
 
 def has_credentials(text: Column) -> Column:
-    return text.rlike(_ascii_boundary(lx.CREDENTIAL_PATTERN)) | text.contains(lx.REDACTED) | contains_any(norm(text), lx.CREDENTIAL_PHRASES)
+    return text.rlike(ascii_boundary(lx.CREDENTIAL_PATTERN)) | text.contains(lx.REDACTED) | contains_any(norm(text), lx.CREDENTIAL_PHRASES)
 
 
 def content_type(normalised: Column) -> Column:
@@ -201,7 +201,7 @@ def row_pairs(body: Column) -> Column:
 
 
 def sentences(text: Column, marks: str = r"(?<=[.!?;])") -> Column:
-    return F.filter(F.transform(F.split(text, marks), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, marks), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def tag(text: Column) -> Column:

@@ -53,6 +53,7 @@ def people(chunks: DataFrame, i: Intent) -> DataFrame:
 
 def spans(chunks: DataFrame, i: Intent, pattern: str, least: float = 1.0) -> DataFrame:
     """Best sentences that hold the pattern, no question, with what it matches."""
+    pattern = tx.ascii_boundary(pattern)
     s = sentence_rows(chunks).filter(F.col("norm").rlike(pattern) & ~F.col("sentence").contains("¿"))
     verbs = tx.contains_any(F.col("norm"), lx.FACT_VERBS)
     found = best(s, score(i) + F.when(verbs, 3.0).otherwise(0.0), least)

@@ -276,7 +276,7 @@ def structure_score(content: Column, index: Column) -> Column:
 
 def structure_scores(chunks: DataFrame) -> DataFrame:
     """Chunks without noise lines, scored by how much they look like an outline."""
-    lines = F.transform(F.split(tx.clean_text(F.col("content")), "\n"), F.trim)
+    lines = F.transform(F.split(tx.clean_text(F.col("content")), "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (tx.norm(x) != "") & ~tx.contains_any(tx.norm(x), lx.STRUCTURE_NOISE))
     first = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, 1, i), lambda y: tx.norm(y) == tx.norm(x)))
     out = chunks.withColumn("content", F.array_join(first, "\n")).filter("content <> ''")

@@ -73,7 +73,7 @@ def row_count(lines: DataFrame) -> DataFrame:
 def header_is_first(first: Column, second: Column) -> Column:
     """Whether row 1 is a header: distinct texts without numbers, and row 2 has a number or is no header."""
     def texts(cells: Column) -> Column:
-        return F.filter(F.transform(cells, F.trim), lambda c: c != "")
+        return F.filter(F.transform(cells, lambda x: F.trim(x)), lambda c: c != "")
 
     def header(cells: Column) -> Column:
         t = texts(cells)
