@@ -219,35 +219,42 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             rows, data = b.column(0).to_numpy(), b.column(1)
             for start in range(0, len(rows), 512):
                 part = data.slice(start, 512).to_pylist()
-                runs = chooser.choose(part)
-                cols: list[list] = [[] for _ in range(6)]
-                seen: dict[tuple, tuple] = {}
+                who, lo, hi, pos, key = (x.view("i8") for x in chooser.choose(part))
+                spots = zip(who.tolist(), lo.tolist(), (hi + window).tolist(), (pos - lo).tolist())
+                ctx = np.fromiter((xxh3_64_intdigest(part[i][a:e], left) for i, a, e, left in spots), "u8", len(who)).view("i8")
+                # One text's equal contexts: the first stands for them, their spans are known.
+                order = np.lexsort((pos, ctx, key, who))
+                same = np.zeros(len(order), bool)
+                same[1:] = (who[order][1:] == who[order][:-1]) & (key[order][1:] == key[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
+                again = np.zeros(len(order), bool)
+                again[order] = same
+                both = same.copy()
+                both[:-1] |= same[1:]
                 covers: dict[int, list] = {}
-                for i, lo, hi, p, h in zip(*(x.view("i8").tolist() for x in runs)):
-                    t = part[i]
-                    left, right = p - lo, hi + window - p - k
-                    c = xxh3_64_intdigest(t[p - left : p + k + right], left)
-                    first = seen.setdefault((i, h, c), p)
-                    if first != p:
-                        span = covers.setdefault(i, [])
-                        span += [(first - left, first + k + right), (p - left, p + k + right)]
-                        continue
-                    for col, x in zip(cols, (rows[start + i], h, c - (1 << 64) if c >> 63 else c, p, left, right)):
-                        col.append(x)
-                for i, spans in covers.items():
-                    for a, e in _merge(spans):  # places known already: no string, only a span
-                        for col, x in zip(cols, (rows[start + i], 0, 0, a, -1, e - a)):
-                            col.append(x)
+                for j in order[both].tolist():
+                    covers.setdefault(int(who[j]), []).append((int(lo[j]), int(hi[j]) + window))
+                known = [(rows[start + i], a, e - a) for i, spans in covers.items() for a, e in _merge(spans)]
+                one, n = ~again, len(known)
+                zero = np.zeros(n, "i8")
+                cols = (
+                    np.concatenate([rows[start + who[one]], np.array([x[0] for x in known], "i8")]),
+                    np.concatenate([key[one], zero]),
+                    np.concatenate([ctx[one], zero]),
+                    np.concatenate([pos[one], np.array([x[1] for x in known], "i8")]),
+                    np.concatenate([(pos - lo)[one], zero - 1]),  # -1: no string, only a span
+                    np.concatenate([(hi + window - pos - k)[one], np.array([x[2] for x in known], "i8")]),
+                )
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["row", "key", "ctx", "pos", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], ["row", "key", "ctx", "pos", "left", "right"])
 
     found = named.filter(F.octet_length("text") >= window).select("row", "text").mapInArrow(places, "row long, key long, ctx long, pos int, left short, right int")
     # Equal rows: all their windows repeat.
     twice = named.groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).filter(f"n > 1 and size >= {window}")
     twice = twice.select("row", F.lit(0).alias("a"), F.col("size").alias("e"))
     often = found.filter("left >= 0").groupBy("key").count().filter("count > 1").select(F.col("key").alias("often"))
-    known = found.filter("left < 0").select("row", F.col("pos").alias("a"), (F.col("pos") + F.col("right")).alias("e"))
-    m = materialise(found.filter("left >= 0").join(often, F.col("key") == F.col("often")).drop("often"))
+    kept = materialise(found.join(often, F.col("key") == F.col("often"), "left").filter("often is not null or left < 0").drop("often"))
+    known = kept.filter("left < 0").select("row", F.col("pos").alias("a"), (F.col("pos") + F.col("right")).alias("e"))
+    m = kept.filter("left >= 0")
     example = F.min(F.struct("row", "pos", "left", "right")).alias("x")
     g = materialise(m.groupBy("key", "ctx").agg(F.count("*").alias("n"), example).select("key", "ctx", "n", "x.*"))
     several = g.groupBy("key").agg(F.count("*").alias("d")).filter("d > 1").withColumnRenamed("key", "k2")
