@@ -22,21 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go; rows with a null id stay if their text may."""
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
     bad = scored.filter("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id; of repeated rows one."""
     found = near_duplicates(docs)
     keep = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    once = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
     return once.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     leaks = benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return docs.join(leaks, docs["doc_id"] == leaks["bad_id"], "left_anti")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
