@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..functions.intent import Intent, Topic, conceptual, factual, global_terms, intent, precision, tabular, text_terms, topic, weights
+from ..functions.intent import Intent, Topic, conceptual, factual, global_terms, intent, norm, precision, tabular, terms, text_terms, topic, weights
+from .select import nearest_anchor
 
 POSITION = ("document_id", "chunk_index", "chunk_id")
 
@@ -292,3 +293,28 @@ def structure_search(chunks: DataFrame, k: int = 6, pool: int = 200) -> DataFram
 def with_snippets(found: DataFrame, query: str) -> DataFrame:
     i = intent(query)
     return prepared(found).withColumn("snippet", tx.snippet(F.col("content"), F.greatest(first_match(i), F.lit(0)))).drop("norm", "words")
+
+
+def section_score(term: str) -> Column:
+    """How much a chunk is about a section: the phrase, its words exactly, nearly or in part, and their share."""
+    q = norm(term)
+    n, words, parts = F.col("norm"), F.col("words"), terms(q)
+    steps = [F.when(tx.whole_count(words, t) > 0, 0.8).when(tx.fuzzy_count(words, t) > 0, 0.5).when(tx.partial_match(words, t), 0.3).otherwise(0.0) for t in parts]
+    hits = tx.total([F.when(s > 0, 1.0).otherwise(0.0) for s in steps])
+    return F.when(hits == 0, 0.0).otherwise(tx.total(steps) + hits / max(1, len(parts)) + F.when(n.contains(q), 1.8).otherwise(0.0))
+
+
+def section_scores(chunks: DataFrame, term: str) -> DataFrame:
+    """Chunks about a section and their neighbours: three times the score, and 1.2, 0.8
+    or 0.35 for a distance of 0, 1 or 2 to the next chunk about it in the document."""
+    found = prepared(chunks).withColumn("direct", section_score(term))
+    near = nearest_anchor(found, F.col("direct") > 0)
+    by_distance = F.when(F.col("distance") == 0, 1.2).when(F.col("distance") == 1, 0.8).when(F.col("distance") == 2, 0.35).otherwise(0.0)
+    return near.withColumn("score", F.col("direct") * 3.0 + by_distance).filter("score > 0")
+
+
+def section_search(chunks: DataFrame, term: str, k: int = 4, pool: int = 200) -> DataFrame:
+    order = [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")]
+    best = section_scores(chunks, term).orderBy(*order).limit(pool)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("words")
+    return drop_near_copies(best, ["rank"]).orderBy("rank").limit(k)

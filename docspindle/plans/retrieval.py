@@ -96,6 +96,14 @@ def near_copy_lines(s, sf):
     return se.drop_near_copies(c, ["chunk_index"], ["document_id"]).select("document_id", "chunk_index")
 
 
+def section_scores(s, sf):
+    return se.section_scores(chunks(s, sf), "thing").select("chunk_id", F.round("score", 6).alias("score"))
+
+
+def section_search(s, sf):
+    return se.section_search(chunks(s, sf), "thing", 4).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 def context_by_hits(s, sf):
     words = [t for t in global_terms(QUERY) if len(t) >= 3]
     n = tx.norm(F.col("content"))
@@ -193,6 +201,11 @@ _SNIP = f"""WITH a AS (SELECT doc_id AS document_id, trim(text, ' ') AS content,
   d AS (SELECT document_id, CASE WHEN n <= 900 THEN content ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(content, s + 1, 900), ' ') || CASE WHEN s + 900 < n THEN '...' ELSE '' END END AS x FROM c)
   SELECT document_id, len(x) AS n, md5(x) AS snippet FROM d"""
 _CN = sql_norm("content")
+_SECTION = f"""CASE WHEN {sql_whole('words', 'thing')} > 0 THEN 3.6::DOUBLE WHEN {_fuzzy('words', 'thing')} > 0 THEN 1.5 + CASE WHEN contains(norm, 'thing') THEN 1.8::DOUBLE ELSE 0 END
+  WHEN {_partial('words', 'thing')} THEN 1.3 + CASE WHEN contains(norm, 'thing') THEN 1.8::DOUBLE ELSE 0 END ELSE 0 END"""
+_SECTIONS = f"""WITH p AS (SELECT *, {_SECTION} AS direct FROM ({PREPARED})), a AS (SELECT *, CASE WHEN direct > 0 THEN chunk_index END AS anchor FROM p),
+  n AS (SELECT *, least(chunk_index - max(anchor) OVER (PARTITION BY document_id ORDER BY chunk_index), min(anchor) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - chunk_index) AS gap FROM a)
+  SELECT chunk_id, round(direct * 3 + CASE gap WHEN 0 THEN 1.2::DOUBLE WHEN 1 THEN 0.8 WHEN 2 THEN 0.35 ELSE 0 END, 6) AS score FROM n WHERE direct > 0 OR gap <= 2"""
 QUERIES = {
     "global_search": (global_search, f"SELECT * FROM (SELECT doc_id AS document_id, {_HITS} AS score FROM documents) WHERE score > 0 ORDER BY score DESC, document_id LIMIT 20"),
     "scoped_search": (scoped_search, f"SELECT chunk_id, topic_count, score FROM ({_matches(chr(99) + 'ollection_id = ' + chr(39) + 'src5' + chr(39))}) ORDER BY topic_count DESC, score DESC, document_id, chunk_index LIMIT 20"),
@@ -209,6 +222,8 @@ QUERIES = {
     "hybrid_search": (hybrid_search, None),
     "structure_search": (structure_search, None),
     "near_copy_lines": (near_copy_lines, None),
+    "section_scores": (section_scores, _SECTIONS),
+    "section_search": (section_search, None),
     "context_by_hits": (context_by_hits, f"SELECT chunk_id, hits FROM (SELECT *, {' + '.join(f'CASE WHEN contains({_CN}, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in global_terms(QUERY))} AS hits FROM ({CHUNKS})) ORDER BY hits DESC, document_id, chunk_index LIMIT 20"),
     "entity_first": (entity_first, f"SELECT chunk_id, hit FROM (SELECT *, contains({_CN}, 'thble') AS hit FROM ({CHUNKS}) WHERE collection_id = 'src8') ORDER BY hit DESC, document_id, chunk_index LIMIT 25"),
     "snippets": (snippets, _SNIP),

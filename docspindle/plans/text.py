@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import display as dp
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from .base import CHUNKS, DOCS, QUERY, chunks, docs, quoted, sql_norm, sql_terms, sql_tokens, sql_whole, table
@@ -91,6 +92,31 @@ def numbers(s, sf):
     return shown.select("o_orderkey", F.round(tx.locale_number(F.col("t")), 2).alias("value"))
 
 
+def summary_headings(s, sf):
+    c = chunks(s, sf)
+    return c.select("chunk_id", dp.summary_heading(F.col("content")).alias("heading"), dp.noisy_capitals(F.col("content")).alias("noisy"))
+
+
+def academic_lines(s, sf):
+    """Lines, every third with a reference added."""
+    c = chunks(s, sf).withColumn("t", F.when(F.col("chunk_index") % 3 == 0, F.concat(F.substring("content", 1, 20), F.lit(", ISBN 99 (2001)"))).otherwise(F.col("content")))
+    return c.select("chunk_id", dp.academic_noise(F.col("t")).alias("noise"))
+
+
+def purposes(s, sf):
+    n = tx.norm(F.substring("text", 1, 12000))
+    return docs(s, sf).select("document_id", dp.rule_value(n, dp.PURPOSES, "análisis").alias("purpose"))
+
+
+def visible_answers(s, sf):
+    t = F.concat(F.lit("Fila 1: a = b\n\n\n[chunk_id: 3]"), F.col("text"), F.lit("\nHoja: X\nUno.Dos  tres"))
+    return docs(s, sf).select("document_id", F.md5(dp.final(t)).alias("final"))
+
+
+def raw_answers(s, sf):
+    return docs(s, sf).select("document_id", dp.raw_text(F.substring("text", 5, 200), F.col("text")).alias("raw"))
+
+
 def tags(s, sf):
     return docs(s, sf).select("document_id", tx.tag(F.concat(F.lit(" #"), F.col("collection_id"), F.lit(" Uno  Dos "))).alias("tag"))
 
@@ -180,6 +206,12 @@ QUERIES = {
     "sentence_split": (sentence_split, f"SELECT document_id, len(list_filter(string_split(regexp_replace(text, '([.!?;])', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' ) <> '')) AS n FROM ({DOCS})"),
     "content_hash": (content_hash, f"SELECT document_id, sha256(text) AS sha256, strlen(text) AS size FROM ({DOCS})"),
     "locale_numbers": (numbers, "SELECT o_orderkey, round(CAST(replace(printf('%.2f', o_totalprice), ',', '') AS DOUBLE), 2) AS value FROM orders"),
+    "summary_headings": (summary_headings, rf"""SELECT chunk_id, t <> '' AND len(t) <= 90 AND (regexp_matches(t, '(?i)^[ivxlcdm]+\s*[.):\-]\s+.+$') OR regexp_matches(t, '^\d+(?:\.\d+){{0,3}}\s*[.):\-]?\s+\S.+$') OR (ends_with(t, ':') AND len(t) <= 70 AND n <= 8) OR (n BETWEEN 2 AND 10 AND l > 0 AND u / l >= 0.8)) AS heading,
+      n BETWEEN 2 AND 8 AND l > 0 AND u * 100 // greatest(l, 1) >= 85 AS noisy FROM (SELECT chunk_id, trim(content) AS t, len({_LW}) AS n, len(regexp_replace(content, '[^\p{{L}}]', '', 'g')) AS l, len(regexp_replace(content, '[^\p{{Lu}}]', '', 'g')) AS u FROM ({CHUNKS}))"""),
+    "academic_lines": (academic_lines, None),
+    "purposes": (purposes, f"SELECT document_id, CASE {' '.join('WHEN ' + ' OR '.join(f"contains(n, '{x}')" for x in xs) + f" THEN '{k}'" for k, xs in dp.PURPOSES.items())} ELSE 'análisis' END AS purpose FROM (SELECT document_id, {sql_norm('left(text, 12000)')} AS n FROM ({DOCS}))"),
+    "visible_answers": (visible_answers, None),
+    "raw_answers": (raw_answers, None),
     "tag_names": (tags, f"SELECT document_id, lower(collection_id) || '-uno-dos' AS tag FROM ({DOCS})"),
     "previews": (previews, f"SELECT document_id, left(coalesce(text, ''), 160) AS preview FROM ({DOCS})"),
     "cosines": (cosines, "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END)), 9) AS cosine FROM embeddings"),
