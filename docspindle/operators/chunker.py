@@ -77,7 +77,7 @@ def compact(sections_: DataFrame, most: int = 12) -> DataFrame:
 
 def key_points(sentences: DataFrame, most: int = 5) -> DataFrame:
     """Sentences of a document grouped greedily by two shared terms or more; its largest groups."""
-    cols = "document_id long, place int, sentence string, members int"
+    cols = f"document_id {sentences.schema['document_id'].dataType.simpleString()}, place int, sentence string, members int"
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[tuple[set, list]] = []

@@ -134,3 +134,33 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     order = ["document_id", "chunk_index"]
     stream = spark.read.parquet(str(tmp_path / "out")).orderBy(*order).collect()
     assert stream == jobs.ingest(docs).orderBy(*order).collect()
+
+
+def test_service_plans(spark):
+    from docspindle.plans.engine import Retrieval, Scope
+
+    docs = spark.createDataFrame([("t", "d1", "c1", True), ("t", "d2", "c1", False), ("u", "d3", "c1", True)], "tenant_id string, document_id string, collection_id string, is_favorite boolean")
+    texts = [("t", "d1", 0, "Un arreglo es una coleccion de datos ordenados."), ("t", "d1", 1, "Otra cosa."), ("t", "d2", 0, "Los arreglos permiten guardar datos. password=secreto99"), ("u", "d3", 0, "arreglo ajeno")]
+    chunks = spark.createDataFrame([(t, d, i, f"{d}-{i}", x) for t, d, i, x in texts], "tenant_id string, document_id string, chunk_index int, chunk_id string, content string")
+    tags = spark.createDataFrame([("d2", "x")], "document_id string, tag string")
+    r = Retrieval(docs, chunks, tags)
+    assert {x["chunk_id"] for x in r.search("arreglo", Scope("t")).collect()} == {"d1-0", "d2-0"}
+    assert [x["chunk_id"] for x in r.search("sobre arreglo", Scope("t", ("d1",))).collect()] == ["d1-0"]
+    assert [x["chunk_id"] for x in r.search("zzz", Scope("t", ("d1",))).collect()] == ["d1-0", "d1-1"]
+    got = r.ask("que es un arreglo", Scope("t", ("d1", "d2")))
+    assert "coleccion de datos" in got["answer"] and [s["mark"] for s in got["sources"]] == ["A", "B"]
+    assert r.ask("sobre arreglos", Scope("t", tag="x"))["sources"] == [{"mark": "A", "document_id": "d2"}]
+    said = Retrieval(docs, chunks, tags, answer=lambda q, c: "La clave es password=secreto99.").ask("arreglo", Scope("t", favorites=True))
+    assert "secreto99" not in said["answer"] and said["sources"][0]["document_id"] == "d1"
+    assert r.report(Scope("t")).first()["documents"] == 2 and r.summary(Scope("t")).count() > 0
+
+
+def test_display(spark):
+    from docspindle.functions import display as dp
+
+    shown = "Fila 1: a = b\n\n\n[chunk_id: 3]Uno.Dos\nUno. Dos\n3.\n\nUno. Dos\n\nver a. pdf"
+    assert one(spark, dp.final(F.lit(shown))) == "Uno. Dos\n\nver a.pdf"
+    assert one(spark, dp.redact_but_sources(F.lit("password=abc en password=x.txt\nFuente: password=y"), ["password=x.txt"])) == "[REDACTADO] en password=x.txt\nFuente: password=y"
+    assert one(spark, dp.academic_noise(F.lit("ISBN 99-1"))) and not one(spark, dp.academic_noise(F.lit("una linea cualquiera del texto")))
+    assert one(spark, dp.title_case(F.lit("HISTORIA DE LA CIENCIA"))) == "Historia de la Ciencia"
+    assert one(spark, dp.summary_heading(F.lit("IV. Resultados"))) and one(spark, dp.noisy_capitals(F.lit("TODO EN MAYUSCULAS")))
