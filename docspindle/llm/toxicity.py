@@ -20,6 +20,9 @@ TERMS, CHI2, LEAST_DF = 2048, 30.0, 5
 #: Examples of a block of the index.
 BLOCK = 64
 NEIGHBOURS = 25
+#: All words outside the vocabulary are one term of this weight, so that a few chance
+#: hits in a long text point elsewhere than the same hits in a short one.
+OTHER = 1.0
 _WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words count as terms as well: inflections and compounds share them.
 STEMS = (5, 6, 7)
@@ -177,10 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
 
 
 def vectoriser(vocabulary: dict[str, int], more: str = ""):
-    """Batches (id, text, ...) -> (id, terms, counts, ...) over the vocabulary, whole texts."""
+    """Batches (id, text, ...) -> (id, terms, counts, ...) over the vocabulary and the term of other words, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, ...]] = {}
+        other = (len(vocabulary),)
         for b in batches:
             terms, counts = [], []
             for text in b.column(1):
@@ -191,7 +195,7 @@ def vectoriser(vocabulary: dict[str, int], more: str = ""):
                         if len(memo) > 500_000:
                             memo.clear()
                         ids = memo[w] = tuple(vocabulary[t] for t in _terms(w) if t in vocabulary)
-                    for i in ids:
+                    for i in ids or other:
                         own[i] += n
                 terms.append(sorted(own))
                 counts.append([own[i] for i in terms[-1]])
@@ -219,17 +223,16 @@ def score_toxicity(
     (bounded, chosen by a hash of the id, copies once) over at most `terms` terms
     that go with the label; document frequencies cover all of `docs`. Scores are
     calibrated votes of the nearest examples by exact TF-IDF cosine. Texts without
-    a term of the index, null and empty ones included, get the rate of label 1
-    among such examples. Without any labelled rows every score is that of the
-    prior, 0.1. Repeated rows score alike; null ids stay.
+    words, null and empty ones included, get the rate of label 1 among such
+    examples. Without any labelled rows every score is 0.1. Repeated rows score alike; null ids stay.
     """
     vocabulary, rows, weight = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn_from=learn_from, examples=examples, terms=terms)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     vectors = materialise(texts.mapInArrow(vectoriser(vocabulary), f"id {kind}, terms array<int>, counts array<int>"))
     n = vectors.count()
-    df = np.zeros(len(vocabulary))
-    size = len(vocabulary)
+    size = len(vocabulary) + 1
+    df = np.zeros(size)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, "i8")
@@ -240,6 +243,7 @@ def score_toxicity(
     for r in vectors.select("terms").mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         df[r["t"]] = r["n"]
     idf = np.where(df > 0, np.log((n + 1) / (df + 0.5)), 0.0)
+    idf[-1] = OTHER
     index = Index([r["id"] for r in rows], [r["label"] for r in rows], [weight[r["label"]] for r in rows], [(r["terms"], r["counts"]) for r in rows], idf)
     index.calibrate()
     shared = share(docs.sparkSession, index)
@@ -249,7 +253,7 @@ def score_toxicity(
         for b in batches:
             out = []
             for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (tuple(t), tuple(c))
+                key = (tuple(t), tuple(c) if len(t) > 1 else ())  # one term: the same unit vector
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
