@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspindle.llm.common import materialise, table
+from docspindle.llm.common import materialise, small, table
 from docspindle.llm.decontam import benchmark_leaks
 from docspindle.llm.mixing import mix_sources
 from docspindle.llm.pii import replace_pii
@@ -18,25 +18,31 @@ from docspindle.llm.simhash import near_duplicates
 from docspindle.llm.toxicity import score_toxicity
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't in `ids` (doc_id); null ids stay. The ids are counted, and
+    broadcast if they are few, so that texts don't shuffle."""
+    gone = materialise(ids.distinct().withColumnRenamed("doc_id", "gone_id"))
+    return docs.join(small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go; rows with a null id stay if their text may."""
+    """Documents that are predicted toxic go; rows with a null id stay."""
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    bad = scored.filter("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    return without(docs, scored.filter("predicted = 1").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id; of repeated rows one."""
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    found = materialise(near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    others = found.filter("doc_id <> component_id").select("doc_id")
+    again = materialise(found.filter("doc_id = component_id and n > 1").select(F.col("doc_id").alias("again_id")))
+    repeated = docs.join(small(again), docs["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
+    return without(docs, others.unionByName(again.withColumnRenamed("again_id", "doc_id"))).unionByName(repeated)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["bad_id"], "left_anti")
+    return without(docs, benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def balance(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     exp(lam * size); the convex dual separates by source. Each step evaluates its
     gradient and curvature by one distributed aggregation of the histogram.
     """
-    scales = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
+    scales = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.nullif(F.sum(F.col("size") * F.col("n")), F.lit(0))).alias("scale"))
     n = targets.count()
     # Null is a source like any other, so joins are null-safe.
     state = (
