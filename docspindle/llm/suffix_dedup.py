@@ -14,9 +14,11 @@ from .common import materialise
 
 #: Bytes that are scanned at once for selected positions.
 CHUNK = 1 << 18
-#: Distinct contexts of one selected string that are sorted in one task; more are
-#: compared window by window through an aggregation, which nothing limits.
+#: Contexts that are sorted together at most; larger groups are refined, and what
+#: stays larger is compared window by window in an aggregation, without a limit.
 GROUP = 128
+#: How often a larger group is refined before that.
+LEVELS = 3
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -186,6 +188,32 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _refined(cut: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(few, hot): contexts with the `group` of at most GROUP contexts that they are
+    sorted in, and those left whose groups stay larger.
+
+    A window holds its chosen string and window - k bytes more, so half of these
+    stand on its left or half on its right. A large group so falls into groups of
+    the contexts that also agree on that half, on one side or the other: two that
+    share a window meet in one of them. Halves are halved again, LEVELS times; a
+    context goes to no more than two groups a level.
+    """
+    now = cut.select("key", "ctx", "left", "bytes", F.col("key").alias("group"), F.lit(0).alias("l"), F.lit(0).alias("r"), "d")
+    few = now.filter(F.col("d") <= GROUP)
+    rest = window - k
+    for _ in range(LEVELS):
+        step, rest = -(-rest // 2), rest // 2
+        sides = F.explode(F.array(F.struct((F.col("l") + step).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + step).alias("r"))))
+        more = now.filter(F.col("d") > GROUP).select("key", "ctx", "left", "bytes", sides.alias("x")).select("key", "ctx", "left", "bytes", "x.*")
+        more = more.filter((F.col("l") <= F.col("left")) & (F.col("left") + k + F.col("r") <= F.octet_length("bytes")))
+        same = F.xxhash64("l", "r", F.expr(f"substring(bytes, left - l + 1, l + {k} + r)"))
+        more = materialise(more.withColumn("group", same).distinct())
+        sizes = more.groupBy("group").agg(F.count("*").alias("d")).filter("d > 1").withColumnRenamed("group", "group2")
+        now = more.join(sizes, F.col("group") == F.col("group2")).select("key", "ctx", "left", "bytes", "group", "l", "r", "d")
+        few = few.unionByName(now.filter(F.col("d") <= GROUP))
+    return few, now.filter(F.col("d") > GROUP).select("key", "ctx", "left", "bytes").distinct()
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for every row of `docs`.
 
@@ -201,8 +229,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     3. A context that occurs twice repeats whole. Strings with several contexts
        are looked at byte by byte: one example of each context goes to its
        string's group, whose suffix array shows which windows repeat. Groups of
-       more than GROUP contexts are compared window by window in an aggregation
-       instead, so that no group is gathered in one task, and no pair is lost.
+       more than GROUP contexts are refined, and at last compared window by window
+       in an aggregation, so that no task gathers them, and no pair is lost.
     4. Spans go back to all places of a context and to their texts.
 
     Strings and contexts are told apart by 64-bit hashes of 100 bytes and more.
@@ -266,27 +294,30 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = materialise(cut.dropDuplicates(["key", "ctx"]).select("key", "ctx", "left", "d", "bytes"))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[tuple, tuple] = {}  # a context once, though it may be in several groups
+        group = None
 
         def done() -> pa.RecordBatch:
-            starts = repeated_starts([x[3] for x in held], window)
-            out = [(x[0], x[1], a - x[2], e - x[2]) for x, s in zip(held, starts) for a, e in _runs(s, window)]
+            starts = repeated_starts([x[4] for x in held.values()], window)
+            out = [(x[1], x[2], a - x[3], e - x[3]) for x, s in zip(held.values(), starts) for a, e in _runs(s, window)]
             cols = list(zip(*out)) if out else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "ctx", "a", "e"])
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if len(held) >= 1024 and x[0] != held[-1][0]:
+            for x in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if len(held) >= 1024 and x[0] != group:
                     yield done()
                     held.clear()
-                held.append(x)
+                group = x[0]
+                held[x[1], x[2]] = x
         if held:
             yield done()
 
-    few = cut.filter(F.col("d") <= GROUP).repartition("key").sortWithinPartitions("key").select("key", "ctx", "left", "bytes")
+    few, hot = _refined(cut, window, k)
+    few = few.repartition("group").sortWithinPartitions("group").select("group", "key", "ctx", "left", "bytes")
     sorted_ = few.mapInArrow(sort, "key long, ctx long, a int, e int")
     at = F.posexplode(F.expr(f"transform(sequence(0, length(bytes) - {window}), i -> substring(bytes, i + 1, {window}))"))
-    each = cut.filter(F.col("d") > GROUP).select("key", "ctx", "left", at.alias("i", "part")).select("key", "ctx", "left", "i", F.sha2("part", 256).alias("part"))
+    each = hot.select("key", "ctx", "left", at.alias("i", "part")).select("key", "ctx", "left", "i", F.sha2("part", 256).alias("part")).distinct()
     both = each.groupBy("key", "part").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("key2"), F.col("part").alias("part2"))
     compared = each.join(both, (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2"))).select("key", "ctx", (F.col("i") - F.col("left")).alias("a"), (F.col("i") - F.col("left") + window).alias("e"))
     whole = g.filter("n > 1").select("key", "ctx", (-F.col("left")).cast("int").alias("a"), (F.col("right") + k).cast("int").alias("e"))

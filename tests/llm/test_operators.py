@@ -352,9 +352,10 @@ def _brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("group", [128, 2])
-def test_repeats(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, levels", [(128, 3), (2, 3), (1, 1), (1, 0)])
+def test_repeats(spark, monkeypatch, group, levels):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     rng = random.Random(group)
     passages = ["".join(rng.choice("abc ") for _ in range(rng.randint(10, 80))) for _ in range(6)]
     texts = ["".join(rng.choice([rng.choice(passages), rng.choice("abcé\0") * rng.randint(1, 5)]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
