@@ -14,9 +14,11 @@ from .common import materialise
 
 #: Bytes that are scanned at once for selected positions.
 CHUNK = 1 << 18
-#: Contexts that are sorted together at most; larger groups are refined, and what
-#: stays larger is compared window by window in an aggregation, without a limit.
+#: Contexts of a group at most; larger groups are refined, and what stays larger is
+#: dealt in blocks of about so many, whose windows then meet in an aggregation.
 GROUP = 128
+#: Groups are gathered up to so many contexts before they are sorted.
+GATHER = 1024
 #: How often a larger group is refined before that.
 LEVELS = 3
 _MASK = (1 << 64) - 1
@@ -190,7 +192,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _refined(cut: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(few, hot): contexts with the `group` of at most GROUP contexts that they are
-    sorted in, and those left whose groups stay larger.
+    sorted in, and those left whose groups stay larger, each once, with a block of
+    its largest group instead.
 
     A window holds its chosen string and window - k bytes more, so half of these
     stand on its left or half on its right. A large group so falls into groups of
@@ -211,7 +214,30 @@ def _refined(cut: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]
         sizes = more.groupBy("group").agg(F.count("*").alias("d")).filter("d > 1").withColumnRenamed("group", "group2")
         now = more.join(sizes, F.col("group") == F.col("group2")).select("key", "ctx", "left", "bytes", "group", "l", "r", "d")
         few = few.unionByName(now.filter(F.col("d") <= GROUP))
-    return few, now.filter(F.col("d") > GROUP).select("key", "ctx", "left", "bytes").distinct()
+    hot = now.filter(F.col("d") > GROUP).groupBy("key", "ctx", "left", "bytes").agg(F.max(F.struct("d", "group")).alias("x"))
+    block = F.xxhash64("x.group", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("x.d") / GROUP)))
+    return few, hot.select(block.alias("group"), "key", "ctx", "left", "bytes")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Whole groups of (group, key, ctx, left, bytes), together until they are `most`
+    contexts; a context stands once, though it may be in several groups."""
+    held: dict[tuple, tuple] = {}
+    group = None
+    for b in batches:
+        for x in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if len(held) >= most and x[0] != group:
+                yield list(held.values())
+                held.clear()
+            group = x[0]
+            held[x[1], x[2]] = x
+    if held:
+        yield list(held.values())
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 200, k: int = 100) -> DataFrame:
@@ -229,8 +255,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     3. A context that occurs twice repeats whole. Strings with several contexts
        are looked at byte by byte: one example of each context goes to its
        string's group, whose suffix array shows which windows repeat. Groups of
-       more than GROUP contexts are refined, and at last compared window by window
-       in an aggregation, so that no task gathers them, and no pair is lost.
+       more than GROUP contexts are refined, and at last sorted in blocks; the
+       different windows of each block meet the others' in an aggregation, so that
+       no task gathers such a group, and no pair is lost.
     4. Spans go back to all places of a context and to their texts.
 
     Strings and contexts are told apart by 64-bit hashes of 100 bytes and more.
@@ -293,33 +320,43 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cut = once.select("text", F.explode("asks").alias("ask")).select("ask.*", F.expr(f"substring(text, ask.pos - ask.left + 1, ask.left + ask.right + {k})").alias("bytes"))
     cut = materialise(cut.dropDuplicates(["key", "ctx"]).select("key", "ctx", "left", "d", "bytes"))
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}  # a context once, though it may be in several groups
-        group = None
-
-        def done() -> pa.RecordBatch:
-            starts = repeated_starts([x[4] for x in held.values()], window)
-            out = [(x[1], x[2], a - x[3], e - x[3]) for x, s in zip(held.values(), starts) for a, e in _runs(s, window)]
-            cols = list(zip(*out)) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "ctx", "a", "e"])
+    most = GATHER
+    span = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("e", pa.int32())])
+    seen = span.append(pa.field("part", pa.binary())).append(pa.field("single", pa.bool_()))
 
-        for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if len(held) >= 1024 and x[0] != group:
-                    yield done()
-                    held.clear()
-                group = x[0]
-                held[x[1], x[2]] = x
-        if held:
-            yield done()
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, most):
+            starts = repeated_starts([x[4] for x in held], window)
+            yield _batch([(x[1], x[2], a - x[3], e - x[3]) for x, s in zip(held, starts) for a, e in _runs(s, window)], span)
+
+    def sort_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of what repeats here (no part), and one row of each different window for the other blocks."""
+        for held in _gathered(batches, most):
+            starts = repeated_starts([x[4] for x in held], window)
+            out, met = [], set()
+            for (_, key, ctx, left, text), s in zip(held, starts):
+                out += [(key, ctx, a - left, e - left, None, None) for a, e in _runs(s, window)]
+                here = set(s.tolist())
+                for i in range(len(text) - window + 1):
+                    part = hashlib.sha256(text[i : i + window]).digest()
+                    if part not in met:
+                        met.add(part)
+                        out.append((key, ctx, i - left, i - left + window, part, i not in here))
+            yield _batch(out, seen)
 
     few, hot = _refined(cut, window, k)
     few = few.repartition("group").sortWithinPartitions("group").select("group", "key", "ctx", "left", "bytes")
     sorted_ = few.mapInArrow(sort, "key long, ctx long, a int, e int")
-    at = F.posexplode(F.expr(f"transform(sequence(0, length(bytes) - {window}), i -> substring(bytes, i + 1, {window}))"))
-    each = hot.select("key", "ctx", "left", at.alias("i", "part")).select("key", "ctx", "left", "i", F.sha2("part", 256).alias("part")).distinct()
-    both = each.groupBy("key", "part").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("key2"), F.col("part").alias("part2"))
-    compared = each.join(both, (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2"))).select("key", "ctx", (F.col("i") - F.col("left")).alias("a"), (F.col("i") - F.col("left") + window).alias("e"))
+    blocks = hot.repartition("group").sortWithinPartitions("group").mapInArrow(sort_block, "key long, ctx long, a int, e int, part binary, single boolean")
+    blocks = materialise(blocks)
+    # A window that two blocks hold is told by its two ends; of more, those alone in their block ask.
+    place = F.struct("ctx", "a", "e")
+    across = blocks.filter("part is not null").groupBy("key", "part").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).filter("n > 1")
+    across = materialise(across)
+    compared = across.filter("n = 2").select("key", F.explode(F.array("x", "y")).alias("p")).select("key", "p.*")
+    wide = across.filter("n > 2").select(F.col("key").alias("key2"), F.col("part").alias("part2"))
+    alone = blocks.filter("single").join(wide, (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2")))
+    compared = compared.unionByName(blocks.filter("part is null").select("key", "ctx", "a", "e")).unionByName(alone.select("key", "ctx", "a", "e"))
     whole = g.filter("n > 1").select("key", "ctx", (-F.col("left")).cast("int").alias("a"), (F.col("right") + k).cast("int").alias("e"))
     spans = sorted_.unionByName(compared).unionByName(whole).groupBy("key", "ctx").agg(F.collect_set(F.struct("a", "e")).alias("spans"))
     spans = spans.select(F.col("key").alias("key2"), F.col("ctx").alias("ctx2"), "spans")

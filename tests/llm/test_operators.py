@@ -352,9 +352,10 @@ def _brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("group, levels", [(128, 3), (2, 3), (1, 1), (1, 0)])
-def test_repeats(spark, monkeypatch, group, levels):
+@pytest.mark.parametrize("group, levels, gather", [(128, 3, 1024), (2, 3, 1), (1, 1, 4), (1, 0, 1), (2, 0, 1024)])
+def test_repeats(spark, monkeypatch, group, levels, gather):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "GATHER", gather)
     monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     rng = random.Random(group)
     passages = ["".join(rng.choice("abc ") for _ in range(rng.randint(10, 80))) for _ in range(6)]
