@@ -193,7 +193,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _refined(cut: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(few, hot): contexts with the `group` of at most GROUP contexts that they are
     sorted in, and those left whose groups stay larger, each once, with a block of
-    its largest group instead.
+    its largest group instead and the `pieces` around the chosen string that it
+    shares there: only windows that hold a piece can repeat beyond `few`.
 
     A window holds its chosen string and window - k bytes more, so half of these
     stand on its left or half on its right. A large group so falls into groups of
@@ -214,18 +215,19 @@ def _refined(cut: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]
         sizes = more.groupBy("group").agg(F.count("*").alias("d")).filter("d > 1").withColumnRenamed("group", "group2")
         now = more.join(sizes, F.col("group") == F.col("group2")).select("key", "ctx", "left", "bytes", "group", "l", "r", "d")
         few = few.unionByName(now.filter(F.col("d") <= GROUP))
-    hot = now.filter(F.col("d") > GROUP).groupBy("key", "ctx", "left", "bytes").agg(F.max(F.struct("d", "group")).alias("x"))
+    pieces = F.collect_set(F.array("l", "r")).alias("pieces")  # 2 ** LEVELS at most
+    hot = now.filter(F.col("d") > GROUP).groupBy("key", "ctx", "left", "bytes").agg(F.max(F.struct("d", "group")).alias("x"), pieces)
     block = F.xxhash64("x.group", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("x.d") / GROUP)))
-    return few, hot.select(block.alias("group"), "key", "ctx", "left", "bytes")
+    return few, hot.select(block.alias("group"), "key", "ctx", "left", "bytes", "pieces")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
-    """Whole groups of (group, key, ctx, left, bytes), together until they are `most`
+    """Whole groups of rows (group, key, ctx, ...), together until they are `most`
     contexts; a context stands once, though it may be in several groups."""
     held: dict[tuple, tuple] = {}
     group = None
     for b in batches:
-        for x in zip(*(b.column(i).to_pylist() for i in range(5))):
+        for x in zip(*(c.to_pylist() for c in b.columns)):
             if len(held) >= most and x[0] != group:
                 yield list(held.values())
                 held.clear()
@@ -330,14 +332,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield _batch([(x[1], x[2], a - x[3], e - x[3]) for x, s in zip(held, starts) for a, e in _runs(s, window)], span)
 
     def sort_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans of what repeats here (no part), and one row of each different window for the other blocks."""
+        """Spans of what repeats here (no part), and one row of each different window that another block may hold."""
         for held in _gathered(batches, most):
             starts = repeated_starts([x[4] for x in held], window)
             out, met = [], set()
-            for (_, key, ctx, left, text), s in zip(held, starts):
+            for (_, key, ctx, left, text, pieces), s in zip(held, starts):
                 out += [(key, ctx, a - left, e - left, None, None) for a, e in _runs(s, window)]
                 here = set(s.tolist())
-                for i in range(len(text) - window + 1):
+                # The window at i has left - i bytes before the chosen string, i + window - left - k after it.
+                shared = {i for l, r in pieces for i in range(max(0, left + k + r - window), min(left - l, len(text) - window) + 1)}
+                for i in sorted(shared):
                     part = hashlib.sha256(text[i : i + window]).digest()
                     if part not in met:
                         met.add(part)
