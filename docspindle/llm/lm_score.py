@@ -3,29 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, share, small, value_of
+from .common import BROADCAST_ROWS, materialise, share, small, value_of
 
-#: Words of the shared vocabulary: the most frequent of all documents, one entry
-#: for all others and one for the start. Tables of pairs have the square of it.
-VOCABULARY = 1024
 #: Shares of the pair, word and even distributions in the mixed probability.
 MIX = (0.7, 0.29, 0.01)
+#: Words counted together in Python, before rows go to Spark.
+BLOCK = 500_000
+#: A key with more than one HOT-th of the rows is dealt to SALTS places; HOT keys at most are.
+HOT, SALTS = 2000, 64
+#: Numbers of the start and of words outside a bounded vocabulary; words have their hashes.
 _START, _OTHER = 0, 1
 
 
-def _ids(text: str | None, number: dict[str, int]) -> np.ndarray:
-    return np.array([_START, *(number.get(w, _OTHER) for w in (text or "").lower().split())], "i8")
-
-
 def loss_table(pairs: np.ndarray) -> np.ndarray:
     """-log p(word | word before) from a table of pair counts: relative frequencies of
-    pairs, of words, and evenness, mixed; each row sums to 1 over the vocabulary."""
+    pairs, of words, and evenness, mixed; each row sums to 1 over the vocabulary.
+    The same as `_loss` for tables that fit in memory."""
     v = len(pairs)
     before, words = pairs.sum(1, keepdims=True), pairs.sum(0, keepdims=True)
     even = np.full((1, v), 1.0 / v)
@@ -35,13 +35,77 @@ def loss_table(pairs: np.ndarray) -> np.ndarray:
     return -np.log(MIX[0] * pair + MIX[1] * single + MIX[2] * even)
 
 
+def _loss(pair: str, before: str, word: str, total: int, v: int) -> Column:
+    """-log p(word | word before) from columns of counts."""
+    single = F.col(word) / F.lit(float(total)) if total else F.lit(1.0 / v)
+    seen = F.when(F.col(before) > 0, F.col(pair) / F.col(before)).otherwise(single)
+    return -F.log(MIX[0] * seen + MIX[1] * single + F.lit(MIX[2] / v))
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, list[int], list[str]]]:
+    """Place of the first text, words of each text, and all words, of texts that follow each other."""
+    first, sizes, words = 0, [], []
+    for i, t in enumerate(texts):
+        found = (t.as_py() or "").lower().split()
+        sizes.append(len(found))
+        words += found
+        if len(words) >= BLOCK:
+            yield first, sizes, words
+            first, sizes, words = i + 1, [], []
+    if words:
+        yield first, sizes, words
+
+
+def _counted(texts: pa.Array, groups: np.ndarray, known: set[str] | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(group, word before, word, count), words as 64-bit hashes, for each block of texts;
+    `groups` has a number below 100,000 for each text."""
+    for first, sizes, words in _blocks(texts):
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        names = np.frombuffer(b"".join(blake2b(w.encode(), digest_size=8).digest() for w in unique), "<i8")
+        if known is not None:
+            names = np.where([w in known for w in unique], names, _OTHER)
+        names = np.concatenate([[_START], names])
+        code = coded.indices.to_numpy().astype("i8") + 1
+        before = np.concatenate([[0], code[:-1]])
+        starts = np.cumsum([0, *sizes[:-1]])
+        before[starts[np.array(sizes) > 0]] = 0
+        u = len(names)
+        found, n = np.unique((np.repeat(groups[first : first + len(sizes)], sizes) * u + before) * u + code, return_counts=True)
+        yield found // (u * u), names[found // u % u], names[found % u], n
+
+
+def _batch(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+
+def _most_frequent(texts: DataFrame, n: int) -> set[str]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, words in _blocks(b.column(0)):
+                found = pa.array(words, pa.string()).value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+    words = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {r["word"] for r in words.orderBy(F.desc("n"), "word").limit(n).collect()}
+
+
+def _salted(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, is_hot: Column, spread: str) -> DataFrame:
+    """Inner join by `key`, which is unique in `table`. The keys in `hot` (HOT at most;
+    `is_hot` says so in `table`) go to SALTS places by the column `spread`."""
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("hot"))), key, "left")
+    marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.join(table.withColumn("salt", F.explode(copies)), [key, "salt"]).drop("salt")
+
+
 def cross_entropy_difference(
     docs: DataFrame,
     targets: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = None,
 ) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss, score for every row of `docs`.
 
@@ -53,57 +117,57 @@ def cross_entropy_difference(
     documents the target model is even. Repeated rows count and score as rows;
     repeated targets count once.
 
-    Counts cover all documents. Word counts and pair counts are summed by Spark;
-    what comes to the driver is bounded by the vocabulary: its words, and the
-    pairs of two tables.
+    The vocabulary is all words of all documents and the start; a given
+    `vocabulary` keeps the most frequent of them, with one entry for the others.
+    Words, pairs and rows are told apart by 64-bit hashes. Counts of words and
+    pairs are tables summed over all documents, whose size follows the input;
+    each document's counted pairs are joined to the table of losses, and summed
+    once per document. Only totals come to the driver.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").groupBy("word").count()
-    top = [r["word"] for r in words.orderBy(F.desc("count"), "word").limit(vocabulary - 2).collect()]
-    number = {w: i + 2 for i, w in enumerate(top)}
-    shared = share(spark, number)
+    shared = share(spark, None if vocabulary is None else _most_frequent(texts, vocabulary - 2))
     # Counted, and broadcast if they are few: then texts don't shuffle.
     chosen = small(materialise(targets.select(F.col(id_col).alias("t_id")).distinct()))
     flagged = texts.join(chosen, F.col("id") == F.col("t_id"), "left").select("text", F.col("t_id").isNotNull().alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = value_of(shared)
-        v = vocabulary
-        tables = np.zeros((2, v * v), "i8")
+        known = value_of(shared)
         for b in batches:
-            flags = b.column(1).to_pylist()
-            for want in (0, 1):
-                ids = [_ids(t.as_py(), number) for t, f in zip(b.column(0), flags) if f == want]
-                for a in range(0, len(ids), 1000):
-                    part = ids[a : a + 1000]
-                    pairs = np.concatenate([x[:-1] * v + x[1:] for x in part])
-                    tables[want] += np.bincount(pairs, minlength=v * v)
-        at = np.flatnonzero(tables.any(0))
-        for a in range(0, len(at), 100_000):
-            i = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(tables[0][i] + tables[1][i]), pa.array(tables[1][i])], ["pair", "n", "t"])
-
-    sums = flagged.mapInArrow(count, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    tables = np.zeros((2, vocabulary * vocabulary))
-    at = sums.column("pair").to_numpy()
-    tables[0][at], tables[1][at] = sums.column("n").to_numpy(), sums.column("t").to_numpy()
-    losses = np.stack([loss_table(x.reshape(vocabulary, vocabulary)) for x in tables]).astype("f4")
-    model = share(spark, (number, losses.reshape(2, -1)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, losses = value_of(model)
+            flags = np.array(b.column(1).to_pylist(), "i8")
+            for flag, a, w, n in _counted(b.column(0), flags, known):
+                yield _batch(["a", "b", "n", "t"], a, w, n, n * flag)
+
+    pairs = flagged.mapInArrow(count, "a long, b long, n long, t long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    pairs = materialise(pairs)
+    before, single = (materialise(pairs.groupBy(c).agg(F.sum("n").alias(f"{c}_n"), F.sum("t").alias(f"{c}_t"), F.count("*").alias(f"{c}_rows"))) for c in "ab")
+    total, of_targets, rows, words = single.agg(F.coalesce(F.sum("b_n"), F.lit(0)), F.coalesce(F.sum("b_t"), F.lit(0)), F.coalesce(F.sum("b_rows"), F.lit(0)), F.count("*")).first()
+    v = vocabulary or words + 1
+    losses = pairs
+    for table, c, other in ((before, "a", "b"), (single, "b", "a")):
+        is_hot = F.col(f"{c}_rows") > rows / HOT
+        few = table.count() <= BROADCAST_ROWS
+        losses = losses.join(F.broadcast(table), c) if few else _salted(losses, table, c, table.filter(is_hot), is_hot, other)
+    pair = F.xxhash64("a", "b").alias("pair")
+    losses = losses.select(pair, "n", _loss("n", "a_n", "b_n", total, v).alias("back"), _loss("t", "a_t", "b_t", of_targets, v).alias("target"))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = value_of(shared)
         for b in batches:
-            n, back, target = [], [], []
-            for t in b.column(1):
-                x = _ids(t.as_py(), number)
-                pairs = x[:-1] * vocabulary + x[1:]
-                n.append(len(pairs))
-                back.append(float(losses[0][pairs].mean(dtype="f8")) if len(pairs) else None)
-                target.append(float(losses[1][pairs].mean(dtype="f8")) if len(pairs) else None)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(back, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "target_loss", "background_loss"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    out = texts.mapInArrow(score, f"id {kind}, n_words long, target_loss double, background_loss double")
+            names = b.column(1).to_numpy()
+            for doc, a, w, n in _counted(b.column(0), np.arange(len(names)), known):
+                for at in range(0, len(n), 50_000):
+                    i = slice(at, at + 50_000)
+                    yield _batch(["row", "a", "b", "k"], names[doc[i]], a[i], w[i], n[i])
+
+    # Rows that repeat have one name, and count how often they do.
+    row = F.xxhash64("id", "text").alias("row")
+    own = texts.select("text", row).mapInArrow(grams, "row long, a long, b long, k long").select("row", pair, "k")
+    is_hot = F.col("n") > total / HOT
+    own = _salted(own, losses, "pair", pairs.filter(is_hot).select(pair), is_hot, "row")
+    own = own.select("row", F.lit(None).cast(texts.schema["id"].dataType).alias("id"), F.lit(0).cast("long").alias("times"), "k", (F.col("k") * F.col("target")).alias("target"), (F.col("k") * F.col("back")).alias("back"))
+    none = F.lit(None).cast("double")
+    every = texts.select(row, "id", F.lit(1).cast("long").alias("times"), F.lit(0).cast("long").alias("k"), none.alias("target"), none.alias("back"))
+    out = own.unionByName(every).groupBy("row").agg(F.first("id", True).alias("id"), *[F.sum(c).alias(c) for c in ("times", "k", "target", "back")])
+    out = out.select("id", (F.expr("k div times")).alias("n_words"), (F.col("target") / F.col("k")).alias("target_loss"), (F.col("back") / F.col("k")).alias("background_loss"), F.explode(F.expr("sequence(1, times)")))
     return out.select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss", F.coalesce(F.col("background_loss") - F.col("target_loss"), F.lit(0.0)).alias("score"))

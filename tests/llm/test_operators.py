@@ -374,3 +374,37 @@ def test_suffix_array():
         some = [base[rng.randint(0, 10) : rng.randint(30, 60)] for _ in range(rng.randint(1, 6))]
         count = Counter(c[i : i + 15] for c in some for i in range(len(c) - 14))
         assert [g.tolist() for g in suffix_dedup.repeated_starts(some, 15)] == [[i for i in range(len(c) - 14) if count[c[i : i + 15]] > 1] for c in some]
+
+
+@pytest.mark.parametrize("hot, broadcast", [(2000, 200_000), (3, 0)])
+def test_lm_scores_over_all_words(spark, monkeypatch, hot, broadcast):
+    """Rare words count by themselves, however many others are more frequent."""
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(8)
+    frequent = [f"w{i}" for i in range(1500)]
+    texts = {i: " ".join(rng.sample(frequent, 400) + ["the end"] * 30) for i in range(30)}
+    texts |= {100: "rare kestrel Feather", 101: "other granite pebble", 102: "rare kestrel feather", 103: "", 104: None}
+    d = spark.createDataFrame([*texts.items(), (102, texts[102]), (102, "the end"), (None, "pebble")], "doc_id long, text string")
+    got = {}
+    for r in lm_score.cross_entropy_difference(d, labels_of(spark, [(100, 1, 0), (3, 1, 0)])).collect():
+        got.setdefault((r["doc_id"], r["n_words"]), []).append(r)
+    words = [(r["doc_id"], (r["text"] or "").lower().split()) for r in d.collect()]
+    v = len({w for _, x in words for w in x}) + 1
+
+    def model(of):
+        pairs = Counter(p for i, x in words if of(i) for p in zip([None, *x], x))
+        before, single = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            before[a] += n
+            single[b] += n
+        n = sum(single.values())
+        return lambda a, b: 0.7 * (pairs[a, b] / before[a] if before[a] else single[b] / n) + 0.29 * single[b] / n + 0.01 / v
+
+    models = {"background_loss": model(lambda i: True), "target_loss": model(lambda i: i in (100, 3))}
+    assert sum(map(len, got.values())) == len(words) and len(got[102, 3]) == 2
+    for i, x in words:
+        for name, p in models.items():
+            for r in got[i, len(x)]:
+                assert r[name] == (pytest.approx(-np.mean([np.log(p(a, b)) for a, b in zip([None, *x], x)]), rel=1e-9) if x else None)
+    assert got[102, 3][0]["score"] > got[101, 3][0]["score"] + 1
