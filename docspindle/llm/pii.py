@@ -10,29 +10,44 @@ from .common import materialise
 #: Rounds of renaming that may be needed until all surrogates differ.
 ROUNDS = 40
 
-# Titles that a person's name follows, by gender.
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra"
-MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr"
-
-_NAME = r"\p{Lu}[\p{Ll}]+(?:[-'’]\p{Lu}\p{Ll}+)?"
+# Titles that a person's name follows, by gender; several may follow each other.
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Senora|Senorita|Sra|Srta|Doña|Dra|Doctora|Profesora"
+MALE = "Mr|Herrn|Herr|Monsieur|Señor|Senor|Sr|Don"
+EITHER = "Dr|Prof|Professor|Professeur|Profesor|Doctor|Doktor|Docteur"
+_TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER})(?![\p{{L}}\p{{N}}_])"
+TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?)*"
+#: Small words inside names, which stay.
+PARTICLES = "von|van|vom|und|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|du|des|la|las|los|le|el|y|ten|ter|bin|ibn|al"
+_PARTICLE = r"(?:von und zu|v[oa]n(?: (?:der|den|dem|de|la))?|vom|zu[mr]?|de(?: (?:la|las|los|le))?|del(?:la)?|di|da|dos|du|des|y|ten|ter|bin|ibn|al)"
+
+_WORD = rf"(?!{_TITLE})(?:[dl]['’])?\p{{Lu}}(?:['’]\p{{Lu}})?\p{{L}}+(?:[-'’]\p{{Lu}}\p{{L}}+)*(?![\p{{L}}\p{{N}}_])"
+_INITIALS = r"(?:\p{Lu}\. ){0,3}"
+_NAME = rf"{_INITIALS}(?:{_PARTICLE} ){{0,2}}{_WORD}"
 #: Each alternative begins at a word's first character, so a long word is looked at once.
 SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63}){1,6}(?![A-Za-z0-9@])",
     "secret": r"(?=[a-zA-Z]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
     "ip": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{L}\p{N}_]|\.[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![\p{L}\p{N}_])|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}_])",
+    "phone": "|".join((
+        r"(?:\+[0-9]{1,3}[ .\-]?|1[ .\-])?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![\p{L}\p{N}_])",
+        r"\+[0-9]{1,3}(?:[ .\-]?(?:\(0\)[ .\-]?)?[0-9]{2,4}){2,5}(?![\p{L}\p{N}_])",
+        # National: French pairs; an area code after 0; Spanish groups of nine digits.
+        r"0[1-9](?:[ .\-]?[0-9]{2}){4}(?![\p{L}\p{N}_])",
+        r"(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /\-])[0-9]{3,8}(?:[ \-][0-9]{2,8}){0,3}(?![\p{L}\p{N}_])",
+        r"[6-9][0-9]{2}(?:[ \-][0-9]{3}[ \-][0-9]{3}|(?:[ \-][0-9]{2}){3})(?![\p{L}\p{N}_]|[ .,\-][0-9])",
+    )),
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_])",
     "card": r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![\p{L}\p{N}_])",
-    "person": rf"(?:{FEMALE}|{MALE})\.? {_NAME}(?: {_NAME})?(?![\p{{L}}\p{{N}}_])",
+    "person": rf"{TITLES} {_NAME}(?: {_NAME})*",
 }
-PATTERN = r"(?<![\p{L}\p{N}_@.%+\-])(?=[0-9+(A-Za-z])(?:" + "|".join(SHAPES.values()) + ")"
-#: Where a phone number begins with "(" or "+", the character before is no word's.
+#: A number may follow "." or "-", unless those follow a digit; an address may not.
+PATTERN = r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9])" + SHAPES["email"] + r"|(?<![\p{L}\p{N}_@%+])(?<![\p{N}][.\-])(?=[0-9+(A-Za-z])(?:" + "|".join(SHAPES[k] for k in ("secret", "ip", "phone", "iban", "ssn", "card", "person")) + "))"
 KINDS = ("email", "person", "ssn", "ip", "secret", "iban", "phone", "card")
 
 
 def _kind(m: Column) -> Column:
-    out = F.lit("card")
+    out = F.when(m.rlike("[0-9]"), "card").otherwise("name")
     for k in reversed(KINDS):
         out = F.when(m.rlike(rf"^(?:{SHAPES[k]})$"), k).otherwise(out)
     return out
@@ -40,19 +55,30 @@ def _kind(m: Column) -> Column:
 
 def _norm(kind: Column, m: Column) -> Column:
     """What makes two mentions the same entity: case and separators don't."""
-    plain = F.regexp_replace(m, r"[ .()\-]", "")
+    plain = F.regexp_replace(m, r"[ .()/\-]", "")
     return F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "iban", F.upper(plain)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(plain, r"\+", "")).otherwise(F.lower(m))
 
 
+def _words(m: Column) -> Column:
+    """The words of a person's name after the titles."""
+    return F.split(F.regexp_replace(m, rf"^{TITLES} ", ""), " ")
+
+
+def _is_part(word: Column) -> Column:
+    """Particles and initials stay."""
+    return ~word.rlike(rf"^(?:(?i:{PARTICLES})|\p{{Lu}}\.)$")
+
+
 def _mentions(text: Column) -> Column:
-    """array<struct<m, kind, norm>>, a person's name as its parts: each first name by
+    """array<struct<m, kind, norm>>, a person's name as its parts: first names by
     gender, the last name by itself, so that "Mrs A B" and "Mr B" keep B in common."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
     def one(m: Column) -> Column:
         kind = _kind(m)
-        names = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
-        gender = F.when(m.rlike(rf"^(?:{FEMALE})\b"), "first_f").otherwise("first_m")
+        names = F.filter(_words(m), _is_part)
+        title = F.regexp_extract(m, rf"^{TITLES}", 0)
+        gender = F.when(title.rlike(rf"\b(?:{FEMALE})\b"), "first_f").when(title.rlike(rf"\b(?:{MALE})\b"), "first_m").otherwise("first")
         parts = F.transform(names, lambda p, i: F.struct(p.alias("m"), F.when(i == F.size(names) - 1, "last").otherwise(gender).alias("kind"), F.lower(p).alias("norm")))
         single = F.array(F.struct(m.alias("m"), kind.alias("kind"), _norm(kind, m).alias("norm")))
         return F.when(kind == "person", parts).otherwise(single)
@@ -60,6 +86,13 @@ def _mentions(text: Column) -> Column:
     return F.flatten(F.transform(found, one))
 
 
+def _own(word: Column) -> Column:
+    """The surrogate of a part of a name in its document: one for each word, as a last
+    name if it is one anywhere in the document. Upper case stays."""
+    found = F.coalesce(*[F.try_element_at("__map", F.concat(F.lit(f"{k}|"), F.lower(word))) for k in ("last", "first_f", "first_m", "first")])
+    return F.when(word == F.upper(word), F.upper(found)).otherwise(found)
+
+
 def _random(seed: str, i: str, m: int) -> str:
     """SQL: number `i` of the keyed stream `seed` (256 bytes in hexadecimal), below `m`."""
     return f"cast(conv(substr({seed}, 1 + 4 * (({i}) % 128), 4), 16, 10) as int) % {m}"
@@ -151,7 +184,9 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     number of mentions replaced.
 
     Entities: e-mail and IP addresses, phone, card, social security and IBAN
-    numbers, long hexadecimal secrets, and names after a title. A surrogate
+    numbers, long hexadecimal secrets, and names of any number of parts after one or
+    more titles. A part of such a name is replaced wherever it stands in the same
+    document with a capital; particles and initials stay. A surrogate
     depends on the key and the entity alone; the same entity gets the same one in
     all documents, whatever its case or separators; formats, case, script, a
     card's Luhn remainder and a name's gender stay. Null and empty texts stay as
@@ -174,23 +209,27 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     own = mapped.groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), F.col("surrogate")))).alias("__map"))
     own = own.withColumnRenamed("__hash", "__of")
     both = found.join(own, F.col("__hash") == F.col("__of"))
+    # Parts of a name also stand alone in its document, where they begin with a capital.
+    parts = F.transform(F.filter(F.map_keys("__map"), lambda k: k.rlike(r"^(?:last|first|first_f|first_m)\|")), lambda k: F.substring_index(k, "|", -1))
+    # Longer ones first: of two that begin alike the longer is meant.
+    parts = F.reverse(F.array_sort(F.array_distinct(parts)))
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?=\p{Lu}|[dl]['’])(?iu:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     # The texts between mentions, and what stands for each mention, in turn.
-    new = f"""transform(regexp_extract_all({text_col}, __pattern, 0), m -> m)"""
-    both = both.withColumn("__pattern", F.lit(PATTERN)).withColumn("__found", F.expr(new)).withColumn("__gaps", F.split(F.col(text_col), PATTERN, -1))
+    both = both.withColumn("__pattern", F.when(F.size(parts) > 0, alone).otherwise(PATTERN))
+    both = both.withColumn("__found", F.expr(f"regexp_extract_all({text_col}, __pattern, 0)")).withColumn("__gaps", F.expr(f"split({text_col}, __pattern, -1)"))
 
     def written(m: Column) -> Column:
         kind = _kind(m)
-        own = F.element_at("__map", F.concat_ws("|", kind, _norm(kind, m)))
-        names = F.split(F.regexp_replace(m, r"^\S+ ", ""), " ")
-        gender = F.when(m.rlike(rf"^(?:{FEMALE})\b"), "first_f").otherwise("first_m")
-        person = F.transform(names, lambda p, i: F.element_at("__map", F.concat_ws("|", F.when(i == F.size(names) - 1, "last").otherwise(gender), F.lower(p))))
-        title = F.regexp_extract(m, r"^\S+ ", 0)
-        return F.struct(m.alias("m"), kind.alias("kind"), own.alias("s"), F.concat(title, F.array_join(person, " ")).alias("person"))
+        own = F.try_element_at("__map", F.concat_ws("|", kind, _norm(kind, m)))
+        person = F.transform(_words(m), lambda p: F.when(_is_part(p), _own(p)).otherwise(p))
+        title = F.regexp_extract(m, rf"^{TITLES} ", 0)
+        whole = F.when(kind == "person", F.concat(title, F.array_join(person, " "))).when(kind == "name", _own(m))
+        return F.struct(m.alias("m"), kind.alias("kind"), own.alias("s"), whole.alias("person"))
 
     both = both.withColumn("__new", F.transform("__found", written))
     poured = _pour("x.m", "x.s")
     cased = "if(x.m = upper(x.m), upper(x.s), x.s)"
-    out = f"transform(__new, x -> case when x.kind = 'person' then x.person when x.kind = 'ip' then x.s when x.kind in ('secret', 'email') then {cased} else {poured} end)"
+    out = f"transform(__new, x -> case when x.kind in ('person', 'name') then x.person when x.kind = 'ip' then x.s when x.kind in ('secret', 'email') then {cased} else {poured} end)"
     both = both.withColumn("__out", F.expr(out))
     text = F.expr("array_join(transform(__gaps, (g, i) -> concat(g, coalesce(get(__out, i), ''))), '')")
     changed = both.withColumn(text_col, text).withColumn(extra, F.size("__found"))

@@ -408,3 +408,32 @@ def test_lm_scores_over_all_words(spark, monkeypatch, hot, broadcast):
             for r in got[i, len(x)]:
                 assert r[name] == (pytest.approx(-np.mean([np.log(p(a, b)) for a, b in zip([None, *x], x)]), rel=1e-9) if x else None)
     assert got[102, 3][0]["score"] > got[101, 3][0]["score"] + 1
+
+
+NAMES = {
+    "Mr John Michael Smith came. Smith said that John Smith's car was SMITH'S.": "john michael smith",
+    "Mrs Maria Garcia Lopez and Ms Garcia; Lopez": "maria garcia lopez",
+    "Frau Dr. Schmidt und Herr von Braun, Braun-Werke": "schmidt braun",
+    "Senor de la Cruz, Señora De La Vega. La casa": "cruz vega",
+    "Herr Prof. Dr. Karl-Heinz Müller, Dr. Weber": "karl heinz müller weber",
+    "Mr J. F. McDonald met Miss O'Brien": "mcdonald brien",
+}
+PHONES = ["1-800-555-1234", "Tel.414-555-1791", "x-414-555-1791", "06 12 34 56 78", "0612345678", "612 345 678", "030 1234567", "0171/1234567", "020 7946 0958", "(030) 1234567", "+49 (0)30 1234567"]
+
+
+def test_names_and_phones_leave_nothing(spark):
+    texts = [*NAMES, *PHONES, "in 2024 12 345 678 901 of 1.414-2 and 01-02-2024, Smith and Braun"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_pii(d, key="k").orderBy("doc_id").collect()]
+    for new, (old, names) in zip(out, NAMES.items()):
+        assert not set(re.findall(r"\w+", new.lower())) & set(names.split()), new
+        assert re.sub(r"[^\W]+", "", new) == re.sub(r"[^\W]+", "", old) or "-" in old or "'" in old
+    for new, old in zip(out[len(NAMES) :], PHONES):
+        assert new != old and re.sub("[0-9]", "#", new) == re.sub("[0-9]", "#", old), new
+    assert out[-1] == texts[-1]
+    first, last, alone = re.match(r"Mr (\w+) \w+ (\w+) came\. (\w+) said", out[0]).groups()
+    assert alone == last and f"{first} {last}'s" in out[0] and f"{last.upper()}'S" in out[0]
+    _, second, third = re.match(r"Mrs (\w+) (\w+) (\w+) and", out[1]).groups()
+    assert out[1].endswith(f"Ms {second}; {third}")
+    assert out[2].startswith("Frau Dr. ") and "Herr von " in out[2] and out[2].endswith("-Werke")
+    assert "Senor de la " in out[3] and out[3].endswith(". La casa")
