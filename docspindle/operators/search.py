@@ -6,6 +6,9 @@ driver and becomes literals, so each search is one scan with a bounded top-k.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -218,26 +221,37 @@ def overlap_score(i: Intent) -> Column:
 
 
 def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int = 3, pool: int = 200) -> DataFrame:
-    """Strict results; without any the two best relaxed ones; without any the best by term overlap.
-
-    Each tier is cut to its best `pool` before duplicates are folded away, so the fold stays small."""
-    i = intent(query)
-    cols = [*POSITION, "content", "norm", "score", "rank", "tier"]
-
-    def ranked(df: DataFrame, order: list[Column], tier: int) -> DataFrame:
-        top = df.orderBy(*order).limit(pool)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("tier", F.lit(tier)).select(cols) if tier else top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("tier", F.lit(0)).select(cols)
-
+    """Strict results; without any the two best relaxed ones; without any the best by term overlap."""
     by_score = [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")]
-    strict = ranked(hybrid_scores(chunks, query, vector), final_order(query), 0)
-    relaxed = ranked(relaxed_scores(chunks, query), by_score, 1)
-    last = ranked(prepared(chunks).withColumn("score", overlap_score(i)).filter("score > 0"), by_score, 2)
-    one = first_tier(strict.unionByName(relaxed).unionByName(last))
-    tiers = strict.agg(F.count("*").alias("strict")).crossJoin(relaxed.agg(F.count("*").alias("relaxed")))
-    limit = tiers.select(F.when(F.col("strict") > 0, k).when(F.col("relaxed") > 0, 2).otherwise(k).alias("most"))
-    kept = drop_near_copies(one, order=["rank"])
-    place = F.row_number().over(Window.orderBy("rank"))
-    return kept.withColumn("place", place).crossJoin(F.broadcast(limit)).filter("place <= most").select(*POSITION, "content", "score", "place")
+    overlap = prepared(chunks).withColumn("score", overlap_score(intent(query))).filter("score > 0")
+    tiers = [(hybrid_scores(chunks, query, vector), final_order(query), k), (relaxed_scores(chunks, query), by_score, 2), (overlap, by_score, k)]
+    for found, order, most in tiers:
+        kept = first_distinct(found, order, most, pool, [*POSITION, "content", "norm", "score"])
+        if kept.limit(1).count():
+            break
+    return kept.select(*POSITION, "content", "score", F.col("rank").alias("place"))
+
+
+def first_distinct(found: DataFrame, order: list[Column], k: int, pool: int, cols: list[str]) -> DataFrame:
+    """The first `k` rows of `found` that are no near copies of ones before (needs norm);
+    `cols` and rank from 1.
+
+    Rounds fold the next `pool` rows that are no near copies of those kept, until `k` are
+    kept or no rows remain; each round but the last keeps one at least."""
+    kept, rest, schema = [], found, found.select(*cols).schema
+    while len(kept) < k:
+        best = rest.orderBy(*order).limit(pool).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        new = drop_near_copies(best.select(*cols, "rank"), ["rank"]).withColumn("__terms", tx.terms(F.col("norm"))).orderBy("rank").limit(k - len(kept)).collect()
+        if not new:
+            break
+        kept += new
+        for r in new:
+            # Texts without terms are no copies of themselves.
+            own = reduce(and_, [F.col(c).eqNullSafe(F.lit(r[c])) for c in POSITION])
+            of = F.array(*[F.lit(t) for t in r["__terms"]]).cast("array<string>")
+            rest = rest.filter(~own & (tx.jaccard(tx.terms(F.col("norm")), of) < lx.DUPLICATE))
+    rows = [(*[r[c] for c in cols], i) for i, r in enumerate(kept, 1)]
+    return found.sparkSession.createDataFrame(rows, schema.add("rank", "integer"))
 
 
 def drop_near_copies(chunks: DataFrame, order: list[str], by: list[str] | None = None, threshold: float = lx.DUPLICATE) -> DataFrame:
@@ -285,9 +299,8 @@ def structure_scores(chunks: DataFrame) -> DataFrame:
 
 
 def structure_search(chunks: DataFrame, k: int = 6, pool: int = 200) -> DataFrame:
-    best = structure_scores(chunks).orderBy(F.desc("score"), "chunk_index", "document_id").limit(pool)
-    best = best.withColumn("norm", tx.norm(F.col("content"))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_index", "document_id")))
-    return drop_near_copies(best, ["rank"]).orderBy("rank").limit(k).orderBy(*POSITION)
+    found = structure_scores(chunks).withColumn("norm", tx.norm(F.col("content")))
+    return first_distinct(found, [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")], k, pool, found.columns).orderBy(*POSITION)
 
 
 def with_snippets(found: DataFrame, query: str) -> DataFrame:
@@ -314,7 +327,5 @@ def section_scores(chunks: DataFrame, term: str) -> DataFrame:
 
 
 def section_search(chunks: DataFrame, term: str, k: int = 4, pool: int = 200) -> DataFrame:
-    order = [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")]
-    best = section_scores(chunks, term).orderBy(*order).limit(pool)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("words")
-    return drop_near_copies(best, ["rank"]).orderBy("rank").limit(k)
+    found = section_scores(chunks, term)
+    return first_distinct(found, [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")], k, pool, [c for c in found.columns if c != "words"]).orderBy("rank")

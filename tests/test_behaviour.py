@@ -164,3 +164,21 @@ def test_display(spark):
     assert one(spark, dp.academic_noise(F.lit("ISBN 99-1"))) and not one(spark, dp.academic_noise(F.lit("una linea cualquiera del texto")))
     assert one(spark, dp.title_case(F.lit("HISTORIA DE LA CIENCIA"))) == "Historia de la Ciencia"
     assert one(spark, dp.summary_heading(F.lit("IV. Resultados"))) and one(spark, dp.noisy_capitals(F.lit("TODO EN MAYUSCULAS")))
+
+
+def test_copies_beyond_the_pool_hide_no_match(spark):
+    """More copies with a top score than a pool holds."""
+    texts = ["Kestrel: the kestrel is a falcon of open country"] * 40 + [f"the kestrel {x}" for x in ("hovers above fields", "nests under bridges", "hunts small rodents", "winters near coasts")]
+    rows = [(f"d{i:03}", 0, i, t, [1.0, 0.0]) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_index int, chunk_id long, content string, embedding array<double>")
+    found = {
+        "hybrid": search.hybrid_search(chunks, "kestrel", [1.0, 0.0], 4, pool=10).orderBy("place"),
+        "structure": search.structure_search(chunks, 4, pool=10),
+        "section": search.section_search(chunks, "kestrel", 4, pool=10),
+    }
+    for name, df in found.items():
+        got = [r["content"] for r in df.collect()]
+        assert len(got) == len(set(got)) == 4, name
+    assert search.section_search(chunks, "kestrel", 9, pool=10).count() == 5
+    blank = chunks.limit(3).withColumn("content", F.lit("a:"))
+    assert search.structure_search(blank, 9, pool=1).count() == search.structure_search(blank, 9).count()
