@@ -99,7 +99,7 @@ def summary_headings(s, sf):
 
 def academic_lines(s, sf):
     """Lines, every third with a reference added."""
-    c = chunks(s, sf).withColumn("t", F.when(F.col("chunk_index") % 3 == 0, F.concat(F.substring("content", 1, 20), F.lit(", ISBN 99 (2001)"))).otherwise(F.col("content")))
+    c = chunks(s, sf).withColumn("t", F.when(F.col("chunk_index") % 3 == 0, F.concat(F.col("content"), F.lit(", ISBN 99 (2001)"))).otherwise(F.col("content")))
     return c.select("chunk_id", dp.academic_noise(F.col("t")).alias("noise"))
 
 

@@ -182,3 +182,20 @@ def test_copies_beyond_the_pool_hide_no_match(spark):
     assert search.section_search(chunks, "kestrel", 9, pool=10).count() == 5
     blank = chunks.limit(3).withColumn("content", F.lit("a:"))
     assert search.structure_search(blank, 9, pool=1).count() == search.structure_search(blank, 9).count()
+
+
+def test_academic_lines_are_whole(spark, tmp_path):
+    """A reference after character 20 counts."""
+    from docspindle.functions import display
+    from docspindle.plans import text as plan
+
+    lines = ["A plain beginning of a line, see https://doi.org/10.1/x and Smith et al. (2001), pp. 3-4, ISBN 12", "another"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    kept, display.academic_noise = display.academic_noise, lambda c: seen.append(c) or c
+    try:
+        got = [r["noise"] for r in plan.academic_lines(spark, str(tmp_path)).collect()]
+    finally:
+        display.academic_noise = kept
+    assert sorted(got) == sorted(f"{t}, ISBN 99 (2001)" for t in lines)
