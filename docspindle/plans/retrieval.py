@@ -87,7 +87,7 @@ def hybrid_search(s, sf):
 
 
 def structure_search(s, sf):
-    return se.structure_search(chunks(s, sf).filter("collection_id = 'src7'"), 6).select("chunk_id", F.round("score", 6).alias("score"))
+    return se.structure_search(chunks(s, sf), 6).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def near_copy_lines(s, sf):

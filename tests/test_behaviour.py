@@ -199,3 +199,11 @@ def test_academic_lines_are_whole(spark, tmp_path):
     finally:
         display.academic_noise = kept
     assert sorted(got) == sorted(f"{t}, ISBN 99 (2001)" for t in lines)
+
+
+def test_structure_search_reads_all_sources(spark, tmp_path):
+    from docspindle.plans import retrieval
+
+    rows = [(1, "Hoja: uno", "en", "src7", 9), (2, "Hoja: dos", "es", "src1", 9), (3, "Hoja: tres", "fr", None, 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["chunk_id"] for r in retrieval.structure_search(spark, str(tmp_path)).collect()) == ["1-0", "2-0", "3-0"]
