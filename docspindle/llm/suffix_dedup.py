@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_ROWS, materialise, small
 
 #: Bytes that are scanned at once for selected positions.
 CHUNK = 1 << 18
@@ -159,8 +159,7 @@ def repeated_starts(contexts: list[bytes], window: int) -> list[np.ndarray]:
     array = np.concatenate(out)
     row, start = array // wide, array % wide
     array = array[start <= last[row]]
-    rows = suffixes[array][:, :window]
-    same = (rows[1:] == rows[:-1]).all(1)
+    same = common_prefixes(suffixes, array) >= window
     hit = np.zeros(len(array), bool)
     hit[1:] |= same
     hit[:-1] |= same
@@ -169,6 +168,19 @@ def repeated_starts(contexts: list[bytes], window: int) -> list[np.ndarray]:
     return [array[cut[i] : cut[i + 1]] - i * wide for i in range(n)]
 
 
+def common_prefixes(suffixes: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each suffix in `array` and the next one.
+    Suffixes are padded to one length; what lies behind an end is never read, as
+    each suffix that takes part is at least a window long."""
+    out = np.empty(max(0, len(array) - 1), "i8")
+    step = max(1, (1 << 24) // suffixes.shape[1])
+    for at in range(0, len(out), step):
+        rows = suffixes[array[at : at + step + 1]]
+        differs = rows[1:] != rows[:-1]
+        out[at : at + len(differs)] = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    return out
+
+
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Unions of [start, start + length) of sorted starts."""
     out: list[tuple[int, int]] = []
@@ -263,10 +275,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     4. Spans go back to all places of a context and to their texts.
 
     Strings and contexts are told apart by 64-bit hashes of 100 bytes and more.
+    Rows have 64-bit names; a second hash finds different rows of one name, which
+    are named anew. Empty tables give empty results; other columns are not read.
     """
     # Rows need a name of their own: the id may repeat. Equal rows share one, with a count.
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    named = texts.withColumn("row", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
+    own = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    other = F.xxhash64("text", F.lit(1), own)
+    named = texts.withColumn("row", F.xxhash64(own, "text"))
+    # Equal rows: all their windows repeat. Different rows of one name get another.
+    again = named.withColumn("other", other).groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    again = materialise(again.filter("n > 1"))
+    clash = again.filter("lo <> hi").select(F.col("row").alias("clash"))
+    n_clash = clash.count()
+    if n_clash:
+        named = named.join(small(clash, n_clash), F.col("row") == F.col("clash"), "left")
+        named = named.withColumn("row", F.when(F.col("clash").isNotNull(), F.xxhash64("row", other)).otherwise(F.col("row"))).drop("clash")
+        again = materialise(named.groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).filter("n > 1"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
@@ -305,9 +330,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], ["row", "key", "ctx", "pos", "left", "right"])
 
     found = named.filter(F.octet_length("text") >= window).select("row", "text").mapInArrow(places, "row long, key long, ctx long, pos int, left short, right int")
-    # Equal rows: all their windows repeat.
-    twice = named.groupBy("row").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).filter(f"n > 1 and size >= {window}")
-    twice = twice.select("row", F.lit(0).alias("a"), F.col("size").alias("e"))
+    twice = again.filter(f"size >= {window}").select("row", F.lit(0).alias("a"), F.col("size").alias("e"))
     often = found.filter("left >= 0").groupBy("key").count().filter("count > 1").select(F.col("key").alias("often"))
     kept = materialise(found.join(often, F.col("key") == F.col("often"), "left").filter("often is not null or left < 0").drop("often"))
     known = kept.filter("left < 0").select("row", F.col("pos").alias("a"), (F.col("pos") + F.col("right")).alias("e"))
@@ -367,7 +390,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hits = m.join(spans, (F.col("key") == F.col("key2")) & (F.col("ctx") == F.col("ctx2"))).select("row", "pos", F.explode("spans").alias("s"))
     hits = hits.select("row", (F.col("pos") + F.col("s.a")).alias("a"), (F.col("pos") + F.col("s.e")).alias("e"))
     per_row = hits.unionByName(known).unionByName(twice).groupBy("row").agg(F.collect_list(F.struct("a", "e")).alias("spans")).withColumnRenamed("row", "row2")
-    done = named.join(per_row, F.col("row") == F.col("row2"), "left").select("id", "text", "spans")
+    per_row = materialise(per_row)
+    n_rows = per_row.count()
+    spans = "array<struct<a: int, e: int>>"
+    if n_rows <= BROADCAST_ROWS:
+        # Few rows have spans: their names are sent out, and the other texts don't shuffle.
+        names = F.broadcast(per_row.select("row2"))
+        done = named.join(names, F.col("row") == F.col("row2"), "left_semi").join(per_row.hint("merge"), F.col("row") == F.col("row2")).select("id", "text", "spans")
+        rest = named.join(names, F.col("row") == F.col("row2"), "left_anti").select("id", "text", F.lit(None).cast(spans).alias("spans"))
+        done = done.unionByName(rest)
+    else:
+        done = named.join(per_row, F.col("row") == F.col("row2"), "left").select("id", "text", "spans")
     kind = done.schema["id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
