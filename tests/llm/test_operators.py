@@ -223,31 +223,35 @@ def test_leaks_without_broadcast(spark, monkeypatch, docs):
     assert sorted(decontam.benchmark_leaks(docs, b).collect()) == want and want
 
 
+def brute_losses(words, of):
+    """Mean loss of each list of words by pair counts over the lists that `of` chooses, with edges."""
+    chains = [["", *x, ""] for x in words if x]
+    v = len({w for x in chains for w in x})
+    pairs = Counter(p for i, x in enumerate(words) if x and of(i) for p in zip(["", *x], [*x, ""]))
+    before, single = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        single[b] += n
+    total = sum(single.values())
+
+    def p(a, b):
+        one = single[b] / total if total else 1 / v
+        return 0.7 * (pairs[a, b] / before[a] if before[a] else one) + 0.29 * one + 0.01 / v
+
+    return [-np.mean([np.log(p(a, b)) for a, b in zip(["", *x], [*x, ""])]) if x else None for x in words]
+
+
 def test_lm_scores(spark, docs, rows):
     good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
-    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, good, vocabulary=50).collect()}
     chosen = {r["doc_id"] for r in good.collect()}
-    words = {i: (t or "").lower().split() for i, t in rows.items()}
-    count = Counter(w for x in words.values() for w in x)
-    top = {w: k + 2 for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:48])}
-    ids = {i: [0, *(top.get(w, 1) for w in x)] for i, x in words.items()}
-
-    def model(docs_):
-        pairs, before, single = Counter(), Counter(), Counter()
-        for i in docs_:
-            for a, b in zip(ids[i], ids[i][1:]):
-                pairs[a, b] += 1
-                before[a] += 1
-                single[b] += 1
-        n = sum(single.values())
-        return lambda a, b: 0.7 * (pairs[a, b] / before[a] if before[a] else single[b] / n) + 0.29 * single[b] / n + 0.01 / 50
-
-    back, target = model(rows), model([i for i in rows if i in chosen])
-    for i, x in ids.items():
-        if len(x) > 1:
-            for name, p in (("background_loss", back), ("target_loss", target)):
-                assert got[i][name] == pytest.approx(-np.mean([np.log(p(a, b)) for a, b in zip(x, x[1:])]), rel=1e-4)
-    assert sum(np.exp(-lm_score.loss_table(np.array([[3.0, 1], [0, 0]]))).sum(1)) == pytest.approx(2)
+    got = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs, good).collect()}
+    words = [(t or "").lower().split() for t in rows.values()]
+    ids = list(rows)
+    back, target = brute_losses(words, lambda i: True), brute_losses(words, lambda i: ids[i] in chosen)
+    for i, x, b, t in zip(ids, words, back, target):
+        r = got[i]
+        assert (r["n_words"], r["background_loss"], r["target_loss"]) == (len(x), *(y and pytest.approx(y, rel=1e-9) for y in (b, t)))
+        assert r["score"] == pytest.approx(b - t if x else 0, abs=1e-9)
 
 
 def test_segmentations_are_summed():
@@ -376,38 +380,24 @@ def test_suffix_array():
         assert [g.tolist() for g in suffix_dedup.repeated_starts(some, 15)] == [[i for i in range(len(c) - 14) if count[c[i : i + 15]] > 1] for c in some]
 
 
-@pytest.mark.parametrize("hot, broadcast", [(2000, 200_000), (3, 0)])
-def test_lm_scores_over_all_words(spark, monkeypatch, hot, broadcast):
-    """Rare words count by themselves, however many others are more frequent."""
-    monkeypatch.setattr(lm_score, "HOT", hot)
-    monkeypatch.setattr(lm_score, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("block, part, cut", [(500_000, 1_000_000, 1 << 22), (50, 10, 30)])
+def test_lm_scores_over_all_words(spark, monkeypatch, block, part, cut):
+    """Rare words count by themselves; documents in pieces, blocks and parts change nothing."""
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "PART", part)
+    monkeypatch.setattr(lm_score, "SLICE", cut)
     rng = random.Random(8)
     frequent = [f"w{i}" for i in range(1500)]
-    texts = {i: " ".join(rng.sample(frequent, 400) + ["the end"] * 30) for i in range(30)}
-    texts |= {100: "rare kestrel Feather", 101: "other granite pebble", 102: "rare kestrel feather", 103: "", 104: None}
+    texts = {i: " ".join(rng.sample(frequent, 400) + ["the\u00a0end"] * 30) for i in range(30)}
+    texts |= {100: "rare kestrel Feather", 101: "other granite pebble", 102: "rare kestrel feather", 103: "", 104: None}
+    texts |= {2**60 + 1: " ".join(str(i) for i in range(50))}
     d = spark.createDataFrame([*texts.items(), (102, texts[102]), (102, "the end"), (None, "pebble")], "doc_id long, text string")
-    got = {}
-    for r in lm_score.cross_entropy_difference(d, labels_of(spark, [(100, 1, 0), (3, 1, 0)])).collect():
-        got.setdefault((r["doc_id"], r["n_words"]), []).append(r)
-    words = [(r["doc_id"], (r["text"] or "").lower().split()) for r in d.collect()]
-    v = len({w for _, x in words for w in x}) + 1
-
-    def model(of):
-        pairs = Counter(p for i, x in words if of(i) for p in zip([None, *x], x))
-        before, single = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            before[a] += n
-            single[b] += n
-        n = sum(single.values())
-        return lambda a, b: 0.7 * (pairs[a, b] / before[a] if before[a] else single[b] / n) + 0.29 * single[b] / n + 0.01 / v
-
-    models = {"background_loss": model(lambda i: True), "target_loss": model(lambda i: i in (100, 3))}
-    assert sum(map(len, got.values())) == len(words) and len(got[102, 3]) == 2
-    for i, x in words:
-        for name, p in models.items():
-            for r in got[i, len(x)]:
-                assert r[name] == (pytest.approx(-np.mean([np.log(p(a, b)) for a, b in zip([None, *x], x)]), rel=1e-9) if x else None)
-    assert got[102, 3][0]["score"] > got[101, 3][0]["score"] + 1
+    got = Counter()
+    for r in lm_score.cross_entropy_difference(d, labels_of(spark, [(100, 1, 0), (3, 1, 0), (None, 1, 1)])).collect():
+        got[r["doc_id"], r["n_words"], *(x and round(x, 9) for x in (r["background_loss"], r["target_loss"]))] += 1
+    ids, words = zip(*[(r["doc_id"], (r["text"] or "").lower().split()) for r in d.collect()])
+    back, target = brute_losses(words, lambda i: True), brute_losses(words, lambda i: ids[i] in (100, 3))
+    assert got == Counter((i, len(x), *(y and round(y, 9) for y in (b, t))) for i, x, b, t in zip(ids, words, back, target))
 
 
 NAMES = {
