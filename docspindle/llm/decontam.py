@@ -59,66 +59,65 @@ def benchmark_leaks(
     length. Similarity is the weighted Jaccard index of word shingles, weights
     being how often each occurs; an item of fewer than `width` words is one
     shingle. Items without words, null ids and null texts take no part; repeated
-    rows count once; an item never leaks into nothing.
+    rows count once; an item never leaks into nothing. Empty tables give an empty
+    result; other columns are not read.
 
     A window of that similarity shares one of any (1 - similarity) of an item's
-    shingles plus one, so only windows that hold one of an item's rarest ones are
-    fingerprinted, aligned by it. Fingerprints meet items' by block values; all
-    within 15 bits of 64 do. Survivors are compared exactly. Items' shingles are
-    broadcast if they are few, which is counted; else windows are cut after a
-    shuffle of the positions.
+    shingles plus one, wherever it stands in it. So every window that holds one of
+    an item's rarest ones is fingerprinted, at all its places, and no other can be
+    similar enough. Fingerprints meet items' by block values; all within 15 bits of
+    64 do. Survivors are compared exactly. The rarest shingles are broadcast if
+    they are few, which is counted; else shingles are joined in a shuffle.
     """
     own = items.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col)).alias("item")).filter("item_id is not null and size(item) > 0").distinct()
-    own = own.withColumn("k", F.least(F.size("item"), F.lit(width)))
+    own = own.withColumn("k", F.least(F.size("item"), F.lit(width))).withColumn("n", F.size("item"))
     own = materialise(own)
     n_items = own.count()
-    posted = own.select("item_id", F.size("item").alias("n"), "k", F.posexplode(_shingles("item", "k")).alias("at", "h"))
+    posted = own.select("item_id", "n", "k", F.posexplode(_shingles("item", "k")).alias("at", "h"))
     often = F.size(F.collect_set("item_id").over(Window.partitionBy("h")))
     rarest = F.row_number().over(Window.partitionBy("item_id", "n").orderBy("often", "h", "at"))
     total = F.count("*").over(Window.partitionBy("item_id", "n"))
     anchors = posted.withColumn("often", often).withColumn("rank", rarest).withColumn("total", total)
-    anchors = anchors.filter(F.col("rank") <= F.floor((1 - similarity) * F.col("total") + 1e-9) + 1).select("k", "h", "at", "n").distinct()
+    anchors = anchors.filter(F.col("rank") <= F.floor((1 - similarity) * F.col("total") + 1e-9) + 1).select("k", "h", "n").distinct()
     anchors = materialise(anchors)
     n_anchors = anchors.count()
-    widths = [r["k"] for r in anchors.select("k").distinct().collect()]  # 1 to `width`
+    widths = sorted(r["k"] for r in anchors.select("k").distinct().collect())  # 1 to `width`
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), words_of(F.col(text_col)).alias("words")).filter("id is not null and size(words) > 0")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("words") - F.col("n")))
-    window = F.slice("words", F.col("start") + 1, F.col("n"))
-    parts = []
+    # All places of windows that hold the shingle; a text shorter than the item is one window.
+    lowest = F.greatest(F.lit(0), F.least(F.col("pos") + F.col("k") - F.col("n"), F.col("size") - F.col("n")))
+    highest = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - F.col("n")))
+    hits = docs.sparkSession.range(0).selectExpr("id", "0 as size", "0 as pos", "0 as n", "0 as k")
     for k in widths:
         a = anchors.filter(F.col("k") == k).drop("k")
-        spread = texts.select("id", "words", F.posexplode(_shingles("words", str(k))).alias("pos", "h"))
-        if n_anchors <= BROADCAST_ROWS:
-            hits = spread.join(F.broadcast(a), "h").withColumn("start", start)
-            parts.append(hits.select("id", "start", window.alias("window")))
-        else:
-            hits = spread.select("id", "pos", "h").join(a, "h").select("id", "pos", "at", "n").distinct()
-            hits = hits.join(texts, "id").withColumn("start", start)
-            parts.append(hits.select("id", "start", window.alias("window")))
-    empty = docs.sparkSession.createDataFrame([], "id long, start int, window array<string>")
-    windows = empty
-    for p in parts:
-        windows = windows.unionByName(p)
-    windows = materialise(windows.distinct())
-
-    def printed(df: DataFrame, words: str) -> DataFrame:
-        hashed = df.withColumn("hs", F.transform(F.col(words), lambda w: F.xxhash64(w)))
-        return hashed.withColumn("fp", _simhash("hs")).drop("hs")
-
+        spread = texts.select("id", F.size("words").alias("size"), F.posexplode(_shingles("words", str(k))).alias("pos", "h"))
+        met = spread.join(F.broadcast(a) if n_anchors <= BROADCAST_ROWS else a, "h")
+        hits = hits.unionByName(met.select("id", "size", "pos", "n", F.lit(k).alias("k")))
+    runs = hits.select("id", "n", "k", F.explode(F.sequence(lowest, highest)).alias("start"))
+    starts = materialise(runs.groupBy("id", "n", "k").agg(F.collect_set("start").alias("starts")))
+    found = texts.join(small(starts), "id").select("id", F.xxhash64("words").alias("doc"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "n", "k", "starts")
+    found = materialise(found.dropDuplicates(["id", "doc", "n"]))
+
+    js = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     block = "cast(shiftright(fp, 8 * j) & 255 as int)"
-    w = printed(windows, "window").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("v", F.expr(block))
-    index = printed(own, "item").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    windows = found.select("id", "doc", "n", F.explode("starts").alias("start"), "hashes").withColumn("hs", F.slice("hashes", F.col("start") + 1, F.col("n")))
+    windows = materialise(windows.withColumn("fp", _simhash("hs")).select("id", "doc", "n", "start", "fp"))
+    w = windows.withColumn("j", F.explode(js)).withColumn("v", F.expr(block))
+    index = own.withColumn("hs", F.transform("item", lambda w: F.xxhash64(w))).withColumn("fp", _simhash("hs")).select("item_id", "n", "fp")
     flips = F.expr(f"explode(concat(array({block}), transform(sequence(0, 7), b -> {block} ^ shiftleft(1, b))))")
-    index = index.select("item_id", "item", "k", F.col("fp").alias("item_fp"), "j", flips.alias("v"))
+    index = index.withColumn("j", F.explode(js)).select("item_id", "n", F.col("fp").alias("item_fp"), "j", flips.alias("v"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = w.join(small(index, n_items * BLOCKS * 9), ["j", "v"]).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
-    near = near.select("id", "start", "window", "item_id", "item", "k", "distance").distinct()
+    near = w.join(small(index, n_items * BLOCKS * 9), ["n", "j", "v"]).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
+    near = near.select("id", "doc", "n", "start", "item_id", "item_fp", "distance").distinct()
+    # Items whose ids repeat have several texts: the fingerprint tells which one was met.
+    texts_of = own.withColumn("hs", F.transform("item", lambda w: F.xxhash64(w))).select("item_id", "n", "item", _simhash("hs").alias("item_fp"))
+    both = near.join(found.select("id", "doc", "n", "k", "words"), ["id", "doc", "n"]).join(small(texts_of, n_items), ["item_id", "n", "item_fp"])
+    both = both.select("id", "item_id", "start", "distance", "item", "k", F.slice("words", F.col("start") + 1, F.col("n")).alias("window"))
     # Written, so that Spark doesn't repeat these arrays' expressions in each place that reads them.
-    both = materialise(near.withColumn("x", _texts("window", "k")).withColumn("y", _texts("item", "k")))
+    both = materialise(both.withColumn("size", F.size("window")).withColumn("x", _texts("window", "k")).withColumn("y", _texts("item", "k")).drop("window", "item"))
     both = materialise(both.withColumn("x", _numbered("x")).withColumn("y", _numbered("y")))
     sim = F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))
     both = both.withColumn("similarity", sim).filter(F.col("similarity") >= similarity - 1e-12)
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), "distance", "start", F.size("window").alias("n"))).alias("b")
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "distance", "start", F.col("size").alias("n"))).alias("b")
     out = both.groupBy("id", "item_id").agg(best)
     return out.select(F.col("id").alias(id_col), "item_id", F.round(-F.col("b.s"), 9).alias("similarity"), F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.distance").alias("distance"))

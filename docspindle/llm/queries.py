@@ -101,13 +101,14 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 #: The best window of each document and item by weighted shingle similarity, over
-#: all places where they share five words (items have more than five).
+#: windows that hold five words of the item in turn (items have more than five).
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 ds AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s, len(w) AS size FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
 bs AS (SELECT item_id, i, array_to_string(w[i:i + 4], ' ') AS s, len(w) AS n FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b)),
-c AS (SELECT DISTINCT doc_id, item_id, n, greatest(1, least(ds.i - bs.i + 1, size - n + 1)) AS st FROM ds JOIN bs USING (s)),
+h AS (SELECT DISTINCT doc_id, item_id, n, size, ds.i FROM ds JOIN bs USING (s)),
+c AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(1, least(i - n + 5, size - n + 1)), greatest(1, least(i, size - n + 1)) + 1)) AS st FROM h),
 x AS (SELECT c.doc_id, item_id, st, n, s, count(*) AS k FROM c JOIN ds ON ds.doc_id = c.doc_id AND ds.i BETWEEN st AND st + n - 5 GROUP BY ALL),
 y AS (SELECT item_id, n, s, count(*) AS k FROM bs GROUP BY ALL),
 t AS (SELECT doc_id, item_id, st, n, sum(x.k) AS total, sum(least(x.k, coalesce(y.k, 0))) AS shared FROM x LEFT JOIN y USING (item_id, n, s) GROUP BY ALL),

@@ -15,11 +15,14 @@ from .common import crc_mod, hash01, materialise, share, value_of
 
 #: Labelled rows that the index holds, about so many of each label at most.
 EXAMPLES = 3000
-#: Terms of the index at most, and the least chi-squared value of one.
-TERMS, CHI2, LEAST_DF = 2048, 30.0, 5
+#: A term is one of the index if its association with the label reaches this chi-squared
+#: value, and so many examples hold it; however many such terms there are, all are kept.
+CHI2, LEAST_DF = 30.0, 5
 #: Examples of a block of the index.
 BLOCK = 64
 NEIGHBOURS = 25
+#: Rows that one task scores.
+TASK = 8192
 #: All words outside the vocabulary are one term of this weight, so that a few chance
 #: hits in a long text point elsewhere than the same hits in a short one.
 OTHER = 1.0
@@ -149,7 +152,7 @@ def labelled_sample(labels: DataFrame, *, id_col: str, label_col: str, learn_fro
     return known.filter(keep), {y: 1 / r for y, r in rates.items()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, learn_from, examples: int, terms: int):
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, learn_from, examples: int):
     """The vocabulary and the examples as (ids, labels, weights, (terms, counts))."""
     chosen, weight = labelled_sample(labels, id_col=id_col, label_col=label_col, learn_from=learn_from, examples=examples)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -173,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label
     c, d = n0 - a, n1 - b
     total = float(n0 + n1)
     chi2 = total * (a * d - b * c) ** 2 / F.nullif((a + b) * (c + d) * (a + c) * (b + d), F.lit(0.0))
-    best = df.withColumn("chi2", chi2).filter((F.col("df") >= LEAST_DF) & (F.col("chi2") >= CHI2)).orderBy(F.desc("chi2"), "term").limit(terms)
+    best = df.withColumn("chi2", chi2).filter((F.col("df") >= LEAST_DF) & (F.col("chi2") >= CHI2)).orderBy("term")
     vocabulary = {r["term"]: i for i, r in enumerate(best.collect())}
     rows = texts.select("id", "text", "label").mapInArrow(vectoriser(vocabulary, "label int"), "id long, terms array<int>, counts array<int>, label int").orderBy("id").collect()
     return vocabulary, rows, weight
@@ -215,18 +218,17 @@ def score_toxicity(
     learn_from=lambda c: crc_mod(c, 3) != 1,
     threshold: float = 0.7,
     examples: int = EXAMPLES,
-    terms: int = TERMS,
 ) -> DataFrame:
     """doc_id, score, predicted, evidence (ids of the nearest examples), closeness for every row of `docs`.
 
     The index holds a sample of about `examples` labelled rows of each label
-    (bounded, chosen by a hash of the id, copies once) over at most `terms` terms
-    that go with the label; document frequencies cover all of `docs`. Scores are
+    (bounded, chosen by a hash of the id, copies once) over all terms that go with
+    the label among them; document frequencies cover all of `docs`. Scores are
     calibrated votes of the nearest examples by exact TF-IDF cosine. Texts without
     words, null and empty ones included, get the rate of label 1 among such
     examples. Without any labelled rows every score is 0.1. Repeated rows score alike; null ids stay.
     """
-    vocabulary, rows, weight = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn_from=learn_from, examples=examples, terms=terms)
+    vocabulary, rows, weight = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, learn_from=learn_from, examples=examples)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     vectors = materialise(texts.mapInArrow(vectoriser(vocabulary), f"id {kind}, terms array<int>, counts array<int>"))
@@ -262,5 +264,6 @@ def score_toxicity(
             cols = [b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "score", "evidence", "closeness"])
 
-    out = vectors.mapInArrow(run, f"id {kind}, score double, evidence array<long>, closeness array<double>")
+    # Vectors are small on disk but not small to score: tasks are cut by rows.
+    out = vectors.repartition(1 + n // TASK).mapInArrow(run, f"id {kind}, score double, evidence array<long>, closeness array<double>")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "closeness")

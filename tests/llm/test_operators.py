@@ -216,6 +216,37 @@ def test_leaks(spark, rows):
     assert len(want) > 20 and got == want
 
 
+def test_leaks_with_insertions(spark):
+    """Edits near the threshold against all windows: shifted parts lose no leak."""
+    rng = random.Random(11)
+    word = iter(f"u{i}" for i in range(10_000))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    a, b, c = fresh(32), fresh(25), fresh(32)
+    items = {1: a + b + c, 2: a + fresh(10) + c, 3: c + fresh(7) + a} | {i: fresh(rng.randint(46, 100)) for i in range(4, 14)}
+    texts = {1: " ".join(a + ["x"] + b + c[1:])}
+    for i in range(2, 62):
+        x = list(items[rng.choice(list(items))])
+        for _ in range(rng.randint(1, 2)):
+            at, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[at : at + (kind > 0)] = fresh(1) if kind < 2 else []
+        texts[i] = " ".join(fresh(rng.randint(0, 20)) + x + fresh(rng.randint(0, 20)))
+
+    def shingles(w):
+        return Counter(" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+
+    want = {}
+    for i, t in texts.items():
+        w = t.split()
+        for j, x in items.items():
+            y, n = shingles(x), min(len(x), len(w))
+            best = max(sum((z & y).values()) / sum((z | y).values()) for z in (shingles(w[s : s + n]) for s in range(len(w) - n + 1)))
+            if best >= 0.8:
+                want[i, j] = round(best, 9)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.benchmark_leaks(d, benchmark_of(spark, [(j, " ".join(x)) for j, x in items.items()])).collect()}
+    assert want[1, 1] == 0.808510638 and len(want) > 15 and got == want
+
+
 def test_leaks_without_broadcast(spark, monkeypatch, docs):
     b = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(decontam.benchmark_leaks(docs, b).collect())
@@ -254,26 +285,47 @@ def test_lm_scores(spark, docs, rows):
         assert r["score"] == pytest.approx(b - t if x else 0, abs=1e-9)
 
 
-def test_segmentations_are_summed():
-    words, p = ["abab", "b", "zz", "abababab" * 9], np.abs(np.random.default_rng(1).normal(size=(6, 2)))
-    pieces = lang_id.Pieces(["▁", "a", "b", "ab", "▁a"])
-
-    def total(text, k):
-        alpha = [1.0] + [0.0] * len(text)
+def test_segmentations_are_summed(monkeypatch):
+    """Whole words and all pieces, against sums over every segmentation; short and long words alike."""
+    words = ["abab", "b", "zz", "abababab" * 9, "", "ababzabba" * 3]
+    p = np.abs(np.random.default_rng(1).normal(size=(8, 2))) / 3
+    pieces = lang_id.Pieces(["▁", "a", "b", "ab", "▁a", "ababababab", "babzab"])
+    last = len(pieces.pieces)
+
+    def paths(text):
+        """Every segmentation with its probability."""
+        if not text:
+            yield (), np.ones(2)
+        for n in range(1, len(text) + 1):
+            k = pieces.pieces.index(text[:n]) if text[:n] in pieces.pieces else last if n == 1 else None
+            if k is not None:
+                for rest, x in paths(text[n:]):
+                    yield (k, *rest), p[k] * x
+
+    def total(text):
+        alpha = np.zeros((len(text) + 1, 2))
+        alpha[0] = 1
         for j in range(1, len(text) + 1):
-            for n in range(1, min(j, lang_id.PIECE) + 1):
-                x = text[j - n : j]
-                if x in pieces.pieces:
-                    alpha[j] += alpha[j - n] * p[pieces.pieces.index(x), k]
-                elif n == 1:
-                    alpha[j] += alpha[j - n] * p[5, k]
+            for i in range(j):
+                x = text[i:j]
+                if x in pieces.pieces or j - i == 1:
+                    alpha[j] += alpha[i] * p[pieces.pieces.index(x) if x in pieces.pieces else last]
         return alpha[-1]
 
-    got = lang_id.log_likelihoods(words, pieces, p)
-    for i, w in enumerate(words):
-        cut = ["▁" + w][0]
-        parts = [cut[a : a + lang_id.STRETCH] for a in range(0, len(cut), lang_id.STRETCH)]
-        assert got[i] == pytest.approx([sum(np.log(total(x, k)) for x in parts) for k in range(2)])
+    counts = np.array([2.0, 1, 1, 0, 3, 0])
+    want = np.zeros_like(p)
+    for w, n in zip(words, counts):
+        every = list(paths("▁" + w)) if n else []
+        whole = sum(x for _, x in every)
+        for path, x in every:
+            for k in path:
+                want[k] += n * x / whole
+    for most in (64, 0):
+        monkeypatch.setattr(lang_id, "WORD", most)
+        got = lang_id.log_likelihoods(words, pieces, p)
+        for i, w in enumerate(words):
+            assert got[i] == pytest.approx(np.log(total("▁" + w)))
+        assert lang_id.expected_counts(words, counts, pieces, p) == pytest.approx(want)
 
 
 def test_languages_held_out(spark):
