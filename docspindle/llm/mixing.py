@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, ordered_words, small
+from .common import discard, materialise, ordered_words, small
 
 #: Newton steps, at most. Steps are kept inside a bracket, so a source that does
 #: not converge quadratically still halves its bracket.
@@ -44,17 +44,18 @@ def source_targets(hist: DataFrame, weights: tuple[float, ...], share: float, mo
 
 
 def _rate(lam: Column, z: Column, most: float) -> Column:
-    """The tilted rate exp(lam * z), bounded by `most`: 1 at lam = 0."""
-    return most / (1 + (most - 1) * F.exp(-lam * z))
+    """The tilted rate exp(lam * z), at most `most`."""
+    return F.least(F.lit(most), F.exp(F.least(lam * z, F.lit(60.0))))
 
 
 def balance(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """source, lam, scale: the dual variables.
 
-    Minimising the (bounded) relative entropy of document rates to 1 under one
-    constraint per source, sum(size * rate) = target, gives rates tilted by
-    exp(lam * size); the convex dual separates by source. Each step evaluates its
-    gradient and curvature by one distributed aggregation of the histogram.
+    Minimising the relative entropy of document rates to 1, rates being `most` at
+    most, under one constraint per source, sum(size * rate) = target, gives rates
+    min(most, exp(lam * size)); the convex dual separates by source. Each step
+    evaluates its gradient and curvature (of the rates below the bound) by one
+    distributed aggregation of the histogram.
     """
     scales = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.nullif(F.sum(F.col("size") * F.col("n")), F.lit(0))).alias("scale"))
     n = targets.count()
@@ -73,7 +74,7 @@ def balance(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         words = F.col("size") * F.col("n")
         step = h.groupBy("s").agg(
             F.sum(words * rate).alias("got"),
-            F.sum(words * rate * (1 - rate / most) * z).alias("slope"),
+            F.sum(F.when(rate < most, words * rate * z).otherwise(0.0)).alias("slope"),
         )
         new = state.join(small(step.withColumnRenamed("s", "s2"), n), F.col("s").eqNullSafe(F.col("s2")), "left")
         over = F.col("got") > F.col("target")
@@ -87,9 +88,10 @@ def balance(hist: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         inside = F.col("newton").isNotNull() & (F.col("nlo").isNull() | (F.col("newton") > F.col("nlo"))) & (F.col("nhi").isNull() | (F.col("newton") < F.col("nhi"))) & (F.abs(F.col("newton") - F.col("lam")) <= 4 * (1 + F.abs("lam")))
         close = F.col("done") | (F.abs(F.col("got") - F.col("target")) <= TOLERANCE * F.col("target"))
         new = new.withColumns({"nlo": lo, "nhi": hi, "newton": newton}).withColumn("close", close)
-        state = materialise(
+        before, state = state, materialise(
             new.select("s", "target", "scale", F.when(F.col("close"), F.col("lam")).when(inside, F.col("newton")).otherwise(far).alias("lam"), F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), F.col("close").alias("done"))
         )
+        discard(before)
         if not state.filter(~F.col("done")).limit(1).count():
             break
     # Sums of doubles may differ in their last bits between runs; the rounded value does not.

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, small
 
 #: Distinct fingerprints of one bucket that are compared in one task; larger
 #: buckets are compared block by block, so no pair is left out.
 BLOCK = 2048
+#: Tasks that put fingerprints into tables, at least.
+TASKS = 64
 #: Hashes of one text whose bits are counted at once.
 SLICE = 65_536
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -105,24 +107,30 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     size) and give a spanning forest, so links do not grow with the square.
     """
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    tables = fps.select("fp", "node", F.posexplode(masks).alias("t", "mask")).select("fp", "node", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    who = F.struct("fp", "node")
-    buckets = tables.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(who).alias("x"), F.max(who).alias("y")).filter("n > 1")
+    # A small file of fingerprints makes many rows: dealt first, so that all tasks take part.
+    # Only bucket and fingerprint travel; buckets of two tables that share a hash merely compare more.
+    dealt = fps.select("fp").repartition(max(TASKS, fps.count() // 200_000))
+    tables = dealt.select("fp", F.posexplode(masks).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    buckets = tables.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).filter("n > 1")
     buckets = materialise(buckets)
-    pairs = buckets.filter("n = 2").filter(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    large = buckets.filter("n > 2").select("t", "key", (1 + F.floor((F.col("n") - 1) / BLOCK)).cast("int").alias("blocks"))
-    members = tables.join(large, ["t", "key"])
+    pairs = buckets.filter("n = 2").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    large = materialise(buckets.filter("n > 2").select("key", (1 + F.floor((F.col("n") - 1) / BLOCK)).cast("int").alias("blocks")))
+    members = tables.join(small(large), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("fp", "node", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = members.select("fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, node = pdf["fp"].to_numpy().view("u8"), pdf["node"].to_numpy()
+        fp = np.unique(pdf["fp"].to_numpy().view("u8"))
         a, b = _forest(fp, radius)
-        return pd.DataFrame({"a": node[a], "b": node[b]}, dtype="i8")
+        return pd.DataFrame({"a": fp[a].view("i8"), "b": fp[b].view("i8")}, dtype="i8")
 
-    found = members.groupBy("t", "key", "i", "j").applyInPandas(compare, "a long, b long")
-    return pairs.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = members.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    found = pairs.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Links between fingerprints, then between their nodes.
+    for c in "ab":
+        found = found.join(fps.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")), c)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -145,7 +153,9 @@ def components(edges: DataFrame) -> DataFrame:
         small_star = down.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))).select("col.*")
         new = materialise(small_star.filter("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).select(F.col("b").alias("a"), F.col("a").alias("b")))
         if new.count() == edges.count() and not new.exceptAll(edges).limit(1).count():
+            discard(edges)
             return new.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        discard(edges)
         edges = new
 
 

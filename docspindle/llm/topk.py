@@ -93,7 +93,8 @@ def top_products(
 
     Components become floor(scale * x). Queries are the rows whose id is divisible
     by `query_every`; candidates all rows but the query's own id; ties go to the
-    smaller id. Vectors that are null or hold null or non-finite components, and
+    smaller id. An empty table gives an empty result; other columns are not read.
+    Vectors that are null or hold null or non-finite components, and
     null ids, take no part; repeated ids count once, by their smallest vector;
     vectors are compared with those of their own dimension only.
 
@@ -139,8 +140,11 @@ def top_products(
         some = some.select("dim", "longest", spread)
         going = who.join(small(some, blocks), "dim").filter(F.col("len") * F.col("longest") * (1 + 1e-9) >= F.coalesce("floor", F.lit(float("-inf"))))
         going = going.select("block", "part", "id", "v", "floor")
-        parts = F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
-        there = located.filter(F.col("seed") == seeds).select(F.col("block").alias("c_block"), parts.alias("c_part"), F.col("id").alias("c_id"), F.col("v").alias("c_v"))
+        going = materialise(going)
+        # Candidates are copied to the query parts that visit their block, and to no other.
+        asked = materialise(going.groupBy("block").agg(F.collect_set("part").alias("asked")).withColumnRenamed("block", "c_block"))
+        there = located.filter(F.col("seed") == seeds).join(small(asked), F.col("block") == F.col("c_block"))
+        there = there.select("c_block", F.explode("asked").alias("c_part"), F.col("id").alias("c_id"), F.col("v").alias("c_v"))
 
         def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(c):

@@ -141,6 +141,22 @@ def test_mixing(spark, docs, rows):
         assert abs(taken[n] - share[n]) <= max(size[i] for i in size if sources[i] == n)
 
 
+def test_rates_are_tilted(spark):
+    """min(most, exp(lam * size)) meets the target, for targets below and above the size."""
+    rng = random.Random(6)
+    hist = [(s, n, rng.randint(1, 9)) for s in ("up", "down", None) for n in rng.sample(range(1, 400), 60)]
+    sizes = Counter()
+    for s, n, k in hist:
+        sizes[s] += n * k
+    share = {"up": 1.7, "down": 0.4, None: 1.02}
+    targets = spark.createDataFrame([(s, x, x * share[s]) for s, x in sizes.items()], "source string, source_size long, target double")
+    duals = {r["source"]: r for r in mixing.balance(spark.createDataFrame(hist, "source string, size long, n long"), targets, 2.0).collect()}
+    for s, x in sizes.items():
+        d = duals[s]
+        got = sum(k * n * min(2.0, np.exp(d["lam"] * n / d["scale"])) for t, n, k in hist if t == s)
+        assert got == pytest.approx(x * share[s], rel=1e-5)
+
+
 def _components(fps, radius):
     label = {i: i for i in fps}
     changed = True
