@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
-#: Rounds of renaming that may be needed until all surrogates differ.
-ROUNDS = 40
+#: After so many attempts that met others, a surrogate is a character longer, and so on:
+#: a space of numbers that is crowded grows until all find a place.
+PATIENCE = 8
 
 # Titles that a person's name follows, by gender; several may follow each other.
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Senora|Senorita|Sra|Srta|Doña|Dra|Doctora|Profesora"
@@ -23,11 +27,15 @@ _PARTICLE = r"(?:von und zu|v[oa]n(?: (?:der|den|dem|de|la))?|vom|zu[mr]?|de(?:
 _WORD = rf"(?!{_TITLE})(?:[dl]['’])?\p{{Lu}}(?:['’]\p{{Lu}})?\p{{L}}+(?:[-'’]\p{{Lu}}\p{{L}}+)*(?![\p{{L}}\p{{N}}_])"
 _INITIALS = r"(?:\p{Lu}\. ){0,3}"
 _NAME = rf"{_INITIALS}(?:{_PARTICLE} ){{0,2}}{_WORD}"
+#: What a name without a title follows.
+CUES = "[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Each alternative begins at a word's first character, so a long word is looked at once.
 SHAPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63}){1,6}(?![A-Za-z0-9@])",
     "secret": r"(?=[a-zA-Z]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
     "ip": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{L}\p{N}_]|\.[0-9])",
+    "ip6": rf"(?=[A-Fa-f:]{{0,40}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}_:])",
     "phone": "|".join((
         r"(?:\+[0-9]{1,3}[ .\-]?|1[ .\-])?(?:\([0-9]{2,4}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3,4}[ .\-][0-9]{4}(?![\p{L}\p{N}_])",
         r"\+[0-9]{1,3}(?:[ .\-]?(?:\(0\)[ .\-]?)?[0-9]{2,4}){2,5}(?![\p{L}\p{N}_])",
@@ -39,11 +47,11 @@ SHAPES = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_])",
     "card": r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![\p{L}\p{N}_])",
-    "person": rf"{TITLES} {_NAME}(?: {_NAME})*",
+    "person": rf"(?:{TITLES} |(?<=(?:{CUES}) )){_NAME}(?: {_NAME})*",
 }
 #: A number may follow "." or "-", unless those follow a digit; an address may not.
-PATTERN = r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9])" + SHAPES["email"] + r"|(?<![\p{L}\p{N}_@%+])(?<![\p{N}][.\-])(?=[0-9+(A-Za-z])(?:" + "|".join(SHAPES[k] for k in ("secret", "ip", "phone", "iban", "ssn", "card", "person")) + "))"
-KINDS = ("email", "person", "ssn", "ip", "secret", "iban", "phone", "card")
+PATTERN = r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9])" + SHAPES["email"] + r"|(?<![\p{L}\p{N}_@%+])(?<![\p{N}][.\-])(?=[0-9+(A-Za-z\p{Lu}])(?:" + "|".join(SHAPES[k] for k in ("secret", "ip", "ip6", "phone", "iban", "ssn", "card", "person")) + "))"
+KINDS = ("email", "person", "ssn", "ip", "ip6", "secret", "iban", "phone", "card")
 
 
 def _kind(m: Column) -> Column:
@@ -54,9 +62,12 @@ def _kind(m: Column) -> Column:
 
 
 def _norm(kind: Column, m: Column) -> Column:
-    """What makes two mentions the same entity: case and separators don't."""
+    """What makes two mentions the same entity: case and separators don't, nor does what
+    a telephone number has before its last nine digits, which stays as it is: country
+    codes and trunk prefixes may be there or not."""
     plain = F.regexp_replace(m, r"[ .()/\-]", "")
-    return F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "iban", F.upper(plain)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(plain, r"\+", "")).otherwise(F.lower(m))
+    phone = F.regexp_extract(plain, "[0-9]{1,9}$", 0)
+    return F.when(kind == "phone", phone).when(kind == "ip", m).when(kind == "iban", F.upper(plain)).when(kind.isin("card", "ssn"), plain).otherwise(F.lower(m))
 
 
 def _words(m: Column) -> Column:
@@ -81,7 +92,7 @@ def _mentions(text: Column) -> Column:
         gender = F.when(title.rlike(rf"\b(?:{FEMALE})\b"), "first_f").when(title.rlike(rf"\b(?:{MALE})\b"), "first_m").otherwise("first")
         parts = F.transform(names, lambda p, i: F.struct(p.alias("m"), F.when(i == F.size(names) - 1, "last").otherwise(gender).alias("kind"), F.lower(p).alias("norm")))
         single = F.array(F.struct(m.alias("m"), kind.alias("kind"), _norm(kind, m).alias("norm")))
-        return F.when(kind == "person", parts).otherwise(single)
+        return F.when(kind.isin("person", "name"), parts).otherwise(single)
 
     return F.flatten(F.transform(found, one))
 
@@ -121,25 +132,44 @@ def _name(norm: str, kind: str, seed: str) -> str:
     return f"case {when} else {build(*latin)} end"
 
 
-def _surrogate(key: str) -> tuple[Column, Column]:
-    """From columns kind, norm, attempt. Text of a mention is poured into its own format later."""
-    safe = key.replace("\\", "").replace("'", "")
-    word = f"concat_ws('|', '{safe}', kind, norm, cast(attempt as string))"
-    seed = "concat(" + ", ".join(f"sha2(concat({word}, '|{n}'), 512)" for n in range(4)) + ")"
+def _keys(spark: SparkSession, key: str) -> DataFrame:
+    """kind, inner, outer: the padded key blocks of an HMAC for each kind of entity,
+    under a key derived for it. Rows of a table, so that no plan shows them."""
+    kinds, args = sorted({*KINDS, "last", "first", "first_f", "first_m"} - {"person"}), {}
+    for n, kind in enumerate(kinds):
+        own = hmac.new(key.encode(), kind.encode(), hashlib.sha256).digest().ljust(64, b"\0")
+        args[f"i{n}"], args[f"o{n}"] = (bytes(x ^ pad for x in own).hex() for pad in (0x36, 0x5C))
+    values = ", ".join(f"('{kind}', unhex(:i{n}), unhex(:o{n}))" for n, kind in enumerate(kinds))
+    return spark.sql(f"SELECT * FROM VALUES {values} AS k(k_kind, inner, outer)", args)
+
+
+def _surrogate() -> tuple[Column, Column]:
+    """From columns kind, norm, attempt, inner, outer. Text of a mention is poured into its own format later."""
+    word = "cast(concat_ws('|', norm, cast(attempt as string)) as binary)"
+    mac = f"sha2(concat(outer, unhex(sha2(concat(inner, {word}), 256))), 256)"
+    seed = "concat(" + ", ".join(f"sha2(concat({mac}, '|{n}'), 512)" for n in range(4)) + ")"
+    more = f"repeat('0', attempt div {PATIENCE})"
     octets = "concat_ws('.', " + ", ".join(f"cast(1 + {_random('seed', str(n), 254)} as string)" for n in range(4)) + ")"
+    # Addresses of four bytes that run out go on as local ones of sixteen.
+    octets = f"if(attempt < {PATIENCE}, {octets}, concat('fd00:', regexp_replace(substr(seed, 21, 24), '(....)(?=.)', '$1:'), ':', substr(seed, 61, 4)))"
     # The local part and the labels before the last; the last label stays.
-    head = "regexp_replace(norm, '[.][^.]*$', '')"
+    head = f"concat(regexp_replace(norm, '[.][^.]*$', ''), repeat('a', attempt div {PATIENCE}))"
     mail = f"concat({_shaped(head, 'seed')}, regexp_extract(norm, '[.][^.]*$', 0))"
-    digits = f"concat(substr(norm, 1, 1), {_shaped('substr(norm, 2)', 'seed')})"
-    luhn = "aggregate(transform(reverse(split({x}, '')), (c, i) -> if(i % 2 = 1, if(cast(c as int) > 4, 2 * cast(c as int) - 9, 2 * cast(c as int)), cast(c as int))), 0, (a, x) -> a + x)"
+    phone = _shaped(f"concat(norm, {more})", "seed")
+    digits = f"concat(substr(norm, 1, 1), {_shaped(f'concat(substr(norm, 2), {more})', 'seed')})"
+    luhn = "aggregate(transform(reverse(filter(split({x}, ''), c -> c <> '')), (c, i) -> if(i % 2 = 1, if(cast(c as int) > 4, 2 * cast(c as int) - 9, 2 * cast(c as int)), cast(c as int))), 0, (a, x) -> a + x)"
     # A card's last digit gives the surrogate the original's Luhn remainder.
-    zero = f"concat(substr({digits}, 1, length(norm) - 1), '0')"
-    card = f"concat(substr({digits}, 1, length(norm) - 1), cast(pmod({luhn.format(x='norm')} - {luhn.format(x=zero)}, 10) as string))"
-    hexed = f"array_join(transform(split(norm, ''), (c, i) -> substr('0123456789abcdef', 1 + {_random('seed', 'i', 16)}, 1)), '')"
-    iban = f"concat(substr(norm, 1, 2), {_shaped('substr(norm, 3)', 'seed')})"
+    front = f"substr({digits}, 1, length({digits}) - 1)"
+    zero = f"concat({front}, '0')"
+    card = f"concat({front}, cast(pmod({luhn.format(x='norm')} - {luhn.format(x=zero)}, 10) as string))"
+    hexed = f"array_join(transform(filter(split(concat(norm, {more}), ''), c -> c <> ''), (c, i) -> if(c = ':', c, substr('0123456789abcdef', 1 + {_random('seed', 'i', 16)}, 1))), '')"
+    # The country stays, and two digits make the whole 1 modulo 97.
+    account = _shaped(f"concat(substr(norm, 5), {more})", "seed")
+    rest = f"aggregate(filter(split(concat({account}, substr(norm, 1, 2), '00'), ''), c -> c <> ''), 0, (a, c) -> if(c rlike '[0-9]', (10 * a + cast(c as int)) % 97, (100 * a + ascii(c) - 55) % 97))"
+    iban = f"concat(substr(norm, 1, 2), lpad(cast(98 - {rest} as string), 2, '0'), {account})"
     sql = (
-        f"case when kind = 'email' then {mail} when kind = 'ip' then {octets} when kind = 'secret' then {hexed} when kind = 'iban' then {iban} "
-        f"when kind = 'card' then {card} when kind in ('phone', 'ssn') then {digits} else {_name('norm', 'kind', 'seed')} end"
+        f"case when kind = 'email' then {mail} when kind = 'ip' then {octets} when kind in ('secret', 'ip6') then {hexed} when kind = 'iban' then {iban} "
+        f"when kind = 'card' then {card} when kind = 'phone' then {phone} when kind = 'ssn' then {digits} else {_name('norm', 'kind', 'seed')} end"
     )
     return F.expr(seed).alias("seed"), F.expr(sql).alias("surrogate")
 
@@ -150,56 +180,67 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Rounds of aggregation find collisions; all but the smallest of those that
     share one draw anew from the keyed stream, as do those that hit an entity.
+    Surrogates grow with the attempts, so the rounds end however many there are.
     """
-    seed, sur = _surrogate(key)
+    seed, sur = _surrogate()
+    keys = F.broadcast(_keys(entities.sparkSession, key))  # one row for each kind
 
     def drawn(df: DataFrame) -> DataFrame:
-        return df.select("kind", "norm", "attempt", seed).select("kind", "norm", "attempt", sur)
+        seeded = df.join(keys, F.col("kind") == F.col("k_kind")).select("kind", "norm", "attempt", seed)
+        return materialise(seeded.select("kind", "norm", "attempt", sur))
 
     known = materialise(entities.select("kind", "norm").distinct())
-    real = known.select(F.col("kind").alias("r_kind"), F.col("norm").alias("r_norm")).distinct()
-    now = materialise(drawn(known.withColumn("attempt", F.lit(0))))
-    for _ in range(ROUNDS):
+    real = known.select(F.col("kind").alias("r_kind"), F.col("norm").alias("r_norm"))
+    now = drawn(known.withColumn("attempt", F.lit(0)))
+    while True:
         first = now.groupBy("kind", F.lower("surrogate").alias("low")).agg(F.min(F.struct("attempt", "norm")).alias("keeps"), F.count("*").alias("n"))
-        taken = first.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("low") == F.col("r_norm")), "left")
+        taken = first.join(real, (F.col("kind") == F.col("r_kind")) & (F.col("low") == F.lower("r_norm")), "left")
         clashes = taken.filter("n > 1 or r_norm is not null").select(F.col("kind").alias("c_kind"), "low", F.when(F.col("r_norm").isNull(), F.col("keeps.norm")).alias("keep"))
-        clashes = materialise(clashes)
+        clashes = materialise(clashes.distinct())
         if not clashes.limit(1).count():
+            discard(clashes)
             return now.select("kind", "norm", "surrogate")
         marked = now.join(clashes, (F.col("kind") == F.col("c_kind")) & (F.lower("surrogate") == F.col("low")), "left")
         again = F.col("low").isNotNull() & (F.col("keep").isNull() | (F.col("keep") != F.col("norm")))
-        now = materialise(drawn(marked.select("kind", "norm", (F.col("attempt") + again.cast("int")).alias("attempt"))))
-    raise ValueError(f"surrogates still clash after {ROUNDS} rounds")
+        before, now = now, drawn(marked.select("kind", "norm", (F.col("attempt") + again.cast("int")).alias("attempt")))
+        discard(before)
+        discard(clashes)
 
 
 def _pour(m: str, s: str) -> str:
-    """SQL: the characters of `s` in the places of the letters and digits of `m`, with the case of `m`."""
+    """SQL: the characters of `s` in the last places of the letters and digits of `m`, with the
+    case of `m`. Places before them keep their own; what has no place is added at the end."""
     places = f"transform(split({m}, ''), c -> if(c rlike '[A-Za-z0-9]', 1, 0))"
-    char = f"substr({s}, aggregate(slice({places}, 1, i + 1), 0, (a, b) -> a + b), 1)"
-    return f"array_join(transform(split({m}, ''), (c, i) -> if(c rlike '[A-Za-z0-9]', {char}, c)), '')"
+    own = f"regexp_replace({m}, '[^A-Za-z0-9]', '')"
+    whole = f"concat(substr({own}, 1, greatest(0, length({own}) - length({s}))), {s})"
+    char = f"substr({whole}, aggregate(slice({places}, 1, i + 1), 0, (a, b) -> a + b), 1)"
+    return f"concat(array_join(transform(split({m}, ''), (c, i) -> if(c rlike '[A-Za-z0-9]', {char}, c)), ''), substr({whole}, length({own}) + 1))"
 
 
-def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of `docs` with `text` rewritten, and n_entities, the
-    number of mentions replaced.
+def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
+    """All rows and columns of `docs` with `text` rewritten, and `count_col`, the
+    number of mentions replaced (none: no such column; if `docs` has one of that
+    name, underscores are added to ours).
 
     Entities: e-mail and IP addresses, phone, card, social security and IBAN
     numbers, long hexadecimal secrets, and names of any number of parts after one or
-    more titles. A part of such a name is replaced wherever it stands in the same
-    document with a capital; particles and initials stay. A surrogate
-    depends on the key and the entity alone; the same entity gets the same one in
-    all documents, whatever its case or separators; formats, case, script, a
-    card's Luhn remainder and a name's gender stay. Null and empty texts stay as
-    they are; repeated rows are rewritten alike; null ids are kept.
+    more titles, or after words that introduce one. A part of such a name is replaced
+    wherever it stands in the same document with a capital; particles and initials
+    stay. A surrogate depends on the key and the entity alone; the same entity gets
+    the same one in all documents, whatever its case or separators, a phone number
+    with or without its country code; formats, case, script, a card's Luhn remainder,
+    an IBAN's check and a name's gender stay. Null and empty texts stay as they are;
+    repeated rows are rewritten alike; null ids are kept; an empty table stays empty.
 
     Texts without entities pass in a narrow stage. Only texts with entities, and
     the entities, are shuffled; a mention's entity is one row on its side of the
     join, so a frequent one can be split.
     """
-    extra = "n_entities"
+    extra = count_col or "n_entities"
+    while extra in docs.columns:
+        extra += "_"
     has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
-    cols = [c for c in docs.columns if c != extra]
-    docs = docs.select(*cols)
+    cols = docs.columns
     clean = docs.filter(~has).withColumn(extra, F.lit(0))
     found = docs.filter(has).withColumn("__hash", F.sha2(F.col(text_col), 256)).withColumn("__mentions", _mentions(F.col(text_col)))
     found = materialise(found)
@@ -223,14 +264,15 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
         own = F.try_element_at("__map", F.concat_ws("|", kind, _norm(kind, m)))
         person = F.transform(_words(m), lambda p: F.when(_is_part(p), _own(p)).otherwise(p))
         title = F.regexp_extract(m, rf"^{TITLES} ", 0)
-        whole = F.when(kind == "person", F.concat(title, F.array_join(person, " "))).when(kind == "name", _own(m))
+        whole = F.when(kind.isin("person", "name"), F.concat(title, F.array_join(person, " ")))
         return F.struct(m.alias("m"), kind.alias("kind"), own.alias("s"), whole.alias("person"))
 
     both = both.withColumn("__new", F.transform("__found", written))
     poured = _pour("x.m", "x.s")
     cased = "if(x.m = upper(x.m), upper(x.s), x.s)"
-    out = f"transform(__new, x -> case when x.kind in ('person', 'name') then x.person when x.kind = 'ip' then x.s when x.kind in ('secret', 'email') then {cased} else {poured} end)"
+    out = f"transform(__new, x -> case when x.kind in ('person', 'name') then x.person when x.kind = 'ip' then x.s when x.kind in ('secret', 'email', 'ip6') then {cased} else {poured} end)"
     both = both.withColumn("__out", F.expr(out))
     text = F.expr("array_join(transform(__gaps, (g, i) -> concat(g, coalesce(get(__out, i), ''))), '')")
     changed = both.withColumn(text_col, text).withColumn(extra, F.size("__found"))
-    return clean.unionByName(changed.select(*cols, extra))
+    out = clean.unionByName(changed.select(*cols, extra))
+    return out if count_col else out.drop(extra)

@@ -385,6 +385,43 @@ def test_surrogates_stay_distinct(spark):
         assert len(sur) == len(got) and not sur & {(r["kind"], r["norm"]) for r in got}
 
 
+def test_crowded_surrogates_grow(spark):
+    """All numbers of two digits are taken, so surrogates get longer; none fails."""
+    every = spark.range(100).select(F.explode(F.array(F.lit("phone"), F.lit("ssn"), F.lit("secret"))).alias("kind"), F.lpad(F.col("id").cast("string"), 2, "0").alias("norm"))
+    got = pii.surrogates(every, "k").collect()
+    assert len(got) == 300 == len({(r["kind"], r["surrogate"]) for r in got})
+    assert all(len(r["surrogate"]) > 2 for r in got if r["kind"] != "secret")
+
+
+def test_formats_hold(spark, capsys):
+    texts = [
+        "call +1 (414) 555-1791 or (414) 555-1791 or 414-555-1791, +49 (0)30 1234567 is 030 1234567",
+        "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819",
+        "from 2001:db8::8a2e:370:7334 and fe80:0:0:0:1:2:3:4 at 12:30:45, std::vec",
+        "My name is Anna Lena Berg. Berg said so. Contact: Öz Demir; Ich heiße Jürgen",
+    ]
+    d = spark.createDataFrame([(i, t, -1) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
+    frame = pii.replace_pii(d, key="secret'key\\\\")
+    frame.explain("extended")
+    plan = capsys.readouterr().out
+    own = pii._keys(spark, "secret'key\\\\").first()
+    assert "secret'key" not in plan and own["inner"].hex().upper() not in plan.upper()
+    rows = sorted(frame.collect())
+    assert [r["n_entities"] for r in rows] == [-1] * 4
+    out = [r["text"] for r in rows]
+    a = re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4}) or \((\d{3})\) (\d{3}-\d{4}) or (\d{3})-(\d{3}-\d{4})", out[0]).groups()[::2]
+    assert len(set(a)) == 1 and len(set(re.findall(r"\d{3}-\d{4}", out[0]))) == 1 and "555-1791" not in out[0]
+    one, two = re.search(r"\+49 \(0\)(\d\d) (\d{7})", out[0]).groups()
+    assert out[0].endswith(f"0{one} {two}") and two != "1234567"
+    for x in (re.search(r"DE[\d ]+", out[1])[0], re.search(r"GB\w+", out[1])[0]):
+        x = x.replace(" ", "")
+        assert int("".join(str(int(ch, 36)) for ch in x[4:] + x[:4])) % 97 == 1 and x not in texts[1].replace(" ", "")
+    assert re.fullmatch(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} and [0-9a-f:]+ at 12:30:45, std::vec", out[2]) and "7334" not in out[2]
+    assert not set(re.findall(r"\w+", out[3])) & {"Anna", "Lena", "Berg", "Öz", "Demir", "Jürgen"} and out[3].startswith("My name is ")
+    last = re.match(r"My name is \w+ \w+ (\w+)\. (\w+) said", out[3])
+    assert last[1] == last[2]
+
+
 def test_nearest_examples_are_exact():
     rng, n, v = np.random.default_rng(2), 500, 40
     vectors = [(np.sort(rng.choice(v, rng.integers(0, 6), replace=False)), None) for _ in range(n)]
