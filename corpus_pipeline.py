@@ -47,7 +47,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities in texts get surrogates; all documents stay. n_chars follows the text."""
-    out = replace_pii(docs, key=PII_KEY).drop("n_entities")
+    out = replace_pii(docs, key=PII_KEY, count_col=None)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out
