@@ -36,9 +36,13 @@ def _numbered(texts: str) -> Column:
 
 
 def _simhash(hashes: str) -> Column:
-    return F.expr(
-        f"aggregate(transform(sequence(0, 63), b -> if(2 * aggregate({hashes}, 0, (a, h) -> a + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"
-    )
+    """A bit is 1 if set in over half the hashes. Each of 16 sums counts four bits in lanes
+    of 16 bits; more hashes than these hold are counted bit by bit."""
+    lanes = f"transform(sequence(0, 15), s -> aggregate({hashes}, 0L, (a, h) -> a + (shiftright(h, s) & 281479271743489L)))"
+    bits = f"aggregate(sequence(0, 63), 0L, (a, b) -> if(2 * (shiftright(get(ls, b % 16), 16 * (b div 16)) & 65535L) > n, a | shiftleft(1L, b), a))"
+    fast = f"get(transform(array(struct({lanes} as ls, size({hashes}) as n)), x -> {bits.replace('ls', 'x.ls').replace('> n', '> x.n')}), 0)"
+    slow = f"aggregate(transform(sequence(0, 63), b -> if(2 * aggregate({hashes}, 0, (a, h) -> a + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L)), 0L, (a, x) -> a | x)"
+    return F.expr(f"if(size({hashes}) < 32768, {fast}, {slow})")
 
 
 def benchmark_leaks(
@@ -95,8 +99,10 @@ def benchmark_leaks(
         hits = hits.unionByName(met.select("id", "size", "pos", "n", F.lit(k).alias("k")))
     runs = hits.select("id", "n", "k", F.explode(F.sequence(lowest, highest)).alias("start"))
     starts = materialise(runs.groupBy("id", "n", "k").agg(F.collect_set("start").alias("starts")))
-    found = texts.join(small(starts), "id").select("id", F.xxhash64("words").alias("doc"), "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), "n", "k", "starts")
-    found = materialise(found.dropDuplicates(["id", "doc", "n"]))
+    # Only the texts that were met are split into words again.
+    met = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(starts), "id")
+    met = materialise(met.withColumn("doc", F.xxhash64("text")).dropDuplicates(["id", "doc", "n"]).withColumn("words", words_of(F.col("text"))).drop("text"))
+    found = met.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
     js = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
     block = "cast(shiftright(fp, 8 * j) & 255 as int)"
