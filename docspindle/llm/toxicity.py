@@ -20,6 +20,8 @@ EXAMPLES = 3000
 CHI2, LEAST_DF = 30.0, 5
 #: Examples of a block of the index.
 BLOCK = 64
+#: Blocks that are visited first.
+FIRST = 6
 NEIGHBOURS = 25
 #: Rows that one task scores.
 TASK = 8192
@@ -59,8 +61,7 @@ class Index:
             at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
             top = np.zeros(self.blocks)
             np.maximum.at(top, at // BLOCK, w)
-            starts = np.searchsorted(at // BLOCK, np.arange(self.blocks + 1))
-            self.post[t], self.bound[t] = (at, w, starts), top
+            self.post[t], self.bound[t] = (at, w), top
         empty = [i for i in range(len(rows)) if not len(rows[i][0])]
         total = sum(weights[i] for i in empty)
         self.no_terms = (sum(weights[i] * labels[i] for i in empty) + 0.1) / (total + 1.0)
@@ -80,31 +81,37 @@ class Index:
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the nearest examples, exact; ties to the smaller id.
 
-        Blocks are visited by falling bound until none can hold a nearer example.
+        Blocks of the highest bounds are visited first, and then all whose bound
+        reaches the least of the nearest so far: no other can hold a nearer example.
         """
         known = [(int(x), y) for x, y in zip(t, w) if int(x) in self.post]
         if not known:
             return np.empty(0, int), np.empty(0)
         bound = sum(y * self.bound[x] for x, y in known)
+        at = np.concatenate([self.post[x][0] for x, _ in known])
+        weight = np.concatenate([y * self.post[x][1] for x, y in known])
+        block = at // BLOCK
         got_at, got = np.empty(0, int), np.empty(0)
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for x, y in known:
-                at, wt, starts = self.post[x]
-                s = slice(starts[b], starts[b + 1])
-                score[at[s] - b * BLOCK] += y * wt[s]
+        seen, least = bound <= 0, 0.0
+        # The most promising blocks give a threshold; then all that can reach it, then no more.
+        for most in (FIRST, len(bound)):
+            live = ~seen & (bound >= least - 1e-9)
+            order = np.flatnonzero(live)
+            live[order[np.argsort(-bound[order], kind="stable")[most:]]] = False
+            seen |= live
+            own = live[block]
+            score = np.bincount(at[own], weight[own], len(self.ids))
             hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            got_at, got = np.concatenate([got_at, hit + b * BLOCK]), np.concatenate([got, score[hit]])
+            hit = hit[hit != skip]
+            got_at, got = np.concatenate([got_at, hit]), np.concatenate([got, score[hit]])
             if len(got) > NEIGHBOURS:
-                best = np.lexsort((self.ids[got_at], -np.round(got, 9)))[:NEIGHBOURS]
-                got_at, got = got_at[best], got[best]
+                near = got >= np.partition(got, len(got) - NEIGHBOURS)[len(got) - NEIGHBOURS] - 1e-8
+                got_at, got = got_at[near], got[near]
+            best = np.lexsort((self.ids[got_at], -np.round(got, 9)))[:NEIGHBOURS]
+            got_at, got = got_at[best], got[best]
+            if len(got) == NEIGHBOURS:
                 least = got[-1]
-        best = np.lexsort((self.ids[got_at], -np.round(got, 9)))[:NEIGHBOURS]
-        return got_at[best], got[best]
+        return got_at, got
 
     def vote(self, at: np.ndarray, cos: np.ndarray) -> float:
         """The share of label 1 among the neighbours, by closeness and by how many rows each stands for."""
