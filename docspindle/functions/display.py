@@ -130,9 +130,9 @@ def rule_value(normalised: Column, rules: dict[str, list[str]], default: str) ->
     return out
 
 
-# Purposes of documents.
+# Purposes of documents; a deployment adds the names of its own systems.
 PURPOSES = {
     "instrucciones": ["instruccion", "paso", "curl", "docker", "endpoint", "api", "upload", "autorizacion", "authorization", "token"],
-    "sistema": ["auradb", "pipeline", "sistema", "plataforma", "backend", "frontend"],
+    "sistema": ["pipeline", "sistema", "plataforma", "backend", "frontend"],
     "análisis": ["analisis", "analiza", "conclusion", "resumen", "evaluacion", "diagnostico"],
 }

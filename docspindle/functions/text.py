@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """`df` with `cols`, each evaluated once a row: as rows of a generator they are neither
+    repeated in the expressions that read them nor in filters that move below them."""
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once, however often `use` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm(text: Column) -> Column:
     """Lower case without accents, runs of other than letters and digits as one space."""
     folded = F.translate(F.lower(F.trim(text)), lx.FOLD_FROM, lx.FOLD_TO)
@@ -69,27 +83,31 @@ def definition_like(normalised: Column, words: list[str]) -> Column:
 
 def quality(text: Column) -> Column:
     """0 to 100: the share of good words, less penalties, all in whole numbers."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$""", ""))
-    n = F.size(words)
+    def score(bare: Column) -> Column:
+        n = F.size(bare)
 
-    def count(test) -> Column:
-        return F.size(F.filter(bare, test))
+        def count(test) -> Column:
+            return F.size(F.filter(bare, test))
 
-    def letter(w: Column) -> Column:
-        return w.rlike(r"\p{L}")
+        def letter(w: Column) -> Column:
+            return w.rlike(r"\p{L}")
 
-    def lower(w: Column) -> Column:
-        return (w == F.lower(w)) & letter(w)
+        def lower(w: Column) -> Column:
+            return (w == F.lower(w)) & letter(w)
 
-    good = count(lambda w: (F.length(w) >= 3) & letter(w))
-    short = count(lambda w: (F.length(w) <= 2) & lower(w))
-    endless = count(lambda w: (F.length(w) >= 18) & lower(w))
-    joined = F.array_join(bare, "")
-    letters, runes = F.length(F.regexp_replace(joined, r"[^\p{L}]", "")), F.length(joined)
-    few = F.when((runes > 0) & (F.floor(letters * 100 / runes) < 55), 15).otherwise(0)
-    score = F.floor(good * 100 / n) - F.floor(short * 35 / n) - endless * 3 - few
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+        good = count(lambda w: (F.length(w) >= 3) & letter(w))
+        short = count(lambda w: (F.length(w) <= 2) & lower(w))
+        endless = count(lambda w: (F.length(w) >= 18) & lower(w))
+        joined = F.array_join(bare, "")
+        letters, runes = F.length(F.regexp_replace(joined, r"[^\p{L}]+", "")), F.length(joined)
+        few = F.when((runes > 0) & (F.floor(letters * 100 / runes) < 55), 15).otherwise(0)
+        return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(good * 100 / n) - F.floor(short * 35 / n) - endless * 3 - few))
+
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    marks = r"""[.,;:!?()\[\]{}"']"""
+    # Few words have marks at their ends; the others are bare as they are.
+    bare = F.transform(words, lambda w: F.when(w.rlike(f"^{marks}|{marks}$"), F.regexp_replace(w, f"^{marks}+|{marks}+$", "")).otherwise(w))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(let(bare, score)).cast("int")
 
 
 def clean_line(line: Column) -> Column:
@@ -113,27 +131,53 @@ def ascii_boundary(pattern: str) -> str:
     return pattern.replace(r"\b", edge).replace("(?im)", "(?imd)")
 
 
+def redacted(text: Column) -> Column:
+    """struct(text, n): the text without secrets, and how many were replaced; each pattern
+    sees what the ones before left. A pattern is tried where the text holds a part it needs."""
+    def step(p: str, parts: list[str]) -> Callable[[Column, Column], Column]:
+        def one(x: Column, low: Column) -> Column:
+            found = let(F.regexp_count(x["text"], F.lit(p)), lambda n: F.when(n > 0, F.struct(F.regexp_replace(x["text"], p, lx.REDACTED).alias("text"), (x["n"] + n).alias("n"))).otherwise(x))
+            return F.when(contains_any(low, parts), found).otherwise(x) if parts else found
+
+        return one
+
+    steps = [step(ascii_boundary(p), parts) for p, parts in zip(lx.SECRET_PATTERNS, lx.SECRET_PARTS, strict=True)]
+
+    def chain(text: Column, low: Column) -> Column:
+        # Spark counts a function's parameters, so each step is bound to its own.
+        def bound(one) -> Callable[[Column], Column]:
+            return lambda x: one(x, low)
+
+        return reduce(lambda out, one: let(out, bound(one)), steps, F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+    def whole(t: Column) -> Column:
+        return F.when(F.trim(t) == "", F.struct(t.alias("text"), F.lit(0).alias("n"))).otherwise(let(F.lower(t), lambda low: chain(t, low)))
+
+    return let(text, whole)
+
+
 def redact(text: Column) -> tuple[Column, Column]:
-    """The text without secrets, and how many were replaced; each pattern sees what the ones before left."""
-    count = F.lit(0)
-    out = text
-    for p in map(ascii_boundary, lx.SECRET_PATTERNS):
-        count = count + F.regexp_count(out, F.lit(p))
-        out = F.regexp_replace(out, p, lx.REDACTED)
-    blank = F.trim(text) == ""
-    return F.when(blank, text).otherwise(out), F.when(blank, 0).otherwise(count)
+    """The text without secrets, and how many were replaced, as two columns; `redacted` gives both at once."""
+    both = redacted(text)
+    return both["text"], both["n"]
 
 
-def has_credentials(text: Column) -> Column:
-    return text.rlike(ascii_boundary(lx.CREDENTIAL_PATTERN)) | text.contains(lx.REDACTED) | contains_any(norm(text), lx.CREDENTIAL_PHRASES)
+def has_credentials(text: Column, normalised: Column | None = None) -> Column:
+    phrases = let(norm(text) if normalised is None else normalised, lambda n: contains_any(n, lx.CREDENTIAL_PHRASES))
+    named = let(F.lower(text), lambda low: contains_any(low, lx.CREDENTIAL_PARTS)) & text.rlike(ascii_boundary(lx.CREDENTIAL_PATTERN))
+    return named | text.contains(lx.REDACTED) | phrases
 
 
 def content_type(normalised: Column) -> Column:
     """technical, table or narrative, by words of the normalised text."""
-    words = tokens(normalised)
-    technical = any_of([F.array_contains(words, w) for w in lx.TECHNICAL_WORDS]) | contains_any(normalised, lx.TECHNICAL_PARTS)
-    table = any_of([F.array_contains(words, w) for w in lx.TABLE_WORDS])
-    return F.when(technical, "technical").when(table, "table").otherwise("narrative")
+    def kind(padded: Column) -> Column:
+        def words(names: list[str]) -> Column:
+            return contains_any(padded, [f" {w} " for w in names])
+
+        technical = words(lx.TECHNICAL_WORDS) | contains_any(padded, lx.TECHNICAL_PARTS)
+        return F.when(technical, "technical").when(words(lx.TABLE_WORDS), "table").otherwise("narrative")
+
+    return let(F.concat(F.lit(" "), normalised, F.lit(" ")), kind)
 
 
 # Line classifiers

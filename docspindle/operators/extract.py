@@ -92,7 +92,8 @@ def grounding(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     def long_terms(c: str) -> Column:
         return F.filter(tx.terms(tx.norm(F.col(c))), lambda w: F.length(w) >= 5)
 
-    both = answers.join(contexts, "document_id").withColumn("checked", long_terms("answer")).withColumn("missing", F.array_except(long_terms("answer"), long_terms("context")))
+    both = tx.once(answers.join(contexts, "document_id"), checked=long_terms("answer"), known=long_terms("context"))
+    both = tx.once(both, missing=F.array_except("checked", "known"))
     n, m = F.size("checked"), F.size("missing")
     bad = F.when(n < 8, m >= 5).otherwise((m >= 6) & (m / n >= 0.38))
     return both.select("document_id", n.alias("n_terms"), m.alias("n_missing"), bad.alias("unsupported"))

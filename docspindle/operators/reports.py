@@ -10,9 +10,8 @@ from ..functions import text as tx
 
 def profiles(texts: DataFrame) -> DataFrame:
     """document_id, kind, credentials, quality, readable from (document_id, text)."""
-    n = texts.withColumn("norm", tx.norm(F.col("text")))
-    quality = tx.quality(F.substring("text", 1, 6000))
-    return n.select("document_id", tx.content_type(F.col("norm")).alias("kind"), tx.has_credentials(F.col("text")).alias("credentials"), quality.alias("quality"), (quality >= 45).alias("readable"))
+    n = tx.once(texts, norm=tx.norm(F.col("text")), quality=tx.quality(F.substring("text", 1, 6000)))
+    return n.select("document_id", tx.content_type(F.col("norm")).alias("kind"), tx.has_credentials(F.col("text"), F.col("norm")).alias("credentials"), "quality", (F.col("quality") >= 45).alias("readable"))
 
 
 def overview(profiles_: DataFrame, by: str) -> DataFrame:

@@ -36,8 +36,11 @@ def global_search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
 
 
 def prepared(chunks: DataFrame) -> DataFrame:
-    """With `norm` and `words`, which all scores read; stored once, they save most of the work."""
-    return chunks.withColumn("norm", tx.norm(F.col("content"))).withColumn("words", tx.tokens(F.col("norm")))
+    """With `norm` and `words`, which all scores read, evaluated once a row; chunks stored
+    with both come as they are."""
+    if {"norm", "words"} <= set(chunks.columns):
+        return chunks
+    return tx.once(tx.once(chunks, norm=tx.norm(F.col("content"))), words=tx.tokens(F.col("norm")))
 
 
 def topic_count(t: Topic) -> Column:
@@ -181,13 +184,13 @@ def hybrid_scores(chunks: DataFrame, query: str, vector: list[float]) -> DataFra
     """Strict tier: vector and keyword scores by the query's weights, boosts and penalties, above the thresholds."""
     i, t, precise = intent(query), topic(query), precision(query)
     by_vector, by_text = weights(query)
-    found = prepared(chunks).withColumn("text_score", keyword_score(i))
+    found = tx.once(prepared(chunks), text_score=keyword_score(i))
     found = found.filter(F.col("text_score") >= lx.MIN_TEXT)
     q = F.array(*[F.lit(float(x)) for x in vector])
-    found = found.withColumn("vector_score", tx.cosine(F.col("embedding"), q))
+    found = tx.once(found, vector_score=tx.cosine(F.col("embedding"), q))
     final = F.col("vector_score") * by_vector + F.col("text_score") * by_text + entity_boost(i) + question_boost(i) + topic_boost(t)
     final = final * length_penalty(i, F.col("text_score")) * section_penalty(query) * focus_penalty(i, t)
-    return found.withColumn("score", final).filter(F.col("score") >= (lx.MIN_PRECISION if precise else lx.MIN_FINAL))
+    return tx.once(found, score=final).filter(F.col("score") >= (lx.MIN_PRECISION if precise else lx.MIN_FINAL))
 
 
 def final_order(query: str) -> list[Column]:
@@ -205,7 +208,7 @@ def relaxed_scores(chunks: DataFrame, query: str) -> DataFrame:
         found = found.filter((F.col("norm").contains(i.phrase) | near) if i.phrase else near)
     score = relaxed_score(i) + (F.when(F.col("norm").contains(i.entity), 0.45).otherwise(0.0) if i.filters_entity else F.lit(0.0))
     score = (score + entity_boost(i) + question_boost(i) + topic_boost(t)) * (focus_penalty(i, t) if t.enabled else F.lit(1.0))
-    return found.withColumn("score", score).filter("score >= 0.08")
+    return tx.once(found, score=score).filter("score >= 0.08")
 
 
 def overlap_score(i: Intent) -> Column:
@@ -223,7 +226,8 @@ def overlap_score(i: Intent) -> Column:
 def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int = 3, pool: int = 200) -> DataFrame:
     """Strict results; without any the two best relaxed ones; without any the best by term overlap."""
     by_score = [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")]
-    overlap = prepared(chunks).withColumn("score", overlap_score(intent(query))).filter("score > 0")
+    chunks = prepared(chunks)
+    overlap = tx.once(chunks, score=overlap_score(intent(query))).filter("score > 0")
     tiers = [(hybrid_scores(chunks, query, vector), final_order(query), k), (relaxed_scores(chunks, query), by_score, 2), (overlap, by_score, k)]
     for found, order, most in tiers:
         kept = first_distinct(found, order, most, pool, [*POSITION, "content", "norm", "score"])
@@ -270,36 +274,40 @@ def drop_near_copies(chunks: DataFrame, order: list[str], by: list[str] | None =
     return grouped.select(F.explode(kept).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in chunks.columns])
 
 
-def structure_score(content: Column, index: Column) -> Column:
-    lines = F.split(content, "\n")
+def structure_score(content: Column, headings: Column, index: Column) -> Column:
+    """From the content, whether each of its lines is a heading, and its place."""
     size = F.length(content)
-    first, second = F.element_at(lines, 1), F.when(F.size(lines) > 1, F.try_element_at(lines, F.lit(2)))
-    headings = F.size(F.filter(lines, tx.heading))
     return (
         0.3
-        + F.when(tx.heading(first), 2.4).otherwise(0.0)
-        + F.when(F.coalesce(tx.heading(second), F.lit(False)), 1.1).otherwise(0.0)
+        + F.when(F.get(headings, F.lit(0)), 2.4).otherwise(0.0)
+        + F.when(F.coalesce(F.get(headings, F.lit(1)), F.lit(False)), 1.1).otherwise(0.0)
         + F.when(content.contains(":"), 0.35).otherwise(0.0)
         + F.when(content.contains("Hoja:") | content.contains("Columnas:"), 1.25).otherwise(0.0)
         + F.when(content.contains("Total de filas de datos:"), 0.75).otherwise(0.0)
         + F.when(content.contains("\n- ") | content.contains("\n•"), 0.4).otherwise(0.0)
         + F.when(index < 8, 0.6).otherwise(0.0)
         + F.when(size < 80, 0.2).when(size <= 550, 0.8).when(size > 900, -0.4).otherwise(0.0)
-        + headings * 0.25
+        + F.size(F.filter(headings, lambda h: h)) * 0.25
     )
 
 
 def structure_scores(chunks: DataFrame) -> DataFrame:
     """Chunks without noise lines, scored by how much they look like an outline."""
-    lines = F.transform(F.split(tx.clean_text(F.col("content")), "\n"), lambda x: F.trim(x))
-    kept = F.filter(lines, lambda x: (tx.norm(x) != "") & ~tx.contains_any(tx.norm(x), lx.STRUCTURE_NOISE))
-    first = F.filter(kept, lambda x, i: ~F.exists(F.slice(kept, 1, i), lambda y: tx.norm(y) == tx.norm(x)))
-    out = chunks.withColumn("content", F.array_join(first, "\n")).filter("content <> ''")
-    return out.withColumn("score", structure_score(F.col("content"), F.col("chunk_index"))).filter("score > 0")
+    lines = F.transform(F.split(tx.clean_text(F.col("content")), "\n"), lambda x: F.struct(F.trim(x).alias("line"), tx.norm(F.trim(x)).alias("norm")))
+    found = tx.once(chunks, __lines=lines)
+    kept = F.filter("__lines", lambda x: (x["norm"] != "") & ~tx.contains_any(x["norm"], lx.STRUCTURE_NOISE))
+    found = tx.once(found, __lines=kept)
+    # Of equal lines the first.
+    first = tx.let(F.col("__lines.norm"), lambda norms: F.filter("__lines", lambda x, i: F.array_position(norms, x["norm"]) == i + 1))
+    found = tx.once(found, __lines=first["line"])
+    found = tx.once(found, content=F.array_join("__lines", "\n")).filter("content <> ''")
+    found = tx.once(found, __headings=F.transform(F.split("content", "\n"), tx.heading))
+    found = tx.once(found, score=structure_score(F.col("content"), F.col("__headings"), F.col("chunk_index")))
+    return found.filter("score > 0").select(*chunks.columns, "score")
 
 
 def structure_search(chunks: DataFrame, k: int = 6, pool: int = 200) -> DataFrame:
-    found = structure_scores(chunks).withColumn("norm", tx.norm(F.col("content")))
+    found = tx.once(structure_scores(chunks), norm=tx.norm(F.col("content")))
     return first_distinct(found, [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")], k, pool, found.columns).orderBy(*POSITION)
 
 

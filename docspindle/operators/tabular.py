@@ -9,15 +9,14 @@ from ..functions import text as tx
 
 
 def column_letters(n: Column) -> Column:
-    """1 is A, 26 Z, 27 AA, up to ZZZ."""
-    letter = lambda x: F.chr(65 + x.cast("int"))
-    one, two = n - 1, n - 27
-    three = n - 703
-    return (
-        F.when(n <= 26, letter(one))
-        .when(n <= 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
-        .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
-    )
+    """1 is A, 26 Z, 27 AA, and so on, up to 12 letters; numbers below 1 have none."""
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("text"))
+
+    def step(x: Column, _: Column) -> Column:
+        last = F.chr(65 + (x["left"] - 1) % 26)
+        return F.when(x["left"] > 0, F.struct(F.floor((x["left"] - 1) / 26).alias("left"), F.concat(last, x["text"]).alias("text"))).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step, lambda x: x["text"])
 
 
 def row_line(number: Column, headers: list[str], values: list[Column]) -> Column:

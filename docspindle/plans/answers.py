@@ -47,7 +47,7 @@ def field_values(s, sf):
 
 
 def column_names(s, sf):
-    return table(s, sf, "part").select("p_partkey").filter("p_partkey <= 18278").select("p_partkey", tb.column_letters(F.col("p_partkey")).alias("letters"))
+    return table(s, sf, "part").select("p_partkey", tb.column_letters(F.col("p_partkey")).alias("letters"))
 
 
 def headers(s, sf):
@@ -86,9 +86,10 @@ def term_ranking(s, sf):
 
 
 def grounding(s, sf):
+    """Each text as an answer, on the text that follows it as its context."""
     d = docs(s, sf)
-    a = d.select("document_id", F.substring("text", 1, 400).alias("answer"))
-    c = d.select("document_id", F.substring("text", 201, 600).alias("context"))
+    a = d.select("document_id", F.col("text").alias("answer"))
+    c = d.select((F.col("document_id") - 1).alias("document_id"), F.col("text").alias("context"))
     return ex.grounding(a, c)
 
 
@@ -164,7 +165,8 @@ _EDGES = f"""SELECT document_id, key, pages FROM (
   WHERE (a <= 2 OR z <= 2) AND key <> '' GROUP BY ALL) JOIN (SELECT document_id, count(DISTINCT page) AS n FROM ({_PAGES}) GROUP BY ALL) USING (document_id)
   WHERE pages >= CASE WHEN n >= 4 THEN CAST(ceil(n / 2) AS BIGINT) ELSE 2 END"""
 _LT = "list_filter(" + sql_terms("{n}") + ", lambda w: len(w) >= 5)"
-_GROUND = f"""WITH a AS (SELECT document_id, {_LT.format(n=sql_norm('left(text, 400)'))} AS x, {_LT.format(n=sql_norm('substr(text, 201, 600)'))} AS y FROM ({DOCS})),
+_GROUND = f"""WITH l AS (SELECT document_id, {_LT.format(n=sql_norm('text'))} AS x FROM ({DOCS})),
+  a AS (SELECT l.document_id, l.x, c.x AS y FROM l JOIN l AS c ON c.document_id = l.document_id + 1),
   b AS (SELECT document_id, len(x) AS n, len(list_filter(x, lambda w: NOT list_contains(y, w))) AS m FROM a)
   SELECT document_id, n AS n_terms, m AS n_missing, CASE WHEN n < 8 THEN m >= 5 ELSE m >= 6 AND m / n >= 0.38 END AS unsupported FROM b"""
 
@@ -193,8 +195,9 @@ QUERIES = {
     "table_filter": (table_filter, f"SELECT document_id, row, v AS value FROM ({_LINES}) WHERE v > 9000"),
     "table_rows": (table_rows, f"SELECT document_id, count(*) AS rows FROM ({_LINES}) GROUP BY document_id"),
     "field_values": (field_values, f"SELECT row, c_mktsegment AS value FROM ({_LINES})"),
-    "column_letters": (column_names, """SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr(CAST(64 + p_partkey AS INTEGER)) WHEN p_partkey <= 702 THEN chr(CAST(65 + (p_partkey - 27) // 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 27) % 26 AS INTEGER))
-      ELSE chr(CAST(65 + (p_partkey - 703) // 676 AS INTEGER)) || chr(CAST(65 + (p_partkey - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 703) % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey <= 18278"""),
+    "column_letters": (column_names, """SELECT p_partkey, CASE WHEN p_partkey < 1 THEN '' WHEN p_partkey <= 26 THEN chr(CAST(64 + p_partkey AS INTEGER)) WHEN p_partkey <= 702 THEN chr(CAST(65 + (p_partkey - 27) // 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 27) % 26 AS INTEGER))
+      WHEN p_partkey > 18278 THEN chr(CAST(65 + (p_partkey - 18279) // 17576 AS INTEGER)) || chr(CAST(65 + (p_partkey - 18279) // 676 % 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 18279) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 18279) % 26 AS INTEGER))
+      ELSE chr(CAST(65 + (p_partkey - 703) // 676 AS INTEGER)) || chr(CAST(65 + (p_partkey - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 703) % 26 AS INTEGER)) END AS letters FROM part"""),
     "header_rows": (headers, "SELECT c_custkey, c_custkey % 2 <> 0 AS header FROM customer"),
     "definition_answers": (definition_answers, _best(f"{_SCORE} + CASE WHEN {_DEF} THEN 2.0::DOUBLE ELSE 0 END", 2.0)),
     "person_answers": (person_answers, _best(f"{_SCORE} + CASE WHEN regexp_matches(sentence, '{ex.PERSON}') THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN {sql_any('norm', ['dirigido', 'responsable', 'autor', 'nombre'])} THEN 1.0::DOUBLE ELSE 0 END", 3.0)),

@@ -55,17 +55,17 @@ def scope_ids(s, sf):
 
 def embedded_chunks(s, sf):
     v = table(s, sf, "embeddings").select(F.col("vec_id").alias("document_id"), "label")
-    return chunks(s, sf).filter("chunk_index = 0").join(v, "document_id").select("document_id", "chunk_id", "label")
+    return chunks(s, sf).join(v, "document_id").select("document_id", "chunk_id", "label")
 
 
 def upserted(s, sf):
     base = docs(s, sf).select("document_id", "collection_id")
-    rows = base.filter("document_id % 10 = 0").select("document_id", F.lit("movida").alias("collection_id"))
+    rows = favorites(s, sf).join(base.select("document_id"), "document_id").select("document_id", F.lit("movida").alias("collection_id"))
     return cat.upsert(base, rows, ["document_id"])
 
 
 def inserted_missing(s, sf):
-    base = docs(s, sf).filter("document_id % 2 = 0").select("document_id", "collection_id")
+    base = docs(s, sf).join(favorites(s, sf), "document_id", "left_semi").select("document_id", "collection_id")
     rows = docs(s, sf).select("document_id", F.lit("nueva").alias("collection_id"))
     return cat.insert_missing(base, rows, ["document_id"])
 
@@ -103,8 +103,7 @@ def topic_flags(s, sf):
 
 
 def quota_selection(s, sf):
-    c = chunks(s, sf).filter("tenant_id = 'es'")
-    return sel.quota(c, 20, ["document_id", "chunk_index"]).select("document_id", "chunk_index")
+    return sel.quota(chunks(s, sf), 20, ["document_id", "chunk_index"]).select("document_id", "chunk_index")
 
 
 def _scored(s, sf):
@@ -112,7 +111,7 @@ def _scored(s, sf):
 
 
 def coverage_selection(s, sf):
-    return sel.coverage(_scored(s, sf).filter("collection_id = 'src4'"), 2, 20).select("document_id", "chunk_index", "score")
+    return sel.coverage(_scored(s, sf), 2, 20).select("document_id", "chunk_index", "score")
 
 
 def document_limit(s, sf):
@@ -120,8 +119,9 @@ def document_limit(s, sf):
 
 
 def priority_union(s, sf):
-    a = chunks(s, sf).filter("chunk_index < 2").select("document_id", "chunk_index", F.lit(1.0).alias("score"))
-    b = chunks(s, sf).filter("chunk_index < 4").select("document_id", "chunk_index", F.lit(0.5).alias("score"))
+    """What holds one word before what holds another."""
+    a = chunks(s, sf).filter(F.col("content").contains("thing")).select("document_id", "chunk_index", F.lit(1.0).alias("score"))
+    b = chunks(s, sf).filter(F.col("content").contains("the")).select("document_id", "chunk_index", F.lit(0.5).alias("score"))
     return sel.union_by_priority(a, b, ["document_id", "chunk_index"]).select("document_id", "chunk_index", "score", "priority")
 
 
@@ -173,9 +173,9 @@ QUERIES = {
     "tagged_documents": (tagged_documents, f"SELECT document_id, tenant_id, 'toxic' AS tag FROM ({DOCS}) WHERE document_id IN ({_TOX})"),
     "favorite_documents": (favorite_documents, f"SELECT document_id, tenant_id FROM ({DOCS}) WHERE document_id IN ({_FAV})"),
     "scope_ids": (scope_ids, f"SELECT document_id FROM ({DOCS}) WHERE tenant_id = 'en' AND document_id IN ({_FAV}) AND document_id IN ({_TOX})"),
-    "embedded_chunks": (embedded_chunks, f"SELECT document_id, chunk_id, label FROM ({CHUNKS}) JOIN embeddings ON vec_id = document_id WHERE chunk_index = 0"),
-    "upserted_rows": (upserted, f"SELECT document_id, CASE WHEN document_id % 10 = 0 THEN 'movida' ELSE collection_id END AS collection_id FROM ({DOCS})"),
-    "inserted_missing": (inserted_missing, f"SELECT document_id, CASE WHEN document_id % 2 = 0 THEN collection_id ELSE 'nueva' END AS collection_id FROM ({DOCS})"),
+    "embedded_chunks": (embedded_chunks, f"SELECT document_id, chunk_id, label FROM ({CHUNKS}) JOIN embeddings ON vec_id = document_id"),
+    "upserted_rows": (upserted, f"SELECT document_id, CASE WHEN document_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'movida' ELSE collection_id END AS collection_id FROM ({DOCS})"),
+    "inserted_missing": (inserted_missing, f"SELECT document_id, CASE WHEN document_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN collection_id ELSE 'nueva' END AS collection_id FROM ({DOCS})"),
     "deleted_keys": (deleted_tags, f"SELECT document_id FROM ({DOCS}) WHERE document_id NOT IN ({_TOX})"),
     "catalog_totals": (catalog_totals, f"SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, CAST(sum(len(content)) AS BIGINT) AS characters, CAST(sum(len(content)) // count(*) AS BIGINT) AS mean_length FROM ({CHUNKS})"),
     "chunk_counts": (chunk_counts, f"SELECT document_id, count(*) AS chunks, count(*) FILTER (trim(content) = '') AS blank FROM ({CHUNKS}) GROUP BY ALL"),
@@ -183,15 +183,15 @@ QUERIES = {
     "document_texts": (document_texts, f"SELECT document_id, len(t) AS n, md5(t) AS text FROM (SELECT document_id, left(string_agg(trim(content), chr(10) ORDER BY chunk_index), 6000) AS t FROM ({CHUNKS}) WHERE trim(content) <> '' GROUP BY document_id)"),
     "collection_languages": (collection_languages, f"SELECT collection_id, string_agg(DISTINCT tenant_id, ',' ORDER BY tenant_id) AS tenants, count(*) AS documents FROM ({DOCS}) GROUP BY collection_id"),
     "topic_flags": (topic_flags, f"SELECT document_id, hit, bool_or(hit) OVER (PARTITION BY collection_id) AS found FROM (SELECT *, contains(text, 'thble') AS hit FROM ({DOCS}))"),
-    "quota_selection": (quota_selection, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS own FROM ({CHUNKS}) WHERE tenant_id = 'es'),
+    "quota_selection": (quota_selection, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS own FROM ({CHUNKS})),
       d AS (SELECT greatest(1, 20 // count(DISTINCT document_id)) AS each FROM c)
       SELECT document_id, chunk_index FROM c, d ORDER BY own > each, document_id, chunk_index LIMIT 20"""),
-    "coverage_selection": (coverage_selection, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_index, chunk_id) AS own FROM ({_SC}) WHERE collection_id = 'src4')
+    "coverage_selection": (coverage_selection, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_index, chunk_id) AS own FROM ({_SC}))
       SELECT document_id, chunk_index, score FROM c ORDER BY own > 2, CASE WHEN own <= 2 THEN document_id END, CASE WHEN own <= 2 THEN own END, score DESC, chunk_index, chunk_id, document_id LIMIT 20"""),
     "document_limit": (document_limit, f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_index) AS own FROM ({_SC})),
       d AS (SELECT document_id, row_number() OVER (ORDER BY score DESC, document_id, chunk_index) AS place FROM c WHERE own = 1 ORDER BY place LIMIT 5)
       SELECT document_id, chunk_index, score FROM c JOIN d USING (document_id) WHERE own <= 20 ORDER BY own > 1, place, own LIMIT 20"""),
-    "priority_union": (priority_union, f"SELECT document_id, chunk_index, CASE WHEN chunk_index < 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE WHEN chunk_index < 2 THEN 0 ELSE 1 END AS priority FROM ({CHUNKS}) WHERE chunk_index < 4"),
+    "priority_union": (priority_union, f"SELECT document_id, chunk_index, CASE WHEN contains(content, 'thing') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE WHEN contains(content, 'thing') THEN 0 ELSE 1 END AS priority FROM ({CHUNKS}) WHERE contains(content, 'thing') OR contains(content, 'the')"),
     "first_of_scope": (first_of_scope, f"SELECT chunk_id FROM ({CHUNKS}) WHERE tenant_id = 'fr' ORDER BY document_id, chunk_index LIMIT 30"),
     "newest_rows": (newest_documents, "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "repeated_lines": (without_repeated_lines, f"SELECT document_id, count(*) AS kept FROM (SELECT document_id, n, lag(n) OVER (PARTITION BY document_id ORDER BY chunk_index) AS b FROM (SELECT *, {_N} AS n FROM ({CHUNKS}))) WHERE b IS NULL OR b <> n GROUP BY document_id"),

@@ -113,7 +113,7 @@ def context_by_hits(s, sf):
 
 def entity_first(s, sf):
     n = tx.norm(F.col("content"))
-    c = chunks(s, sf).filter("collection_id = 'src8'").withColumn("hit", n.contains("thble"))
+    c = chunks(s, sf).withColumn("hit", n.contains("thble"))
     return c.orderBy(F.desc("hit"), "document_id", "chunk_index").limit(25).select("chunk_id", "hit")
 
 
@@ -225,7 +225,7 @@ QUERIES = {
     "section_scores": (section_scores, _SECTIONS),
     "section_search": (section_search, None),
     "context_by_hits": (context_by_hits, f"SELECT chunk_id, hits FROM (SELECT *, {' + '.join(f'CASE WHEN contains({_CN}, {chr(39)}{w}{chr(39)}) THEN 1 ELSE 0 END' for w in global_terms(QUERY))} AS hits FROM ({CHUNKS})) ORDER BY hits DESC, document_id, chunk_index LIMIT 20"),
-    "entity_first": (entity_first, f"SELECT chunk_id, hit FROM (SELECT *, contains({_CN}, 'thble') AS hit FROM ({CHUNKS}) WHERE collection_id = 'src8') ORDER BY hit DESC, document_id, chunk_index LIMIT 25"),
+    "entity_first": (entity_first, f"SELECT chunk_id, hit FROM (SELECT *, contains({_CN}, 'thble') AS hit FROM ({CHUNKS})) ORDER BY hit DESC, document_id, chunk_index LIMIT 25"),
     "snippets": (snippets, _SNIP),
     "phrase_filter": (phrase_filter, f"SELECT chunk_id FROM ({CHUNKS}) WHERE content ILIKE '%thing%' OR content ILIKE '%attion%'"),
 }

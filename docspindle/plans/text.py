@@ -51,17 +51,18 @@ def clean_lines(s, sf):
     return docs(s, sf).select("document_id", F.md5(tx.clean_text(F.col("text"))).alias("clean"))
 
 
-def redaction(s, sf):
+def _redacted(s, sf):
+    """Whole texts with a secret added."""
     pick = F.element_at(F.array(*[F.lit(x) for x in SECRETS]), (F.col("document_id") % len(SECRETS) + 1).cast("int"))
-    text = docs(s, sf).withColumn("t", F.concat(F.substring("text", 1, 500), F.lit("\n"), pick))
-    out, n = tx.redact(F.col("t"))
-    return text.select("document_id", F.md5(out).alias("text"), n.cast("int").alias("n"))
+    return tx.once(docs(s, sf), r=tx.redacted(F.concat("text", F.lit("\n"), pick)))
+
+
+def redaction(s, sf):
+    return _redacted(s, sf).select("document_id", F.md5("r.text").alias("text"), F.col("r.n").alias("n"))
 
 
 def redaction_totals(s, sf):
-    pick = F.element_at(F.array(*[F.lit(x) for x in SECRETS]), (F.col("document_id") % len(SECRETS) + 1).cast("int"))
-    _, n = tx.redact(F.concat(F.lit("x\n"), pick))
-    return docs(s, sf).select("tenant_id", n.alias("n")).groupBy("tenant_id").agg(F.sum("n").alias("redactions"))
+    return _redacted(s, sf).groupBy("tenant_id").agg(F.sum("r.n").alias("redactions"))
 
 
 def credential_hints(s, sf):
@@ -197,8 +198,8 @@ QUERIES = {
       SELECT document_id, t, len(list_intersect(t, ['the', 'of', 'thing', 'on', 'at'])) AS i FROM (SELECT document_id, {sql_terms(sql_norm('text'))} AS t FROM ({DOCS})))"""),
     "text_quality": (text_quality, QUALITY_SQL),
     "clean_lines": (clean_lines, CLEAN_SQL),
-    "redaction": (redaction, f"SELECT document_id, md5(t) AS text, CAST(n AS INTEGER) AS n FROM ({_staged_redact(f'SELECT document_id, left(text, 500) || chr(10) || {_PICK} AS t FROM ({DOCS})')})"),
-    "redaction_totals": (redaction_totals, f"SELECT tenant_id, CAST(sum(n) AS BIGINT) AS redactions FROM ({_staged_redact(f'SELECT tenant_id, chr(120) || chr(10) || {_PICK} AS t FROM ({DOCS})')}) GROUP BY tenant_id"),
+    "redaction": (redaction, f"SELECT document_id, md5(t) AS text, CAST(n AS INTEGER) AS n FROM ({_staged_redact(f'SELECT document_id, text || chr(10) || {_PICK} AS t FROM ({DOCS})')})"),
+    "redaction_totals": (redaction_totals, f"SELECT tenant_id, CAST(sum(n) AS BIGINT) AS redactions FROM ({_staged_redact(f'SELECT tenant_id, text || chr(10) || {_PICK} AS t FROM ({DOCS})')}) GROUP BY tenant_id"),
     "credential_hints": (credential_hints, f"SELECT document_id, regexp_matches(text, '{_CREDENTIAL}') OR contains(text, '{lx.REDACTED}') OR contains(n, 'bearer token') OR contains(n, 'authorization bearer') OR contains(n, 'client secret') OR contains(n, 'api key') AS credentials FROM (SELECT *, {sql_norm('text')} AS n FROM ({DOCS}))"),
     "content_types": (content_types, f"""SELECT document_id, CASE WHEN len(list_intersect(w, [{quoted(lx.TECHNICAL_WORDS)}])) > 0 OR {' OR '.join(f"contains(n, '{x}')" for x in lx.TECHNICAL_PARTS)} THEN 'technical'
       WHEN len(list_intersect(w, [{quoted(lx.TABLE_WORDS)}])) > 0 THEN 'table' ELSE 'narrative' END AS kind FROM (SELECT document_id, n, {sql_tokens('n')} AS w FROM (SELECT document_id, {sql_norm('left(text, 12000)')} AS n FROM ({DOCS})))"""),
