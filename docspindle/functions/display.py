@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lexicon as lx
 from . import text as tx
 
 # Lines and phrases that answers don't show.
@@ -136,3 +137,12 @@ PURPOSES = {
     "sistema": ["pipeline", "sistema", "plataforma", "backend", "frontend"],
     "análisis": ["analisis", "analiza", "conclusion", "resumen", "evaluacion", "diagnostico"],
 }
+
+
+def without_forbidden(text: Column) -> Column:
+    """Without expressions that speak of the machinery; one space between words, one blank line at most."""
+    out = text
+    for p in map(tx.ascii_boundary, lx.FORBIDDEN):
+        out = F.regexp_replace(out, p, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]{2,}", " "), r"(?m)^[ \t]+", "")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

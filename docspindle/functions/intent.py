@@ -54,7 +54,7 @@ def query_type(query: str) -> str:
     q = norm(query)
     if any(x in q for x in ("estructura", "indice", "capitulos", "secciones", "organizado", "temario")):
         return "structure"
-    if any(x in q for x in ("resumen", "resume", "resumir", "resumeme", "sintesis")):
+    if any(x in q for x in lx.SUMMARY_WORDS):
         return "summary"
     if (q.startswith("sobre ") and q[6:].strip()) or any(x in q for x in lx.SECTION_TRIGGERS):
         return "section"
@@ -152,3 +152,29 @@ def truthy(value: str) -> bool:
 def id_list(*values: str) -> list[str]:
     """Trimmed, without blanks, each once, in order."""
     return list(dict.fromkeys(x for v in values for x in (p.strip() for p in v.split(",")) if x))
+
+
+def document_task(query: str) -> str:
+    """What is asked of a document: the first task one of whose words the question holds, a summary, or a question."""
+    q = norm(query)
+    found = next((task for task, words in lx.DOCUMENT_TASKS.items() if any(w in q for w in words)), None)
+    return found or ("summary" if query_type(query) == "summary" else "question")
+
+
+def relevance_terms(question: str) -> list[str]:
+    """Words of four characters or more that tell what a question is about, each once."""
+    words = norm(strip_tail(question)).split()
+    return list(dict.fromkeys(w for w in words if len(w) >= 4 and w not in lx.RELEVANCE_STOP_WORDS))
+
+
+def least_relevance(question: str) -> float:
+    """The share of its terms that a context must hold."""
+    if query_type(question) == "section":
+        return lx.LEAST_SECTION
+    return lx.LEAST_FEW if len(relevance_terms(question)) <= 2 else lx.LEAST_MANY
+
+
+def threshold(question: str) -> str | None:
+    """The number, as written, that values must be above."""
+    found = re.search(r"(?:mayor|superior)\s+(?:a|que)\s+([0-9][0-9.,]*)", question)
+    return found and found[1]

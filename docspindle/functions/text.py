@@ -260,3 +260,54 @@ def snippet(text: Column, index: Column, size: int = lx.SNIPPET) -> Column:
     body = F.trim(F.substring(t, start + 1, F.lit(size)))
     cut = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + size < n, "...").otherwise(""))
     return F.when(n <= size, t).otherwise(cut)
+
+
+def long_paragraph(text: Column, least: int = 45) -> Column:
+    """Whether a paragraph between blank lines has so many words."""
+    parts = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n\n")
+    return F.exists(parts, lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= least)
+
+
+def spreadsheet_like(text: Column) -> Column:
+    """Whether a line begins as those of a spreadsheet's chunk do."""
+    return text.rlike(r"(?m)^\s*(?:Columnas:|Total de filas de datos:)")
+
+
+def word_windows(words: Column, least: int, most: int) -> Column:
+    """Runs of `least` to `most` words, shorter ones first, each size in order."""
+    def of(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(least, most + 1)])))
+
+
+def _titled(text: str) -> str:
+    return " ".join(w[:1].upper() + w[1:] for w in text.split(" "))
+
+
+def joined_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Each pair as it is and with capitals."""
+    return [p for a, b in pairs for p in ((a, b), (_titled(a), _titled(b)))]
+
+
+def parted(text: Column) -> Column:
+    """With joined words parted: fixed phrases, number words next to each other, common words."""
+    def replaced(x: Column, pairs: list[tuple[str, str]]) -> Column:
+        return reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), joined_pairs(pairs), x)
+
+    numbers = "|".join(lx.NUMBER_WORDS)
+    out = replaced(text, lx.JOINED)
+    out = F.regexp_replace(out, f"({numbers})y(?={numbers})", "$1 y ")
+    out = F.regexp_replace(out, f"({numbers})(?={numbers})", "$1 ")
+    return F.trim(F.regexp_replace(replaced(out, lx.JOINED_COMMON), r"\s+", " "))
+
+
+def clean_sentence(text: Column) -> Column:
+    """An extracted sentence as it is shown: no marks or headings before it, words parted, a capital first."""
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, lx.LEADING_MARKS, ""), lx.LEADING_HEADING, "")
+
+    spaced = F.regexp_replace(F.replace(F.regexp_replace(bare(F.trim(text)), r"\s+", " "), F.lit(","), F.lit(", ")), r"\s+", " ")
+    cut = F.regexp_replace(bare(parted(spaced)), "^[ .,;:¿?¡!]+|[ .,;:¿?¡!]+$", "")
+    return let(cut, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substring(x, F.lit(2), F.length(x))))

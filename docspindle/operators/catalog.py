@@ -69,3 +69,8 @@ def document_text(chunks: DataFrame, limit: int) -> DataFrame:
 def newest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("rank", rank).filter("rank = 1").drop("rank")
+
+
+def effective_time(uploaded: Column, created: Column, otherwise: Column) -> Column:
+    """When a document counts as uploaded: `otherwise` is the caller's clock, so that reruns agree."""
+    return F.coalesce(uploaded, created, otherwise)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import display as dp
 from ..functions import text as tx
+from ..functions.intent import least_relevance, query_type, relevance_terms
 
 
 def profiles(texts: DataFrame) -> DataFrame:
@@ -28,3 +31,33 @@ def context(chunks: DataFrame, limit: int = 18_000) -> DataFrame:
     line = F.concat(F.lit("["), F.col("chunk_index").cast("string"), F.lit("] "), F.trim("content"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", line.alias("line"))))
     return chunks.filter(F.trim("content") != "").groupBy("document_id").agg(parts.alias("x")).select("document_id", F.substring(F.array_join("x.line", "\n"), 1, limit).alias("context"))
+
+
+def outline(chunks: DataFrame, most: int = 12) -> DataFrame:
+    """document_id, place, line: the first `most` different lines of a document with a roman or other number before them."""
+    lines = chunks.select("document_id", "chunk_index", F.posexplode(F.split(F.regexp_replace("content", "\r\n", "\n"), "\n")).alias("at", "raw"))
+    lines = tx.once(lines, line=dp.visible(F.col("raw")))
+    lines = tx.once(lines.filter(F.col("line").rlike(dp.ROMAN) | F.col("line").rlike(dp.NUMERIC)), norm=tx.norm(F.col("line"))).filter("norm <> ''")
+    # Equal lines meet in an aggregation, so the ranking sees each once.
+    first = lines.groupBy("document_id", "norm").agg(F.min(F.struct("chunk_index", "at", "line")).alias("x"))
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("x"))
+    return first.withColumn("place", place).filter(F.col("place") <= most).select("document_id", "place", F.concat(F.lit("- "), F.col("x.line")).alias("line"))
+
+
+def relevance(chunks: DataFrame, question: str) -> DataFrame:
+    """document_id, relevance, relevant: the share of the question's terms that a document's chunks hold.
+    Summaries and structures need none."""
+    terms = relevance_terms(question)
+    if query_type(question) in ("summary", "structure") or not terms:
+        return chunks.select("document_id").distinct().select("document_id", F.lit(1.0).alias("relevance"), F.lit(True).alias("relevant"))
+    n = tx.once(chunks, norm=tx.norm(F.col("content")))
+    held = n.groupBy("document_id").agg(*[F.max(F.col("norm").contains(t)).cast("int").alias(f"t{i}") for i, t in enumerate(terms)])
+    share = sum((F.col(f"t{i}") for i in range(1, len(terms))), F.col("t0")) / F.lit(float(len(terms)))
+    return held.select("document_id", share.alias("relevance"), (share >= least_relevance(question)).alias("relevant"))
+
+
+def named_sources(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """`sources` (document_id, ...) with the name and sheet flag of their documents, spreadsheets last."""
+    names = documents.select(F.col("document_id").alias("__of"), "name")
+    found = sources.join(names, F.col("document_id") == F.col("__of"), "left").drop("__of")
+    return found.withColumn("is_sheet", F.coalesce(F.lower("name").rlike(r"\.(?:xlsx|xls|csv)$"), F.lit(False)))

@@ -223,6 +223,19 @@ def overlap_score(i: Intent) -> Column:
     return F.when(hits == 0, 0.0).otherwise(score)
 
 
+def fallback_scores(chunks: DataFrame, query: str) -> DataFrame:
+    """Scores by text alone, for chunks without vectors: the thresholds hold before and after penalties."""
+    i, t, precise = intent(query), topic(query), precision(query)
+    least = lx.MIN_PRECISION if precise else lx.MIN_FINAL
+    found = prepared(chunks)
+    if precise:
+        strong = tx.any_of([tx.whole_count(F.col("words"), x) > 0 for x in i.terms] + [tx.fuzzy_count(F.col("words"), x) > 0 for x in i.main_terms[:1]])
+        found = found.filter((F.col("norm") != "") & (F.col("norm").contains(i.normalised) | strong))
+    found = tx.once(found, text_score=keyword_score(i) + entity_boost(i) + question_boost(i) + topic_boost(t)).filter(F.col("text_score") >= least)
+    score = F.col("text_score") * length_penalty(i, F.col("text_score")) * section_penalty(query) * focus_penalty(i, t)
+    return tx.once(found, score=score).filter(F.col("score") >= least)
+
+
 def hybrid_search(chunks: DataFrame, query: str, vector: list[float], k: int = 3, pool: int = 200) -> DataFrame:
     """Strict results; without any the two best relaxed ones; without any the best by term overlap."""
     by_score = [F.desc("score"), F.asc("chunk_index"), F.asc("document_id")]

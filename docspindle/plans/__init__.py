@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import answers, catalog, events, retrieval, text
+    from . import answers, catalog, documents, events, retrieval, text
 
-    return text, catalog, retrieval, answers, events
+    return text, catalog, retrieval, answers, events, documents
 
 
 def queries() -> dict:
