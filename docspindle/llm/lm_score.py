@@ -18,6 +18,10 @@ MIX = (0.7, 0.29, 0.01)
 BLOCK = 500_000
 #: Counts are summed in parts of about so many keys; parts are a power of two, PARTS at least.
 PART, PARTS = 1_000_000, 64
+#: Bytes of a key that are sent to its part, which tells its first bits.
+KEY = 6
+#: Tasks at most, however many parts or groups of blocks there are.
+TASKS = 20_000
 #: Characters of a text that are split into words at once.
 SLICE = 1 << 22
 #: What stands before the first and after the last word; no word has white space.
@@ -142,12 +146,17 @@ def _block(words, sizes, firsts, lasts) -> Block:
 
 
 def _small_ints(x: np.ndarray) -> bytes:
-    """Non-negative integers in as many bytes as the largest needs, after a byte that says how many."""
+    """Non-negative integers in as many bytes as the largest needs, after a byte that says how many, compressed."""
+    import zstandard
+
     wide = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * w) or w == 8)
-    return bytes([wide]) + x.astype(f"<u{wide}").tobytes()
+    return zstandard.compress(bytes([wide]) + x.astype(f"<u{wide}").tobytes(), 3)
 
 
 def _ints(x: bytes) -> np.ndarray:
+    import zstandard
+
+    x = zstandard.decompress(x)
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype("i8")
 
 
@@ -169,7 +178,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str
     at most BLOCK words; a block asks each part of the hashed keys, in one row, for
     all that it holds there, with its own counts. Parts sum these and answer in the
     same order, and answers meet their block. A frequent word is one key in each
-    block, so no part is hot. Keys are 62 bits or more. Only totals come to the driver.
+    block, so no part is hot. Keys are 54 bits, and a bit more each time that the input
+    doubles. Only totals come to the driver.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Counted, and broadcast if they are few: then texts don't shuffle.
@@ -196,16 +206,16 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str
                 cols = (
                     pa.array(parts, pa.int64()),
                     pa.array(np.full(len(parts), number)),
-                    pa.array([own.keys[c].view("u1").reshape(-1, 8)[:, :7].tobytes() for c in cuts], pa.binary()),
+                    pa.array([own.keys[c].view("u1").reshape(-1, 8)[:, :KEY].tobytes() for c in cuts], pa.binary()),
                     *(pa.array([_small_ints(x[c]) for c in cuts], pa.binary()) for x in (n, t, own.is_word)),
                 )
                 yield pa.RecordBatch.from_arrays(list(cols), ["part", "block", "key", "n", "t", "is_word"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sums of a part's keys for each block; its first row has the part's own totals."""
-        wide = [np.zeros((len(k) // 7, 8), "u1") for k in pdf["key"]]
+        wide = [np.zeros((len(k) // KEY, 8), "u1") for k in pdf["key"]]
         for w, k in zip(wide, pdf["key"]):
-            w[:, :7] = np.frombuffer(k, "u1").reshape(-1, 7)
+            w[:, :KEY] = np.frombuffer(k, "u1").reshape(-1, KEY)
         cuts = np.cumsum([len(w) for w in wide])[:-1]
         keys, first, at = np.unique(np.concatenate(wide).view("<u8").ravel(), return_index=True, return_inverse=True)
         is_word = np.concatenate([_ints(x) for x in pdf["is_word"]])[first].astype(bool)
@@ -221,6 +231,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str
         return out
 
     asked = blocks.select("block", "sizes", "firsts", "lasts", "targets", "words").mapInArrow(ask, "part long, block long, key binary, n binary, t binary, is_word binary")
+    # Tasks grow in number with the input, not in size.
+    asked = asked.repartition(min(1 << bits, TASKS), "part")
     answers = materialise(asked.groupBy("part").applyInPandas(answer, "part long, block long, words long, total long, targets long, n binary, t binary"))
     v, total, of_targets = (x or 0 for x in answers.agg(F.sum("words"), F.sum("total"), F.sum("targets")).first())
 
@@ -236,7 +248,9 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, *, id_col: str
         task = pa.array(np.full(len(sizes), left.column("task")[0].as_py()))
         return pa.table({"id": ids, "task": task, "place": places, "k": k, "target": losses[0], "back": losses[1]})
 
-    own = blocks.groupBy("block").cogroup(answers.select("block", "part", "n", "t").groupBy("block")).applyInArrow(score, f"id {kind}, task long, place long, k long, target double, back double")
+    tasks = min(max(PARTS, n_words // (2 * BLOCK)), TASKS)
+    left, right = blocks.repartition(tasks, "block"), answers.select("block", "part", "n", "t").repartition(tasks, "block")
+    own = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(score, f"id {kind}, task long, place long, k long, target double, back double")
     # The pieces of a long document meet again.
     out = own.groupBy("task", "place").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("k", "target", "back")])
     loss = [F.when(F.col("k") > 0, F.col(c) / (F.col("k") + 1)).alias(f"{name}_loss") for c, name in (("target", "target"), ("back", "background"))]
