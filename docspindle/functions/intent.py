@@ -6,6 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+from . import entity as en
 from . import lexicon as lx
 
 
@@ -111,16 +112,16 @@ class Intent:
 
     @property
     def filters_entity(self) -> bool:
-        return len(self.entity) >= lx.MIN_ENTITY and len(self.entity.split()) >= 2
+        return en.filters(self.entity)
 
 
 def intent(query: str, entity: str = "") -> Intent:
-    """Main terms, the longest phrase with a long word, and an entity that the caller may name."""
+    """Main terms, the longest phrase with a long word, and the entity: the caller's, or else what the question names."""
     q = norm(query)
     t = terms(q)
     long_ = [x for x in t if len(x) > 4]
     phrase = " ".join(t) if len(t) >= 2 and long_ else ""
-    return Intent(query, q, t, long_ or t, phrase, norm(entity))
+    return Intent(query, q, t, long_ or t, phrase, norm(entity) or en.main_entity(q)[0])
 
 
 def weights(query: str) -> tuple[float, float]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import display as dp
+from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..functions.intent import least_relevance, query_type, relevance_terms
+from ..functions.questions import asked_topic, topic_forms
 
 
 def profiles(texts: DataFrame) -> DataFrame:
@@ -61,3 +63,42 @@ def named_sources(sources: DataFrame, documents: DataFrame) -> DataFrame:
     names = documents.select(F.col("document_id").alias("__of"), "name")
     found = sources.join(names, F.col("document_id") == F.col("__of"), "left").drop("__of")
     return found.withColumn("is_sheet", F.coalesce(F.lower("name").rlike(r"\.(?:xlsx|xls|csv)$"), F.lit(False)))
+
+
+def topic_support(chunks: DataFrame, question: str) -> DataFrame:
+    """document_id, supported: whether a document's chunks hold every word of the topic that the
+    question names, in singular or plural; all do if it names none."""
+    words = asked_topic(question)
+    if not words:
+        return chunks.select("document_id").distinct().withColumn("supported", F.lit(True))
+    n = tx.once(chunks, words=tx.tokens(tx.norm(F.coalesce("content", F.lit("")))))
+    held = n.groupBy("document_id").agg(*[F.bool_or(F.arrays_overlap("words", F.array(*map(F.lit, topic_forms(w))))).alias(f"t{i}") for i, w in enumerate(words)])
+    return held.select("document_id", F.forall(F.array(*[f"t{i}" for i in range(len(words))]), lambda x: x).alias("supported"))
+
+
+def grounding_reasons(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """document_id, reasons: why an answer (document_id, answer, name) is not grounded in its
+    context (document_id, context), none if it is. Null texts are blank."""
+    def blank(c: str) -> Column:
+        return F.trim(F.coalesce(c, F.lit("")))
+
+    both = answers.join(contexts, "document_id").select("document_id", *[tx.norm(blank(c)).alias(c) for c in ("answer", "context", "name")])
+    long_words = F.filter(tx.tokens(F.col("answer")), lambda w: (F.length(w) >= 6) & ~w.isin(*lx.ASK_STOP_WORDS, *lx.GROUNDING_STOP_WORDS) & ~w.startswith("document"))
+    both = tx.once(both, checked=F.filter(F.array_distinct(long_words), lambda w: ~F.col("name").contains(w)), size=F.size(tx.tokens(F.col("context"))))
+    both = tx.once(both, missing=F.size(F.filter("checked", lambda w: ~F.col("context").contains(w))))
+    n, m = F.size("checked"), F.col("missing")
+
+    def alone(phrases: list[str]) -> Column:
+        return tx.any_of([F.col("answer").contains(p) & ~F.col("context").contains(p) for p in phrases])
+
+    reasons = {
+        "unsupported_content": alone(lx.SUSPICIOUS),
+        "unsupported_topics": F.when(n < 8, m >= 5).otherwise((m >= 6) & (F.floor(m * 100 / n) >= 38)),
+        "unsupported_generic_phrase": alone(lx.UNGROUNDED),
+        "template_answer": alone(lx.TEMPLATES),
+        "possible_contradiction": tx.contains_any(F.col("answer"), lx.DENIALS) & (F.col("size") >= lx.DENIED_WORDS),
+        "too_short_for_summary": tx.contains_any(F.col("answer"), lx.SUMMARY_SIGNS) & (F.col("size") >= lx.SUMMARISED_WORDS) & (F.size(tx.tokens(F.col("answer"))) < lx.SHORT_SUMMARY),
+    }
+    found = F.array_compact(F.array(*[F.when(test, name) for name, test in reasons.items()]))
+    empty = F.when(F.col("answer") == "", F.array(F.lit("empty_answer"))).when(F.col("context") == "", F.array(F.lit("empty_context")))
+    return both.select("document_id", F.coalesce(empty, found).alias("reasons"))

@@ -13,6 +13,8 @@ from .base import CHUNKS, PREPARED, QUERY, chunks, docs, sql_any, sql_norm, sql_
 TOPIC = "sobre thing"
 #: A question without a topic, for scores of other chunks.
 PLAIN = "thble thing attion"
+#: One that names an entity.
+NAMED = "quien lidero el descubrimiento de la thineation thineation"
 #: One whose matches pass the thresholds of hybrid search.
 SHORT = "thing"
 
@@ -70,6 +72,18 @@ def overlap_scores(s, sf):
     return c.withColumn("score", F.round(se.overlap_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
 
 
+def named_boosts(s, sf):
+    """What an entity adds to each score, and which chunks it singles out."""
+    i = intent(NAMED)
+    c = se.prepared(chunks(s, sf)).withColumn("boost", F.round(se.entity_boost(i), 6)).filter("boost > 0")
+    score, focus = F.round(se.overlap_score(i), 6).alias("score"), se.focus_penalty(i, topic(PLAIN)).alias("focus")
+    return c.select("chunk_id", "boost", F.round(se.question_boost(i), 6).alias("asked"), score, focus, se.exact_intent(i).alias("exact"))
+
+
+def named_matches(s, sf):
+    return se.relaxed_scores(chunks(s, sf), NAMED).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 def _embedded(s, sf):
     v = table(s, sf, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
     return chunks(s, sf).join(v, "document_id")
@@ -170,11 +184,13 @@ class Scores:
         rm = " + ".join(f"CASE WHEN ({x}) > 0 THEN 1 ELSE 0 END" for x in steps.values())
         self.relaxed = f"CASE WHEN ({rm}) = 0 THEN 0.0 ELSE CASE WHEN contains(norm, '{i.normalised}') THEN 0.55::DOUBLE ELSE 0 END + {' + '.join(f'({x})' for x in steps.values())} + ({rm}) / {n}.0::DOUBLE * 0.18 + CASE WHEN {defined} THEN 0.12::DOUBLE ELSE 0 END END"
         phrase = f"CASE WHEN contains(norm, '{i.phrase}') THEN {{}}::DOUBLE ELSE {{}} END" if i.phrase else "{1}::DOUBLE"
-        self.entity = phrase.format("1.0", "0.0") + " + " + " + ".join(f"CASE WHEN {sql_whole('words', t)} > 0 THEN 0.18::DOUBLE WHEN {_fuzzy('words', t)} > 0 THEN 0.06 ELSE 0 END" for t in i.main_terms)
-        self.focus = phrase.format("1.0", "0.25") if i.phrase else "1.0::DOUBLE"
+        named = f"CASE WHEN contains(norm, '{i.entity}') THEN {{}}::DOUBLE ELSE {{}} END" if i.filters_entity else "{1}::DOUBLE"
+        self.named = named
+        self.entity = named.format("1.6", "0.0") + " + " + phrase.format("1.0", "0.0") + " + " + " + ".join(f"CASE WHEN {sql_whole('words', t)} > 0 THEN 0.18::DOUBLE WHEN {_fuzzy('words', t)} > 0 THEN 0.06 ELSE 0 END" for t in i.main_terms)
+        self.focus = named.format("1.0", "0.72") if i.filters_entity else phrase.format("1.0", "0.25") if i.phrase else "1.0::DOUBLE"
         over = [f"CASE WHEN {sql_whole('words', t)} > 0 THEN 1.0::DOUBLE WHEN {_fuzzy('words', t)} > 0 THEN 0.7 WHEN {_partial('words', t)} THEN 0.45 ELSE 0 END" for t in i.main_terms]
         oh = " + ".join(f"CASE WHEN ({x}) > 0 THEN 1.0::DOUBLE ELSE 0 END" for x in over)
-        self.overlap = f"CASE WHEN ({oh}) = 0 THEN 0.0 ELSE {' + '.join(f'({x})' for x in over)} + ({oh}) / {len(i.main_terms)} + {phrase.format('0.6', '0.0')} END"
+        self.overlap = f"CASE WHEN ({oh}) = 0 THEN 0.0 ELSE {' + '.join(f'({x})' for x in over)} + ({oh}) / {len(i.main_terms)} + {phrase.format('0.6', '0.0')} + {named.format('0.8', '0.0')} END"
         self.exact = f"contains(norm, '{i.normalised}')"
         firsts = ", ".join(f"nullif(strpos(norm, '{t}'), 0)" for t in i.terms)
         self.at = f"(coalesce(nullif(strpos(norm, '{i.normalised}'), 0), least({firsts}), 0) - 1)"
@@ -191,7 +207,9 @@ QUESTION = (
     f"CASE WHEN {sql_any('norm', lx.FACT_VERBS)} THEN 0.18::DOUBLE ELSE 0 END + " + " + ".join(f"CASE WHEN contains(norm, '{t}') THEN 0.16::DOUBLE ELSE 0 END" for t in lx.TABULAR_CONTENT)
 )
 SECTION = f"CASE WHEN {sql_any('norm', lx.GENERIC_SECTIONS)} THEN 0.18::DOUBLE ELSE 1.0 END"
-P, S = Scores(PLAIN), Scores(SHORT)
+P, S, N = Scores(PLAIN), Scores(SHORT), Scores(NAMED)
+_FACTS = QUESTION.rsplit(" + CASE WHEN contains(norm, 'hoja')", 1)[0]
+_ASKED = f"({N.named.format('0.35', '0.0')} + {_FACTS})"
 _V = "[" + ", ".join(str(x) for x in VECTOR) + "]::DOUBLE[]"
 HYBRID = f"""WITH p AS (SELECT c.*, e.embedding FROM ({PREPARED}) c JOIN embeddings e ON e.vec_id = c.document_id), t AS (SELECT *, {S.keyword} AS ts FROM p),
   f AS (SELECT *, (list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_V}) * 0.4 + ts * 0.6 + {S.entity}) * ({S.length('ts')}) * ({SECTION}) * ({S.focus}) AS s FROM t WHERE ts >= {lx.MIN_TEXT})
@@ -215,6 +233,8 @@ QUERIES = {
     "keyword_scores": (keyword_scores, f"SELECT chunk_id, score FROM (SELECT chunk_id, round({P.keyword}, 6) AS score FROM ({PREPARED})) WHERE score > 0"),
     "relaxed_scores": (relaxed_scores, f"SELECT chunk_id, score FROM (SELECT chunk_id, round({P.relaxed}, 6) AS score FROM ({PREPARED})) WHERE score > 0"),
     "entity_boosts": (entity_boosts, f"SELECT chunk_id, boost FROM (SELECT chunk_id, round({P.entity}, 6) AS boost FROM ({PREPARED})) WHERE boost > 0"),
+    "named_boosts": (named_boosts, f"SELECT chunk_id, round(b, 6) AS boost, round({_ASKED}, 6) AS asked, round({N.overlap}, 6) AS score, {N.focus} AS focus, {N.named.format('1', '0')} = 1 AS exact FROM (SELECT *, {N.entity} AS b FROM ({PREPARED})) WHERE round(b, 6) > 0"),
+    "named_matches": (named_matches, f"SELECT chunk_id, round(r, 6) AS score FROM (SELECT *, {N.relaxed} + {N.named.format('0.45', '0.0')} + {N.entity} + {_ASKED} AS r FROM ({PREPARED})) WHERE r >= 0.08"),
     "question_boosts": (question_boosts, f"SELECT chunk_id, boost FROM (SELECT chunk_id, round({QUESTION}, 6) AS boost FROM ({PREPARED})) WHERE boost > 0"),
     "score_penalties": (length_penalties, f"SELECT chunk_id, {P.length('0.5')} AS penalty, {SECTION} AS section, {P.focus} AS focus FROM ({PREPARED})"),
     "overlap_scores": (overlap_scores, f"SELECT chunk_id, score FROM (SELECT chunk_id, round({P.overlap}, 6) AS score FROM ({PREPARED})) WHERE score > 0"),
