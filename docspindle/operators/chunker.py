@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,25 +40,34 @@ def _split(text: str, size: int) -> list[str]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
+def pack_blocks(blocks: list[tuple[str, bool]], size: int = lx.CHUNK_SIZE) -> list[str]:
+    """(block, heading) packed up to `size` characters; larger blocks are split, headings stand alone."""
+    out: list[str] = []
+    for alone, run in groupby(blocks, lambda b: b[1]):
+        texts = [b for b, _ in run]
+        out += texts if alone else _pack([p for b in texts for p in _split(b, size)], size, "\n\n")
+    return out
+
+
 def chunk_text(text: str | None, size: int = lx.CHUNK_SIZE) -> list[str]:
-    """Blocks between blank lines packed up to `size` characters; larger ones are split."""
-    blocks = [b.strip() for b in re.split(r"\n\s*\n", text or "") if b.strip()]
-    pieces = [p for b in blocks for p in _split(b, size)]
-    return list(_pack(pieces, size, "\n\n"))
+    """Blocks between blank lines, none of them a heading, as `pack_blocks` packs them."""
+    return pack_blocks([(b.strip(), False) for b in re.split(r"\n\s*\n", text or "") if b.strip()], size)
 
 
 def chunks_of(documents: DataFrame, size: int = lx.CHUNK_SIZE) -> DataFrame:
-    """document_id, chunk_index, content: a narrow pass over (document_id, text)."""
+    """document_id, chunk_index, content: a narrow pass over (document_id, text); a block that is a heading is a chunk."""
+    parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
+    blocks = F.transform(parts, lambda b: F.struct(b.alias("text"), tx.heading(b).alias("alone")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cut = b["text"].map(lambda t: chunk_text(t, size))
+            cut = b["blocks"].map(lambda x: pack_blocks([(y["text"], y["alone"]) for y in x] if x is not None else [], size))
             out = pd.DataFrame({"document_id": b["document_id"], "content": cut}).explode("content")
             out["chunk_index"] = out.groupby(level=0).cumcount()
             yield out.dropna(subset=["content"])[["document_id", "chunk_index", "content"]]
 
     kind = documents.schema["document_id"].dataType.simpleString()
-    return documents.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_index int, content string")
+    return documents.select("document_id", blocks.alias("blocks")).mapInPandas(run, f"document_id {kind}, chunk_index int, content string")
 
 
 def sections(chunks: DataFrame, gap: int = 2) -> DataFrame:
@@ -121,3 +131,28 @@ def paragraph_gaps(rows: DataFrame) -> DataFrame:
     one = gaps.groupBy("document_id").agg(g.alias("g"))
     median = F.when(F.size("g") == 0, F.lit(12)).otherwise(F.try_element_at("g", F.expr("cast(size(g) div 2 + 1 as int)"))).cast("double")
     return one.select("document_id", median.alias("median_gap"), F.greatest(F.lit(18.0), median * 1.8).alias("paragraph_gap"))
+
+
+def page_blocks(rows: DataFrame) -> DataFrame:
+    """document_id, page, block, text: paragraphs of each page from its rows, by position.
+
+    One begins at a heading, a bullet, after a colon, or after a gap of 1.8 times the page's
+    upper median gap (12 without any), 18 at least. A hyphen before a lower-case letter joins
+    its word; letters and digits of two rows are parted by a space. Blank rows go."""
+    page = Window.partitionBy("document_id", "page")
+    order = page.orderBy("position", "text")
+    gap = F.col("position") - F.lag("position").over(order)
+    found = tx.once(rows.withColumn("gap", gap), text=F.regexp_replace("text", r"^\s+|\s+$", ""))
+    median = F.coalesce(F.get(F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))).over(page)), F.floor(F.count_if(F.col("gap") > 0).over(page) / 2).cast("int")), F.lit(12))
+    found = found.withColumn("wide", F.col("gap") >= F.greatest(F.lit(18), F.floor(median * 1.8))).filter("text <> ''")
+    before, after = F.lag("text").over(order), F.lead("text").over(order)
+    new = before.isNull() | tx.heading(F.col("text")) | tx.bullet(F.col("text")) | F.col("wide") | before.endswith(":")
+    found = found.withColumns({"new": F.coalesce(new, F.lit(False)).cast("int"), "after": after})
+    found = found.withColumn("block", F.sum("new").over(order).cast("int"))
+    last = F.lead("block").over(order).isNull() | (F.lead("block").over(order) > F.col("block"))
+    joins = F.col("text").endswith("-") & F.col("after").rlike(r"^\p{Ll}")
+    spaced = F.col("text").rlike(r"[\p{L}\p{N}]$") & F.col("after").rlike(r"^[\p{L}\p{N}]")
+    part = F.when(last, F.col("text")).when(joins, F.regexp_replace("text", " *-$", "")).when(spaced, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    parts = F.array_sort(F.collect_list(F.struct("position", F.col("text").alias("of"), F.col("part"))))
+    blocks = found.withColumn("part", part).groupBy("document_id", "page", "block").agg(parts.alias("x"))
+    return blocks.select("document_id", "page", "block", tx.clean_text(F.array_join("x.part", "")).alias("text"))

@@ -144,6 +144,13 @@ def page_gaps(s, sf):
     return ch.paragraph_gaps(_pages(s, sf))
 
 
+def page_paragraphs(s, sf):
+    """Lines as rows of pages of ten, with a wider gap after every third and a hyphen after every fourth."""
+    at = F.col("chunk_index")
+    rows = chunks(s, sf).select("document_id", F.expr("chunk_index div 10").alias("page"), (at * 12 + F.floor(at / 3) * 15).alias("position"), F.concat(F.trim("content"), F.when((at % 4 == 0) & (F.trim("content") != ""), "-").otherwise("")).alias("text"))
+    return ch.page_blocks(rows).select("document_id", "page", "block", F.md5(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("letters"))
+
+
 _SEN = f"""SELECT document_id, i - 1 AS sentence_no, s[i] AS sentence, {sql_norm('s[i]')} AS norm FROM (SELECT document_id, s, unnest(range(1, len(s) + 1)) AS i FROM (
   SELECT document_id, list_filter(list_transform(regexp_split_to_array(text, '[\\n.?!;]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM ({DOCS})))"""
 _SENT = f"SELECT *, {sql_tokens('norm')} AS words FROM ({_SEN}) WHERE norm <> ''"
@@ -188,6 +195,21 @@ def _section_sql() -> str:
       SELECT document_id, chunk_index, section, CAST((section - 1) // CAST(ceil(max(section) OVER (PARTITION BY document_id) / 12) AS BIGINT) + 1 AS INTEGER) AS part FROM g"""
 
 
+def _paragraph_sql() -> str:
+    """Blocks by letters alone, for joining rows moves only blanks and hyphens. The rows' shapes are
+    those of the lines, whose hyphens end no heading word and no bullet."""
+    from .text import SHAPES_SQL
+
+    rows = f"SELECT document_id, chunk_index // 10 AS page, chunk_index, chunk_index * 12 + chunk_index // 3 * 15 AS position, trim(content, ' ') || CASE WHEN chunk_index % 4 = 0 AND trim(content, ' ') <> '' THEN '-' ELSE '' END AS content, chunk_id FROM ({CHUNKS})"
+    shapes = SHAPES_SQL.replace(f"FROM ({CHUNKS})", f"FROM ({rows})")
+    return rf"""WITH r AS (SELECT *, position - lag(position) OVER w AS gap FROM ({rows}) WINDOW w AS (PARTITION BY document_id, page ORDER BY position)),
+      m AS (SELECT document_id, page, coalesce(list_sort(list(gap) FILTER (gap > 0))[CAST(count(*) FILTER (gap > 0) // 2 + 1 AS INTEGER)], 12) AS mid FROM r GROUP BY ALL),
+      k AS (SELECT r.*, s.heading, s.bullet, gap >= greatest(18, floor(mid * 1.8)) AS wide FROM r JOIN m USING (document_id, page) JOIN ({shapes}) s USING (chunk_id) WHERE regexp_replace(r.content, '^\s+|\s+$', '', 'g') <> ''),
+      n AS (SELECT *, CASE WHEN lag(content) OVER w IS NULL OR heading OR bullet OR wide OR ends_with(lag(content) OVER w, ':') THEN 1 ELSE 0 END AS new FROM k WINDOW w AS (PARTITION BY document_id, page ORDER BY position)),
+      b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY document_id, page ORDER BY position) AS INTEGER) AS block FROM n)
+      SELECT document_id, page, block, md5(regexp_replace(string_agg(content, '' ORDER BY position), '[^\p{{L}}\p{{N}}]', '', 'g')) AS letters FROM b GROUP BY document_id, page, block"""
+
+
 _FACT = sql_any("norm", lx.FACT_VERBS)
 QUERIES = {
     "parsed_rows": (parsed_rows, f"SELECT document_id, row, c_name AS label, printf('%.2f', v) AS saldo, 3 AS n FROM ({_LINES})"),
@@ -219,6 +241,7 @@ QUERIES = {
     "key_points": (key_points, None),
     "page_edges": (page_edges, _EDGES),
     "page_rows": (page_rows, f"SELECT document_id, count(*) AS rows FROM (SELECT p.document_id FROM (SELECT *, {_KEY} AS key FROM ({_PAGES})) p ANTI JOIN ({_EDGES}) e ON p.document_id = e.document_id AND p.key = e.key) GROUP BY document_id"),
+    "page_paragraphs": (page_paragraphs, _paragraph_sql()),
     "page_gaps": (page_gaps, f"""SELECT document_id, m AS median_gap, greatest(18.0::DOUBLE, m * 1.8::DOUBLE) AS paragraph_gap FROM (SELECT document_id, coalesce(CAST(list_sort(list(g) FILTER (g IS NOT NULL))[CAST(count(g) // 2 + 1 AS INTEGER)] AS DOUBLE), 12.0::DOUBLE) AS m FROM (
       SELECT document_id, position - lag(position) OVER (PARTITION BY document_id, page ORDER BY position) AS g FROM ({_PAGES})) GROUP BY document_id)"""),
 }

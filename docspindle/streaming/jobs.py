@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -71,3 +75,47 @@ def memory(turns: DataFrame, n: int = 5) -> DataFrame:
     """The newest n turns of each conversation."""
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     return turns.withColumn("age", rank).filter(F.col("age") <= n)
+
+
+def memory_stream(turns: DataFrame, n: int = 5) -> DataFrame:
+    """`memory` of a stream of (conv_id, turn, text): after each micro-batch the newest n turns
+    of the conversations in it. The state of a conversation is its newest n turns, whatever
+    their order of arrival; a turn that comes again replaces itself, rows without one go."""
+    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get)) if state.exists else {}
+        for p in parts:
+            held.update(zip(p["turn"].tolist(), p["text"].tolist()))
+            held = {t: held[t] for t in sorted(held, reverse=True)[:n]}
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({"conv_id": key[0], "turn": list(held), "text": list(held.values()), "age": range(1, len(held) + 1)})
+
+    return turns.select("conv_id", "turn", "text").filter("turn is not null").groupBy("conv_id").applyInPandasWithState(
+        keep, f"conv_id {kinds[0]}, turn {kinds[1]}, text string, age int", f"turns array<{kinds[1]}>, texts array<string>", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def job_steps(events: DataFrame, texts: DataFrame) -> DataFrame:
+    """Steps of each event's job: job_id, step_id, step, result. `texts` has document_id, text
+    and status (ok, failed_parse or unsupported_format). A job without a text stays received."""
+    found = events.select("job_id", F.col("document_id").alias("__of")).join(texts.select("document_id", "text", "status"), F.col("__of") == F.col("document_id"), "left")
+    cut = F.col("status") == "ok"
+    parsed = F.when(cut, "completed").when(F.col("status") == "unsupported_format", "skipped").when(F.col("status").isNotNull(), "failed")
+
+    def step(number: int, name: str, result: Column) -> Column:
+        return F.when(result.isNotNull(), F.struct(F.lit(number).alias("step_id"), F.lit(name).alias("step"), result.alias("result")))
+
+    chunked = F.when(cut, F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "failed").otherwise("completed"))
+    steps = F.array(step(1, "received", F.lit("completed")), step(2, "parsed_document", parsed), step(3, "chunks_created", chunked))
+    return found.select("job_id", F.inline(F.array_compact(steps)))
+
+
+def start_jobs(events: DataFrame, texts: DataFrame, out: str, checkpoint: str):
+    """Appends the steps of arriving events under `out`, a folder for each micro-batch, which a
+    batch that is run again replaces, so each step is there once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        job_steps(batch, texts).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
