@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import display as dp
 from ..functions import intent as it
 from ..functions import lexicon as lx
+from ..functions import scans
 from ..functions import text as tx
 from ..operators import catalog as cat
 from ..operators import reports, search, sheets
@@ -102,6 +103,17 @@ def sheet_overviews(s, sf):
     return sheets.overviews(c.select("document_id", F.concat("sheet", F.format_string("%09d", "chunk_index")).alias("chunk_index"), "content"))
 
 
+def image_texts(s, sf):
+    """Every text with a misread word, stray symbols, a broken word and a short line that matters."""
+    read = F.concat(F.lit("Ab\n"), "text", F.lit("\n| agua ; los desagiies ~ impor-\ntante\nRatones 3\nxyz"))
+    return docs(s, sf).select("document_id", F.md5(scans.image_text(read)).alias("text"))
+
+
+def scan_numbers(s, sf):
+    d = docs(s, sf).select("document_id", scans.numbers(F.concat("text", F.lit(" 12 1.234 +34 600 12 "), F.col("document_id").cast("string"))).alias("x"))
+    return d.select("document_id", F.size("x").alias("n"), F.array_join("x", "|").alias("numbers"))
+
+
 def _replaced(x: str, pairs) -> str:
     for a, b in tx.joined_pairs(pairs):
         x = f"replace({x}, '{a}', '{b}')"
@@ -127,6 +139,9 @@ QUERIES = {
     "parted_words": (parted_words, None),
     "clean_sentences": (clean_sentences, None),
     "without_forbidden": (without_forbidden, rf"SELECT document_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FORBIDDEN}, '[ \t]{{2,}}', ' ', 'g'), '(?m)^[ \t]+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text FROM ({DOCS})"),
+    "image_texts": (image_texts, None),
+    "scan_numbers": (scan_numbers, rf"""SELECT document_id, len(k) AS n, array_to_string(k, '|') AS numbers FROM (SELECT document_id, list_filter(x, lambda v, i: len(regexp_replace(v, '[^0-9]', '', 'g')) >= 3 AND list_position(x, v) = i) AS k FROM (
+      SELECT document_id, list_transform(regexp_extract_all(text || ' 12 1.234 +34 600 12 ' || document_id, '{scans.NUMBER}'), lambda v: trim(regexp_replace(v, '[\t\f\x0B\p{{Zs}}]+', ' ', 'g'), ' ')) AS x FROM ({DOCS})))"""),
     "document_tasks": (document_tasks, f"SELECT conv_id, turn, CASE {_TASKS} ELSE 'question' END AS task FROM (SELECT conv_id, turn, trim(list_extract(['fecha', 'contratante', 'precio', 'debera', 'conflicto', 'legal', 'comparar', 'resumen', ''], CAST(turn % 9 + 1 AS INTEGER)) || ' ' || role) AS n FROM conversations)"),
     "vector_json": (vector_json, "SELECT vec_id, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings"),
     "fallback_scores": (fallback_scores, None),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docspindle.functions import display as dp
 from docspindle.functions import intent as it
 from docspindle.functions import lexicon as lx
+from docspindle.functions import scans
 from docspindle.functions import text as tx
 from docspindle.operators import reports, search, sheets
 
@@ -139,3 +140,22 @@ def test_raw_text(spark):
     chunk = "Este documento trata de muchas cosas distintas que conviene leer con calma antes de decidir nada en absoluto"
     assert not value(spark, dp.raw_text(F.lit(shown), F.lit(chunk)))
     assert value(spark, dp.raw_text(F.lit(chunk[:95]), F.lit(chunk))) and value(spark, dp.raw_text(F.lit("UN TITULO MUY LARGO AQUI"), F.lit(chunk)))
+
+
+@pytest.mark.parametrize(
+    "read, want",
+    [
+        ("Ab\nLas plagas | comunes ; del hogar\nson impor-\ntantes\nRatones grises\nde 12 cm\nxyz", "Las plagas comunes del hogar son importantes\nRatones grises 12"),
+        ("Ecucarachas, en los desagiies", "Cucarachas los desagües"),
+        ("", ""),
+        (None, None),
+        ("~\n--\n.", ""),
+        ("Título\nbcd", "Título"),
+    ],
+)
+def test_image_text(spark, read, want):
+    assert value(spark, scans.image_text(F.lit(read).cast("string"))) == want
+
+
+def test_numbers_of_scans(spark):
+    assert value(spark, scans.numbers(F.lit("12 y 345; +34 600 111 222; 345; b12 a99"))) == ["345", "+34 600 111 222"]
