@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import display as dp
 from ..functions import intent as it
+from ..functions import questions as qs
 from ..functions import text as tx
 from ..operators import chunker, extract, reports, search, select, tabular
 
+NOTHING = "No se encontró información suficiente en los documentos."
+
 # Chunks of an answer's context by kind of question, and over several documents.
 CONTEXT = {"question": 8, "summary": 30, "section": 10, "structure": 12}
 SEVERAL, EACH = 20, 2
@@ -79,11 +82,14 @@ class Retrieval:
         return found.orderBy(F.desc("score"), "chunk_index", "chunk_id").limit(CONTEXT[kind])
 
     def ask(self, question: str, scope: Scope) -> dict:
-        """answer, sources and kind. Only the context, a bounded number of chunks, comes to the driver."""
+        """answer, sources and kind. Only the context, a bounded number of chunks, comes to the driver.
+
+        A question that names a topic of which the context lacks a word has no answer."""
         kind, i = it.query_type(question), it.intent(question)
         rows = self.context(question, scope).orderBy("document_id", "chunk_index").collect()
-        if not rows:
-            return {"answer": "No se encontró información suficiente en los documentos.", "sources": [], "kind": kind}
+        words = {w for r in rows for w in it.norm(r["content"] or "").split()}
+        if not rows or not all(words & set(qs.topic_forms(t)) for t in qs.asked_topic(question)):
+            return {"answer": NOTHING, "sources": [], "kind": kind}
         spark = self.chunks.sparkSession
         c = spark.createDataFrame([(str(r["document_id"]), int(r["chunk_index"]), str(r["chunk_id"]), r["content"]) for r in rows], "document_id string, chunk_index int, chunk_id string, content string")
         text = "\n\n".join(f"[{r['document_id']}] {r['content']}" for r in rows)
@@ -93,13 +99,15 @@ class Retrieval:
         return {"answer": clean, "sources": [{"mark": chr(65 + n), "document_id": d} for n, d in enumerate(sources)], "kind": kind}
 
     def extract(self, chunks: DataFrame, i: it.Intent) -> str:
-        """The first extractor that finds something: tables, comparison, definition, person, quantity, points."""
+        """The first extractor that finds something: tables, comparison, date if one is asked for, definition, person, quantity, points."""
         rows = tabular.parse_rows(chunks.select("document_id", F.explode(F.split("content", "\n")).alias("content")))
         if it.tabular(i.query) and rows.limit(1).count():
             s = tabular.numeric_summary(rows, i.main_terms[-1] if i.main_terms else "valor").first()
             if s["n"]:
                 return f"Registros: {s['n']}. Promedio: {s['mean']:g}. Mínimo: {s['least']:g}. Máximo: {s['greatest']:g}."
         ways = [lambda: extract.definitions(chunks, i), lambda: extract.people(chunks, i), lambda: extract.spans(chunks, i, extract.QUANTITY)]
+        if it.document_task(i.query) == "dates":
+            ways.insert(0, lambda: extract.spans(chunks, i, extract.DATE))
         if " entre " in f" {i.normalised} " and len(i.main_terms) > 1:
             found = extract.compare(chunks, *i.main_terms[-2:]).first()
             if found:
@@ -109,7 +117,7 @@ class Retrieval:
             if found:
                 return found["sentence"]
         points = extract.useful_points(chunks, 5).orderBy("document_id", "place").limit(5).collect()
-        return "\n".join(f"- {p['sentence']}" for p in points) or "No se encontró información suficiente en los documentos."
+        return "\n".join(f"- {p['sentence']}" for p in points) or NOTHING
 
     def summary(self, scope: Scope) -> DataFrame:
         """Key points of each document, from its sentences."""

@@ -72,3 +72,16 @@ def test_grounding_reasons(spark):
     c = spark.createDataFrame([(i, x) for i, _, x, _ in cases], "document_id long, context string")
     got = {r["document_id"]: r["reasons"] for r in reports.grounding_reasons(a, c).collect()}
     assert got == {1: ["empty_answer"], 2: ["empty_context"], 3: ["unsupported_content"], 4: ["possible_contradiction"], 5: ["too_short_for_summary"], 6: ["unsupported_topics"], 7: []}
+
+
+def test_ask_by_topic_and_date(spark):
+    from docspindle.plans.engine import NOTHING, Retrieval, Scope
+
+    docs = spark.createDataFrame([("t", "d1", "c1", True)], "tenant_id string, document_id string, collection_id string, is_favorite boolean")
+    texts = ["Un arreglo es una coleccion de datos.", "El contrato se firmo el 12 de mayo de 2021 en Lima.", "El contrato es largo."]
+    chunks = spark.createDataFrame([("t", "d1", i, f"d1-{i}", x) for i, x in enumerate(texts)], "tenant_id string, document_id string, chunk_index int, chunk_id string, content string")
+    r, scope = Retrieval(docs, chunks), Scope("t", ("d1",))
+    asked = r.ask("háblame sobre volcanes y arreglos", scope)
+    assert asked["answer"] == NOTHING and asked["sources"] == []
+    assert "coleccion" in r.ask("háblame sobre el arreglo", scope)["answer"]
+    assert "12 de mayo de 2021" in r.ask("fecha del contrato", scope)["answer"]
