@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .common import crc_mod, table
 from .decontam import benchmark_leaks
+from .jaccard import similar_sets
 from .lang_id import identify_language
 from .lm_score import cross_entropy_difference
 from .mixing import mix_sources
@@ -18,6 +20,7 @@ from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 from .topk import top_products
 from .toxicity import score_toxicity
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +76,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -80,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op6_lm_score, op7_language, op8_pii, op9_toxicity, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_topk, op3_mixing, op4_decontamination, op5_simhash, op6_lm_score, op7_language, op8_pii, op9_toxicity, op10_suffix_dedup, op11_jaccard_join, op12_whitening, op13_alignment, pipeline)}
 
 
 #: Inner products over whole tables, as the query defines them.
@@ -117,5 +134,19 @@ SELECT doc_id, item_id, round(max(sim), 9) AS similarity FROM r WHERE sim >= 0.8
 """
 
 
+#: Links between sets of 4-word shingles that meet in one of them, and what they reach.
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op4_decontamination": OP4_SQL}
+    return {"op2_topk": OP2_SQL, "op4_decontamination": OP4_SQL, "op11_jaccard_join": OP11_SQL}
