@@ -38,7 +38,9 @@ def source_targets(hist: DataFrame, weights: tuple[float, ...], share: float, mo
     # What one unit of weight gets if all sources before this one stop at their cap.
     src = src.withColumn("unit", (share * total - most * F.col("capped_before")) / F.col("weight_left"))
     src = src.withColumn("stops", most * F.col("source_size") <= F.col("unit") * F.col("weight"))
-    src = src.withColumn("level", F.min(F.when(~F.col("stops"), F.struct(F.col("source_size") / F.col("weight"), F.col("unit")))).over(all_rows)["unit"])
+    # The first that doesn't stop, in the order of the sums: ratios may tie.
+    src = src.withColumn("order", F.row_number().over(Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())))
+    src = src.withColumn("level", F.min_by("unit", F.when(~F.col("stops"), F.col("order"))).over(all_rows))
     target = F.when(F.col("stops"), most * F.col("source_size")).otherwise(F.col("level") * F.col("weight"))
     return src.select("source", "source_size", target.alias("target"))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -141,6 +142,45 @@ def test_mixing(spark, docs, rows):
         assert abs(taken[n] - share[n]) <= max(size[i] for i in size if sources[i] == n)
 
 
+def shares(totals, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets by a loop: the excess of sources above their cap goes to the others by weight."""
+    names = sorted(totals, key=lambda x: (x is None, (x or "").encode()))
+    weight = {n: weights[k % len(weights)] for k, n in enumerate(names)}
+    left, out, open_ = Fraction(share) * sum(totals.values()), {}, set(names)
+    while open_:
+        unit = left / sum(weight[n] for n in open_)
+        over = {n for n in open_ if unit * weight[n] > most * totals[n]}
+        if not over:
+            break
+        for n in over:
+            out[n] = most * totals[n]
+            left -= out[n]
+        open_ -= over
+    return out | {n: unit * weight[n] for n in open_}
+
+
+def test_targets_with_ties(spark):
+    """Equal sizes over weights, null and empty sources among them."""
+    rng = random.Random(8)
+    cases = [{"a": 30, "b": 10, "c": 20}, {"x": 3, "y": 1}, {"a": 6, "b": 2, None: 4}, {"a": 0, "b": 0}, {"a": 0, None: 5}, {"a": 1}]
+    cases += [dict(zip(rng.sample(["a", "b", "c", "d", "e", "f", None], k := rng.randint(2, 7)), rng.choices([0, 3, 6, 9, 10, 12, 20, 30], k=k))) for _ in range(25)]
+    for totals in cases:
+        hist = spark.createDataFrame([(s, n, 1) for s, n in totals.items()], "source string, size long, n long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(hist, (3, 1, 2), 1.5, 2).collect()}
+        assert got == {n: pytest.approx(float(x)) for n, x in shares(totals).items()}
+
+
+def test_mixing_with_ties(spark):
+    """Three sources whose sizes go like their weights."""
+    rows = [(i, " ".join(["w"] * k), s) for i, (s, k) in enumerate([("a", 3)] * 100 + [("b", 1)] * 100 + [("c", 2)] * 100)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["size"]] += r["taken"]
+        assert r["target"] == 1.5 * r["source_size"]
+    assert taken == {3: 450, 1: 150, 2: 300}
+
+
 def test_rates_are_tilted(spark):
     """min(most, exp(lam * size)) meets the target, for targets below and above the size."""
     rng = random.Random(6)
