@@ -14,7 +14,7 @@ from docspindle.llm.decontam import benchmark_leaks
 from docspindle.llm.mixing import mix_sources
 from docspindle.llm.pii import replace_pii
 from docspindle.llm.queries import PII_KEY
-from docspindle.llm.simhash import near_duplicates
+from docspindle.llm.simhash import fingerprint_groups, fingerprints, with_fingerprints
 from docspindle.llm.toxicity import score_toxicity
 
 
@@ -32,12 +32,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; of repeated rows one."""
-    found = materialise(near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    others = found.filter("doc_id <> component_id").select("doc_id")
-    again = materialise(found.filter("doc_id = component_id and n > 1").select(F.col("doc_id").alias("again_id")))
-    repeated = docs.join(small(again), docs["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
-    return without(docs, others.unionByName(again.withColumnRenamed("again_id", "doc_id"))).unionByName(repeated)
+    """One row of each group of near-duplicates stays: the one of the smallest id (null last),
+    then of the smallest fingerprint, then the first by its columns. Rows are grouped by their
+    texts alone: rows of one id whose texts differ are documents of their own."""
+    prints = materialise(fingerprints(docs, id_col="doc_id", text_col="text", width=4))
+    grouped = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first"))
+    best = fingerprint_groups(prints).join(grouped, "fp").groupBy("group").agg(F.min(F.struct("first", "fp")).alias("kept"))
+    best = materialise(best.select(F.col("kept.first.id").alias("kept_id"), F.col("kept.fp").alias("kept_fp")))
+    # Ids of one row are decided by id, so that texts don't shuffle; the rows of others are looked at one by one.
+    ids = prints.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
+    ids = materialise(ids.join(best, (F.col("id") == F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left").filter("n > 1 or kept_id is null").select(F.col("id").alias("doc_id"), "n"))
+    twice = materialise(ids.filter("n > 1").select(F.col("doc_id").alias("twice_id")))
+    several = docs.join(small(twice), docs["doc_id"] == twice["twice_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    mark = "fp"
+    while mark in docs.columns:
+        mark += "_"
+    several = with_fingerprints(several, mark)
+    several = several.join(best, F.col(mark).eqNullSafe(F.col("kept_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    several = several.groupBy(mark).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return without(docs.filter("doc_id is not null"), ids.select("doc_id")).unionByName(several)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,26 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
+def with_fingerprints(docs: DataFrame, name: str, *, text_col: str = "text", width: int = 4) -> DataFrame:
+    """`docs` and a column `name`, the fingerprint of each row as a signed long."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((simhash(t.as_py(), width) for t in b.column(at)), "u8", b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view("i8"))], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0).cast("long")).schema)
+
+
+def fingerprint_groups(prints: DataFrame, radius: int = 4) -> DataFrame:
+    """fp, group: the smallest fingerprint that each distinct `fp` of `prints` reaches by
+    steps of at most `radius` bits."""
+    fps = materialise(prints.select("fp").distinct().withColumn("node", F.col("fp")))
+    named = components(links(fps, radius)).withColumnRenamed("component", "c")
+    return fps.join(named, "node", "left").select("fp", F.coalesce("c", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of `docs`.
 

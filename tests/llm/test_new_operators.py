@@ -98,10 +98,10 @@ def test_whitening(spark, monkeypatch, fan_in):
     monkeypatch.setattr(whitening, "FAN_IN", fan_in)
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     v = [(r["vec_id"], r["embedding"]) for r in df.collect()]
-    more = [(-1, None), (-2, [None] * len(v[0][1])), (-3, [float("nan")] * len(v[0][1])), (-4, [float("inf")] * len(v[0][1])), v[0]]
+    more = [(-1, None), (-2, [None] * len(v[0][1])), (-3, [float("nan")] * len(v[0][1])), (-4, [float("inf")] * len(v[0][1])), (10**9, v[0][1])]
     df = with_clashes(df.unionByName(spark.createDataFrame(more, df.schema))).repartition(5)
     got = whitening.whiten(df).toPandas().sort_values(["vec_id", "component"])
-    v = sorted([*v, v[0]])
+    v = sorted([*v, (10**9, v[0][1])])
     x = np.floor(64 * np.array([y for _, y in v], "f8")) + 1_000_000
     c = x - x.mean(0)
     e, u = np.linalg.eigh(c.T @ c / len(x))

@@ -43,18 +43,41 @@ def test_toxic_rows_go(spark, stages):
     assert _ids(after) == [i for i in _ids(before) if i is None or i not in bad]
 
 
-def test_one_of_each_group_stays(stages):
-    before, after = stages["near_duplicates"]
-    fps = {r["doc_id"]: simhash.simhash(r["text"], 4) for r in before.collect() if r["doc_id"] is not None}
-    label = {i: i for i in fps}
+def brute_survivors(rows):
+    """One row of each group: smallest id (null last), then fingerprint, then columns."""
+    fps = sorted({simhash.simhash(r["text"], 4) for r in rows})
+    label = {f: f for f in fps}
     changed = True
     while changed:
         changed = False
-        for i in fps:
-            for j in fps:
-                if (fps[i] ^ fps[j]).bit_count() <= 4 and label[j] < label[i]:
-                    label[i], changed = label[j], True
-    assert _ids(after) == [*sorted(set(label.values())), None]
+        for f in fps:
+            for g in fps:
+                if (f ^ g).bit_count() <= 4 and label[g] < label[f]:
+                    label[f], changed = label[g], True
+    signed = lambda f: f - (f >> 63 << 64)
+    kept = {}
+    for r in rows:
+        f = simhash.simhash(r["text"], 4)
+        key = (r["doc_id"] is None, r["doc_id"] or 0, signed(f), tuple("" if x is None else "1" + str(x) for x in r))
+        if label[f] not in kept or key < kept[label[f]][0]:
+            kept[label[f]] = (key, r)
+    return sorted((tuple(r) for _, r in kept.values()), key=str)
+
+
+def test_one_of_each_group_stays(stages):
+    before, after = stages["near_duplicates"]
+    assert sorted((tuple(r) for r in after.collect()), key=str) == brute_survivors(before.collect())
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    words = lambda k, n=80: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, words("a"), "x"), (1, words("b"), "x"), (1, words("b"), "x"), (2, words("a"), "x"), (3, words("b") + " more", "x"), (3, words("c"), "y"), (None, words("d"), "x"), (None, words("d"), "x"), (None, words("c"), "x"), (4, None, "x"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = cp.drop_near_duplicates(spark, docs.repartition(3), SF)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert {(r["doc_id"], (r["text"] or "")[:1]) for r in got} == {(1, "a"), (1, "b"), (3, "c"), (None, "d"), (4, "")} and len(got) == 5
+    assert cp.drop_near_duplicates(spark, docs.limit(0), SF).collect() == []
 
 
 def test_leaks_go(spark, stages):
