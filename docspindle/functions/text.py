@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lx
+from .unicode import without_marks
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
@@ -25,9 +26,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def norm(text: Column) -> Column:
-    """Lower case without accents, runs of other than letters and digits as one space."""
-    folded = F.translate(F.lower(F.trim(text)), lx.FOLD_FROM, lx.FOLD_TO)
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, r"\p{Mn}+", ""), r"[^\p{L}\p{N}]+", " "))
+    """Lower case without accents (of any letter), runs of other than letters and digits as one space."""
+    return F.trim(F.regexp_replace(without_marks(F.lower(F.trim(text))), r"[^\p{L}\p{N}]+", " "))
 
 
 def tokens(normalised: Column) -> Column:

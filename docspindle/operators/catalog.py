@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .concat import head_of_concatenation
+
 
 def display_name(original: Column, logical: Column, stored: Column) -> Column:
     blank = F.lit("")
@@ -61,9 +63,7 @@ def first_chunk(chunks: DataFrame) -> DataFrame:
 
 def document_text(chunks: DataFrame, limit: int) -> DataFrame:
     """Each document's chunks in order, joined by lines, up to `limit` characters."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-    joined = chunks.filter(F.trim("content") != "").groupBy("document_id").agg(parts.alias("x"))
-    return joined.select("document_id", F.substring(F.array_join(F.transform("x", lambda x: F.trim(x["content"])), "\n"), 1, limit).alias("text"))
+    return head_of_concatenation(chunks.filter(F.trim("content") != ""), F.trim("content"), limit)
 
 
 def newest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

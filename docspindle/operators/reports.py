@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .concat import head_of_concatenation
 from pyspark.sql.window import Window
 
 from ..functions import display as dp
@@ -31,8 +33,7 @@ def presentation_rank(kind) -> object:
 def context(chunks: DataFrame, limit: int = 18_000) -> DataFrame:
     """Each document's numbered context block."""
     line = F.concat(F.lit("["), F.col("chunk_index").cast("string"), F.lit("] "), F.trim("content"))
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", line.alias("line"))))
-    return chunks.filter(F.trim("content") != "").groupBy("document_id").agg(parts.alias("x")).select("document_id", F.substring(F.array_join("x.line", "\n"), 1, limit).alias("context"))
+    return head_of_concatenation(chunks.filter(F.trim("content") != ""), line, limit).withColumnRenamed("text", "context")
 
 
 def outline(chunks: DataFrame, most: int = 12) -> DataFrame:

@@ -127,7 +127,35 @@ for _p in lx.FORBIDDEN:
     _FORBIDDEN = f"regexp_replace({_FORBIDDEN}, '{_p}', '', 'g')"
 _SUM = " + ".join(f"max(CASE WHEN contains(n, '{t}') THEN 1 ELSE 0 END)" for t in _TERMS)
 
+#: Extensions and MIME types of uploads, known ones, odd ones and none.
+EXTENSIONS = [".txt", ".CSV", ".pdf", ".docx", ".xlsx", ".xls", ".jpg", ".JPEG", ".png", ".gif", ".webp", ".bmp", ".tif", ".tiff", ".bin", ""]
+MIMES = ["text/plain; charset=utf-8", "application/csv", " Application/PDF ", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.ms-excel", "image/heic", "application/zip", "", "text/csv"]
+
+
+def file_types(s, sf):
+    """The type of each document's upload: its number tells which extension and MIME type it had."""
+    from ..sources.readers import file_type
+
+    d = docs(s, sf)
+    pick = lambda xs, by: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(by, F.lit(len(xs))) + 1).cast("int"))
+    named = d.select("document_id", F.concat(F.col("collection_id"), F.lit("/file_"), F.col("document_id").cast("string"), pick(EXTENSIONS, F.col("document_id"))).alias("path"), pick(MIMES, F.expr("document_id div 16")).alias("mime"))
+    return named.select("document_id", "path", file_type(F.col("path"), F.col("mime")).alias("file_type"))
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+
+
+FILE_TYPES_SQL = f"""
+WITH f AS (SELECT doc_id AS document_id, source || '/file_' || doc_id || {_sql_list(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1] AS path, lower({_sql_list(EXTENSIONS)}[doc_id % {len(EXTENSIONS)} + 1]) AS e, lower(trim(split_part({_sql_list(MIMES)}[doc_id // 16 % {len(MIMES)} + 1], ';', 1))) AS m FROM documents)
+SELECT document_id, path, CASE WHEN e = '.txt' THEN 'text' WHEN e = '.csv' THEN 'csv' WHEN e = '.pdf' THEN 'pdf' WHEN e = '.docx' THEN 'docx' WHEN e IN ('.xlsx', '.xls') THEN 'excel'
+  WHEN e IN ('.jpg', '.jpeg', '.png', '.gif', '.webp', '.bmp', '.tif', '.tiff') THEN 'image' WHEN m = 'text/plain' THEN 'text' WHEN m IN ('text/csv', 'application/csv') THEN 'csv' WHEN m = 'application/pdf' THEN 'pdf'
+  WHEN m LIKE '%wordprocessingml.document' THEN 'docx' WHEN m IN ('application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'application/vnd.ms-excel') THEN 'excel' WHEN m LIKE 'image/%' THEN 'image' WHEN m = '' THEN 'unknown' ELSE m END AS file_type
+FROM f
+"""
+
 QUERIES = {
+    "file_types": (file_types, FILE_TYPES_SQL),
     "outline_lines": (outlines, f"SELECT document_id, '- 2.1 ' || tenant_id AS line FROM ({DOCS}) WHERE text IS NOT NULL UNION ALL SELECT document_id, '- IV. Parte de ' || collection_id FROM ({DOCS}) WHERE text IS NOT NULL"),
     "context_relevance": (relevances, f"SELECT document_id, round(({_SUM}) / {len(_TERMS)}.0::DOUBLE, 9) AS relevance, ({_SUM}) / {len(_TERMS)}.0::DOUBLE >= {it.least_relevance(QUESTION)} AS relevant FROM (SELECT document_id, {sql_norm('content')} AS n FROM ({CHUNKS})) GROUP BY document_id"),
     "source_names": (source_names, f"SELECT vec_id AS document_id, name, coalesce(ends_with(name, 'XLSX'), false) AS is_sheet FROM embeddings LEFT JOIN (SELECT document_id, collection_id || CASE WHEN document_id % 2 = 0 THEN '.XLSX' ELSE '.txt' END AS name FROM ({DOCS})) ON document_id = vec_id"),

@@ -23,6 +23,16 @@ def text_norm(s, sf):
     return docs(s, sf).select("document_id", F.md5(tx.norm(F.col("text"))).alias("norm"), F.length(tx.norm(F.col("text"))).alias("n"))
 
 
+#: Letters, and ones with marks of several scripts' hands.
+PLAIN_LETTERS, MARKED_LETTERS = "aeioucszthnrld", "ăěįőųčšžțḥňřľď"
+
+
+def marked_norm(s, sf):
+    """Whole texts whose letters got marks, and the Greek and Vietnamese of their sources."""
+    t = F.concat(F.translate("text", PLAIN_LETTERS, MARKED_LETTERS), F.lit(" Ελλάδα Ἀθῆναι Tiếng Việt Čeština szőlő țară"))
+    return tx.once(docs(s, sf).select("document_id", t.alias("t")), norm=tx.norm(F.col("t"))).select("document_id", F.md5("norm").alias("norm"), F.length("norm").alias("n"))
+
+
 def text_terms(s, sf):
     t = docs(s, sf).select("document_id", tx.terms(tx.norm(F.col("text"))).alias("t"))
     return t.select("document_id", F.size("t").alias("n"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("terms"))
@@ -190,6 +200,7 @@ SELECT chunk_id, bullet,
 
 QUERIES = {
     "text_norm": (text_norm, f"SELECT document_id, md5({sql_norm('text')}) AS norm, len({sql_norm('text')}) AS n FROM ({DOCS})"),
+    "marked_norm": (marked_norm, f"SELECT document_id, md5(n) AS norm, len(n) AS n FROM (SELECT document_id, {sql_norm(chr(116))} AS n FROM (SELECT document_id, translate(text, '{PLAIN_LETTERS}', '{MARKED_LETTERS}') || ' Ελλάδα Ἀθῆναι Tiếng Việt Čeština szőlő țară' AS t FROM ({DOCS})))"),
     "text_terms": (text_terms, f"SELECT document_id, len(t) AS n, md5(array_to_string(list_sort(t), ' ')) AS terms FROM (SELECT document_id, {sql_terms(sql_norm('text'))} AS t FROM ({DOCS}))"),
     "term_counts": (term_counts, f"""SELECT document_id, len(w) AS words, {sql_whole('w', TERM)} AS whole, {_fuzzy('w', TERM)} AS near, {_fuzzy('w', LONG)} AS near_long,
       len(list_filter(w, lambda x: starts_with(x, '{LONG[:7]}') OR contains(x, '{LONG}') OR (len(x) >= 5 AND contains('{LONG}', x)))) > 0 AS partial FROM ({_W})"""),

@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 
 # Limits of uploads, in bytes, and types by extension.
 MAX_DOCUMENT, MAX_IMAGE = 25 * 1024 * 1024, 10 * 1024 * 1024
-TYPES = {"txt": "text", "md": "text", "csv": "csv", "xlsx": "excel", "docx": "docx", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image"}
-MIME_TYPES = {"text/plain": "text", "text/csv": "csv", "application/pdf": "pdf"}
+TYPES = {
+    "txt": "text", "md": "text", "csv": "csv", "pdf": "pdf", "docx": "docx", "xlsx": "excel", "xls": "excel",
+    "jpg": "image", "jpeg": "image", "png": "image", "gif": "image", "webp": "image", "bmp": "image", "tif": "image", "tiff": "image",
+}
+MIME_TYPES = {
+    "text/plain": "text", "text/csv": "csv", "application/csv": "csv", "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "excel", "application/vnd.ms-excel": "excel",
+}
 
 
 def file_type(path: Column, mime: Column) -> Column:
-    """By extension, else by MIME type without its parameters, else unknown."""
+    """By extension, else by MIME type without its parameters: its own name where it is none of the
+    known ones, unknown where there is none."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.lower(F.trim(F.substring_index(mime, ";", 1)))
-    by_ext = F.lit(None).cast("string")
-    for k, v in TYPES.items():
-        by_ext = F.when(ext == k, v).otherwise(by_ext)
-    by_mime = F.when(kind.startswith("image/"), "image")
-    for k, v in MIME_TYPES.items():
-        by_mime = by_mime.when(kind == k, v)
-    return F.coalesce(by_ext, by_mime, F.lit("unknown"))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(mime, F.lit("")), ";", 1)))
+    known = lambda key, names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+    by_mime = F.when(kind.startswith("image/"), "image").when(kind == "", "unknown").otherwise(kind)
+    return F.coalesce(known(ext, TYPES), known(kind, MIME_TYPES), by_mime)
 
 
 def object_name(key: Column) -> Column:
@@ -99,11 +103,17 @@ def xlsx_text(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, mimes: DataFrame | None = None) -> DataFrame:
     """All files under `path`: path, file_type, sha256, size, text, status. Files over the limits, of
-    unknown types, or broken get a status and no text; PDF and image text comes from elsewhere."""
+    unknown types, or broken get a status and no text; PDF and image text comes from elsewhere.
+    `mimes` (file, mime), as uploads told them by file name, decides where an extension doesn't."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    typed = files.select("path", "length", F.sha2("content", 256).alias("sha256"), file_type(F.col("path"), F.lit("")).alias("file_type"), "content")
+    mime = F.lit("")
+    if mimes is not None:
+        told = mimes.groupBy("file").agg(F.min("mime").alias("mime"))
+        files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(told, "file", "left")
+        mime = F.col("mime")
+    typed = files.select("path", "length", F.sha2("content", 256).alias("sha256"), file_type(F.col("path"), mime).alias("file_type"), "content")
     limit = F.when(F.col("file_type") == "image", MAX_IMAGE).otherwise(MAX_DOCUMENT)
     typed = typed.withColumn("content", F.when(F.col("length") <= limit, F.col("content")))
 
