@@ -13,7 +13,7 @@ from docspindle.llm.common import materialise, small, table
 from docspindle.llm.decontam import benchmark_leaks
 from docspindle.llm.mixing import mix_sources
 from docspindle.llm.pii import replace_pii
-from docspindle.llm.queries import PII_KEY
+from docspindle.llm.queries import pii_key
 from docspindle.llm.simhash import fingerprint_groups, fingerprints, with_fingerprints
 from docspindle.llm.toxicity import score_toxicity
 
@@ -60,7 +60,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities in texts get surrogates; all documents stay. n_chars follows the text."""
-    out = replace_pii(docs, key=PII_KEY, count_col=None)
+    out = replace_pii(docs, key=pii_key(spark), count_col=None)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

@@ -15,8 +15,8 @@ from .common import discard, materialise
 PATIENCE = 8
 
 # Titles that a person's name follows, by gender; several may follow each other.
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Senora|Senorita|Sra|Srta|Doña|Dra|Doctora|Profesora"
-MALE = "Mr|Herrn|Herr|Monsieur|Señor|Senor|Sr|Don"
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Mlle|Señora|Señorita|Senora|Senorita|Sra|Srta|Doña|Dra|Doctora|Profesora|Г-жа|Госпожа|Κυρία|Κα"
+MALE = "Mr|Herrn|Herr|Monsieur|Señor|Senor|Sr|Don|Г-н|Господин|Κύριος|Κος"
 EITHER = "Dr|Prof|Professor|Professeur|Profesor|Doctor|Doktor|Docteur"
 _TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER})(?![\p{{L}}\p{{N}}_])"
 TITLES = rf"{_TITLE}\.?(?: {_TITLE}\.?)*"
@@ -30,9 +30,19 @@ _NAME = rf"{_INITIALS}(?:{_PARTICLE} ){{0,2}}{_WORD}"
 #: What a name without a title follows.
 CUES = "[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es"
 _HEX = "[0-9A-Fa-f]{1,4}"
+# Letters that addresses may have besides ASCII, names before a secret, and how providers' keys begin.
+_LETTERS = r"\u00c0-\u024f\u0370-\u1fff\u2c00-\u2dff\u3040-\ud7ff"
+ASSIGNED = "(?i:pass(?:word|wd|phrase|wort)|pwd|kennwort|contraseña|clave|mot de passe|secret|token|api[_\\-]?key|(?:access|secret|private)[_\\-]?key|client[_\\-]?secret|auth[_\\-]?token)"
+PREFIXED = "|".join((
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{30,255}", r"github_pat_[A-Za-z0-9_]{22,255}", r"glpat-[A-Za-z0-9_\-]{20,64}", r"sk-[A-Za-z0-9_\-]{20,255}",
+    r"xox[abprs]-[A-Za-z0-9\-]{10,255}", r"AIza[A-Za-z0-9_\-]{35}", r"eyJ[A-Za-z0-9_\-]{10,2000}\.[A-Za-z0-9_\-]{10,4000}\.[A-Za-z0-9_\-]{10,1000}",
+))
+#: What stands between such a name and its value, and the value: after ":" it has a digit or sign, so that prose stays.
+_GIVEN = r"(?<=[=:]|[=:] |[=:][\"']|[=:] [\"'])"
+_VALUE = r"[^\s\"'<>,;]{3,127}[^\s\"'<>,;.!?)]"
 #: Each alternative begins at a word's first character, so a long word is looked at once.
 SHAPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})(?:\.[A-Za-z0-9\-]{1,63}){1,6}(?![A-Za-z0-9@])",
+    "email": rf"[A-Za-z0-9{_LETTERS}][A-Za-z0-9{_LETTERS}._%+\-]{{0,63}}@[A-Za-z0-9{_LETTERS}](?:[A-Za-z0-9{_LETTERS}\-]{{0,62}})(?:\.[A-Za-z0-9{_LETTERS}\-]{{1,63}}){{1,6}}(?![A-Za-z0-9{_LETTERS}@])",
     "secret": r"(?=[a-zA-Z]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
     "ip": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{L}\p{N}_]|\.[0-9])",
     "ip6": rf"(?=[A-Fa-f:]{{0,40}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}_:])",
@@ -47,15 +57,24 @@ SHAPES = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_])",
     "card": r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![\p{L}\p{N}_])",
-    "person": rf"(?:{TITLES} |(?<=(?:{CUES}) )){_NAME}(?: {_NAME})*",
+    "token": rf"(?:{PREFIXED})(?![\p{{L}}\p{{N}}_])",
+    "person": rf"(?:{TITLES} |(?<=(?:{CUES}) )){_NAME}(?: {_NAME})*|(?<=(?:{CUES}) |姓名[：:])\p{{IsHan}}{{2,4}}",
 }
+#: The value of a password or token that is named before it.
+PASSWORD = rf"{_GIVEN}(?<={ASSIGNED} ?(?:=|:(?=\s?[\"']?[^\s\"'<>,;]{{0,127}}[0-9_$#!@%^&*+/=])) ?[\"']?){_VALUE}"
 #: A number may follow "." or "-", unless those follow a digit; an address may not.
-PATTERN = r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9])" + SHAPES["email"] + r"|(?<![\p{L}\p{N}_@%+])(?<![\p{N}][.\-])(?=[0-9+(A-Za-z\p{Lu}])(?:" + "|".join(SHAPES[k] for k in ("secret", "ip", "ip6", "phone", "iban", "ssn", "card", "person")) + "))"
-KINDS = ("email", "person", "ssn", "ip", "ip6", "secret", "iban", "phone", "card")
+PATTERN = (
+    r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9" + _LETTERS + "])" + SHAPES["email"]
+    + r"|(?<![\p{L}\p{N}_@%+])(?<![\p{N}][.\-])(?=[0-9+(A-Za-z\p{Lu}\p{IsHan}])(?:" + "|".join(SHAPES[k] for k in ("secret", "token", "ip", "ip6", "phone", "iban", "ssn", "card", "person")) + ")"
+    + f"|{PASSWORD})"
+)
+KINDS = ("email", "person", "ssn", "ip", "ip6", "secret", "token", "iban", "phone", "card")
+_WHOLE_NAME = rf"^(?:{_NAME}(?: {_NAME})*|\p{{IsHan}}{{2,4}})$"
 
 
 def _kind(m: Column) -> Column:
-    out = F.when(m.rlike("[0-9]"), "card").otherwise("name")
+    """By its shape; what stood after a word is a name or a password."""
+    out = F.when(m.rlike(r"^[0-9 \-]+$"), "card").when(m.rlike(_WHOLE_NAME), "name").otherwise("password")
     for k in reversed(KINDS):
         out = F.when(m.rlike(rf"^(?:{SHAPES[k]})$"), k).otherwise(out)
     return out
@@ -67,7 +86,7 @@ def _norm(kind: Column, m: Column) -> Column:
     codes and trunk prefixes may be there or not."""
     plain = F.regexp_replace(m, r"[ .()/\-]", "")
     phone = F.regexp_extract(plain, "[0-9]{1,9}$", 0)
-    return F.when(kind == "phone", phone).when(kind == "ip", m).when(kind == "iban", F.upper(plain)).when(kind.isin("card", "ssn"), plain).otherwise(F.lower(m))
+    return F.when(kind == "phone", phone).when(kind.isin("ip", "token", "password"), m).when(kind == "iban", F.upper(plain)).when(kind.isin("card", "ssn"), plain).otherwise(F.lower(m))
 
 
 def _words(m: Column) -> Column:
@@ -109,33 +128,37 @@ def _random(seed: str, i: str, m: int) -> str:
     return f"cast(conv(substr({seed}, 1 + 4 * (({i}) % 128), 4), 16, 10) as int) % {m}"
 
 
+# Consonants and vowels by script, and common characters of names.
+SCRIPTS = {r"\\p{IsCyrillic}": ("бвгдзклмнпрст", "аеиоу"), r"\\p{IsGreek}": ("βγδζκλμνπρστ", "αεηιο"), r"\\p{IsHan}": ("王李张刘陈杨黄赵吴周徐孙", "明华文军平芳丽强伟敏静杰")}
+
+
 def _shaped(text: str, seed: str) -> str:
-    """SQL: each digit by a digit, each ASCII letter by a letter of its case, the rest as it is."""
+    """SQL: each digit by a digit, each letter by one of its case and script (Latin by ASCII), the rest as it is."""
     letter = "substr('abcdefghijklmnopqrstuvwxyz', 1 + {r}, 1)"
     lower, upper = letter.format(r=_random(seed, "i", 26)), f"upper({letter.format(r=_random(seed, 'i', 26))})"
-    return f"array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9]' then cast({_random(seed, 'i', 10)} as string) when c rlike '[a-z]' then {lower} when c rlike '[A-Z]' then {upper} else c end), '')"
+    other = " ".join(f"when c rlike '{k}' then substr('{a + b}', 1 + {_random(seed, 'i', len(a + b))}, 1)" for k, (a, b) in SCRIPTS.items())
+    return f"array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9]' then cast({_random(seed, 'i', 10)} as string) when c rlike '[a-z]' then {lower} when c rlike '[A-Z]' then {upper} when c < '\\u007f' then c {other} when c rlike '\\\\p{{L}}' then {lower} else c end), '')"
 
 
 def _name(norm: str, kind: str, seed: str) -> str:
     """SQL: a name of the same script and length: consonants and vowels in turn; a
     woman's first name ends in a vowel, a man's in a consonant; later attempts are longer."""
-    scripts = {r"\\p{IsCyrillic}": ("бвгдзклмнпрст", "аеиоу"), r"\\p{IsGreek}": ("βγδζκλμνπρστ", "αεηιο")}
     latin = ("bcdfghklmnprstvz", "aeiou")
 
     def build(consonants: str, vowels: str) -> str:
-        n = f"greatest(3, length({norm})) + attempt"
+        n = f"greatest({2 if consonants[0] == '王' else 3}, length({norm})) + attempt"
         v, c = (f"substr('{x}', 1 + {_random(seed, 'i', len(x))}, 1)" for x in (vowels, consonants))
         last = f"case {kind} when 'first_f' then {v} when 'first_m' then {c} else if(i % 2 = 1, {v}, {c}) end"
         return f"initcap(array_join(transform(sequence(0, {n} - 1), i -> if(i = {n} - 1, {last}, if(i % 2 = 1, {v}, {c}))), ''))"
 
-    when = " ".join(f"when {norm} rlike '{k}' then {build(*x)}" for k, x in scripts.items())
+    when = " ".join(f"when {norm} rlike '{k}' then {build(*x)}" for k, x in SCRIPTS.items())
     return f"case {when} else {build(*latin)} end"
 
 
 def _keys(spark: SparkSession, key: str) -> DataFrame:
     """kind, inner, outer: the padded key blocks of an HMAC for each kind of entity,
     under a key derived for it. Rows of a table, so that no plan shows them."""
-    kinds, args = sorted({*KINDS, "last", "first", "first_f", "first_m"} - {"person"}), {}
+    kinds, args = sorted({*KINDS, "password", "last", "first", "first_f", "first_m"} - {"person"}), {}
     for n, kind in enumerate(kinds):
         own = hmac.new(key.encode(), kind.encode(), hashlib.sha256).digest().ljust(64, b"\0")
         args[f"i{n}"], args[f"o{n}"] = (bytes(x ^ pad for x in own).hex() for pad in (0x36, 0x5C))
@@ -156,6 +179,9 @@ def _surrogate() -> tuple[Column, Column]:
     head = f"concat(regexp_replace(norm, '[.][^.]*$', ''), repeat('a', attempt div {PATIENCE}))"
     mail = f"concat({_shaped(head, 'seed')}, regexp_extract(norm, '[.][^.]*$', 0))"
     phone = _shaped(f"concat(norm, {more})", "seed")
+    # How a provider's keys begin stays.
+    begins = "regexp_extract(norm, '^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|AIza|eyJ)', 0)"
+    token = f"concat({begins}, {_shaped(f'concat(substr(norm, 1 + length({begins})), {more})', 'seed')})"
     digits = f"concat(substr(norm, 1, 1), {_shaped(f'concat(substr(norm, 2), {more})', 'seed')})"
     luhn = "aggregate(transform(reverse(filter(split({x}, ''), c -> c <> '')), (c, i) -> if(i % 2 = 1, if(cast(c as int) > 4, 2 * cast(c as int) - 9, 2 * cast(c as int)), cast(c as int))), 0, (a, x) -> a + x)"
     # A card's last digit gives the surrogate the original's Luhn remainder.
@@ -169,7 +195,7 @@ def _surrogate() -> tuple[Column, Column]:
     iban = f"concat(substr(norm, 1, 2), lpad(cast(98 - {rest} as string), 2, '0'), {account})"
     sql = (
         f"case when kind = 'email' then {mail} when kind = 'ip' then {octets} when kind in ('secret', 'ip6') then {hexed} when kind = 'iban' then {iban} "
-        f"when kind = 'card' then {card} when kind = 'phone' then {phone} when kind = 'ssn' then {digits} else {_name('norm', 'kind', 'seed')} end"
+        f"when kind = 'card' then {card} when kind in ('phone', 'password') then {phone} when kind = 'token' then {token} when kind = 'ssn' then {digits} else {_name('norm', 'kind', 'seed')} end"
     )
     return F.expr(seed).alias("seed"), F.expr(sql).alias("surrogate")
 
@@ -223,8 +249,9 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     name, underscores are added to ours).
 
     Entities: e-mail and IP addresses, phone, card, social security and IBAN
-    numbers, long hexadecimal secrets, and names of any number of parts after one or
-    more titles, or after words that introduce one. A part of such a name is replaced
+    numbers, long hexadecimal secrets, keys that begin like those of known providers,
+    values given to a password, key or token (after ":" such as have a digit or sign), and names of any number of
+    parts after one or more titles, or after words that introduce one. A part of such a name is replaced
     wherever it stands in the same document with a capital; particles and initials
     stay. A surrogate depends on the key and the entity alone; the same entity gets
     the same one in all documents, whatever its case or separators, a phone number
@@ -236,6 +263,8 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     the entities, are shuffled; a mention's entity is one row on its side of the
     join, so a frequent one can be split.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     extra = count_col or "n_entities"
     while extra in docs.columns:
         extra += "_"
@@ -254,7 +283,7 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     parts = F.transform(F.filter(F.map_keys("__map"), lambda k: k.rlike(r"^(?:last|first|first_f|first_m)\|")), lambda k: F.substring_index(k, "|", -1))
     # Longer ones first: of two that begin alike the longer is meant.
     parts = F.reverse(F.array_sort(F.array_distinct(parts)))
-    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?=\p{Lu}|[dl]['’])(?iu:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    alone = F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])(?=[\p{Lu}\p{IsHan}]|[dl]['’])(?iu:"), F.array_join(parts, "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     # The texts between mentions, and what stands for each mention, in turn.
     both = both.withColumn("__pattern", F.when(F.size(parts) > 0, alone).otherwise(PATTERN))
     both = both.withColumn("__found", F.expr(f"regexp_extract_all({text_col}, __pattern, 0)")).withColumn("__gaps", F.expr(f"split({text_col}, __pattern, -1)"))
@@ -270,7 +299,7 @@ def replace_pii(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_col:
     both = both.withColumn("__new", F.transform("__found", written))
     poured = _pour("x.m", "x.s")
     cased = "if(x.m = upper(x.m), upper(x.s), x.s)"
-    out = f"transform(__new, x -> case when x.kind in ('person', 'name') then x.person when x.kind = 'ip' then x.s when x.kind in ('secret', 'email', 'ip6') then {cased} else {poured} end)"
+    out = f"transform(__new, x -> case when x.kind in ('person', 'name') then x.person when x.kind in ('ip', 'token', 'password') then x.s when x.kind in ('secret', 'email', 'ip6') then {cased} else {poured} end)"
     both = both.withColumn("__out", F.expr(out))
     text = F.expr("array_join(transform(__gaps, (g, i) -> concat(g, coalesce(get(__out, i), ''))), '')")
     changed = both.withColumn(text_col, text).withColumn(extra, F.size("__found"))

@@ -59,12 +59,16 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-#: Surrogates depend on it; a deployment passes its own secret.
-PII_KEY = "docspindle-example-key"
+#: Surrogates depend on the session's docspindle.pii.key. This one is for test tables, and no secret.
+EXAMPLE_KEY = "docspindle-example-key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("docspindle.pii.key", EXAMPLE_KEY)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

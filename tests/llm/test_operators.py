@@ -572,3 +572,29 @@ def test_names_and_phones_leave_nothing(spark):
     assert out[1].endswith(f"Ms {second}; {third}")
     assert out[2].startswith("Frau Dr. ") and "Herr von " in out[2] and out[2].endswith("-Werke")
     assert "Senor de la " in out[3] and out[3].endswith(". La casa")
+
+
+def test_secrets_and_other_scripts(spark):
+    """Planted secrets, addresses and names are gone, formats and the rest stay, and equal ones stay equal."""
+    rng = random.Random(9)
+    some = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secrets = ["hunter2", "p@ss-w0rd", some(12) + "7", "AKIA" + some(16, upper), "ghp_" + some(36), "sk-" + some(40), "xoxb-" + some(20), "eyJ" + some(20) + "." + some(30) + "." + some(20)]
+    given = [f"password: {x}" for x in secrets[:3]] + [f'API_KEY="{secrets[2]}", next', f"contraseña = {secrets[0]}."]
+    others = {"мария@почта.рф": 1, "müller@bücher.example": 1, "王小明": 1, "Иванов": 1, "Παπαδόπουλος": 1}
+    texts = given + [f"see {x} there" for x in secrets[3:]] + ["mail мария@почта.рф or müller@bücher.example", "Name: 王小明", "Г-н Иванов and Κύριος Παπαδόπουλος"]
+    clean = ["the secret: never tell anyone", "a token: of thanks", "password policy is strict", "sk-ill and AKIA", "clave: de sol", "王小明在这里"]
+    rows = list(enumerate(texts + clean))
+    got = [r["text"] for r in sorted(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect())]
+    for secret in [*secrets, *others]:
+        assert not any(secret in g for g in got[: len(texts)]), secret
+    assert got[len(texts) :] == clean
+    assert [re.sub(r"[^\W_]", "x", g) for g in got[: len(texts)]] == [re.sub(r"[^\W_]", "x", t) for t in texts]
+    for g, t in zip(got, texts):
+        assert [c.isdigit() for c in g] == [c.isdigit() for c in t] or "eyJ" in t or "AKIA" in t
+    # One secret in two texts, and a name's script.
+    assert got[2].split(": ")[1] == got[3].split('"')[1] and got[0].split(": ")[1] == got[4].split("= ")[1].rstrip(".")
+    assert got[5].startswith("see AKIA") and got[6].startswith("see ghp_")
+    assert re.fullmatch(r"Name: [\u4e00-\u9fff]{3}", got[-len(clean) - 2]) and re.match(r"Г-н [А-Яа-я]+ and Κύριος [Α-Ωα-ω]+$", got[-len(clean) - 1])
+    with pytest.raises(ValueError):
+        pii.replace_pii(spark.createDataFrame(rows[:1], "doc_id long, text string"), key="")
