@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,19 @@ STEP = 1 << 17
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers below 2^32, their first bytes together, then their second ones, compressed."""
+    """Integers below 2^32: how many bytes they need, their first bytes together, then their second ones, compressed."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes(), 3)
+    wide = next(w for w in (1, 2, 4) if int(x.max(initial=0)) < 1 << (8 * w) or w == 4)
+    x = x.astype(f"<u{wide}")
+    return bytes([wide]) + zstandard.compress((x if wide == 1 else np.ascontiguousarray(x.view("u1").reshape(-1, wide).T)).tobytes(), 1)
 
 
 def _plain(x: bytes) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
+    wide, x = x[0], np.frombuffer(zstandard.decompress(x[1:]), "u1")
+    return (x if wide == 1 else np.ascontiguousarray(x.reshape(wide, -1).T).view(f"<u{wide}").ravel()).astype("i8")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -96,25 +100,27 @@ class Pair:
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces; B adds the space that each begins with."""
-        encoded = self.a.encode_batch(pieces, add_special_tokens=False)
-        sides = [[e.ids for e in encoded], self.b.encode([p[1:] for p in pieces], num_threads=1)]
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)  # without offsets
+        sides = [[e.ids for e in encode(pieces, add_special_tokens=False)], self.b.encode([p[1:] for p in pieces], num_threads=1)]
         raw = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, raw), "i8", len(raw))
         good = np.ones(len(pieces), bool)
         for side, (ids, table) in enumerate(zip(sides, (self.a_bytes, self.b_bytes))):
-            for i, (own, whole) in enumerate(zip(ids, raw)):
-                if b"".join([table[x] for x in own]) != whole:
-                    good[i] = False
-            flat = np.array([x for own in ids for x in own], "i8")
-            long = np.array([len(table[x]) for own in ids for x in own], "i8")
-            size = np.array([len(own) for own in ids], "i8")
+            flat = list(chain.from_iterable(ids))
+            parts = list(map(table.__getitem__, flat))
+            flat, long = np.array(flat, "i8"), np.fromiter(map(len, parts), "i8", len(parts))
+            size = np.fromiter(map(len, ids), "i8", len(ids))
             total = np.concatenate([[0], np.cumsum(long)])
             starts = np.cumsum(size) - size
-            ends = total[1:] - np.repeat(total[starts], size) if len(flat) else flat
+            # All at once; one by one only where something differs.
+            if b"".join(parts) != b"".join(raw) or (total[starts + size] - total[starts] != length).any():
+                good &= [b"".join(map(table.__getitem__, own)) == whole for own, whole in zip(ids, raw)]
+            ends = total[1:] - np.repeat(total[starts], size)
             self.first[side] = np.concatenate([self.first[side], starts + len(self.ids[side])])
             self.size[side] = np.concatenate([self.size[side], size])
             self.ids[side], self.ends[side] = np.concatenate([self.ids[side], flat]), np.concatenate([self.ends[side], ends])
         self.memo.update(zip(pieces, range(len(self.good), len(self.good) + len(pieces))))
-        self.good, self.length = np.concatenate([self.good, good]), np.concatenate([self.length, [len(r) for r in raw]])
+        self.good, self.length = np.concatenate([self.good, good]), np.concatenate([self.length, length])
 
     def encode(self, texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]] | None]:
         """For each text its (ends, ids) by A and by B; None if a side's bytes are not the text's."""
@@ -148,7 +154,7 @@ class Sweep:
     (tokens after the last common end) and the document that goes on.
     """
 
-    def __init__(self, names: list[list[bytes]]):
+    def __init__(self, names: list[bytes]):
         self.names = names
         self.open = [(np.empty(0, "i8"), np.empty(0, "i8")) for _ in range(2)]
         self.docs: list[dict] = []  # the documents that are not handed out, by start
@@ -161,7 +167,8 @@ class Sweep:
     def sweep(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Take the next ends and ids of A and of B; positions are absolute."""
         (ea, ia), (eb, ib) = ((np.concatenate([o[0], e]), np.concatenate([o[1], i])) for o, (e, i) in zip(self.open, sides))
-        common = np.intersect1d(ea, eb, assume_unique=True)
+        in_b = eb[np.minimum(np.searchsorted(eb, ea), len(eb) - 1)] == ea if len(eb) else np.zeros(len(ea), bool)
+        common = ea[in_b]
         last = common[-1] if len(common) else -1
         na, nb = np.searchsorted(ea, last, "right"), np.searchsorted(eb, last, "right")
         self.open = [(ea[na:], ia[na:]), (eb[nb:], ib[nb:])]
@@ -169,17 +176,19 @@ class Sweep:
             return
         ea, ia, eb, ib = ea[:na], ia[:na], eb[:nb], ib[:nb]
         # Each stretch between neighbouring ends lies in one token of either side: a link.
-        bounds = np.union1d(ea, eb)
+        # Two sorted runs, which a stable sort merges.
+        bounds = np.sort(np.concatenate([ea[~in_b[:na]], eb]), kind="stable")
         keys = ia[np.searchsorted(ea, bounds)] * STEP + ib[np.searchsorted(eb, bounds)]
         ga, gb = np.searchsorted(common, ea), np.searchsorted(common, eb)
         # A's tokens of a group, then B's; what follows a token: "," "|" ";".
         out = np.empty(na + nb, "i8")
-        out[np.arange(na) + np.searchsorted(gb, ga)] = ia + STEP * np.append(ga[1:] != ga[:-1], True)
+        at_a = np.arange(na) + np.searchsorted(gb, ga)
+        out[at_a] = ia + STEP * np.append(ga[1:] != ga[:-1], True)
         at_b = np.arange(nb) + np.searchsorted(ga, gb, "right")
         out[at_b] = ib + 2 * STEP * np.append(gb[1:] != gb[:-1], True)
-        text = [self.names[x >> 17][x & (STEP - 1)] for x in out.tolist()]
+        text = list(map(self.names.__getitem__, out.tolist()))
         place = np.empty(na + nb, "i8")
-        place[at_b], place[np.arange(na) + np.searchsorted(gb, ga)] = common[gb], common[ga]
+        place[at_b], place[at_a] = common[gb], common[ga]
         ends = np.array([d["end"] for d in self.docs])
         cuts = [np.searchsorted(x, ends, "right") for x in (ea, eb, common, bounds, place)]
         before = [0] * 5
@@ -233,9 +242,9 @@ def _events(a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pair = Pair(a_path, b_path)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                rows, ids = b.column(0).slice(i, 500), b.column(1).slice(i, 500)
-                texts = b.column(2).slice(i, 500).to_pylist()
+            for i in range(0, b.num_rows, 1500):
+                rows, ids = b.column(0).slice(i, 1500), b.column(1).slice(i, 1500)
+                texts = b.column(2).slice(i, 1500).to_pylist()
                 doc, cols = [], {c: [] for c in ("side", "window", "length", "ends", "ids")}
 
                 def put(k: int, *values) -> None:
@@ -291,7 +300,7 @@ def _blocks(id_type):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Events by document and window -> blocks of documents with their pairs of ids."""
-        names = [[b"%d" % i + sep for i in range(STEP)] for sep in (b",", b"|", b";")]
+        names = [b"%d" % i + sep for sep in (b",", b"|", b";") for i in range(STEP)]
         sweep, held, links = Sweep(names), [], 0
         sides: list[list] = [[[], []], [[], []]]
         waiting = 0
