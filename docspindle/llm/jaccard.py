@@ -19,10 +19,12 @@ COUNTERS, SLICE = 1 << 21, 1 << 15
 FAN_IN = 1000
 #: Remembered hashes of words, and sets that a task knows to have met.
 MEMO = 1 << 20
-#: Sets that one group compares with its leader; rows of a list that stand in one block.
-STAR, BLOCK = 2048, 2048
-#: Entries of a long list that are skipped together.
-SKIP = 128
+#: Sets, and shingles of sets, that one block of a leader's group holds.
+STAR, STAR_SHINGLES = 2048, 4_000_000
+#: Entries of a list whose partners are looked for one by one.
+LIST = 512
+#: Counters above MANY and four times the mean are those of frequent shingles.
+MANY = 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], "u8")
@@ -140,8 +142,9 @@ def least_overlap(a, b, percent: int):
 
 def _prefixes(shared, width: int, seed: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) -> (h, node, n, pos): the shingles of a set, rare counters first, of which a similar set must hold one."""
-        counts, met = value_of(shared), set()
+        """(id, text) -> (h, node, size, often): the shingles of a set, rare counters first, of which a
+        similar set must hold one; size has the set's size and the shingle's place."""
+        (counts, many), met = value_of(shared), set()
         for _, sets in _sets(batches, width, seed):
             cols = []
             for s in sets:
@@ -150,129 +153,198 @@ def _prefixes(shared, width: int, seed: int, percent: int):
                     continue
                 met.add(node)
                 k = len(s) - -(-percent * len(s) // 100) + 1
-                own = s[np.lexsort((s, counts[(s & _U(COUNTERS - 1)).astype("i8")]))[:k]]
-                cols.append((own.view("i8"), np.full(k, node), np.full(k, len(s), "i4"), np.arange(k, dtype="i4")))
+                seen = counts[(s & _U(COUNTERS - 1)).astype("i8")]
+                first = np.lexsort((s, seen))[:k]
+                cols.append((s[first].view("i8"), np.full(k, node), len(s) << 32 | np.arange(k), seen[first] > many))
             if len(met) > MEMO:
                 met.clear()
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], ["h", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols)], ["h", "node", "size", "often"])
 
     return run
 
 
+def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node, size, often) by h -> those of lists of several nodes, and all of frequent shingles."""
+
+    def kept(b: pa.RecordBatch) -> pa.RecordBatch:
+        h, node = (b.column(i).to_numpy() for i in (0, 1))
+        alike = h[1:] == h[:-1]
+        starts = np.flatnonzero(np.append(True, ~alike))
+        several = np.logical_or.reduceat(np.append(False, alike & (node[1:] != node[:-1])), starts)
+        keep = np.repeat(several, np.diff(np.append(starts, len(h)))) | b.column(3).to_numpy(zero_copy_only=False)
+        return b.filter(pa.array(keep))
+
+    held = None
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        h = b.column(0).to_numpy()
+        whole = int(np.searchsorted(h == h[-1], True)) if len(h) and not b.column(3)[-1].as_py() else len(h)
+        if whole:
+            yield kept(b.slice(0, whole))
+        held = b.slice(whole) if whole < len(h) else None
+    if held is not None:
+        yield kept(held)
+
+
 def _whole(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, width, seed):
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s, seed)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "own"])
+        """(id, text, a, i, j, b, node) -> (a, i, j, b, own), where the text's set is the node asked for."""
+        for part, sets in _sets(batches, width, seed):
+            keep = np.array([_name(s, seed)[0] for s in sets], "i8") == part.column(6).to_numpy()
+            cols = [part.column(k).filter(pa.array(keep)) for k in (2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())], ["a", "i", "j", "b", "own"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, salt, b, own) by (a, salt), a's own set before the others -> (a, b, n_a, n_b, shared)."""
-    leader, key = np.empty(0, "u8"), None
-    for batch in batches:
-        out = []
-        for a, salt, b, own in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.frombuffer(own, "u8")
-            if b is None:
-                leader, key = own, (a, salt)
-                continue
-            if key != (a, salt):
-                raise RuntimeError("a set has come without its leader")
-            at = np.searchsorted(leader, own)
-            out.append((a, b, len(leader), len(own), int((leader[np.minimum(at, len(leader) - 1)] == own).sum())))
-        if out:
-            cols = [np.array(c, "i8") for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n_a", "n_b", "shared"])
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, shared) of distinct `pairs` (a, b): sets of many pairs are leaders, in
-    groups of about STAR that read their leader's set once and the others one by one."""
-    degree = pairs.groupBy("a").agg((1 + F.floor(F.count("*") / STAR)).alias("salts")).withColumnRenamed("a", "d")
-    dealt = pairs.join(degree, F.col("a") == F.col("d")).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
-    first = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "own")
-    rows = first.unionByName(dealt.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "own"))
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, shared long")
-
-
-_ENTRY = ("h", "i", "j", "mine", "node", "n", "pos", "part", "lead", "lead_n", "shared")
-
-
-def _open_pairs(percent: int):
-    def some(x: dict[str, np.ndarray], r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of places r < s of one list: those that may be links, and how sure it is."""
-        need = least_overlap(x["n"][r], x["n"][s], percent)
-        left = np.minimum(x["n"][r] - x["pos"][r], x["n"][s] - x["pos"][s])
-        fine = (x["part"][r] != x["part"][s]) & (left >= need) & ((x["i"][r] == x["j"][r]) | (x["mine"][r] != x["mine"][s]))
-        r, s, need = r[fine], s[fine], need[fine]
-        # Both were compared with one leader: what they share is bounded by what each shares with it.
-        known = (x["lead"][r] == x["lead"][s]) & (x["shared"][r] >= 0) & (x["shared"][s] >= 0)
-        a, b = x["shared"][r], x["shared"][s]
-        most = np.minimum(a, b) + np.minimum(x["n"][r] - a, x["n"][s] - b)
-        keep = ~known | (most >= need)
-        sure = known & (a + b - x["lead_n"][r] >= need)
-        return np.stack([r[keep], s[keep]]), sure[keep]
-
-    def lists(x: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of whole lists, each by rising size: entries look ahead while sizes allow."""
-        new = np.append(True, (x["h"][1:] != x["h"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1]))
-        starts = np.flatnonzero(new)
-        stops = np.append(starts[1:], len(new))
-        # The first place of its list that is too large for an entry.
-        end = np.repeat(stops, stops - starts)
-        long = stops - starts > 4 * SKIP
-        at = np.arange(len(new))[~np.repeat(long, stops - starts)]
-        ahead = 1
-        while len(at):
-            at = at[at + ahead < end[at]]
-            at = at[100 * x["n"][at] >= percent * x["n"][at + ahead]]
-            if len(at):
-                yield some(x, at, at + ahead)
-            ahead += 1
-        for start, stop in zip(starts[long], stops[long]):
-            cuts = [np.arange(i, min(i + SKIP, stop)) for i in range(start, stop, SKIP)]
-            # A block's least and greatest size, and most shingles after any entry's place.
-            low, high = (np.array([f(x["n"][c]) for c in cuts]) for f in (np.min, np.max))
-            left = np.array([np.max(x["n"][c] - x["pos"][c]) for c in cuts])
-            for i in range(len(cuts)):
-                js = np.arange(i, len(cuts))
-                js = js[(100 * high[i] >= percent * low[js]) & (np.minimum(left[i], left[js]) >= least_overlap(low[i], low[js], percent))]
-                for j in js:
-                    r, s = np.repeat(cuts[i], len(cuts[j])), np.tile(cuts[j], len(cuts[i]))
-                    yield some(x, r[r < s], s[r < s])
+def _stars(percent: int):
+    def kept(n: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Which entries of a list have a partner in it whose size and place allow them to be similar."""
+        need = least_overlap(n[:, None], n[None], percent)
+        fine = (np.minimum(left[:, None], left[None]) >= need) & (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None]))
+        np.fill_diagonal(fine, False)
+        return fine.any(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            x = {c: t.column(c).to_numpy().astype("i8") for c in _ENTRY}
-            for (r, s), sure in lists(x):
-                if len(r):
-                    a, b = x["node"][r], x["node"][s]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
+        """Rows (h, low, node, n, band, pos) by list (h, low) and node -> (lead, node, n): the list's entries
+        that may have a partner, under the first of them. Lists of over LIST entries pass as they come."""
+        held: dict[str, np.ndarray] = {}
+        names = ("h", "low", "node", "n", "band", "pos")
+        passing, leader = None, 0
+
+        def out(x: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, passing, leader
+            if not len(x["h"]):
+                held = x
+                return
+            new = np.append(True, (x["h"][1:] != x["h"][:-1]) | (x["low"][1:] != x["low"][:-1]))
+            starts = np.flatnonzero(new)
+            stops = np.append(starts[1:], len(new))
+            lead, keep = np.zeros(len(new), "i8"), np.zeros(len(new), bool)
+            held = {c: x[c][:0] for c in names}
+            for s, e in zip(starts, stops):
+                key = (x["h"][s], x["low"][s])
+                if key == passing:
+                    keep[s:e], lead[s:e] = True, leader
+                elif e == len(new) and not last and e - s <= LIST:  # the list may go on
+                    held = {c: x[c][s:e] for c in names}
+                elif e - s > LIST:
+                    passing, leader = key, x["node"][s]
+                    keep[s:e], lead[s:e] = True, leader
+                elif e - s > 1 and (x["band"][s:e] == x["low"][s]).any():
+                    # Where none is of the lower band, the next list has all pairs.
+                    own = kept(x["n"][s:e], x["n"][s:e] - x["pos"][s:e])
+                    if own.any():
+                        keep[s:e], lead[s:e] = own, x["node"][s:e][own][0]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (lead, x["node"], x["n"])], ["lead", "node", "n"])
 
         for b in batches:
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            keys = [t.column(c).to_numpy() for c in ("h", "i", "j")]
-            more = np.ones(len(t), bool)
-            for k in keys:
-                more &= k == k[-1] if len(k) else False
-            whole = len(t) - int(more.sum())
-            if whole:
-                yield from out(t.slice(0, whole))
-                held = t.slice(whole).to_batches()
+            now = {c: b.column(k).to_numpy().astype("i8") for k, c in enumerate(names)}
+            yield from out({c: np.concatenate([held[c], now[c]]) if held else now[c] for c in names}, False)
         if held:
-            yield from out(pa.Table.from_batches(held))
+            yield from out(held, True)
+
+    return run
+
+
+def _forest(leader: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places in `sets`) that join what is linked among `sets`, at most one per member.
+
+    A set's answers come from the leader's: two sets share what both keep of the leader, told by
+    bits, and what both have beside it, told by lists of the few shingles that several of them have.
+    """
+    m, size = len(sets), np.array([len(s) for s in sets], "i8")
+    of, flat = np.repeat(np.arange(m), size), np.concatenate(sets)
+    at = np.minimum(np.searchsorted(leader, flat), len(leader) - 1)
+    inside = leader[at] == flat
+    bits = np.zeros((m, -(-len(leader) // 64) * 8), "u1")
+    np.bitwise_or.at(bits, (of[inside], at[inside] >> 3), (1 << (at[inside] & 7)).astype("u1"))
+    bits = bits.view("u8")
+    _, where, n = np.unique(flat[~inside], return_inverse=True, return_counts=True)
+    several = n[where] > 1
+    beside_of, beside = of[~inside][several], where[several]
+    by_shingle, by_member = np.argsort(beside, kind="stable"), np.argsort(beside_of, kind="stable")
+    shingle_from = np.searchsorted(beside[by_shingle], np.arange(len(n) + 1))
+    member_from = np.searchsorted(beside_of[by_member], np.arange(m + 1))
+    # By rising size, so that those of a fitting size are a stretch.
+    order = np.argsort(size, kind="stable")
+    sizes = size[order]
+    unseen, a, b = np.ones(m, bool), [], []
+    for start in range(m):
+        if not unseen[start]:
+            continue
+        unseen[start] = False
+        front = [start]
+        while front:
+            x = front.pop()
+            fit = order[np.searchsorted(sizes, -(-percent * size[x] // 100)) : np.searchsorted(sizes, 100 * size[x] // percent, "right")]
+            rest = fit[unseen[fit]]
+            if not len(rest):
+                continue
+            shared = np.bitwise_count(bits[rest] & bits[x]).sum(1, dtype="i8")
+            own = beside[by_member[member_from[x] : member_from[x + 1]]]
+            if len(own):
+                more = np.concatenate([beside_of[by_shingle[shingle_from[e] : shingle_from[e + 1]]] for e in own])
+                shared += np.bincount(more, minlength=m)[rest]
+            near = rest[shared >= least_overlap(size[x], size[rest], percent)]
+            unseen[near] = False
+            a += [x] * len(near)
+            b += near.tolist()
+            front += near.tolist()
+    return np.array(a, int), np.array(b, int)
+
+
+def _group_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (a, i, j, b, own) by group (a, i, j), the leader first (b null) -> links (a, b)."""
+        key, leader, nodes, sets = None, None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                a, b = _forest(leader, sets, percent)
+                names = np.array(nodes, "i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b]))], ["a", "b"])
+
+        for batch in batches:
+            for a, i, j, b, own in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(own, "u8")
+                if b is None:
+                    if key != (a, i, j):
+                        yield from out()
+                        key, leader, nodes, sets = (a, i, j), own, [], []
+                    continue
+                if key != (a, i, j):
+                    raise RuntimeError("a set has come without its leader")
+                nodes.append(b)
+                sets.append(own)
+        yield from out()
 
     return run
 
 
+def group_links(groups: DataFrame, texts: DataFrame, width: int, seed: int, percent: int) -> DataFrame:
+    """a, b: links between the members of each group (lead, node, n, rep) that connect what is linked
+    in it. Large groups are dealt in blocks, and each pair of blocks is one task's, with the leader's
+    set; so none is held whole. `texts` (id, text) meet what is asked of them, and only their sets travel."""
+    full = groups.groupBy("lead").agg((1 + F.floor(F.greatest(F.count("*") / STAR, F.sum("n") / STAR_SHINGLES))).cast("int").alias("blocks")).withColumnRenamed("lead", "l")
+    dealt = groups.join(full, F.col("lead") == F.col("l")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("lead").alias("a"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("node").alias("b"), "node", "rep")
+    leaders = groups.filter("lead = node").select(F.col("node").alias("l"), F.col("rep").alias("l_rep"))
+    first = dealt.select("a", "i", "j").distinct().join(leaders, F.col("a") == F.col("l")).select("a", "i", "j", F.lit(None).cast("long").alias("b"), F.col("a").alias("node"), F.col("l_rep").alias("rep"))
+    asked = materialise(first.unionByName(dealt))
+    met = texts.join(small(asked), F.col("id") == F.col("rep")).select("id", "text", "a", "i", "j", "b", "node")
+    rows = met.mapInArrow(_whole(width, seed), "a long, i int, j int, b long, own binary")
+    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_group_links(percent), "a long, b long").distinct()
+
+
 def _band(n: Column, percent: int) -> Column:
-    """Sizes of one band may be similar."""
-    return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
+    """Similar sets have sizes of one band or of neighbours."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
 def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, seed: int = 42) -> DataFrame:
@@ -289,14 +361,16 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Nodes are listed under the first shingles of their set, those with rare
     counters first: two similar sets share one of these. Then
 
-    * each list names a leader for each band of sizes; all its sets are compared with it, by
-      their whole sets, so a group of near copies costs a comparison each, not one a pair;
-    * lists whose sets these links join are left out; in the others, entries of rising size
-      skip blocks that are too large, or have too few shingles left after their place;
-    * the answers of two sets to one leader bound the answer between them: what that decides
-      is not compared.
+    * lists are cut by size, in bands that hold all similar sizes with the next. How far back a
+      shingle stands in a set bounds the size of partners there: entries skip the groups
+      of bands that hold none;
+    * entries without a partner of fitting size and place in their list are left out;
+    * a group's first node is its leader, and groups of one leader are one. The sets of
+      a group are compared with it; answers between two of them are derived from what each
+      keeps of the leader and has beside it, so near copies cost a few words of bits a
+      pair, and only links of a spanning forest are told.
 
-    Long lists are dealt in blocks, large stars in groups, so no task holds a whole one. The
+    Large groups are dealt in blocks, so no task holds a whole one. The
     counters have a fixed size; every shingle of every distinct set is counted.
     """
     spark = docs.sparkSession
@@ -315,56 +389,24 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     counts = np.zeros(COUNTERS, "i8")
     for r in slices.select(F.lit(0), "slice", "counts").collect():  # COUNTERS numbers, whatever the input
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += _unpacked(r["counts"])
-    shared = share(spark, np.minimum(counts, 2**31 - 1).astype("i4"))
+    counts = np.minimum(counts, 2**31 - 1).astype("i4")
+    shared = share(spark, (counts, max(MANY, 4 * int(counts.mean()))))
 
     known = narrow.filter("id is not null")
-    prefix = materialise(known.mapInArrow(_prefixes(shared, width, seed, percent), "h long, node long, n int, pos int"))
-    heads = prefix.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select(F.col("h").alias("head"))
-    entries = materialise(prefix.join(heads, F.col("h") == F.col("head")).select("h", "node", "n", "pos", _band(F.col("n"), percent).alias("band")).distinct())
-    discard(prefix)
-
-    lead = entries.groupBy(F.col("h").alias("lead_h"), F.col("band").alias("lead_band")).agg(F.min(F.struct("node", "n", "pos")).alias("l"))
-    led = entries.join(lead, (F.col("h") == F.col("lead_h")) & (F.col("band") == F.col("lead_band")))
-    led = materialise(led.select("h", "node", "n", "pos", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.pos").alias("lead_pos")))
-    discard(entries)
-    need = F.ceil(percent * (F.col("n") + F.col("lead_n")) / (100 + percent) - 1e-9)
-    may = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= need
-    stars = materialise(led.filter((F.col("node") != F.col("lead")) & may).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-
-    def read(pairs: DataFrame) -> DataFrame:
-        """node, own: the whole sets of the nodes of `pairs`."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        ids = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select(F.col("rep")).distinct())
-        texts = known.join(small(ids), F.col("id") == F.col("rep"), "left_semi")
-        sets = texts.mapInArrow(_whole(width, seed), "node long, own binary")
-        return materialise(sets.dropDuplicates(["node"]))
-
-    def linked(found: DataFrame) -> DataFrame:
-        return found.filter((100 + percent) * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-
-    sets = read(stars)
-    compared = materialise(overlaps(stars, sets))
-    discard(sets)
-    joined = materialise(components(linked(compared)).select(F.col("node").alias("part_node"), F.col("component").alias("part")))
-
-    # What is known of each entry: its leader, what it shares with it, and what is joined already.
-    both = led.join(compared.select(F.col("a").alias("c_a"), F.col("b").alias("c_b"), "shared"), (F.col("lead") == F.col("c_a")) & (F.col("node") == F.col("c_b")), "left")
-    both = both.join(joined, F.col("node") == F.col("part_node"), "left")
-    seen = F.when(F.col("node") == F.col("lead"), F.col("n").cast("long")).otherwise(F.coalesce("shared", F.lit(-1).cast("long")))
-    told = materialise(both.select("h", "node", "n", "pos", "lead", "lead_n", F.coalesce("part", "node").alias("part"), seen.alias("shared")))
-    discard(led)
-    open_ = told.groupBy(F.col("h").alias("open_h")).agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    open_ = open_.select("open_h", (1 + F.floor((F.col("size") - 1) / BLOCK)).cast("int").alias("blocks"))
-    left = told.join(open_, F.col("h") == F.col("open_h")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    dealt = left.select(*_ENTRY).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "pos", "node")
-    pairs = materialise(dealt.mapInArrow(_open_pairs(percent), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    discard(told)
-    unsure = pairs.filter("not sure").select("a", "b")
-    sets = read(unsure)
-    more = linked(overlaps(unsure, sets)).unionByName(pairs.filter("sure").select("a", "b"))
-
-    links = linked(compared).unionByName(more)
+    prefix = known.mapInArrow(_prefixes(shared, width, seed, percent), "h long, node long, size long, often boolean")
+    # Lists of frequent shingles may be long: their rows are dealt by node, and kept unlooked at.
+    prefix = prefix.repartition(F.when(F.col("often"), F.xxhash64("node", "h")).otherwise(F.col("h"))).sortWithinPartitions("often", "h")
+    entries = prefix.mapInArrow(_shared_lists, "h long, node long, size long, often boolean")
+    entries = entries.select("h", "node", F.shiftright("size", 32).cast("int").alias("n"), F.expr("size & 4294967295").alias("pos"))
+    # Partners have at most `top` shingles: else too few are left after this place.
+    entries = entries.withColumn("top", ((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n")).withColumn("band", _band(F.col("n"), percent))
+    up = F.col("top") >= F.pow(F.lit(100 / percent), F.col("band")) - 1e-6 * F.col("n") - 1
+    low = F.explode(F.when(up, F.array("band", F.col("band") - 1)).otherwise(F.array(F.col("band") - 1)))
+    lists = entries.select("h", low.alias("low"), "node", "n", "band", F.col("pos").cast("int").alias("pos")).distinct()
+    stars = lists.repartition("h", "low").sortWithinPartitions("h", "low", "node").mapInArrow(_stars(percent), "lead long, node long, n long").distinct()
+    stars = materialise(stars.join(nodes.select(F.col("node").alias("r_node"), "rep"), F.col("node") == F.col("r_node")).select("lead", "node", "n", "rep"))
+    links = materialise(group_links(stars, known, width, seed, percent))
+    discard(stars)
     for c in "ab":
         links = links.join(nodes.select(F.col("node").alias(f"node_{c}"), F.col("rep").alias(f"rep_{c}")), F.col(c) == F.col(f"node_{c}"))
     # A repeated id joins the sets of its rows.

@@ -152,9 +152,9 @@ def brute_components(rows):
     return sorted((i, len(s), least[top(k)] if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("star, block, skip", [(2048, 2048, 128), (7, 20, 3)])
-def test_jaccard_join(spark, monkeypatch, star, block, skip):
-    for k, v in (("STAR", star), ("BLOCK", block), ("SKIP", skip)):
+@pytest.mark.parametrize("star, shingles, many", [(2048, 4_000_000, 1000), (7, 2000, 3)])
+def test_jaccard_join(spark, monkeypatch, star, shingles, many):
+    for k, v in (("STAR", star), ("STAR_SHINGLES", shingles), ("MANY", many), ("LIST", many)):
         monkeypatch.setattr(jaccard, k, v)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]
