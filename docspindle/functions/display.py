@@ -23,6 +23,7 @@ ROMAN, NUMERIC = r"(?i)^[ivxlcdm]+\s*[.):\-]\s+.+$", r"^\d+(?:\.\d+){0,3}\s*[.):
 BIBLIOGRAPHY = ["referencias", "fuentes", "bibliografia", "bibliografia consultada", "works cited"]
 PUBLISHERS = ["editorial", "press", "springer", "pearson", "mcgraw", "routledge", "wiley", "university", "vol.", "doi", "pp."]
 TEXTBOOKS = ["manual", "handbook", "textbook", "introduction", "fundamentos", "principios", "teoria", "theory", "course", "guide"]
+RELEVANT = ["programacion", "programa", "algoritmo", "algoritmos", "arreglo", "arreglos", "estructura", "estructuras", "funcion", "funciones", "variable", "variables", "dato", "datos", "sistema", "proceso", "procesos", "modelo", "metodo", "metodos", "clase", "clases", "objeto", "objetos"]
 
 
 def _words(line: Column) -> Column:
@@ -51,16 +52,20 @@ def without_noisy_capitals(text: Column) -> Column:
 
 
 def academic_noise(line: Column) -> Column:
-    """Two points or more of: ISBN (two), bibliography word, reference, author line, book title."""
+    """Two points or more of: ISBN (two), bibliography word, reference, one to five authors, book title.
+
+    A line of more than three words, normalised, or with a word of `RELEVANT` in it is content whatever its points."""
     n, words = tx.norm(line), _words(line)
     commas = F.length(F.regexp_replace(line, "[^,]", ""))
     year, doi = line.rlike(r"\b(?:19|20)\d{2}\b"), n.contains("doi")
     points = F.when(year, 1).otherwise(0) + F.when(commas >= 2, 1).otherwise(0) + F.when(line.contains("(") & line.contains(")"), 1).otherwise(0) + F.when(tx.contains_any(n, PUBLISHERS), 1).otherwise(0)
-    author = ~line.rlike("[.:!?]") & F.forall(F.split(F.trim(line), r"\s*(?:,|;|&|\by\b|\band\b)\s*"), lambda p: p.rlike(r"^\p{Lu}\S*(?: \p{Lu}\S*){1,3}$"))
+    names = F.split(F.trim(line), r"\s*(?:,|;|&|\by\b|\band\b)\s*")
+    author = ~line.rlike("[.:!?]") & (F.size(names) <= 5) & F.forall(names, lambda p: p.rlike(r"^[\[\](){}\-]*\p{Lu}\S*(?: +[\[\](){}\-]*\p{Lu}\S*){1,3}$"))
     title = F.size(F.filter(words, lambda w: w.rlike(r"^[\[\](){}:;,\-]*\p{Lu}")))
     book = (F.size(words) >= 2) & (F.size(words) <= 10) & ~line.rlike("[.!?]") & (title >= F.size(words) - 1) & tx.contains_any(n, TEXTBOOKS)
     score = F.when(line.rlike(r"(?i)\bisbn(?:-1[03])?\b"), 2).otherwise(0) + sum((F.when(x, 1).otherwise(0) for x in (tx.contains_any(n, BIBLIOGRAPHY), (year | doi) & (points >= 2), author, book)), F.lit(0))
-    return (n != "") & (score >= 2)
+    content = (F.size(tx.tokens(n)) > 3) | tx.contains_any(n, RELEVANT)
+    return (n != "") & ~content & (score >= 2)
 
 
 def visible(text: Column) -> Column:

@@ -28,6 +28,13 @@ def conversation_memory(s, sf):
     return t.select("conv_id", "turn", "age", F.md5(out).alias("text"), n.cast("int").alias("redactions"))
 
 
+def user_memories(s, sf):
+    """Events are turns; every third one used documents."""
+    ids = F.when(F.col("event_id") % 3 == 0, F.array(*[F.col(c).cast("string") for c in ("event_id", "user_id", "event_id")]))
+    t = table(s, sf, "events").select(F.col("event_type").alias("tenant_id"), "user_id", F.col("ts").cast("timestamp").alias("created_at"), F.concat(F.lit(" "), "event_type").alias("question"), F.lit(None).cast("string").alias("answer"), ids.alias("document_ids"))
+    return jobs.user_memory(t).select("tenant_id", "user_id", "turns", F.array_join("document_ids", ",").alias("documents"))
+
+
 def ask_history(s, sf):
     logs = table(s, sf, "conversations").select(F.col("conv_id").cast("string").alias("user_id"), F.col("turn").alias("created_at"), F.col("turn").alias("log_id"), "role")
     return cat.history(logs, "1").select("user_id", "created_at", "role")
@@ -69,6 +76,9 @@ QUERIES = {
     "user_sessions": (user_sessions, """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a) SELECT user_id, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM b GROUP BY user_id, g"""),
     "conversation_memory": (conversation_memory, None),
+    "user_memories": (user_memories, """SELECT event_type AS tenant_id, user_id, CAST(count(*) AS INTEGER) AS turns, coalesce(arg_min(d, age) FILTER (d <> ''), '') AS documents FROM (
+      SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, d DESC) AS age FROM (
+        SELECT event_type, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN '' WHEN event_id = user_id THEN event_id::VARCHAR ELSE event_id || ',' || user_id END AS d FROM events)) WHERE age <= 5 GROUP BY ALL"""),
     "ask_history": (ask_history, "SELECT CAST(conv_id AS VARCHAR) AS user_id, turn AS created_at, role FROM conversations WHERE conv_id = 1 ORDER BY turn DESC LIMIT 20"),
     "job_states": (job_states, "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS steps FROM events GROUP BY user_id"),
     "job_status": (job_status, "SELECT user_id AS job_id, count(*) FILTER (event_id % 97 <> 0) AS embedded, count(*) FILTER (event_id % 97 = 0) AS failed, CASE WHEN count(*) FILTER (event_id % 97 = 0) > 0 THEN 'failed_partial' ELSE 'embedded' END AS status FROM events GROUP BY user_id"),

@@ -96,6 +96,52 @@ def memory_stream(turns: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def remembered(turns: DataFrame) -> DataFrame:
+    """Turns (tenant_id, user_id, created_at, question, answer, document_ids) as memory keeps them: trimmed,
+    redacted, each document once; turns that hold nothing, or have no time, go."""
+    said = [tx.redact(F.trim(F.coalesce(c, F.lit(""))))[0].alias(c) for c in ("question", "answer")]
+    ids = F.coalesce(F.array_distinct(F.filter("document_ids", lambda x: x.isNotNull())), F.array().cast("array<string>"))
+    t = turns.select("tenant_id", "user_id", "created_at", *said, ids.alias("document_ids"))
+    return t.filter("created_at is not null and (question <> '' or answer <> '' or size(document_ids) > 0)")
+
+
+def user_memory(turns: DataFrame, n: int = 5) -> DataFrame:
+    """tenant_id, user_id, turns, document_ids: how many of a user's newest `n` turns there are, and
+    the newest of their document sets that isn't empty (empty without one). No more than `n` turns of a user meet."""
+    parts = ("created_at", "question", "answer", "document_ids")
+    rank = F.row_number().over(Window.partitionBy("tenant_id", "user_id").orderBy(*[F.desc(c) for c in parts]))
+    kept = remembered(turns).withColumn("age", rank).filter(F.col("age") <= n)
+    newest = F.min_by(F.when(F.size("document_ids") > 0, F.col("document_ids")), F.when(F.size("document_ids") > 0, F.col("age")))
+    return kept.groupBy("tenant_id", "user_id").agg(F.count("*").cast("int").alias("turns"), F.coalesce(newest, F.array().cast("array<string>")).alias("document_ids"))
+
+
+def user_memory_stream(turns: DataFrame, n: int = 5, limit: int = 86400, delay: str = "10 minutes") -> DataFrame:
+    """`user_memory` of a stream, after each micro-batch for the users in it. A user whose newest turn
+    is `limit` seconds behind the watermark is forgotten, which a row of no turns tells once. Turns later
+    than `delay` go; turns may come in any order, and one that comes again replaces itself."""
+    t = remembered(turns.withWatermark("created_at", delay)).withColumn("at", F.unix_micros("created_at"))
+    kinds = {c: t.schema[c].dataType.simpleString() for c in ("tenant_id", "user_id")}
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: list = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            if state.exists:
+                held = [(a, q, s, tuple(d)) for a, q, s, d in zip(*state.get)]
+            for p in parts:
+                new = zip(p["at"].tolist(), p["question"], p["answer"], (tuple(d) for d in p["document_ids"]))
+                held = sorted({*held, *new}, reverse=True)[:n]
+            state.update(tuple([list(x) if i == 3 else x for x in c] for i, c in enumerate(zip(*held))))
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + limit * 1000, state.getCurrentWatermarkMs() + 1))
+        ids = next((list(x[3]) for x in held if x[3]), [])
+        yield pd.DataFrame({"tenant_id": [key[0]], "user_id": [key[1]], "turns": [len(held)], "document_ids": [ids]})
+
+    out = f"tenant_id {kinds['tenant_id']}, user_id {kinds['user_id']}, turns int, document_ids array<string>"
+    held = "ats array<bigint>, questions array<string>, answers array<string>, documents array<array<string>>"
+    return t.groupBy("tenant_id", "user_id").applyInPandasWithState(keep, out, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def job_steps(events: DataFrame, texts: DataFrame) -> DataFrame:
     """Steps of each event's job: job_id, step_id, step, result. `texts` has document_id, text
     and status (ok, failed_parse or unsupported_format). A job without a text stays received."""

@@ -27,6 +27,39 @@ def test_memory_stream(spark, tmp_path):
     assert newest[2]["text"].tolist() == ["x"] and 3 not in newest
 
 
+def test_old_memory_ends(spark, tmp_path):
+    """A user's memory goes once the watermark is past its limit; a later turn finds none of it. Until then stream and batch agree."""
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    day = "2024-01-0"
+    parts = [
+        [("t", "a", f"{day}1 10:00", " hola ", None, ["d1", "d1", "d2"]), ("t", "a", f"{day}1 10:01", "sigue", "si", []), ("t", "b", f"{day}1 10:00", " ", "", None), ("u", "a", f"{day}1 10:00", "x", "", ["d9", None])],
+        [("t", "a", f"{day}1 10:00", " hola ", None, ["d1", "d1", "d2"]), ("t", "a", f"{day}1 10:02", "otra", "", None)],
+        [("t", "c", f"{day}5 10:00", "lejos", "", None)],
+        [("t", "c", f"{day}5 10:01", "lejos", "", ["d7"])],
+        [("t", "a", f"{day}5 10:02", "de nuevo", "", None)],
+    ]
+    kinds = "tenant_id string, user_id string, t string, question string, answer string, document_ids array<string>"
+    for i, p in enumerate(parts):
+        df = spark.createDataFrame(p, kinds).withColumn("created_at", F.to_timestamp("t")).drop("t")
+        df.coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        next((tmp_path / f"p{i}").glob("*.parquet")).rename(src / f"{i}.parquet")
+    schema = df.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(str(out))
+
+    jobs.user_memory_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    told = {}
+    for r in sorted(spark.read.parquet(str(out)).collect(), key=lambda r: r["batch"]):
+        told.setdefault((r["tenant_id"], r["user_id"]), []).append((r["turns"], r["document_ids"]))
+    assert told["t", "a"] == [(2, ["d1", "d2"]), (3, ["d1", "d2"]), (0, []), (1, [])]
+    assert told["u", "a"] == [(1, ["d9"]), (0, [])] and told["t", "c"] == [(1, []), (2, ["d7"])] and ("t", "b") not in told
+    batch = {(r["tenant_id"], r["user_id"]): (r["turns"], r["document_ids"]) for r in jobs.user_memory(spark.read.schema(schema).parquet(*(str(src / f"{i}.parquet") for i in (0, 2, 3)))).collect()}
+    assert batch == {("t", "a"): (2, ["d1", "d2"]), ("u", "a"): (1, ["d9"]), ("t", "c"): (2, ["d7"])}
+
+
 def test_job_steps_are_there_once(spark, tmp_path):
     events = [(f"j{i}", f"d{i}") for i in range(5)]
     spark.createDataFrame(events, "job_id string, document_id string").write.parquet(str(tmp_path / "in"))
