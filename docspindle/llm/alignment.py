@@ -21,7 +21,7 @@ SWEEP = 1 << 20
 #: Links of the documents of one block.
 BLOCK = 2_000_000
 #: Remembered pieces per worker; the memo is emptied when it is full.
-MEMO = 500_000
+MEMO = 400_000
 #: Pairs of ids up to which their counts are sent to every executor (12 bytes each).
 PAIRS = 2_000_000
 #: A pair of ids as one key: a * STEP + b.
@@ -87,7 +87,7 @@ class Pair:
         parts = text.split(" ")
         if not self.cut:
             return [" " + text]
-        if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
+        if all(parts) and list(map(str.strip, parts)) == parts:
             return [" " + p for p in parts]
         out, open_ = [" " + parts[0]], bool(parts[0]) and not parts[0][-1].isspace()
         for p in parts[1:]:
@@ -127,12 +127,12 @@ class Pair:
         cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self._empty()
-        new = list({p for ps in cut for p in ps if p not in self.memo})
+        new = list(set().union(*cut).difference(self.memo))
         for i in range(0, len(new), 50_000):
             self.learn(new[i : i + 50_000])
         get, out = self.memo.__getitem__, []
         for ps in cut:
-            at = np.array(list(map(get, ps)), "i8")
+            at = np.fromiter(map(get, ps), "i8", len(ps))
             if not len(at) or not self.good[at].all():
                 out.append(None)
                 continue
@@ -234,13 +234,15 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 _EVENTS = ("row", "side", "window", "id", "length", "ends", "ids")
 
 
-def _events(a_path: str, b_path: str):
+def _events(a_path: str, b_path: str, kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, id, text) -> a first row of each document, then its end events of A and of B, window by window."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pair = Pair(a_path, b_path)
+        # A worker process has one copy of the broadcast dictionary, so its next tasks find the pieces it knows.
+        pair = kept.value.get("pair") or Pair(a_path, b_path)
+        kept.value["pair"] = pair
         for b in batches:
             for i in range(0, b.num_rows, 1500):
                 rows, ids = b.column(0).slice(i, 1500), b.column(1).slice(i, 1500)
@@ -390,7 +392,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, *, id_col: str =
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    events = texts.mapInArrow(_events(a_path, b_path), f"row long, side int, window int, id {kind.simpleString()}, length long, ends binary, ids binary")
+    events = texts.mapInArrow(_events(a_path, b_path, spark.sparkContext.broadcast({})), f"row long, side int, window int, id {kind.simpleString()}, length long, ends binary, ids binary")
     swept = events.repartition("row").sortWithinPartitions("row", "window", "side")
     ids = f"ids array<{kind.simpleString()}>, " + ", ".join(f"{c} array<long>" for c in _DOC) + ", sha array<string>, sizes array<long>, a binary, b binary, total binary, steps binary, n binary"
     from pyspark.sql.pandas.types import to_arrow_type
