@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import catalog as cat
 from ..operators import select as sel
+from ..sources.folders import work_folder
+from ..sources.keyed import KeyedTable
 from .base import CHUNKS, DOCS, chunks, docs, sql_norm, table
 
 
@@ -74,6 +76,16 @@ def deleted_tags(s, sf):
     return cat.delete_keys(docs(s, sf).select("document_id"), toxic_tags(s, sf), ["document_id"])
 
 
+def keyed_merges(s, sf):
+    """All documents into a keyed table, favourites moved, toxic ones deleted, missing ones put back, and the first two batches again."""
+    base = docs(s, sf).select("document_id", "collection_id")
+    moved = favorites(s, sf).join(base.select("document_id"), "document_id").withColumn("collection_id", F.lit("movida"))
+    t = KeyedTable(s, work_folder(s, "keyed"), "document_id long, collection_id string", ["document_id"], 16)
+    t.merge(base, 0).merge(moved, 1).merge(toxic_tags(s, sf), 2, "delete").merge(base.withColumn("collection_id", F.lit("nueva")), 3, "keep")
+    t.merge(base, 0).merge(moved, 1).clean()
+    return t.read()
+
+
 def catalog_totals(s, sf):
     c = chunks(s, sf)
     return c.agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.sum(F.length("content")).alias("characters"), (F.expr("sum(length(content)) div count(*)")).alias("mean_length"))
@@ -177,6 +189,7 @@ QUERIES = {
     "upserted_rows": (upserted, f"SELECT document_id, CASE WHEN document_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'movida' ELSE collection_id END AS collection_id FROM ({DOCS})"),
     "inserted_missing": (inserted_missing, f"SELECT document_id, CASE WHEN document_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN collection_id ELSE 'nueva' END AS collection_id FROM ({DOCS})"),
     "deleted_keys": (deleted_tags, f"SELECT document_id FROM ({DOCS}) WHERE document_id NOT IN ({_TOX})"),
+    "keyed_merges": (keyed_merges, f"SELECT document_id, CASE WHEN document_id IN ({_TOX}) THEN 'nueva' WHEN document_id IN ({_FAV}) THEN 'movida' ELSE collection_id END AS collection_id FROM ({DOCS})"),
     "catalog_totals": (catalog_totals, f"SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, CAST(sum(len(content)) AS BIGINT) AS characters, CAST(sum(len(content)) // count(*) AS BIGINT) AS mean_length FROM ({CHUNKS})"),
     "chunk_counts": (chunk_counts, f"SELECT document_id, count(*) AS chunks, count(*) FILTER (trim(content) = '') AS blank FROM ({CHUNKS}) GROUP BY ALL"),
     "first_chunks": (first_chunks, f"SELECT document_id, min(chunk_index) AS chunk_index, md5(arg_min(content, chunk_index)) AS content FROM ({CHUNKS}) WHERE trim(content) <> '' GROUP BY document_id"),
