@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import answers, catalog, documents, events, indexed, questions, retrieval, sectioning, text
+    from . import answers, catalog, documents, events, indexed, questions, relating, retrieval, sectioning, text
 
-    return text, catalog, retrieval, answers, events, documents, questions, indexed, sectioning
+    return text, catalog, retrieval, answers, events, documents, questions, indexed, sectioning, relating
 
 
 def queries() -> dict:
