@@ -40,9 +40,10 @@ PREFIXED = "|".join((
 #: What stands between such a name and its value, and the value: after ":" it has a digit or sign, so that prose stays.
 _GIVEN = r"(?<=[=:]|[=:] |[=:][\"']|[=:] [\"'])"
 _VALUE = r"[^\s\"'<>,;]{3,127}[^\s\"'<>,;.!?)]"
-#: Each alternative begins at a word's first character, so a long word is looked at once.
+#: Each alternative begins at a word's first character, so a long word is looked at once. What a mention
+#: has to begin with, or to follow, is looked at before the longer tests that it is a part of.
 SHAPES = {
-    "email": rf"[A-Za-z0-9{_LETTERS}][A-Za-z0-9{_LETTERS}._%+\-]{{0,63}}@[A-Za-z0-9{_LETTERS}](?:[A-Za-z0-9{_LETTERS}\-]{{0,62}})(?:\.[A-Za-z0-9{_LETTERS}\-]{{1,63}}){{1,6}}(?![A-Za-z0-9{_LETTERS}@])",
+    "email": rf"[A-Za-z0-9{_LETTERS}][A-Za-z0-9{_LETTERS}._%+\-]{{0,63}}+@[A-Za-z0-9{_LETTERS}](?:[A-Za-z0-9{_LETTERS}\-]{{0,62}}+)(?:\.[A-Za-z0-9{_LETTERS}\-]{{1,63}}){{1,6}}(?![A-Za-z0-9{_LETTERS}@])",
     "secret": r"(?=[a-zA-Z]{0,63}[0-9])(?=[0-9]{0,63}[a-fA-F])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
     "ip": r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![\p{L}\p{N}_]|\.[0-9])",
     "ip6": rf"(?=[A-Fa-f:]{{0,40}}[0-9])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}_:])",
@@ -57,11 +58,11 @@ SHAPES = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}_])",
     "card": r"[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![\p{L}\p{N}_])",
-    "token": rf"(?:{PREFIXED})(?![\p{{L}}\p{{N}}_])",
-    "person": rf"(?:{TITLES} |(?<=(?:{CUES}) )){_NAME}(?: {_NAME})*|(?<=(?:{CUES}) |姓名[：:])\p{{IsHan}}{{2,4}}",
+    "token": rf"(?=[Agsxe])(?:{PREFIXED})(?![\p{{L}}\p{{N}}_])",
+    "person": rf"(?:{TITLES} |(?=[\p{{Lu}}bdiltvyz])(?<=[:,steo] )(?<=(?:{CUES}) )){_NAME}(?: {_NAME})*|(?=\p{{IsHan}})(?<=(?:{CUES}) |姓名[：:])\p{{IsHan}}{{2,4}}",
 }
 #: The value of a password or token that is named before it.
-PASSWORD = rf"{_GIVEN}(?<={ASSIGNED} ?(?:=|:(?=\s?[\"']?[^\s\"'<>,;]{{0,127}}[0-9_$#!@%^&*+/=])) ?[\"']?){_VALUE}"
+PASSWORD = rf"(?<=[=: \"']){_GIVEN}(?<={ASSIGNED} ?(?:=|:(?=\s?[\"']?[^\s\"'<>,;]{{0,127}}[0-9_$#!@%^&*+/=])) ?[\"']?){_VALUE}"
 #: A number may follow "." or "-", unless those follow a digit; an address may not.
 PATTERN = (
     r"(?:(?<![\p{L}\p{N}_@.%+\-])(?=[A-Za-z0-9" + _LETTERS + "])" + SHAPES["email"]
