@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -54,12 +55,37 @@ def _jamo(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), letters), "")
 
 
+#: What only texts with letters of other scripts hold: tested before anything is translated.
+_NOT_ASCII = r"[^\x00-\x7f]"
+
+
+@cache
+def _several() -> str:
+    """A pattern of the letters that become several. Java tries the members of a class one by one, so
+    the range they lie in is told first: most characters cost one comparison."""
+    codes = sorted(map(ord, tables()[2]))
+    runs = [f"\\x{{{c:x}}}" for c in codes]
+    return f"[\\x{{{codes[0]:x}}}-\\x{{{codes[-1]:x}}}&&[{''.join(runs)}]]"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is evaluated once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_marks(text: Column) -> Column:
-    """The canonical decomposition of `text` without marks that take no space. Nearly all of it is
-    one translation; rare letters that become several are replaced only in texts that hold them."""
+    """The canonical decomposition of `text` without marks that take no space. Plain ASCII stays as it
+    is; the rest is one translation, and rare letters that become several are replaced only in texts
+    that hold them. Each step is evaluated once, however many steps read it."""
     one, to, more = tables()
-    folded = F.translate(text, one, to)
-    several = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(more[c])), more, folded)
-    folded = F.when(folded.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"), several).otherwise(folded)
-    folded = F.when(folded.rlike("[\uac00-\ud7a3]"), _jamo(folded)).otherwise(folded)
-    return F.regexp_replace(folded, r"\p{Mn}+", "")
+
+    def several(x: Column) -> Column:
+        return F.when(x.rlike(_several()), reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(more[c])), more, x)).otherwise(x)
+
+    def syllables(x: Column) -> Column:
+        return F.when(x.rlike("[\uac00-\ud7a3]"), _jamo(x)).otherwise(x)
+
+    def folded(x: Column) -> Column:
+        return F.regexp_replace(_once(_once(F.translate(x, one, to), several), syllables), r"\p{Mn}+", "")
+
+    return _once(text, lambda x: F.when(x.rlike(_NOT_ASCII), folded(x)).otherwise(x))
