@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,15 @@ def visible(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
+def _by_norms(parts: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The parts that `keep` takes by the normalised texts of all and a place from 0. Parts and
+    their normalised texts are evaluated once, not once for each pair of them."""
+    def taken(all_: Column) -> Column:
+        return tx.let(F.transform(all_, lambda x: tx.norm(x)), lambda norms: F.filter(all_, lambda _, i: keep(norms, i)))
+
+    return tx.let(parts, taken)
+
+
 def final(text: Column) -> Column:
     """As `visible`, without filler phrases, bare numbers and titles, repeated lines and blocks."""
     t = visible(text)
@@ -86,11 +97,10 @@ def final(text: Column) -> Column:
     def block(b: Column) -> Column:
         lines = F.transform(F.split(b, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*\.\.\.\s*|\s*\.\.\.\s*$", ""), r"[ \t]{2,}", " ")))
         kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(NUMBER_LINE) & ~x.rlike(TITLE_LINE))
-        once = F.filter(kept, lambda x, i: (i == 0) | (tx.norm(x) != tx.norm(F.element_at(kept, F.greatest(i, F.lit(1))))))
-        return F.array_join(once, "\n")
+        return F.array_join(_by_norms(kept, lambda norms, i: (i == 0) | (F.get(norms, i) != F.get(norms, i - 1))), "\n")
 
     blocks = F.filter(F.transform(F.split(t, "\n\n"), block), lambda b: b != "")
-    first = F.filter(blocks, lambda b, i: ~F.exists(F.slice(blocks, 1, i), lambda x: (tx.norm(x) == tx.norm(b)) & (tx.norm(b) != "")))
+    first = _by_norms(blocks, lambda norms, i: (F.get(norms, i) == "") | (F.array_position(norms, F.get(norms, i)) == i + 1))
     return F.trim(F.array_join(first, "\n\n"))
 
 

@@ -73,8 +73,11 @@ def partial_match(words: Column, term: str) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    def share(x: Column) -> Column:
+        n = F.size(x["a"]) + F.size(x["b"])
+        return F.when((F.size(x["a"]) == 0) | (F.size(x["b"]) == 0), 0.0).otherwise(let(F.size(F.array_intersect(x["a"], x["b"])), lambda both: both / (n - both)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def definition_like(normalised: Column, words: list[str]) -> Column:
@@ -220,14 +223,16 @@ def cosine(a: Column, b: Column) -> Column:
 def locale_number(text: Column) -> Column:
     """A lone mark before exactly three digits groups thousands; a lone comma else is
     decimal; with both marks the last is the decimal one; currency signs go; null if none."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[$€£ ]+|[$€£ ]+$", ""), " ", "")
-    dots, commas = F.length(F.regexp_replace(t, r"[^.]", "")), F.length(F.regexp_replace(t, r"[^,]", ""))
-    three = t.rlike(r"^[^.,]*[.,][^.,]{3}$")
-    alone = F.when(three, F.regexp_replace(t, r"[.,]", "")).otherwise(F.regexp_replace(t, ",", "."))
-    last_comma = t.rlike(r",[^.]*$")
-    mixed = F.when(last_comma, F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(t, ",", ""))
-    plain = F.when((dots > 0) & (commas > 0), mixed).when(dots + commas == 1, alone).otherwise(t)
-    return F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("double"))
+    def plain(t: Column) -> Column:
+        dots, commas = F.length(F.regexp_replace(t, r"[^.]", "")), F.length(F.regexp_replace(t, r"[^,]", ""))
+        three = t.rlike(r"^[^.,]*[.,][^.,]{3}$")
+        alone = F.when(three, F.regexp_replace(t, r"[.,]", "")).otherwise(F.regexp_replace(t, ",", "."))
+        last_comma = t.rlike(r",[^.]*$")
+        mixed = F.when(last_comma, F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")).otherwise(F.regexp_replace(t, ",", ""))
+        return F.when((dots > 0) & (commas > 0), mixed).when(dots + commas == 1, alone).otherwise(t)
+
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[$€£ ]+|[$€£ ]+$", ""), " ", "")
+    return let(let(bare, plain), lambda p: F.when(p.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), p.try_cast("double")))
 
 
 def format_number(x: Column) -> Column:
@@ -240,8 +245,11 @@ def row_pairs(body: Column) -> Column:
     pairs = F.filter(parts, lambda p: p.contains("="))
     entries = F.transform(pairs, lambda p: F.struct(norm(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_replace(p, r"^[^=]*=", "")).alias("v")))
     entries = F.filter(entries, lambda e: (e["k"] != "") & (e["v"] != ""))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(last)
+
+    def last(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["k"] == e["k"]))
+
+    return F.map_from_entries(let(entries, last))
 
 
 def sentences(text: Column, marks: str = r"(?<=[.!?;])") -> Column:

@@ -19,7 +19,8 @@ PERSON = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 def sentence_rows(chunks: DataFrame) -> DataFrame:
     """One row per sentence: its document, place and normalised text."""
     cut = chunks.select("document_id", "chunk_index", F.posexplode(tx.sentences(F.col("content"), r"[\n.?!;]")).alias("at", "sentence"))
-    return cut.withColumn("norm", tx.norm(F.col("sentence"))).withColumn("words", tx.tokens(F.col("norm"))).filter("norm <> ''")
+    found = tx.once(cut, norm=tx.norm(F.col("sentence"))).filter("norm <> ''")
+    return tx.once(found, words=tx.tokens(F.col("norm")))
 
 
 def score(i: Intent) -> Column:

@@ -30,7 +30,7 @@ def parse_rows(lines: DataFrame) -> DataFrame:
     found = lines.filter(F.col("content").rlike(r"^\s*Fila [0-9]+:"))
     row = F.regexp_extract("content", r"^\s*Fila ([0-9]+):", 1).cast("long")
     body = F.regexp_replace("content", r"^\s*Fila [0-9]+:", "")
-    return found.withColumn("row", row).withColumn("pairs", tx.row_pairs(body))
+    return tx.once(found, row=row, pairs=tx.row_pairs(body))
 
 
 def field(name: str) -> Column:
@@ -50,7 +50,7 @@ def label() -> Column:
 
 def numeric_summary(rows: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """n, mean, least and greatest of a field with the rows that have them; the first row wins ties."""
-    v = rows.withColumn("value", tx.locale_number(field(name))).filter("value is not null")
+    v = tx.once(rows, value=tx.locale_number(field(name))).filter("value is not null")
     return v.groupBy(*(by or [])).agg(
         F.count("*").alias("n"),
         F.round(F.avg("value"), 6).alias("mean"),
@@ -60,7 +60,7 @@ def numeric_summary(rows: DataFrame, name: str, by: list[str] | None = None) ->
 
 
 def above(rows: DataFrame, name: str, threshold: float) -> DataFrame:
-    return rows.withColumn("value", tx.locale_number(field(name))).filter(F.col("value") > threshold)
+    return tx.once(rows, value=tx.locale_number(field(name))).filter(F.col("value") > threshold)
 
 
 def row_count(lines: DataFrame) -> DataFrame:
