@@ -1,23 +1,27 @@
 """A search index over chunks, kept as Parquet tables, and searches that read only what their terms need.
 
-    postings   kind, bucket | word, document_id, chunk_index, chunk_id     words of chunks
+    postings   batch, kind, bucket | word, document_id, chunk_index, chunk_id   words of chunks
     grams      kind, bucket | gram, word                                   three characters of each distinct word
     deletions  bucket | variant, word                                      distinct words with up to two characters left out
-    chunks     part | document_id, chunk_index, chunk_id, content, norm, words
+    chunks     batch, part | document_id, chunk_index, chunk_id, content, norm, words
 
 Words are of two kinds: `raw` ones are lower-cased stretches between white space, as
 ILIKE sees them; `norm` ones are words of normalised text. What a term matches is found
 on distinct words, once, however many chunks hold them: parts of words by trigrams, words
 within an edit or two by deletions. Buckets are folders, so a search opens those of its own words;
-adding chunks appends files.
+adding chunks appends files. A batch's words are read back from what it wrote, so that texts
+are normalised once.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from uuid import uuid4
 from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,21 +75,29 @@ class ChunkIndex:
 
         Null contents have no words. A word that is known already is listed again: lookups are distinct.
         """
-        rows = se.prepared(chunks.select(*POSITION, "content"))
-        self._append(rows.withColumn("part", _bucket(F.col("document_id").cast("string"), self.buckets)), "chunks", ["part"], POSITION)
+        batch = f"b{uuid4().hex}"
+        new = se.prepared(chunks.select(*POSITION, "content")).withColumn("batch", F.lit(batch))
+        self._append(new.withColumn("part", _bucket(F.col("document_id").cast("string"), self.buckets)), "chunks", ["batch", "part"], POSITION)
+        rows = self.table("chunks").filter(F.col("batch") == batch)
         raw = F.filter(F.array_distinct(F.split(F.lower("content"), r"\s+")), lambda w: w != "")
         words = F.array(F.struct(F.lit("raw").alias("kind"), raw.alias("own")), F.struct(F.lit("norm").alias("kind"), F.array_distinct("words").alias("own")))
         found = rows.select(*POSITION, F.inline(words)).select(*POSITION, "kind", F.explode("own").alias("word"))
-        self._append(found.withColumn("bucket", _bucket(F.col("word"), self.buckets)), "postings", ["kind", "bucket"], ["word", *POSITION])
-        # Distinct words of these chunks, from what was written last or before: appended lists may repeat.
-        distinct = found.select("kind", "word").distinct()
+        dealt = found.withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("word"), self.buckets)})
+        self._append(dealt, "postings", ["batch", "kind", "bucket"], ["word", *POSITION])
+        # Distinct words of these chunks; those of other batches may repeat them.
+        distinct = self.table("postings").filter(F.col("batch") == batch).select("kind", "word").distinct()
+        # Few bytes that become many rows: dealt to all tasks, for what is small would be joined into one or two.
+        distinct = distinct.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "word")
         gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3)))))
         grams = distinct.select("kind", "word", gram.alias("gram"))
         self._append(grams.withColumn("bucket", _bucket(F.col("gram"), self.buckets)), "grams", ["kind", "bucket"], ["gram", "word"])
         word = F.col("word")
-        once = _without_one(word)
-        twice = F.when(F.length(word) >= 7, F.flatten(F.transform(once, _without_one))).otherwise(F.array().cast("array<string>"))
-        variants = F.when(F.length(word) > LONGEST, F.array(F.lit(""))).otherwise(F.array_distinct(F.concat(F.array(word), once, twice)))
+
+        def left(once: Column) -> Column:
+            twice = F.when(F.length(word) >= 7, F.flatten(F.transform(once, _without_one))).otherwise(F.array().cast("array<string>"))
+            return F.array_distinct(F.concat(F.array(word), once, twice))
+
+        variants = F.when(F.length(word) > LONGEST, F.array(F.lit(""))).otherwise(tx.let(_without_one(word), left))
         near = distinct.filter((F.col("kind") == "norm") & (F.length(word) >= 5)).select("word", F.explode(variants).alias("variant"))
         self._append(near.withColumn("bucket", _bucket(F.col("variant"), self.buckets)), "deletions", ["bucket"], ["variant", "word"])
         return self
@@ -134,7 +146,7 @@ class ChunkIndex:
     def _chunks_of(self, positions: DataFrame) -> DataFrame:
         """Whole chunks at distinct `positions`."""
         at = positions.withColumn("part", _bucket(F.col("document_id").cast("string"), self.buckets))
-        return self.table("chunks").join(at, ["part", *POSITION]).drop("part")
+        return self.table("chunks").join(at, ["part", *POSITION]).drop("part", "batch")
 
     def _hits(self, parts: list[str]) -> DataFrame:
         """Positions with the number of `parts` that lie in a word of the chunk."""
@@ -186,39 +198,73 @@ class ChunkIndex:
         return self._scored(i, se.relaxed_score(i), True)
 
 
-def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.02, least: int = 1000) -> DataFrame:
+def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.02, least: int = 1000, block: int = 1 << 17, asked: int = 200_000) -> DataFrame:
     """question, rank, document_id, chunk_index, chunk_id, score: for each of many questions the `k` chunks
-    that hold most of its terms as words; ties by position. One join for all.
+    that hold most of its terms as words; ties by position.
 
     questions: question, terms (distinct words; other columns are ignored, equal questions are
-    all answered); postings: word, and positions; chunks: positions and `words`.
-
-    Terms of more than `share` of the chunks (and of more than `least`) are not joined with their postings
-    at first: a chunk that holds none of a question's rarer terms has at most as many as it has
-    frequent ones. Where k chunks have more than that in rarer terms alone, what can still
-    reach them is scored by its words; the other questions are joined whole. So the result is exact, and
-    a word of all chunks costs nothing where rarer ones decide. Questions without terms have no rows.
+    all answered); postings: word, of which only those that are asked for and held are looked for;
+    chunks: positions and `words`.
+
+    Chunks are dealt to blocks of about `block`, questions to parts of about `asked`; each part meets each
+    block in a task that counts terms by the block's own lists and keeps k chunks a question. So only
+    these leave a task, never a row for each question and chunk that share a word; every chunk is
+    counted, and the result is exact. Words of more than `share` of a block's chunks (and of more than
+    `least`) are added as whole rows. Words are told apart by 64-bit hashes. Questions without terms have no rows.
     """
     qt = questions.select("question", F.explode(F.array_distinct("terms")).alias("word")).distinct()
-    words = qt.select(F.col("word").alias("asked")).distinct()
-    df = postings.join(words, F.col("word") == F.col("asked"), "left_semi").groupBy(F.col("word").alias("known")).agg(F.count("*").alias("df"))
-    total = chunks.agg(F.greatest(F.count("*") * share, F.lit(float(least))).alias("most"))
-    qt = qt.join(df, F.col("word") == F.col("known")).crossJoin(F.broadcast(total)).select("question", "word", (F.col("df") > F.col("most")).alias("frequent"))
-
-    def counted(terms: DataFrame) -> DataFrame:
-        own = postings.withColumnRenamed("word", "held")
-        return terms.join(own, F.col("word") == F.col("held")).groupBy("question", *POSITION).agg(F.count("*").alias("score"))
-
-    def best(scored: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), *POSITION))
-        return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-    rare = counted(qt.filter(~F.col("frequent")))
-    kth = best(rare).groupBy("question").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0).alias("kth"))
-    bounds = qt.groupBy("question").agg(F.count_if("frequent").alias("frequents"), F.collect_set("word").alias("terms")).join(kth, "question", "left")
-    bounds = bounds.withColumn("closed", (F.col("frequents") == 0) | (F.coalesce("kth", F.lit(0)) > F.col("frequents")))
-    closed = rare.join(bounds.filter("closed"), "question").filter((F.col("score") + F.col("frequents")) >= F.coalesce("kth", F.lit(0)))
-    whole = closed.filter("frequents = 0").select("question", *POSITION, "score")
-    looked = closed.filter("frequents > 0").join(chunks.select(*POSITION, "words"), POSITION).select("question", *POSITION, F.size(F.array_intersect("terms", "words")).cast("long").alias("score"))
-    open_ = counted(qt.join(bounds.filter("not closed").select("question"), "question", "left_semi").select("question", "word"))
-    return best(whole.unionByName(looked).unionByName(open_)).select("question", "rank", *POSITION, "score")
+    held = postings.join(qt.select("word").distinct(), "word", "left_semi").select("word").distinct()
+    own = qt.join(held, "word", "left_semi").groupBy("question").agg(F.collect_set(F.xxhash64("word")).alias("terms"))
+    # At least eight blocks, so that little input keeps several tasks busy.
+    blocks = max(8, -(-chunks.count() // block))
+    parts = max(1, -(-questions.count() // asked))
+    fields = chunks.select(*POSITION).schema.fields
+    at = F.pmod(F.xxhash64(*POSITION), F.lit(blocks)).cast("int").alias("block")
+    rows = chunks.select(at, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *POSITION, F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("words")).filter(F.size("words") > 0)
+    part = F.pmod(F.xxhash64("question"), F.lit(parts)).cast("int").alias("part")
+    sent = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part, "question", "terms")
+    kind = own.schema["question"].dataType.simpleString()
+    schema = ", ".join([f"question {kind}", *(f"{f.name} {f.dataType.simpleString()}" for f in fields), "score long"])
+    position = list(POSITION)
+
+    def best_of(own_chunks: pd.DataFrame, own_questions: pd.DataFrame) -> pd.DataFrame:
+        found = own_chunks.sort_values(position, ignore_index=True)
+        n, ids, places, scores = len(found), [], [], []
+        if n and len(own_questions):
+            words = np.concatenate(found["words"].to_numpy())
+            lists = np.repeat(np.arange(n, dtype=np.int32), found["words"].map(len).to_numpy())
+            order = np.argsort(words, kind="stable")
+            keys, starts = np.unique(words[order], return_index=True)
+            lists, ends = lists[order], np.append(starts[1:], len(words))
+            most, whole, score = max(n * share, least), {}, np.zeros(n, np.uint16)
+            for question, terms in zip(own_questions["question"], own_questions["terms"]):
+                at_ = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
+                at_ = at_[keys[at_] == terms]
+                score[:] = 0
+                for w in at_.tolist():
+                    one = lists[starts[w] : ends[w]]
+                    if len(one) > most:
+                        if w not in whole:
+                            whole[w] = np.zeros(n, np.uint16)
+                            whole[w][one] = 1
+                        score += whole[w]
+                    else:
+                        score[one] += 1
+                bound = int(score.max())
+                if not bound:
+                    continue
+                top = np.flatnonzero(score == bound)[:k]
+                while len(top) < k and bound > 1:
+                    bound -= 1
+                    top = np.append(top, np.flatnonzero(score == bound)[: k - len(top)])
+                ids += [question] * len(top)
+                places.append(top)
+                scores.append(score[top])
+        out = found.loc[np.concatenate(places) if places else [], position].reset_index(drop=True)
+        out.insert(0, "question", pd.Series(ids, dtype=own_questions["question"].dtype))
+        out["score"] = np.concatenate(scores).astype(np.int64) if scores else np.zeros(0, np.int64)
+        return out
+
+    best = rows.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(best_of, schema)
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), *POSITION))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("question", "rank", *POSITION, "score")

@@ -8,6 +8,7 @@ from docspindle.functions import text as tx
 from docspindle.functions import unicode
 from docspindle.operators import extract as ex
 from docspindle.operators import tabular as tb
+from docspindle.operators.index import ChunkIndex, batch_search
 
 
 def folds(df):
@@ -57,3 +58,35 @@ def test_sentences_normalise_once(texts):
     s = ex.sentence_rows(texts.select("document_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content")))
     pushed = s._jdf.queryExecution().optimizedPlan().toString().count("translate(")
     assert pushed == 1
+
+
+def test_index_normalises_a_batch_once(spark, tmp_path, monkeypatch):
+    seen, write = [], ChunkIndex._append
+
+    def append(self, df, *rest):
+        seen.append(folds(df))
+        write(self, df, *rest)
+
+    monkeypatch.setattr(ChunkIndex, "_append", append)
+    c = spark.createDataFrame([(1, 0, "1-0", "Canción luna"), (1, 1, "1-1", None)], "document_id long, chunk_index int, chunk_id string, content string")
+    made = ChunkIndex(spark, str(tmp_path / "i"), 2).add(c).add(c.withColumn("document_id", F.col("document_id") + 1))
+    assert seen == [1, 0, 0, 0] * 2
+    assert made.table("chunks").count() == 4
+
+
+@pytest.mark.parametrize(("block", "asked", "share"), [(1 << 17, 200_000, 0.02), (3, 2, 0.0), (5, 1, 1.0)])
+def test_batch_search_keeps_pairs_in_tasks(spark, block, asked, share):
+    """Chunks that share a word with a question are counted in blocks: no join gives their positions."""
+    words = ["a", "b", "c", "d", "e"]
+    held = [(i, 0, f"{i}-0", [w for k, w in enumerate(words) if i % (k + 2) == 0]) for i in range(60)]
+    chunks = spark.createDataFrame(held, "document_id long, chunk_index int, chunk_id string, words array<string>")
+    postings = chunks.select(F.explode("words").alias("word"), "document_id", "chunk_index", "chunk_id")
+    asks = [("x", ["a", "b", "zz"]), ("y", ["e"]), ("z", words), ("none", []), ("lost", ["zz"])]
+    got = batch_search(spark.createDataFrame(asks, "question string, terms array<string>"), postings, chunks, 3, share=share, least=1, block=block, asked=asked)
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("document_id" in x for x in joins)
+    want = []
+    for q, terms in asks:
+        scored = sorted((-len(set(terms) & set(w)), d) for d, _, _, w in held if set(terms) & set(w))[:3]
+        want += [(q, r, d, -s) for r, (s, d) in enumerate(scored, 1)]
+    assert sorted((r["question"], r["rank"], r["document_id"], r["score"]) for r in got.collect()) == sorted(want)
