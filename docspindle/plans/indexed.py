@@ -44,7 +44,7 @@ def indexed_relaxed(s, sf):
 
 
 def batched_search(s, sf):
-    """The five lines with most terms of each turn of the users, by a join with all postings."""
+    """The five lines with most terms of each turn of the users, counted in blocks of all lines."""
     t = table(s, sf, "conversations").filter("role = 'user'")
     asked = t.select(F.concat_ws("-", "conv_id", "turn").alias("question"), tx.terms(tx.norm(F.col("text"))).alias("terms"))
     made = index(s, sf)
