@@ -19,6 +19,12 @@ def column_letters(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step, lambda x: x["text"])
 
 
+def two_places(x: Column) -> Column:
+    """A number with two decimals. Rounding alone loses the sign of what becomes zero, which `%.2f` writes."""
+    size = F.format_string("%.2f", F.abs(F.round(x, 2)))
+    return F.when(x.cast("string").startswith("-"), F.concat(F.lit("-"), size)).otherwise(size)
+
+
 def row_line(number: Column, headers: list[str], values: list[Column]) -> Column:
     """`Fila n: h = v, ...` without blank values."""
     pairs = [F.when(F.trim(v.cast("string")) != "", F.concat(F.lit(f"{h} = "), v.cast("string"))) for h, v in zip(headers, values)]

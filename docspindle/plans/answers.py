@@ -20,7 +20,7 @@ _I = intent(ASK)
 def customer_lines(s, sf):
     """Customers as spreadsheet lines: a sheet for each market segment."""
     c = table(s, sf, "customer")
-    value = F.format_string("%.2f", F.round("c_acctbal", 2))
+    value = tb.two_places(F.col("c_acctbal"))
     line = tb.row_line(F.col("c_custkey"), ["Cliente", "Saldo", "Segmento"], [F.col("c_name"), value, F.col("c_mktsegment")])
     return c.select(F.col("c_mktsegment").alias("document_id"), line.alias("content"))
 
