@@ -31,7 +31,13 @@ def norm(text: Column) -> Column:
 
 
 def tokens(normalised: Column) -> Column:
-    return F.filter(F.split(normalised, " "), lambda w: w != "")
+    return F.array_remove(F.split(normalised, " "), "")
+
+
+def may_hold(text: Column, parts: list[str]) -> Column:
+    """Whether `text`, normalised, may hold one of `parts`, each normalised and one word: plain ASCII
+    tells in lower case, other letters only once they are normalised. Null for null."""
+    return (F.octet_length(text) > F.length(text)) | let(F.lower(text), lambda low: contains_any(low, parts))
 
 
 def terms(normalised: Column) -> Column:

@@ -82,7 +82,9 @@ def useful_points(chunks: DataFrame, most: int) -> DataFrame:
 
 def term_ranking(sentences: DataFrame, most: int = 10) -> DataFrame:
     """Each document's most frequent terms: count, bytes, then the term."""
-    t = sentences.select("document_id", F.explode(F.filter("words", lambda w: (F.length(w) >= 4) & ~w.isin(*lx.STOP_WORDS))).alias("term"))
+    # Dealt out by document once, the counts and the ranks stay where the words are.
+    t = sentences.select("document_id", F.filter("words", lambda w: (F.length(w) >= 4) & ~w.isin(*lx.STOP_WORDS)).alias("terms"))
+    t = t.repartition("document_id").select("document_id", F.explode("terms").alias("term"))
     n = t.groupBy("document_id", "term").count()
     rank = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("count"), F.desc(F.octet_length("term")), "term"))
     return n.withColumn("rank", rank).filter(F.col("rank") <= most)

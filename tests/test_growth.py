@@ -1,7 +1,31 @@
 """What large tables hold and small ones don't, and steps whose cost must not outgrow the input."""
 
+import random
+
 import __spark_entry__ as entry
 import duckdb
+from pyspark.sql import functions as F
+
+from docspindle.functions import scans
+from docspindle.functions import text as tx
+from docspindle.functions.intent import intent
+from docspindle.operators import chunker as ch
+from docspindle.operators import extract as ex
+from docspindle.operators import relations as rel
+from docspindle.operators import reports
+from docspindle.operators import search as se
+
+
+def analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def against_sql(spark, folder, name, tables):
@@ -18,3 +42,10 @@ def test_rows_keep_the_sign_of_zero(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got, told = against_sql(spark, tmp_path, "parsed_rows", ["customer"])
     assert got == told and sum("'-0.00'" in x for x in got) == 2
+
+
+def test_terms_are_dealt_out_once(spark):
+    rows = spark.createDataFrame([(1, 0, "Uno dos, thing thing. Cosas; thing cosas? abcd"), (1, 1, "cosas wxyz"), (2, 0, "")], "document_id long, chunk_index int, content string")
+    found = ex.term_ranking(ex.sentence_rows(rows), 3)
+    assert executed(found).count("Exchange hashpartitioning") == 1
+    assert [(r["term"], r["count"]) for r in found.orderBy("rank").collect()] == [("cosas", 3), ("thing", 3), ("abcd", 1)]
