@@ -22,13 +22,23 @@ def _important(x: Column) -> Column:
     return tx.contains_any(F.translate(F.lower(x), "áéíóúü", "aeiouu"), IMPORTANT)
 
 
-def clean_line(line: Column) -> Column:
-    """Without stray symbols, marks around words, and words under three characters that have no digit."""
+#: What the steps before the words change in a line, all of it and a little more.
+ROUGH = r"[\u200b\u200c\u200d\ufeff\t\n\f\r\x0B/\\|\p{Zs}&&[^ ]]|^ | $|(?:^| )[^\p{L}\p{N}+@#%$]|[,.;:!?][A-Za-zÁÉÍÓÚÑáéíóúñ]|[=-][=-]"
+#: Marks where a word begins or ends.
+WORD_MARKS = r"[.,;:!?()\[\]{}\"'](?:(?<!\S.)[.,;:!?()\[\]{}\"']*+|[.,;:!?()\[\]{}\"']*+(?=[\x85\u2028\u2029]?(?!\S)))"
+
+
+def _smooth(line: Column) -> Column:
     x = F.trim(F.regexp_replace(F.regexp_replace(line, r"[\u200b\u200c\u200d\ufeff]", ""), r"[\t\f\x0B\p{Zs}]+", " "))
     x = F.regexp_replace(F.regexp_replace(x, r"[|/\\]+", " "), r"(^|\s)[^\p{L}\p{N}+@#%$]{1,2}(\s|$)", " ")
     x = F.regexp_replace(F.regexp_replace(x, r"\s+([,.;:!?])", "$1"), r"([,.;:!?])([A-Za-zÁÉÍÓÚÑáéíóúñ])", "$1 $2")
-    x = _bare(F.regexp_replace(x, r"\s*[=-]{2,}\s*", " "))
-    words = F.transform(F.split(x, r"\s+"), _bare)
+    return F.regexp_replace(x, r"\s*[=-]{2,}\s*", " ")
+
+
+def clean_line(line: Column) -> Column:
+    """Without stray symbols, marks around words, and words under three characters that have no digit."""
+    x = tx.let(line, lambda x: F.when(x.rlike(ROUGH), _smooth(x)).otherwise(x))
+    words = F.split(F.regexp_replace(_bare(x), WORD_MARKS, ""), r"\s+")
     return F.array_join(F.filter(words, lambda w: (F.length(w) >= 3) | w.rlike("[0-9]")), " ")
 
 
@@ -47,13 +57,13 @@ def image_text(text: Column) -> Column:
 
     def kept(lines: Column) -> Column:
         ends = F.transform(lines, lambda x, i: F.struct(clean_line(x).alias("t"), ((i == 0) | (i == F.size(lines) - 1)).alias("end")))
-        good = F.filter(ends, lambda x: (x["t"] != "") & (_important(x["t"]) | x["t"].rlike("[0-9]") | ((F.length(x["t"]) > 1) & ~(x["end"] & _stub(x["t"])))))
+        good = F.filter(ends, lambda x: (x["t"] != "") & (((F.length(x["t"]) > 1) & ~(x["end"] & _stub(x["t"]))) | x["t"].rlike("[0-9]") | _important(x["t"])))
         return F.transform(good, lambda x: x["t"])
 
     def glued(lines: Column) -> Column:
         def part(x: Column, i: Column) -> Column:
             after = F.get(lines, i + 1)
-            new = _important(after) & (F.size(F.split(after, " ")) <= 4)
+            new = ~after.rlike("^(?:[^ ]* ){4}") & _important(after)
             joins = x.endswith("-") & after.rlike(r"^\p{L}")
             spaced = x.rlike(r"[\p{L}\p{N}]$") & after.rlike(r"^[\p{L}\p{N}]")
             return F.when(after.isNull(), x).when(new, F.concat(x, F.lit("\n"))).when(joins, F.regexp_replace(x, " *-$", "")).when(spaced, F.concat(x, F.lit(" "))).otherwise(x)

@@ -119,8 +119,16 @@ def quality(text: Column) -> Column:
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0).otherwise(let(bare, score)).cast("int")
 
 
+#: What `clean_line` changes in a line, all of it; most lines of prose hold none.
+ROUGH = r"[\u200b\u200c\u200d\ufeff\t\n\f\r\x0B/\\|\p{Zs}&&[^ ]]|^ | $| [ ,.;:!?)]|[,.;:!?][A-Za-zÁÉÍÓÚÑáéíóúñ]|\( |[=-][=-]"
+
+
 def clean_line(line: Column) -> Column:
     """One space between words, none before and one after punctuation, tight brackets, room around bars and rules."""
+    return let(line, lambda x: F.when(x.rlike(ROUGH), _cleaned(x)).otherwise(x))
+
+
+def _cleaned(line: Column) -> Column:
     line = F.regexp_replace(line, "[​‌‍﻿]", "")
     steps = [
         (r"[\t\f\x0B\p{Zs}]+", " "), (r"^ +| +$", ""), (r"[ \t\n\f\r]+([,.;:!?])", "$1"), (r"([,.;:!?])([A-Za-zÁÉÍÓÚÑáéíóúñ])", "$1 $2"),

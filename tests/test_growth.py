@@ -49,3 +49,18 @@ def test_terms_are_dealt_out_once(spark):
     found = ex.term_ranking(ex.sentence_rows(rows), 3)
     assert executed(found).count("Exchange hashpartitioning") == 1
     assert [(r["term"], r["count"]) for r in found.orderBy("rank").collect()] == [("cosas", 3), ("thing", 3), ("abcd", 1)]
+
+
+ODD = ["", " a", "a ", "a  b", "a ,b", "a,b", "( a )", "a/b|c", "x--y", "x = y", "a\tb", "a\u00a0b", "\u200bab", "plain text, as it is.", "uno (dos) tres", "12 ab cd 3", "¿Qué? ~ sí", "abc...def 'ghi' \"jkl\",",
+       "palabra,\u2028", "a b. c", "\u00e1,\u00e9", "-- x", "impor-", "(((ratones)))", "... .,. abc", "a $ b", "#tag +34", None]
+
+
+def test_plain_lines_stay_without_steps(spark):
+    """Lines without anything to change give what all the steps give; words are bared by the line."""
+    lines = spark.createDataFrame([(x,) for x in ODD], "x string")
+    x = F.col("x")
+    words = F.transform(F.split(scans._bare(scans._smooth(x)), r"\s+"), scans._bare)
+    slow = F.array_join(F.filter(words, lambda w: (F.length(w) >= 3) | w.rlike("[0-9]")), " ")
+    found = lines.select("x", tx.clean_line(x).alias("a"), tx._cleaned(x).alias("b"), scans.clean_line(x).alias("c"), slow.alias("d")).collect()
+    assert [(r["x"], r["a"], r["c"]) for r in found] == [(r["x"], r["b"], r["d"]) for r in found]
+    assert "transform(split(" not in analyzed(lines.select(scans.clean_line(x)))
