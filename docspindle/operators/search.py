@@ -58,11 +58,17 @@ def topic_boost(t: Topic) -> Column:
 def text_matches(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks that hold a term of the query; if any holds the topic, only those."""
     t, words = topic(query), text_terms(query)
-    found = prepared(chunks).withColumn("topic_count", topic_count(t) if t.enabled else F.lit(0))
+
+    def counted(parts: list[str]) -> DataFrame:
+        """Chunks that may hold one of `parts`: others are not normalised."""
+        some = chunks if "norm" in chunks.columns else chunks.filter(tx.may_hold(F.col("content"), parts))
+        return tx.once(prepared(some), topic_count=topic_count(t) if t.enabled else F.lit(0))
+
+    found = counted(words)
     if t.enabled:
-        # One row, whatever the input: whether any chunk holds the topic.
-        some = found.agg(F.coalesce(F.max("topic_count"), F.lit(0)).alias("most"))
-        found = found.crossJoin(F.broadcast(some)).filter((F.col("most") == 0) | (F.col("topic_count") > 0)).drop("most")
+        # One row, whatever the input: whether any chunk holds the topic. The first that does ends each task's search.
+        some = counted(list(t.variants)).filter("topic_count > 0").limit(1).agg(F.count("*").alias("any"))
+        found = found.crossJoin(F.broadcast(some)).filter((F.col("any") == 0) | (F.col("topic_count") > 0)).drop("any")
     found = found.filter(tx.contains_any(F.col("norm"), words))
     return found.withColumn("score", 1.0 + topic_boost(t))
 

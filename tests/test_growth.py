@@ -64,3 +64,17 @@ def test_plain_lines_stay_without_steps(spark):
     found = lines.select("x", tx.clean_line(x).alias("a"), tx._cleaned(x).alias("b"), scans.clean_line(x).alias("c"), slow.alias("d")).collect()
     assert [(r["x"], r["a"], r["c"]) for r in found] == [(r["x"], r["b"], r["d"]) for r in found]
     assert "transform(split(" not in analyzed(lines.select(scans.clean_line(x)))
+
+
+CHUNKS = [(1, 0, "sobre thing y más"), (1, 1, "nothing here"), (2, 0, "thíngs"), (2, 1, "otra"), (3, 0, None)]
+
+
+def lines(spark):
+    return spark.createDataFrame(CHUNKS, "document_id long, chunk_index int, content string").withColumn("chunk_id", F.concat_ws("-", "document_id", "chunk_index"))
+
+
+def test_topic_search_ends_with_the_first_hit(spark):
+    found = se.text_matches(lines(spark), "sobre thing")
+    assert "Limit" in analyzed(found) and "octet_length" in analyzed(found)
+    assert sorted((r["chunk_id"], r["topic_count"]) for r in found.collect()) == [("1-0", 1), ("2-0", 1)]
+    assert sorted(r["chunk_id"] for r in se.text_matches(lines(spark).filter("chunk_id = '1-1'"), "sobre thing").collect()) == ["1-1"]
