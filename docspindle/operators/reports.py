@@ -72,7 +72,9 @@ def topic_support(chunks: DataFrame, question: str) -> DataFrame:
     words = asked_topic(question)
     if not words:
         return chunks.select("document_id").distinct().withColumn("supported", F.lit(True))
-    n = tx.once(chunks, words=tx.tokens(tx.norm(F.coalesce("content", F.lit("")))))
+    # Chunks that surely hold no form are not normalised; their documents stay.
+    some = tx.may_hold(F.col("content"), [f for w in words for f in topic_forms(w)])
+    n = tx.once(chunks, words=F.when(some, tx.tokens(tx.norm(F.col("content")))).otherwise(F.array().cast("array<string>")))
     held = n.groupBy("document_id").agg(*[F.bool_or(F.arrays_overlap("words", F.array(*map(F.lit, topic_forms(w))))).alias(f"t{i}") for i, w in enumerate(words)])
     return held.select("document_id", F.forall(F.array(*[f"t{i}" for i in range(len(words))]), lambda x: x).alias("supported"))
 

@@ -78,3 +78,9 @@ def test_topic_search_ends_with_the_first_hit(spark):
     assert "Limit" in analyzed(found) and "octet_length" in analyzed(found)
     assert sorted((r["chunk_id"], r["topic_count"]) for r in found.collect()) == [("1-0", 1), ("2-0", 1)]
     assert sorted(r["chunk_id"] for r in se.text_matches(lines(spark).filter("chunk_id = '1-1'"), "sobre thing").collect()) == ["1-1"]
+
+
+def test_only_likely_chunks_are_normalised_for_topics(spark):
+    found = reports.topic_support(lines(spark), "Háblame sobre things en el documento")
+    assert "octet_length" in analyzed(found)
+    assert {r["document_id"]: r["supported"] for r in found.collect()} == {1: True, 2: True, 3: False}
