@@ -296,12 +296,18 @@ def spreadsheet_like(text: Column) -> Column:
 
 
 def word_windows(words: Column, least: int, most: int) -> Column:
-    """Runs of `least` to `most` words, shorter ones first, each size in order."""
-    def of(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
-
-    return let(words, lambda w: F.flatten(F.array(*[of(w, n) for n in range(least, most + 1)])))
+    """Runs of `least` to `most` words, shorter ones first, each size in order; a run is the
+    shorter one that begins with it and a word more."""
+    def longer(w: Column, runs: Column, n: int) -> Column:
+        return F.transform(F.slice(runs, F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + (n - 1))))
+
+    def sizes(w: Column, runs: Column, n: int, found: list[Column]) -> Column:
+        found = [*found, runs] if n >= least else found
+        if n == most:
+            return F.flatten(F.array(*found))
+        return let(longer(w, runs, n + 1), lambda more: sizes(w, more, n + 1, found))
+
+    return let(words, lambda w: sizes(w, w, 1, []))
 
 
 def _titled(text: str) -> str:

@@ -84,3 +84,10 @@ def test_only_likely_chunks_are_normalised_for_topics(spark):
     found = reports.topic_support(lines(spark), "Háblame sobre things en el documento")
     assert "octet_length" in analyzed(found)
     assert {r["document_id"]: r["supported"] for r in found.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_windows_grow_from_shorter_ones(spark):
+    w = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "w array<string>")
+    found = w.select(tx.word_windows(F.col("w"), 2, 4).alias("x"), tx.word_windows(F.col("w"), 1, 2).alias("y"))
+    assert "array_join" not in analyzed(found)
+    assert [tuple(r) for r in found.collect()] == [(["a b", "b c", "a b c"], ["a", "b", "c", "a b", "b c"]), ([], ["a"]), ([], []), (None, None)]
