@@ -72,9 +72,22 @@ def compare(chunks: DataFrame, a: str, b: str) -> DataFrame:
 
 def useful_points(chunks: DataFrame, most: int) -> DataFrame:
     """Distinct sentences of five words or more, half letters or more, 220 characters at most."""
-    s = sentence_rows(chunks)
-    letters = F.length(F.regexp_replace("sentence", r"[^\p{L}]", ""))
-    ok = s.filter((F.size("words") >= 5) & (letters * 2 >= F.length("sentence")) & (F.length("sentence") <= 220))
+    # A document's first points are among the first of each of its chunks: sentences are read in
+    # order, and once a chunk has enough the rest are neither normalised nor shuffled.
+    def letters(x: Column) -> Column:
+        return F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+
+    def step(kept: Column, x: Column) -> Column:
+        def more(n: Column) -> Column:
+            new = (F.size(tx.tokens(n)) >= 5) & ~F.exists(kept, lambda y: y["norm"] == n)
+            return F.when(new, F.concat(kept, F.array(F.struct(x["at"].alias("at"), x["sentence"].alias("sentence"), n.alias("norm"))))).otherwise(kept)
+
+        fits = (F.length(x["sentence"]) <= 220) & (letters(x["sentence"]) * 2 >= F.length(x["sentence"]))
+        return F.when((F.size(kept) < most) & fits, tx.let(tx.norm(x["sentence"]), more)).otherwise(kept)
+
+    cut = F.transform(tx.sentences(F.col("content"), ENDS), lambda x, i: F.struct(i.alias("at"), x.alias("sentence")))
+    none = F.array().cast("array<struct<at:int,sentence:string,norm:string>>")
+    ok = tx.once(chunks.select("document_id", "chunk_index", "content"), points=F.aggregate(cut, none, step)).select("document_id", "chunk_index", F.inline("points"))
     place = Window.partitionBy("document_id").orderBy("chunk_index", "at")
     first = ok.groupBy("document_id", "norm").agg(F.min(F.struct("chunk_index", "at", "sentence")).alias("x")).select("document_id", "x.*")
     return first.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)

@@ -91,3 +91,11 @@ def test_windows_grow_from_shorter_ones(spark):
     found = w.select(tx.word_windows(F.col("w"), 2, 4).alias("x"), tx.word_windows(F.col("w"), 1, 2).alias("y"))
     assert "array_join" not in analyzed(found)
     assert [tuple(r) for r in found.collect()] == [(["a b", "b c", "a b c"], ["a", "b", "c", "a b", "b c"]), ([], ["a"]), ([], []), (None, None)]
+
+
+def test_points_are_cut_before_they_are_dealt_out(spark):
+    a, b, c, d = "uno dos tres cuatro cinco", "Uno, dos tres cuatro cinco", "seis siete ocho nueve diez", "once doce trece catorce quince"
+    rows = spark.createDataFrame([(1, 1, f"{c}. {d}. {a}"), (1, 0, f"1 2 3 4 5 6. {a}. {b}? corto! {c}"), (2, 0, None), (3, 0, "x" * 230)], "document_id long, chunk_index int, content string")
+    found = ex.useful_points(rows, 3)
+    assert "posexplode" not in analyzed(found)
+    assert [(r["document_id"], r["chunk_index"], r["at"], r["sentence"], r["place"]) for r in found.orderBy("place").collect()] == [(1, 0, 1, a, 1), (1, 0, 4, c, 2), (1, 1, 1, d, 3)]
