@@ -219,14 +219,22 @@ def relaxed_scores(chunks: DataFrame, query: str) -> DataFrame:
 
 def overlap_score(i: Intent) -> Column:
     n, words = F.col("norm"), F.col("words")
-    steps = [F.when(tx.whole_count(words, t) > 0, 1.0).when(tx.fuzzy_count(words, t) > 0, 0.7).when(tx.partial_match(words, t), 0.45).otherwise(0.0) for t in i.main_terms]
-    hits = tx.total([F.when(s > 0, 1.0).otherwise(0.0) for s in steps])
-    score = tx.total(steps) + hits / max(1, len(i.main_terms))
-    if i.phrase:
-        score = score + F.when(n.contains(i.phrase), 0.6).otherwise(0.0)
-    if i.filters_entity:
-        score = score + F.when(n.contains(i.entity), 0.8).otherwise(0.0)
-    return F.when(hits == 0, 0.0).otherwise(score)
+    if not i.main_terms:
+        return F.lit(0.0)
+    steps = [F.when(n.contains(t) & (tx.whole_count(words, t) > 0), 1.0).when(tx.fuzzy_count(words, t) > 0, 0.7).when(tx.partial_match(words, t), 0.45).otherwise(0.0) for t in i.main_terms]
+
+    def scored(x: Column) -> Column:
+        each = [F.get(x, F.lit(k)) for k in range(len(steps))]
+        hits = tx.total([F.when(s > 0, 1.0).otherwise(0.0) for s in each])
+        score = tx.total(each) + hits / len(steps)
+        if i.phrase:
+            score = score + F.when(n.contains(i.phrase), 0.6).otherwise(0.0)
+        if i.filters_entity:
+            score = score + F.when(n.contains(i.entity), 0.8).otherwise(0.0)
+        return F.when(hits == 0, 0.0).otherwise(score)
+
+    # Each term's words are compared once, however often the sums read it.
+    return tx.let(F.array(*steps), scored)
 
 
 def fallback_scores(chunks: DataFrame, query: str) -> DataFrame:

@@ -48,7 +48,7 @@ def keyword_scores(s, sf):
 
 def relaxed_scores(s, sf):
     c = se.prepared(chunks(s, sf))
-    return c.withColumn("score", F.round(se.relaxed_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
+    return tx.once(c, score=F.round(se.relaxed_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
 
 
 def entity_boosts(s, sf):
@@ -69,7 +69,7 @@ def length_penalties(s, sf):
 
 def overlap_scores(s, sf):
     c = se.prepared(chunks(s, sf))
-    return c.withColumn("score", F.round(se.overlap_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
+    return tx.once(c, score=F.round(se.overlap_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
 
 
 def named_boosts(s, sf):

@@ -99,3 +99,10 @@ def test_points_are_cut_before_they_are_dealt_out(spark):
     found = ex.useful_points(rows, 3)
     assert "posexplode" not in analyzed(found)
     assert [(r["document_id"], r["chunk_index"], r["at"], r["sentence"], r["place"]) for r in found.orderBy("place").collect()] == [(1, 0, 1, a, 1), (1, 0, 4, c, 2), (1, 1, 1, d, 3)]
+
+
+def test_overlaps_compare_words_once(spark):
+    i = intent("thble thing attion")
+    found = tx.once(se.prepared(lines(spark)), score=se.overlap_score(i)).filter("score > 0")
+    assert optimized(found).count("levenshtein(") == len(i.main_terms)
+    assert {r["chunk_id"]: round(r["score"], 6) for r in found.collect()} == {"1-0": 1.333333, "1-1": 0.783333, "2-0": 1.033333}
