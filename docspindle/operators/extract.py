@@ -16,9 +16,16 @@ QUANTITY = r"\b[0-9]+(?:[.,][0-9]+)?\b"
 PERSON = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"
 
 
-def sentence_rows(chunks: DataFrame) -> DataFrame:
-    """One row per sentence: its document, place and normalised text."""
-    cut = chunks.select("document_id", "chunk_index", F.posexplode(tx.sentences(F.col("content"), r"[\n.?!;]")).alias("at", "sentence"))
+#: Where sentences end.
+ENDS = r"[\n.?!;]"
+
+
+def sentence_rows(chunks: DataFrame, holding: list[str] | None = None) -> DataFrame:
+    """One row per sentence: its document, place and normalised text. With `holding`, normalised words, those
+    that surely hold none of them are left out before they are normalised."""
+    cut = chunks.select("document_id", "chunk_index", F.posexplode(tx.sentences(F.col("content"), ENDS)).alias("at", "sentence"))
+    if holding is not None:
+        cut = cut.filter(tx.may_hold(F.col("sentence"), holding))
     found = tx.once(cut, norm=tx.norm(F.col("sentence"))).filter("norm <> ''")
     return tx.once(found, words=tx.tokens(F.col("norm")))
 
@@ -42,7 +49,8 @@ def best(sentences: DataFrame, score: Column, least: float) -> DataFrame:
 
 
 def definitions(chunks: DataFrame, i: Intent) -> DataFrame:
-    s = sentence_rows(chunks)
+    # Only what holds one of the query's words scores, the first words of its phrases among them.
+    s = sentence_rows(chunks, list(dict.fromkeys([*i.terms, *i.main_terms, *i.phrase.split()[:1], *i.entity.split()[:1]])))
     return best(s, score(i) + F.when(tx.definition_like(F.col("norm"), i.terms), 2.0).otherwise(0.0), 2.0)
 
 

@@ -106,3 +106,10 @@ def test_overlaps_compare_words_once(spark):
     found = tx.once(se.prepared(lines(spark)), score=se.overlap_score(i)).filter("score > 0")
     assert optimized(found).count("levenshtein(") == len(i.main_terms)
     assert {r["chunk_id"]: round(r["score"], 6) for r in found.collect()} == {"1-0": 1.333333, "1-1": 0.783333, "2-0": 1.033333}
+
+
+def test_definitions_normalise_likely_sentences(spark):
+    rows = spark.createDataFrame([(1, 0, "nada. Thíng, attion. Thing attion"), (2, 0, "la otra"), (3, 0, None)], "document_id long, chunk_index int, content string")
+    found = ex.definitions(rows, intent("thing attion"))
+    assert "octet_length" in analyzed(found)
+    assert [(r["document_id"], r["at"]) for r in found.collect()] == [(1, 1)]
