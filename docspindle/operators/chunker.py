@@ -111,7 +111,8 @@ def key_points(sentences: DataFrame, most: int = 5) -> DataFrame:
 def repeated_edges(rows: DataFrame) -> DataFrame:
     """Headers and footers: keys of the first and last two rows of pages that two pages or more share, half if there are four or more."""
     page = Window.partitionBy("document_id", "page")
-    edge = rows.withColumn("a", F.row_number().over(page.orderBy("position"))).withColumn("z", F.row_number().over(page.orderBy(F.desc("position")))).filter("a <= 2 or z <= 2")
+    # Counted from the start and, by the page's size, from the end: one sort.
+    edge = rows.withColumn("a", F.row_number().over(page.orderBy("position"))).withColumn("rows", F.count("*").over(page)).filter("a <= 2 or a > rows - 2")
     key = F.regexp_replace(tx.norm(F.col("text")), r"[0-9]+", "#")
     seen = edge.withColumn("key", key).filter("key <> ''").groupBy("document_id", "key").agg(F.count_distinct("page").alias("pages"))
     n = rows.groupBy("document_id").agg(F.count_distinct("page").alias("n"))

@@ -113,3 +113,11 @@ def test_definitions_normalise_likely_sentences(spark):
     found = ex.definitions(rows, intent("thing attion"))
     assert "octet_length" in analyzed(found)
     assert [(r["document_id"], r["at"]) for r in found.collect()] == [(1, 1)]
+
+
+def test_page_edges_sort_once(spark):
+    rows = spark.createDataFrame([(1, p, x, t) for p in (0, 1) for x, t in enumerate(["Head 1", "a", f"m{p}x", "z", "Foot 2"])], "document_id long, page int, position int, text string")
+    edges = ch.repeated_edges(rows)
+    assert "DESC" not in executed(edges)
+    assert sorted(r["key"] for r in edges.collect()) == ["a", "foot #", "head #", "z"]
+    assert sorted(r["text"] for r in ch.without_edges(rows).collect()) == ["m0x", "m1x"]
