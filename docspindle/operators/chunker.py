@@ -85,25 +85,39 @@ def compact(sections_: DataFrame, most: int = 12) -> DataFrame:
     return sections_.withColumn("part", (F.floor((F.col("section") - 1) / size) + 1).cast("int"))
 
 
+def largest_groups(texts: list[str], most: int) -> list[dict]:
+    """Normalised sentences in order, grouped greedily by two shared terms or more: the first
+    sentence's place and the number of members of the largest groups.
+
+    A group is looked up by its terms, not compared with each sentence."""
+    holders: dict[str, set[int]] = {}
+    groups: list[list[int]] = []
+    for place, text in enumerate(texts):
+        own = {w for w in text.split(" ") if len(w) >= 4}
+        shared: dict[int, int] = {}
+        for w in own:
+            for g in holders.get(w, ()):
+                shared[g] = shared.get(g, 0) + 1
+        g = min((g for g, n in shared.items() if n >= 2), default=len(groups))
+        if g == len(groups):
+            groups.append([place, 0])
+        groups[g][1] += 1
+        for w in own:
+            holders.setdefault(w, set()).add(g)
+    best = sorted(range(len(groups)), key=lambda g: (-groups[g][1], g))[:most]
+    return [{"first": groups[g][0], "members": groups[g][1]} for g in best]
+
+
 def key_points(sentences: DataFrame, most: int = 5) -> DataFrame:
     """Sentences of a document grouped greedily by two shared terms or more; its largest groups."""
-    cols = f"document_id {sentences.schema['document_id'].dataType.simpleString()}, place int, sentence string, members int"
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[tuple[set, list]] = []
-        for row in pdf.sort_values(["chunk_index", "at"]).itertuples():
-            own = {w for w in row.words if len(w) >= 4}
-            for words, members in groups:
-                if len(words & own) >= 2:
-                    words |= own
-                    members.append(row.sentence)
-                    break
-            else:
-                groups.append((own, [row.sentence]))
-        best = sorted(range(len(groups)), key=lambda i: (-len(groups[i][1]), i))[:most]
-        return pd.DataFrame([(pdf["document_id"].iloc[0], k + 1, groups[i][1][0], len(groups[i][1])) for k, i in enumerate(best)], columns=["document_id", "place", "sentence", "members"])
-
-    return sentences.select("document_id", "chunk_index", "at", "sentence", "words").groupBy("document_id").applyInPandas(group, cols)
+    @F.pandas_udf("array<struct<first:int,members:int>>")
+    def groups(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: largest_groups(list(t), most))
+
+    row = F.struct("chunk_index", "at", "sentence", F.array_join("words", " ").alias("norm"))
+    rows = tx.once(sentences.groupBy("document_id").agg(F.collect_list(row).alias("rows")), rows=F.array_sort("rows"))
+    best = rows.withColumn("best", groups("rows.norm")).select("document_id", "rows.sentence", F.posexplode("best").alias("k", "of"))
+    return best.select("document_id", (F.col("k") + 1).alias("place"), F.get("sentence", F.col("of.first")).alias("sentence"), "of.members")
 
 
 # Rows of pages: columns document_id, page, position, text.

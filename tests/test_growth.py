@@ -121,3 +121,25 @@ def test_page_edges_sort_once(spark):
     assert "DESC" not in executed(edges)
     assert sorted(r["key"] for r in edges.collect()) == ["a", "foot #", "head #", "z"]
     assert sorted(r["text"] for r in ch.without_edges(rows).collect()) == ["m0x", "m1x"]
+
+
+def test_key_points_look_groups_up(spark):
+    def by_all_groups(texts, most):
+        groups = []
+        for place, text in enumerate(texts):
+            own = {w for w in text.split(" ") if len(w) >= 4}
+            g = next((g for g in groups if len(g[0] & own) >= 2), None)
+            if g is None:
+                groups.append(g := [set(), place, 0])
+            g[0] |= own
+            g[2] += 1
+        return [{"first": g[1], "members": g[2]} for g in sorted(groups, key=lambda g: (-g[2], g[1]))[:most]]
+
+    rng = random.Random(7)
+    for _ in range(50):
+        texts = [" ".join(rng.choices([f"w{k:03}" for k in range(12)] + ["abc"], k=rng.randint(1, 4))) for _ in range(30)]
+        assert ch.largest_groups(texts, 5) == by_all_groups(texts, 5)
+    rows = spark.createDataFrame([(1, 0, "otra cosa aqui. Grandes casas blancas. Blancas y grandes flores")], "document_id long, chunk_index int, content string")
+    found = ch.key_points(ex.sentence_rows(rows))
+    assert "FlatMapGroups" not in executed(found)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, "Grandes casas blancas", 2), (1, 2, "otra cosa aqui", 1)]
