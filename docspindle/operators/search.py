@@ -289,11 +289,17 @@ def drop_near_copies(chunks: DataFrame, order: list[str], by: list[str] | None =
     """In order, without chunks whose terms overlap a kept one's by `threshold` or more (needs norm).
 
     A fold per group of `by`; callers bound its size."""
-    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in chunks.columns if c not in order], tx.terms(F.col("norm")).alias("__terms"))
-    grouped = chunks.groupBy(*(by or [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in chunks.columns if c not in order], F.col("__terms"), F.size("__terms").alias("__size"))
+    grouped = tx.once(chunks, __terms=tx.terms(F.col("norm"))).groupBy(*(by or [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def step(kept: Column, x: Column) -> Column:
-        copy = F.exists(kept, lambda y: tx.jaccard(x["__terms"], y["__terms"]) >= threshold)
+        def alike(y: Column) -> Column:
+            # No overlap exceeds the smaller set's share of the larger, so most pairs are told by their sizes.
+            few, many = F.least(x["__size"], y["__size"]), F.greatest(x["__size"], y["__size"])
+            most = F.when(few > 0, few / many).otherwise(0.0)
+            return (most >= threshold) & (tx.jaccard(x["__terms"], y["__terms"]) >= threshold)
+
+        copy = F.exists(kept, alike)
         return F.when(copy, kept).otherwise(F.concat(kept, F.array(x)))
 
     grouped = grouped.select(F.col("rows"), F.slice("rows", 1, 0).alias("none"))

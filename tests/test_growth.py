@@ -143,3 +143,11 @@ def test_key_points_look_groups_up(spark):
     found = ch.key_points(ex.sentence_rows(rows))
     assert "FlatMapGroups" not in executed(found)
     assert [tuple(r) for r in found.orderBy("place").collect()] == [(1, 1, "Grandes casas blancas", 2), (1, 2, "otra cosa aqui", 1)]
+
+
+def test_sizes_tell_most_pairs_apart(spark):
+    texts = ["uno dos tres", "tres dos uno", "uno dos", "", "", "uno dos tres cuatro cinco seis siete ocho"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "document_id long, chunk_index int, norm string")
+    found = se.drop_near_copies(rows, ["chunk_index"], ["document_id"])
+    assert "greatest(" in analyzed(found)
+    assert sorted(r["chunk_index"] for r in found.collect()) == [0, 2, 3, 4, 5]
