@@ -97,17 +97,27 @@ def keyword_score(i: Intent) -> Column:
     n, words = F.col("norm"), F.col("words")
     if not i.terms:
         return F.lit(0.0)
-    score, matches, total, main = F.when(n.contains(i.normalised), 0.85).otherwise(0.0), F.lit(0), F.lit(0), F.lit(0)
-    for k, t in enumerate(i.terms):
-        whole, part = tx.whole_count(words, t), n.contains(t)
+
+    def hits(k: int, t: str) -> Column:
+        """How often a term is hit: words are compared where the text holds it, and for the first term where not."""
         near = tx.fuzzy_count(words, t) if k == 0 else F.lit(0)
-        hits = F.when(whole > 0, whole).when(part, 0).otherwise(near)
-        score = score + F.when(whole > 0, 0.0).when(part, 0.08).when(near > 0, 0.22).otherwise(0.0)
-        matches, total = matches + F.when(hits > 0, 1).otherwise(0), total + hits
-        main = hits if k == 0 else main
-    score = score + matches / len(i.terms) * 0.5 + F.least(total * 0.04, F.lit(0.2)) + F.least(main * 0.06, F.lit(0.18))
-    score = score + F.when(tx.definition_like(n, i.terms), 0.35).otherwise(0.0) + F.when(matches >= 2, 0.12).otherwise(0.0)
-    return F.when(matches == 0, 0.0).otherwise(score)
+        return F.when(n.contains(t), tx.whole_count(words, t)).otherwise(near)
+
+    def scored(x: Column) -> Column:
+        score, matches, total, main = F.when(n.contains(i.normalised), 0.85).otherwise(0.0), F.lit(0), F.lit(0), F.get(x, F.lit(0))
+        for k, t in enumerate(i.terms):
+            of, part = F.get(x, F.lit(k)), n.contains(t)
+            score = score + F.when(part, F.when(of > 0, 0.0).otherwise(0.08)).when(of > 0, 0.22).otherwise(0.0)
+            matches, total = matches + F.when(of > 0, 1).otherwise(0), total + of
+
+        def summed(m: Column) -> Column:
+            s = score + m / len(i.terms) * 0.5 + F.least(total * 0.04, F.lit(0.2)) + F.least(main * 0.06, F.lit(0.18))
+            s = s + F.when(tx.definition_like(n, i.terms), 0.35).otherwise(0.0) + F.when(m >= 2, 0.12).otherwise(0.0)
+            return F.when(m == 0, 0.0).otherwise(s)
+
+        return tx.let(matches, summed)
+
+    return tx.let(F.array(*[hits(k, t) for k, t in enumerate(i.terms)]), scored)
 
 
 def relaxed_score(i: Intent) -> Column:

@@ -43,7 +43,7 @@ def summary_direct(s, sf):
 
 def keyword_scores(s, sf):
     c = se.prepared(chunks(s, sf))
-    return c.withColumn("score", F.round(se.keyword_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
+    return tx.once(c, score=F.round(se.keyword_score(intent(PLAIN)), 6)).filter("score > 0").select("chunk_id", "score")
 
 
 def relaxed_scores(s, sf):

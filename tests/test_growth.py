@@ -151,3 +151,10 @@ def test_sizes_tell_most_pairs_apart(spark):
     found = se.drop_near_copies(rows, ["chunk_index"], ["document_id"])
     assert "greatest(" in analyzed(found)
     assert sorted(r["chunk_index"] for r in found.collect()) == [0, 2, 3, 4, 5]
+
+
+def test_keywords_compare_words_once(spark):
+    i = intent("things attion")
+    found = tx.once(se.prepared(lines(spark)), score=se.keyword_score(i)).filter("score > 0")
+    assert optimized(found).count("levenshtein(") == 1
+    assert {r["chunk_id"]: round(r["score"], 6) for r in found.collect()} == {"1-0": 0.57, "2-0": 0.35}
