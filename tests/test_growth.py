@@ -158,3 +158,7 @@ def test_keywords_compare_words_once(spark):
     found = tx.once(se.prepared(lines(spark)), score=se.keyword_score(i)).filter("score > 0")
     assert optimized(found).count("levenshtein(") == 1
     assert {r["chunk_id"]: round(r["score"], 6) for r in found.collect()} == {"1-0": 0.57, "2-0": 0.35}
+
+
+def test_actions_normalise_once(spark):
+    assert analyzed(lines(spark).select(rel.technical_actions(F.col("content")).alias("a"))).count("translate(") == 1
