@@ -40,6 +40,17 @@ def may_hold(text: Column, parts: list[str]) -> Column:
     return (F.octet_length(text) > F.length(text)) | let(F.lower(text), lambda low: contains_any(low, parts))
 
 
+def searched(text: Column) -> Column:
+    """Text that holds the same ASCII letters and digits next to each other as `norm` of `text`, to look for
+    parts of one word in: in lower case, and after it its words with other letters without their accents.
+    Accents are taken off by the letter, so the words without other letters need not pass through that."""
+    def with_folded(low: Column) -> Column:
+        words = F.filter(F.split(low, " "), lambda w: F.octet_length(w) > F.length(w))
+        return F.when(F.octet_length(low) > F.length(low), F.concat(low, F.lit(" "), without_marks(F.array_join(words, " ")))).otherwise(low)
+
+    return let(F.lower(text), with_folded)
+
+
 def terms(normalised: Column) -> Column:
     """Distinct words of two characters or more that aren't stop words, as they come."""
     return F.array_distinct(F.filter(F.split(normalised, " "), lambda w: (F.length(w) >= 2) & ~w.isin(*lx.STOP_WORDS)))

@@ -72,7 +72,8 @@ def technical_actions(text: Column) -> Column:
     def found(n: Column) -> Column:
         return F.array_compact(F.array(*[F.when(tx.contains_any(n, terms), action) for action, terms in lx.ACTIONS.items()]))
 
-    return tx.let(tx.let(tx.norm(F.coalesce(text, F.lit(""))), found), lambda a: F.when(F.size(a) == 0, F.array(F.lit(lx.NO_ACTION))).otherwise(a))
+    # The rules' terms are parts of one word each.
+    return tx.let(tx.let(tx.searched(F.coalesce(text, F.lit(""))), found), lambda a: F.when(F.size(a) == 0, F.array(F.lit(lx.NO_ACTION))).otherwise(a))
 
 
 def command_lines(texts: DataFrame, most: int = 8) -> DataFrame:

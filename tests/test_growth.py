@@ -6,6 +6,7 @@ import __spark_entry__ as entry
 import duckdb
 from pyspark.sql import functions as F
 
+from docspindle.functions import lexicon as lx
 from docspindle.functions import scans
 from docspindle.functions import text as tx
 from docspindle.functions.intent import intent
@@ -162,3 +163,23 @@ def test_keywords_compare_words_once(spark):
 
 def test_actions_normalise_once(spark):
     assert analyzed(lines(spark).select(rel.technical_actions(F.col("content")).alias("a"))).count("translate(") == 1
+
+
+def test_actions_take_accents_off_few_words(spark):
+    """The whole text is not normalised; what is found stays the same."""
+    parts = sorted({t for terms in lx.ACTIONS.values() for t in terms})
+    assert all(p.isascii() and p.isalnum() for p in parts)
+    texts = [
+        "TÓKEN", "to\u0301ken", "to\u200dken", "to\u00adken", "tó-ken", "tó ken", "to ken ñ", "to\nkén", "aquí:tokén,más", "TO\u212aEN", "\u1e6boken", "ｔｏｋｅｎ", "gİt", "gıt", "ǵi\u0327t\u0303",
+        "subír\u00a0git", "d\u2126ocker dócker", "한국어 jwt́", "ﬁgit ß", "\U0001d400 cu\U0001e944rl cúrl", "ñ", "", " ", None, "tokeñ", "toke ñ", "tenant", "TENANT\tbéarer", "Α\u0345 upload", "ΣΑΣ úpload",
+    ]
+    texts += ["".join(random.Random(k).choices("giŧtǵíţ\u0301\u0338 \u00a0\n-K", k=9)) for k in range(300)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    held = rows.select("text", *[F.struct(tx.norm("text").contains(p).alias("norm"), tx.searched("text").contains(p).alias("searched")).alias(p) for p in parts]).collect()
+    assert [(r["text"], p) for r in held for p in parts if r[p]["norm"] != r[p]["searched"]] == []
+    assert sum(bool(r["git"]["norm"]) for r in held) > 5 and sum(bool(r["token"]["norm"]) for r in held) > 5
+    told = rows.select(rel.technical_actions(F.col("text")).alias("a"))
+    assert r"[^\p{L}\p{N}]+" not in analyzed(told)
+    assert [tuple(r["a"]) for r in told.collect()] == [
+        tuple(a for a, terms in lx.ACTIONS.items() if any(r[t]["norm"] for t in terms)) or (lx.NO_ACTION,) for r in held
+    ]
