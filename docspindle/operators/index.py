@@ -1,27 +1,31 @@
 """A search index over chunks, kept as Parquet tables, and searches that read only what their terms need.
 
-    postings   batch, kind, bucket | word, document_id, chunk_index, chunk_id   words of chunks
-    grams      kind, bucket | gram, word                                   three characters of each distinct word
-    deletions  bucket | variant, word                                      distinct words with up to two characters left out
-    chunks     batch, part | document_id, chunk_index, chunk_id, content, norm, words
+    chunks     batch | no, document_id, chunk_index, chunk_id, content   numbered as they come
+    postings   batch, bucket | word, base, at                            numbers of the chunks that hold a word
+    forms      batch, bucket | word, raw                                 normalised words and the words they come from
+    words      kind | size, word                                         distinct words
 
 Words are of two kinds: `raw` ones are lower-cased stretches between white space, as
-ILIKE sees them; `norm` ones are words of normalised text. What a term matches is found
-on distinct words, once, however many chunks hold them: parts of words by trigrams, words
-within an edit or two by deletions. Buckets are folders, so a search opens those of its own words;
-adding chunks appends files. A batch's words are read back from what it wrote, so that texts
-are normalised once.
+ILIKE sees them; `norm` ones are words of normalised text. Normalisation never joins what white space
+parts, so the normalised words of a text are those of its raw words: chunks are listed by raw words alone, and only
+distinct words are normalised. A list is one row for each 2^15 numbers, with two bytes a chunk. What a
+term matches is found on distinct words, once, however many chunks hold them: they are few beside the text, so they are looked
+through, by size where an edit or two are allowed. Buckets are folders, so a search opens those of
+its own words; adding chunks appends files. Disk stays near that of the text: texts are stored once and never
+dealt out, and lists are made by the task that reads the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,28 +35,76 @@ from ..functions.intent import Intent, global_terms, phrase_terms
 from . import search as se
 
 POSITION = ["document_id", "chunk_index", "chunk_id"]
-#: Longer words have too many deletions: they are looked at one by one.
-LONGEST = 30
 #: Words that a search names in its filter; more are joined.
 NAMED = 1000
+#: Words up to which they are sent to every executor.
+BROADCAST_WORDS = 200_000
+#: Chunks up to which their bits are sent to every executor: 16 MB for each part of a query.
+BROADCAST_CHUNKS = 1 << 27
+#: A word's chunks with numbers that agree but for so many bits are one row.
+SHIFT = 15
+#: Words of texts that a task holds while it makes lists of them.
+HELD = 1 << 22
+#: Chunks in a file of chunks.
+IN_FILE = 1 << 17
 
 
 def _bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(word.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def _without_one(word: Column) -> Column:
-    """`word` without each of its characters."""
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-
-
-def _variants(term: str, edits: int) -> list[str]:
-    kept = (c for k in range(edits + 1) for c in combinations(range(len(term)), len(term) - k))
-    return sorted({"".join(term[i] for i in c) for c in kept})
-
-
-def _grams(term: str) -> list[str]:
-    return sorted({term[i : i + 3] for i in range(len(term) - 2)})
+def _rows(columns: dict[str, pa.Array], size: int = 100_000) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return (batch.slice(i, size) for i in range(0, batch.num_rows, size))
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """raw: the words of the texts, each once for some millions of words."""
+    held, n = [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        return _rows({"raw": pc.unique(pa.chunked_array(held, pa.string()))})
+
+    for batch in batches:
+        held.append(pc.unique(pc.list_flatten(pc.ascii_split_whitespace(batch["low"]))))
+        n += len(held[-1])
+        if n >= HELD // 4:
+            yield from told()
+            held, n = [], 0
+    yield from told()
+
+
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, base, at: for the words of some millions the chunks that hold them, by `no`."""
+    held, numbers, n = [], [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        if not n:
+            return
+        coded = pa.chunked_array(held, pa.string()).combine_chunks().dictionary_encode()
+        code, no = coded.indices.to_numpy(), np.concatenate(numbers)
+        order = np.argsort(code, kind="stable")
+        code, no = code[order], no[order]
+        # A chunk's words came together, so those that are equal are next to each other.
+        first = np.append(True, (code[1:] != code[:-1]) | (no[1:] != no[:-1]))
+        code, no = code[first], no[first]
+        base = no >> SHIFT
+        starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (base[1:] != base[:-1])))
+        ends = pa.array(np.append(starts, len(no)).astype(np.int32))
+        at = pa.ListArray.from_arrays(ends, pa.array((no & ((1 << SHIFT) - 1)).astype(np.int16)))
+        yield from _rows({"word": coded.dictionary.take(pa.array(code[starts])), "base": pa.array(base[starts]), "at": at})
+
+    for batch in batches:
+        lists = pc.ascii_split_whitespace(batch["low"])
+        words, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        some = pc.not_equal(words, "")
+        held.append(words.filter(some))
+        numbers.append(batch["no"].to_numpy()[of[some.to_numpy(zero_copy_only=False)]])
+        n += len(held[-1])
+        if n >= HELD:
+            yield from told()
+            held, numbers, n = [], [], 0
+    yield from told()
 
 
 class ChunkIndex:
@@ -65,105 +117,119 @@ class ChunkIndex:
     def _append(self, df: DataFrame, name: str, folders: list[str], order: list[str]) -> None:
         # Rebalanced by folder: small folders get one file, a hot one is split; sorted, so that files' bounds tell words.
         dealt = df.hint("rebalance", *[F.col(c) for c in folders])
-        dealt.sortWithinPartitions(*folders, *order).write.mode("append").partitionBy(*folders).parquet(f"{self.path}/{name}")
+        dealt.sortWithinPartitions(*folders, *order).write.mode("append").option("compression", "zstd").partitionBy(*folders).parquet(f"{self.path}/{name}")
 
-    def table(self, name: str) -> DataFrame:
+    def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def table(self, name: str) -> DataFrame:
+        """`chunks` as they are searched: positions, content, norm, words; or `postings`: kind, word and
+        positions, a row for each word of a chunk."""
+        if name == "chunks":
+            return se.prepared(self._read(name).select(*POSITION, "content"))
+        held = self._read("postings").select("batch", "word", F.shiftleft("base", SHIFT).alias("no"), F.explode("at").alias("off")).select("batch", "word", (F.col("no") + F.col("off")).alias("no"))
+        forms = self._read("forms").filter("word <> ''").select(F.col("word").alias("norm"), F.col("raw").alias("word")).distinct()
+        norm = held.join(forms, "word").select(F.lit("norm").alias("kind"), F.col("norm").alias("word"), "batch", "no").distinct()
+        both = held.select(F.lit("raw").alias("kind"), "word", "batch", "no").unionByName(norm)
+        return both.join(self._read("chunks").select("batch", "no", *POSITION), ["batch", "no"]).select("kind", "word", *POSITION)
+
+    def count(self) -> int:
+        return self._read("chunks").count()
+
+    def words(self, kind: str) -> DataFrame:
+        """size, word: the distinct words of a kind; those of several batches are repeated."""
+        return self._read("words").filter(F.col("kind") == kind)
+
     def add(self, chunks: DataFrame) -> ChunkIndex:
         """Append chunks (document_id, chunk_index, chunk_id, content), which the index doesn't hold yet.
 
         Null contents have no words. A word that is known already is listed again: lookups are distinct.
         """
         batch = f"b{uuid4().hex}"
-        new = se.prepared(chunks.select(*POSITION, "content")).withColumn("batch", F.lit(batch))
-        self._append(new.withColumn("part", _bucket(F.col("document_id").cast("string"), self.buckets)), "chunks", ["batch", "part"], POSITION)
-        rows = self.table("chunks").filter(F.col("batch") == batch)
-        raw = F.filter(F.array_distinct(F.split(F.lower("content"), r"\s+")), lambda w: w != "")
-        words = F.array(F.struct(F.lit("raw").alias("kind"), raw.alias("own")), F.struct(F.lit("norm").alias("kind"), F.array_distinct("words").alias("own")))
-        found = rows.select(*POSITION, F.inline(words)).select(*POSITION, "kind", F.explode("own").alias("word"))
-        dealt = found.withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("word"), self.buckets)})
-        self._append(dealt, "postings", ["batch", "kind", "bucket"], ["word", *POSITION])
-        # Distinct words of these chunks; those of other batches may repeat them.
-        distinct = self.table("postings").filter(F.col("batch") == batch).select("kind", "word").distinct()
-        # Few bytes that become many rows: dealt to all tasks, for what is small would be joined into one or two.
-        distinct = distinct.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "word")
-        gram = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3)))))
-        grams = distinct.select("kind", "word", gram.alias("gram"))
-        self._append(grams.withColumn("bucket", _bucket(F.col("gram"), self.buckets)), "grams", ["kind", "bucket"], ["gram", "word"])
-        word = F.col("word")
-
-        def left(once: Column) -> Column:
-            twice = F.when(F.length(word) >= 7, F.flatten(F.transform(once, _without_one))).otherwise(F.array().cast("array<string>"))
-            return F.array_distinct(F.concat(F.array(word), once, twice))
-
-        variants = F.when(F.length(word) > LONGEST, F.array(F.lit(""))).otherwise(tx.let(_without_one(word), left))
-        near = distinct.filter((F.col("kind") == "norm") & (F.length(word) >= 5)).select("word", F.explode(variants).alias("variant"))
-        self._append(near.withColumn("bucket", _bucket(F.col("variant"), self.buckets)), "deletions", ["bucket"], ["variant", "word"])
+        numbered = chunks.select(F.monotonically_increasing_id().alias("no"), *POSITION, "content")
+        # Written as they lie, without a sort or shuffle of texts; small files, so that many tasks read what one wrote.
+        numbered.write.option("compression", "zstd").option("maxRecordsPerFile", IN_FILE).parquet(f"{self.path}/chunks/batch={batch}")
+        low = self._read("chunks").filter(F.col("batch") == batch).select("no", F.lower("content").alias("low")).filter("low IS NOT NULL")
+        raw = low.select("low").mapInArrow(_distinct_words, "raw string").filter("raw <> ''").distinct()
+        own = tx.once(raw, own=tx.tokens(tx.norm(F.col("raw"))))
+        # Words without letters or digits come from no normalised word, but are raw ones.
+        forms = own.select("raw", F.explode(F.when(F.size("own") > 0, F.array_distinct("own")).otherwise(F.array(F.lit("")))).alias("word"))
+        self._append(forms.withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("word"), self.buckets)}), "forms", ["batch", "bucket"], ["word", "raw"])
+        forms = self._read("forms").filter(F.col("batch") == batch)
+        for kind, words in (("norm", forms.filter("word <> ''").select("word")), ("raw", forms.select(F.col("raw").alias("word")))):
+            sized = words.distinct().select(F.lit(kind).alias("kind"), F.length("word").alias("size"), "word")
+            self._append(sized, "words", ["kind"], ["size", "word"])
+        lists = low.mapInArrow(_word_lists, "word string, base long, at array<smallint>")
+        self._append(lists.withColumns({"batch": F.lit(batch), "bucket": _bucket(F.col("word"), self.buckets)}), "postings", ["batch", "bucket"], ["word", "base"])
         return self
 
-    def _named(self, name: str, column: str, keys: list[str], kind: str | None = None) -> DataFrame:
-        """Rows of the keys' folders with one of the keys: folders and files are pruned by literals."""
-        buckets = sorted({crc32(k.encode()) % self.buckets for k in keys})
-        rows = self.table(name).filter(F.col("bucket").isin(buckets) & F.col(column).isin(keys))
-        return rows if kind is None else rows.filter(F.col("kind") == kind)
+    def _among(self, name: str, column: str, words: DataFrame) -> DataFrame:
+        """Rows of a table with buckets whose `column` is one of `words`. A few words are named in the filter, so
+        folders and files are pruned by literals; many are joined by folder and word."""
+        named = [r["word"] for r in words.limit(NAMED + 1).collect()]
+        if len(named) <= NAMED:
+            buckets = sorted({crc32(w.encode()) % self.buckets for w in named})
+            return self._read(name).filter(F.col("bucket").isin(buckets) & F.col(column).isin(named))
+        keys = words.select(F.col("word").alias(column), _bucket(F.col("word"), self.buckets).alias("bucket"))
+        if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+            keys = F.broadcast(keys)
+        return self._read(name).join(keys, ["bucket", column], "left_semi")
 
     def words_with(self, kind: str, part: str) -> DataFrame:
-        """word: the distinct words of a kind that hold `part`, by its trigrams; parts of
-        one or two characters look at all words, not at chunks."""
-        grams = _grams(part)
-        if not grams:
-            short = self.table("grams").filter((F.col("kind") == kind) & F.col("gram").contains(part))
-            return short.select("word").distinct()
-        found = self._named("grams", "gram", grams, kind).filter(F.col("word").contains(part))
-        return found.select("word").distinct()
+        """word: the distinct words of a kind that hold `part`."""
+        return self.words(kind).filter(F.col("word").contains(part)).select("word").distinct()
 
     def words_near(self, term: str) -> DataFrame:
         """word: normalised words of five characters or more within an edit of `term`, two for terms of nine."""
         edits = 2 if len(term) >= 9 else 1
-        keys = _variants(term, edits) if len(term) <= LONGEST + edits else []
-        if len(term) + edits > LONGEST:
-            keys = [*keys, ""]
-        found = self._named("deletions", "variant", keys)
-        return found.filter(F.levenshtein("word", F.lit(term), edits) >= 0).select("word").distinct()
+        sized = self.words("norm").filter(F.col("size").between(max(5, len(term) - edits), len(term) + edits))
+        return sized.filter(F.levenshtein("word", F.lit(term), edits) >= 0).select("word").distinct()
 
     def words_partly(self, term: str) -> DataFrame:
         """word: normalised words that `partial_match` takes for `term`."""
-        head = min(len(term) - 1, 7)
-        begins = self.words_with("norm", term[:head]).filter(F.col("word").startswith(term[:head]))
-        inside = sorted({term[i:j] for i in range(len(term)) for j in range(i + 5, len(term) + 1)})
-        return begins.unionByName(self.words_with("norm", term)).unionByName(self._named("postings", "word", inside, "norm").select("word")).distinct()
+        return self.words("norm").filter(tx.partial_match(F.array("word"), term)).select("word").distinct()
 
     def rows_of(self, kind: str, words: DataFrame) -> DataFrame:
-        """The positions (and word) of chunks that hold one of `words`. A few words are named in the
-        filter; many are joined by folder and word, and the folders pruned as the join runs."""
-        named = [r["word"] for r in words.limit(NAMED + 1).collect()]
-        if len(named) <= NAMED:
-            return self._named("postings", "word", named or [""], kind).select("word", *POSITION)
-        keys = words.withColumn("bucket", _bucket(F.col("word"), self.buckets))
-        return self.table("postings").filter(F.col("kind") == kind).join(keys, ["bucket", "word"], "left_semi").select("word", *POSITION)
-
-    def _chunks_of(self, positions: DataFrame) -> DataFrame:
-        """Whole chunks at distinct `positions`."""
-        at = positions.withColumn("part", _bucket(F.col("document_id").cast("string"), self.buckets))
-        return self.table("chunks").join(at, ["part", *POSITION]).drop("part", "batch")
+        """word, batch, base, at: the lists of chunks that hold one of `words`, by raw words."""
+        if kind == "norm":
+            words = self._among("forms", "word", words).select(F.col("raw").alias("word")).distinct()
+        return self._among("postings", "word", words).select("word", "batch", "base", "at")
+
+    def _held(self, parts: list[DataFrame]) -> DataFrame:
+        """Stored chunks that lists of one of `parts` name, with held: for each part whether its lists do, 1 or 0.
+
+        Lists become bits, 4 KB for each 2^15 numbers and part, which meet the chunks where they lie: texts are not dealt out."""
+        rows = reduce(DataFrame.unionByName, [p.select("batch", "base", "at", F.lit(k).alias("part")) for k, p in enumerate(parts)])
+        one = rows.select("batch", "base", "part", F.explode(F.col("at").cast("array<int>")).alias("off"))
+        bits = [F.bit_or(F.when(F.col("part") == k, F.expr("shiftleft(1L, off & 63)")).otherwise(F.lit(0).cast("long"))) for k in range(len(parts))]
+        cells = one.groupBy("batch", "base", F.shiftright("off", 6).alias("cell")).agg(F.array(*bits).alias("bits"))
+        found = cells.groupBy("batch", "base").agg(F.map_from_entries(F.collect_list(F.struct("cell", "bits"))).alias("cells"))
+        found = found.select("batch", "base", F.transform(F.sequence(F.lit(0), F.lit((1 << SHIFT - 6) - 1)), lambda i: F.try_element_at("cells", i)).alias("cells"))
+        if self.count() <= BROADCAST_CHUNKS:
+            found = F.broadcast(found)
+        off = F.col("no").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
+        stored = self._read("chunks").withColumns({"base": F.shiftright("no", SHIFT), "off": off}).join(found, ["batch", "base"])
+        named = F.transform(F.get("cells", F.shiftright("off", 6)), lambda x: F.getbit(x, F.col("off").bitwiseAND(F.lit(63))))
+        return tx.once(stored.drop("base"), held=named).drop("cells", "off").filter(F.exists("held", lambda x: x == 1))
 
     def _hits(self, parts: list[str]) -> DataFrame:
-        """Positions with the number of `parts` that lie in a word of the chunk."""
-        rows = [self.rows_of("raw", self.words_with("raw", p.lower())).select(*POSITION, F.lit(k).alias("part_no")).distinct() for k, p in enumerate(parts)]
-        return reduce(DataFrame.unionByName, rows).groupBy(*POSITION).agg(F.count("*").cast("double").alias("score"))
+        """Stored chunks with the number of `parts` that lie in one of their words."""
+        found = self._held([self.rows_of("raw", self.words_with("raw", p.lower())) for p in parts])
+        return found.withColumn("score", F.aggregate("held", F.lit(0.0), lambda s, x: s + x)).drop("held")
 
     def global_search(self, query: str, limit: int = 20) -> DataFrame:
         """What `search.global_search` finds. Scores come from postings alone; contents are read for the
         chunks that are told. Terms with the wildcards % and _ may span words: they scan the chunks."""
         parts = global_terms(query)
         if any(c in p for p in parts for c in "%_\\"):
-            return se.global_search(self.table("chunks"), query, limit).select(*POSITION, "content", "score")
+            return se.global_search(self._read("chunks"), query, limit).select(*POSITION, "content", "score")
         if not parts:
-            return self.table("chunks").limit(0).select(*POSITION, "content", F.lit(0.0).alias("score"))
+            return self._read("chunks").limit(0).select(*POSITION, "content", F.lit(0.0).alias("score"))
         order = [F.desc("score"), *POSITION]
-        best = self._hits(parts).orderBy(*order).limit(min(limit, 100))
-        return self._chunks_of(best).select(*POSITION, "content", "score").orderBy(*order)
+        best = self._hits(parts).select("batch", "no", *POSITION, "score").orderBy(*order).limit(min(limit, 100)).select("batch", "no", "score").collect()
+        scores = self.spark.createDataFrame(best, "batch string, no long, score double")
+        told = self._read("chunks").filter(F.col("batch").isin([r["batch"] for r in best]) & F.col("no").isin([r["no"] for r in best]))
+        return told.join(F.broadcast(scores), ["batch", "no"]).select(*POSITION, "content", "score").orderBy(*order)
 
     def phrase_matches(self, query: str) -> DataFrame:
         """Positions of chunks that hold the phrase or one of its words, in any case. What holds
@@ -171,34 +237,34 @@ class ChunkIndex:
         parts = phrase_terms(query)
         words = [p for p in parts if not any(c.isspace() for c in p)]
         if any(c in p for p in parts for c in "%_\\"):
-            return self.table("chunks").filter(tx.any_of([F.col("content").ilike(f"%{p}%") for p in parts])).select(*POSITION)
-        return self._hits(words).select(*POSITION) if words else self.table("chunks").limit(0).select(*POSITION)
+            return self._read("chunks").filter(tx.any_of([F.col("content").ilike(f"%{p}%") for p in parts])).select(*POSITION)
+        return self._hits(words).select(*POSITION) if words else self._read("chunks").limit(0).select(*POSITION)
 
     def _candidates(self, i: Intent, partly: bool) -> DataFrame:
-        """Positions of the chunks that a term of the intent can match at all."""
+        """The stored chunks that a term of the intent can match at all."""
         words = [self.words_with("norm", t) for t in i.terms]
         if len(i.terms[0]) >= 5:
             words.append(self.words_near(i.terms[0]))
             if partly:
                 words.append(self.words_partly(i.terms[0]))
-        return self.rows_of("norm", reduce(DataFrame.unionByName, words).distinct()).select(*POSITION).distinct()
+        return self._held([self.rows_of("norm", reduce(DataFrame.unionByName, words).distinct())])
 
     def _scored(self, i: Intent, score: Column, partly: bool) -> DataFrame:
         if not i.terms:
-            return self.table("chunks").limit(0).select(*POSITION, "content", F.lit(0.0).alias("score"))
-        found = self._chunks_of(self._candidates(i, partly))
-        return found.select(*POSITION, "content", score.alias("score")).filter("score > 0")
+            return self._read("chunks").limit(0).select(*POSITION, "content", F.lit(0.0).alias("score"))
+        found = se.prepared(self._candidates(i, partly).select(*POSITION, "content"))
+        return tx.once(found, score=score).filter("score > 0").select(*POSITION, "content", "score")
 
     def keyword_scores(self, i: Intent) -> DataFrame:
         """Chunks with a keyword score above zero: only those that hold a word which a term
-        equals, lies in, or nearly equals are scored."""
+        equals, lies in, or nearly equals are normalised and scored."""
         return self._scored(i, se.keyword_score(i), False)
 
     def relaxed_scores(self, i: Intent) -> DataFrame:
         return self._scored(i, se.relaxed_score(i), True)
 
 
-def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.02, least: int = 1000, block: int = 1 << 17, asked: int = 200_000) -> DataFrame:
+def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.02, least: int = 1000, block: int = 1 << 17, asked: int = 200_000, n: int | None = None) -> DataFrame:
     """question, rank, document_id, chunk_index, chunk_id, score: for each of many questions the `k` chunks
     that hold most of its terms as words; ties by position.
 
@@ -210,13 +276,13 @@ def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k
     block in a task that counts terms by the block's own lists and keeps k chunks a question. So only
     these leave a task, never a row for each question and chunk that share a word; every chunk is
     counted, and the result is exact. Words of more than `share` of a block's chunks (and of more than
-    `least`) are added as whole rows. Words are told apart by 64-bit hashes. Questions without terms have no rows.
+    `least`) are added as whole rows. `n` is the number of chunks, if it is known. Words are told apart by 64-bit hashes. Questions without terms have no rows.
     """
     qt = questions.select("question", F.explode(F.array_distinct("terms")).alias("word")).distinct()
     held = postings.join(qt.select("word").distinct(), "word", "left_semi").select("word").distinct()
     own = qt.join(held, "word", "left_semi").groupBy("question").agg(F.collect_set(F.xxhash64("word")).alias("terms"))
     # At least eight blocks, so that little input keeps several tasks busy.
-    blocks = max(8, -(-chunks.count() // block))
+    blocks = max(8, -(-(chunks.count() if n is None else n) // block))
     parts = max(1, -(-questions.count() // asked))
     fields = chunks.select(*POSITION).schema.fields
     at = F.pmod(F.xxhash64(*POSITION), F.lit(blocks)).cast("int").alias("block")

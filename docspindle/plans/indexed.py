@@ -48,8 +48,7 @@ def batched_search(s, sf):
     t = table(s, sf, "conversations").filter("role = 'user'")
     asked = t.select(F.concat_ws("-", "conv_id", "turn").alias("question"), tx.terms(tx.norm(F.col("text"))).alias("terms"))
     made = index(s, sf)
-    postings = made.table("postings").filter("kind = 'norm'").select("word", "document_id", "chunk_index", "chunk_id")
-    return batch_search(asked, postings, made.table("chunks")).select("question", "rank", "chunk_id", "score")
+    return batch_search(asked, made.words("norm"), made.table("chunks"), n=made.count()).select("question", "rank", "chunk_id", "score")
 
 
 _TERMS = [w for w in QUERY.lower().split() if len(w) >= 4]

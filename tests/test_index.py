@@ -122,3 +122,31 @@ def test_types_of_uploads(spark, tmp_path):
     mimes = spark.createDataFrame([("note", "text/plain")], "file string, mime string")
     assert [(r["file_type"], r["text"]) for r in read_documents(spark, str(tmp_path), mimes).collect()] == [("text", "hola")]
     assert [r["file_type"] for r in read_documents(spark, str(tmp_path)).collect()] == ["unknown"]
+
+
+def test_index_takes_no_more_disk_than_texts_need(spark, tmp_path):
+    """Positions and texts are stored once, lists take two bytes a chunk, and no text is shuffled."""
+    rng = random.Random(6)
+    syllables = ["an", "ther", "in", "on", "ed", "st", "ble", "ou", "wh", "re", "ea", "ha", "nt"]
+    known = ["".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(3000)]
+    rows = [(d, i, f"{d}-{i}", " ".join(rng.choices(known, k=40))) for d in range(2000) for i in range(5)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_index int, chunk_id string, content string")
+    ChunkIndex(spark, str(tmp_path / "i"), 4).add(chunks)
+
+    def size(path):
+        return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+    chunks.write.parquet(str(tmp_path / "texts"))
+    assert size(tmp_path / "i") < 2 * size(tmp_path / "texts")
+
+
+def test_words_of_texts_are_those_of_their_raw_words(spark, tmp_path):
+    texts = ["ΟΔΟΣ ΟΔΟΣ.\tİstanbul", " \x1fa\x1cb\x85c d e\vf\fg\r\nh ", "́acento ́ é́x", "각 한국어-가", "-- %% a--b", "", " ", None, "x" * 40 + " L'eau", "ﬁn ǅ ẞ"]
+    chunks = spark.createDataFrame([(1, k, f"1-{k}", t) for k, t in enumerate(texts)], "document_id long, chunk_index int, chunk_id string, content string")
+    index = ChunkIndex(spark, str(tmp_path / "i"), 2).add(chunks)
+    raw = F.filter(F.array_distinct(F.split(F.lower("content"), r"\s+")), lambda w: w != "")
+    for kind, words in (("raw", raw), ("norm", F.array_distinct("words"))):
+        want = se.prepared(chunks).select("chunk_id", F.explode(words).alias("word"))
+        assert ids(index.table("postings").filter(F.col("kind") == kind).select("chunk_id", "word")) == ids(want)
+        assert ids(index.words(kind).select("word").distinct()) == ids(want.select("word").distinct())
+    assert ids(index.table("chunks").select("chunk_id")) == ids(chunks.select("chunk_id"))
