@@ -264,7 +264,100 @@ class ChunkIndex:
         return self._scored(i, se.relaxed_score(i), True)
 
 
-def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.02, least: int = 1000, block: int = 1 << 17, asked: int = 200_000, n: int | None = None) -> DataFrame:
+class _Counter:
+    """Counts, for all of a block's `n` chunks at once, how many of some words each holds.
+
+    A word is a row of one bit a chunk; rows are added as bits of counters (sums and carries of threes
+    of rows at a time), so 64 chunks cost one operation and no list of a frequent word is walked again.
+    """
+
+    def __init__(self, n: int, lists: np.ndarray, ends: np.ndarray, most: float):
+        """lists: chunks by word, from ends[w] to ends[w + 1]; rows of words in more than `most` are kept."""
+        self.lists, self.ends, self.often = lists, ends, np.diff(ends) > most
+        self.size = (n + 63) >> 6
+        self.place, self.kept = {}, np.zeros((16, self.size), np.uint64)
+        self.rooms: list[np.ndarray] = []
+        self.held, self.next = np.zeros(self.size, np.uint64), np.zeros(self.size, np.uint64)
+
+    def _set(self, row: np.ndarray, w: int) -> None:
+        one = self.lists[self.ends[w] : self.ends[w + 1]]
+        np.add.at(row, one >> 6, np.left_shift(np.uint64(1), (one & 63).astype(np.uint64)))  # a chunk's bit comes once
+
+    def _keep(self, w: int) -> int:
+        if w not in self.place:
+            if len(self.place) == len(self.kept):
+                self.kept = np.concatenate([self.kept, np.zeros_like(self.kept)])
+            self.place[w] = len(self.place)
+            self._set(self.kept[self.place[w]], w)
+        return self.place[w]
+
+    def _room(self, level: int, rows: int) -> np.ndarray:
+        """Space of `rows` or more for a level's rows; what a question before left in it goes."""
+        while level >= len(self.rooms):
+            self.rooms.append(np.empty((0, self.size), np.uint64))
+        if len(self.rooms[level]) < rows:
+            self.rooms[level] = np.empty((rows, self.size), np.uint64)
+        return self.rooms[level]
+
+    def _sums(self, words: np.ndarray) -> list[np.ndarray]:
+        """The counters' bits, low ones first."""
+        often = [self._keep(w) for w in words[self.often[words]].tolist()]
+        rows, n = self._room(0, len(words)), len(words)
+        np.take(self.kept, often, axis=0, out=rows[: len(often)], mode="clip")
+        rows[len(often) : n] = 0
+        for i, w in enumerate(words[~self.often[words]].tolist(), len(often)):
+            self._set(rows[i], w)
+        planes, level = [], 0
+        while n:
+            carried, more = 0, self._room(level + 1, n)
+            while n > 1:
+                t, left = (n // 3, n % 3) if n > 2 else (1, 0)
+                a, b, carry = rows[:t], rows[t : 2 * t], more[carried : carried + t]
+                np.bitwise_and(a, b, out=carry)
+                np.bitwise_xor(a, b, out=a)
+                if n > 2:
+                    c = rows[2 * t : 3 * t]
+                    np.bitwise_and(a, c, out=b)
+                    np.bitwise_or(carry, b, out=carry)
+                    np.bitwise_xor(a, c, out=a)
+                    rows[t : t + left] = rows[3 * t : n]
+                carried, n = carried + t, t + left
+            planes.append(rows[0])
+            rows, n, level = more, carried, level + 1
+        return planes
+
+    def best(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first `k` chunks with most of the words, one at least, and how many each holds."""
+        tops, scores, lacking, bound = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], k, 0
+        planes, held = self._sums(words), None
+        for level in range(len(planes) - 1, -1, -1):
+            some = planes[level] if held is None else np.bitwise_and(planes[level], held, out=self.next)
+            if some.any():
+                bound |= 1 << level
+                held = self.held if held is None else held
+                held[:] = some
+        without: dict[int, np.ndarray] = {}
+        while bound and lacking:
+            cells = np.flatnonzero(held)[:lacking]
+            if len(cells):
+                bits = np.flatnonzero(np.unpackbits(held[cells].astype("<u8").view(np.uint8), bitorder="little"))[:lacking]
+                tops.append(cells[bits >> 6] * 64 + (bits & 63))
+                scores.append(np.full(len(bits), bound))
+                lacking -= len(bits)
+            bound -= 1
+            if bound and lacking:
+                held[:] = planes[bound.bit_length() - 1]
+                for level, plane in enumerate(planes):
+                    if bound >> level & 1:
+                        np.bitwise_and(held, plane, out=held)
+                    else:
+                        if level not in without:
+                            without[level] = np.bitwise_not(plane)
+                        np.bitwise_and(held, without[level], out=held)
+        return np.concatenate(tops), np.concatenate(scores)
+
+
+def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = 5, *, share: float = 0.0005, least: int = 128, block: int = 1 << 18, asked: int = 200_000, n: int | None = None) -> DataFrame:
     """question, rank, document_id, chunk_index, chunk_id, score: for each of many questions the `k` chunks
     that hold most of its terms as words; ties by position.
 
@@ -273,16 +366,17 @@ def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k
     chunks: positions and `words`.
 
     Chunks are dealt to blocks of about `block`, questions to parts of about `asked`; each part meets each
-    block in a task that counts terms by the block's own lists and keeps k chunks a question. So only
+    block in a task that counts terms for 64 chunks at a time (`_Counter`) and keeps k chunks a question. So only
     these leave a task, never a row for each question and chunk that share a word; every chunk is
-    counted, and the result is exact. Words of more than `share` of a block's chunks (and of more than
-    `least`) are added as whole rows. `n` is the number of chunks, if it is known. Words are told apart by 64-bit hashes. Questions without terms have no rows.
+    counted, and the result is exact. The bits of words in more than `share` of a block's chunks (and in more than
+    `least`) are kept for all questions. `n` is the number of chunks, if it is known. Words are told apart by 64-bit hashes. Questions without terms have no rows.
     """
     qt = questions.select("question", F.explode(F.array_distinct("terms")).alias("word")).distinct()
     held = postings.join(qt.select("word").distinct(), "word", "left_semi").select("word").distinct()
     own = qt.join(held, "word", "left_semi").groupBy("question").agg(F.collect_set(F.xxhash64("word")).alias("terms"))
-    # At least eight blocks, so that little input keeps several tasks busy.
-    blocks = max(8, -(-(chunks.count() if n is None else n) // block))
+    # At least eight blocks, so that little input keeps several tasks busy; many are made to fill the cores each time.
+    blocks, cores = max(8, -(-(chunks.count() if n is None else n) // block)), chunks.sparkSession.sparkContext.defaultParallelism
+    blocks = -(-blocks // cores) * cores if blocks > cores else blocks
     parts = max(1, -(-questions.count() // asked))
     fields = chunks.select(*POSITION).schema.fields
     at = F.pmod(F.xxhash64(*POSITION), F.lit(blocks)).cast("int").alias("block")
@@ -300,37 +394,24 @@ def batch_search(questions: DataFrame, postings: DataFrame, chunks: DataFrame, k
             words = np.concatenate(found["words"].to_numpy())
             lists = np.repeat(np.arange(n, dtype=np.int32), found["words"].map(len).to_numpy())
             order = np.argsort(words, kind="stable")
-            keys, starts = np.unique(words[order], return_index=True)
-            lists, ends = lists[order], np.append(starts[1:], len(words))
-            most, whole, score = max(n * share, least), {}, np.zeros(n, np.uint16)
+            words = words[order]
+            starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            keys = words[starts]
+            counter = _Counter(n, lists[order], np.append(starts, len(words)), max(n * share, least))
             for question, terms in zip(own_questions["question"], own_questions["terms"]):
                 at_ = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
-                at_ = at_[keys[at_] == terms]
-                score[:] = 0
-                for w in at_.tolist():
-                    one = lists[starts[w] : ends[w]]
-                    if len(one) > most:
-                        if w not in whole:
-                            whole[w] = np.zeros(n, np.uint16)
-                            whole[w][one] = 1
-                        score += whole[w]
-                    else:
-                        score[one] += 1
-                bound = int(score.max())
-                if not bound:
-                    continue
-                top = np.flatnonzero(score == bound)[:k]
-                while len(top) < k and bound > 1:
-                    bound -= 1
-                    top = np.append(top, np.flatnonzero(score == bound)[: k - len(top)])
+                top, score = counter.best(at_[keys[at_] == terms], k)
                 ids += [question] * len(top)
                 places.append(top)
-                scores.append(score[top])
+                scores.append(score)
         out = found.loc[np.concatenate(places) if places else [], position].reset_index(drop=True)
         out.insert(0, "question", pd.Series(ids, dtype=own_questions["question"].dtype))
         out["score"] = np.concatenate(scores).astype(np.int64) if scores else np.zeros(0, np.int64)
         return out
 
-    best = rows.groupBy("block", "part").cogroup(sent.groupBy("block", "part")).applyInPandas(best_of, schema)
+    # Each part and block is a task of its own: by their hashes several would meet in one, and others be idle.
+    task, tasks = (F.col("block") * parts + F.col("part")).cast("int").alias("task"), blocks * parts
+    own_rows, own_sent = rows.select(task, *POSITION, "words").repartitionById(tasks, F.col("task")), sent.select(task, "question", "terms").repartitionById(tasks, F.col("task"))
+    best = own_rows.groupBy("task").cogroup(own_sent.groupBy("task")).applyInPandas(best_of, schema)
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), *POSITION))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("question", "rank", *POSITION, "score")

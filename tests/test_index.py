@@ -4,6 +4,7 @@ import random
 import sys
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from docspindle.functions import unicode
 from docspindle.functions.intent import intent, norm, phrase_terms
 from docspindle.operators import search as se
 from docspindle.operators.concat import head_of_concatenation
-from docspindle.operators.index import ChunkIndex, batch_search
+from docspindle.operators.index import ChunkIndex, _Counter, batch_search
 from docspindle.sources.readers import file_type, read_documents
 
 WORDS = "canción CANCIÓN luna lunas aluna lnua cancionero cancoin gobernantes gobernante gobernnates ejecutivos ejecuitvos 100% a_b x.y de la the ñandú supercalifragilisticoespialidoso supercalifragilisticoespialidosas".split()
@@ -150,3 +151,18 @@ def test_words_of_texts_are_those_of_their_raw_words(spark, tmp_path):
         assert ids(index.table("postings").filter(F.col("kind") == kind).select("chunk_id", "word")) == ids(want)
         assert ids(index.words(kind).select("word").distinct()) == ids(want.select("word").distinct())
     assert ids(index.table("chunks").select("chunk_id")) == ids(chunks.select("chunk_id"))
+
+
+@pytest.mark.parametrize("most", [0, 30, 1000])
+def test_words_of_a_block_are_counted_at_once(most):
+    """Bits of counters against counts, for no word, few and many, chunks that fill no whole row of bits, ties by place."""
+    rng = np.random.default_rng(7)
+    n, lists = 333, [np.sort(rng.choice(333, size, replace=False)) for size in (1, 333, 200, 64, 63, *rng.integers(1, 120, 70))]
+    counter = _Counter(n, np.concatenate(lists).astype(np.int32), np.append(0, np.cumsum([len(x) for x in lists])), most)
+    for size in (0, 1, 2, 3, 4, 7, 8, 31, 33, 64, 75, 2):
+        words, score = rng.permutation(len(lists))[:size], np.zeros(n, int)
+        for w in words:
+            score[lists[w]] += 1
+        want = [i for i in np.lexsort((np.arange(n), -score)) if score[i]][:6]
+        top, held = counter.best(words, 6)
+        assert (top.tolist(), held.tolist()) == (want, score[want].tolist())

@@ -90,3 +90,19 @@ def test_batch_search_keeps_pairs_in_tasks(spark, block, asked, share):
         scored = sorted((-len(set(terms) & set(w)), d) for d, _, _, w in held if set(terms) & set(w))[:3]
         want += [(q, r, d, -s) for r, (s, d) in enumerate(scored, 1)]
     assert sorted((r["question"], r["rank"], r["document_id"], r["score"]) for r in got.collect()) == sorted(want)
+
+
+def test_batch_search_has_a_task_for_each_block(spark):
+    """No two blocks meet in one task by their hashes, and none is dealt out twice."""
+    words = [f"w{k}" for k in range(40)]
+    chunks = spark.createDataFrame([(i, 0, f"{i}-0", [words[i % 40], words[i * 7 % 40]]) for i in range(400)], "document_id long, chunk_index int, chunk_id string, words array<string>")
+    asks = spark.createDataFrame([(f"q{k}", words[k : k + 3]) for k in range(12)], "question string, terms array<string>")
+    got = batch_search(asks, chunks.select(F.explode("words").alias("word")), chunks, 2, block=20, asked=6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapCoGroupsInPandas") :]
+    assert below.count("(direct_shuffle_partition_id(task") == 2 and ", 40), REPARTITION_BY_NUM" in below
+    assert not any("hashpartitioning(task" in x or "hashpartitioning(block" in x for x in below.splitlines())
+    assert {r["question"] for r in got.collect()} == {f"q{k}" for k in range(12)}
+    for k in range(9):
+        want = sorted((-len({words[i % 40], words[i * 7 % 40]} & set(words[k : k + 3])), i) for i in range(400))[:2]
+        assert [(-r["score"], r["document_id"]) for r in got.filter(F.col("question") == f"q{k}").orderBy("rank").collect()] == want
